@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from motifcast.llm import packing
+from motifcast.llm import chat, language, packing, toxicity
 
-QUERIES = {"op1_packing": packing.op1_packing}
+QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_chat": chat.op5_chat,
+    "op9_language": language.op9_language,
+}
 ORACLE_SQL: dict[str, str] = {}
