@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from motifcast.llm import chat, language, packing, toxicity
+from motifcast.llm import chat, language, neardup, packing, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_chat": chat.op5_chat,
+    "op6_minhash": neardup.op6_minhash,
     "op9_language": language.op9_language,
 }
 ORACLE_SQL: dict[str, str] = {}
