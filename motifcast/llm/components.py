@@ -27,13 +27,13 @@ def _state(e: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links between long ids -> (node, component): for each node that has a link to another, the smallest id it reaches.
+    """(a, b) links between ids of any ordered type -> (node, component): for each node that has a link to another, the smallest id it reaches.
 
     Self-links and repeated links do not matter; null ends are dropped; no links give an empty table. A node with very many
     links is a large group only of map-side minima and of joins that adaptive execution splits. The number of rounds is
     logarithmic in practice (squared logarithm at most).
     """
-    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
+    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpointed(e)
     before, now = None, _state(e)
     while now != before:

@@ -27,7 +27,7 @@ from motifcast.llm.common import checkpointed, documents
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words whose ids a Python worker keeps; the table is emptied when it is full.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 #: Pieces that share a length and a salt, about; groups of that size are ranked in one task.
 RANK_GROUP = 20_000
 
@@ -37,28 +37,61 @@ _loaded: dict = {}
 def _encoder(path: str):
     """Per worker: texts -> bytes of little-endian unsigned 32-bit ids.
 
-    The tokenizer drops white space and never joins text across it, so words are encoded one by one and kept.
+    The tokenizer drops white space, cuts a text into runs of letters, digits and other signs, and never joins text across
+    them. So words are kept with their ids; a new word is cut into its runs, and the tokenizer's BPE model encodes each run.
     """
     if path not in _loaded:
-        import os
+        import json
+        from array import array
+        from unicodedata import normalize
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
+        import regex
         from tokenizers import Tokenizer
 
-        tokenizer, known = Tokenizer.from_file(path), {}
-
-        def encode(text: str) -> bytes:
-            words = text.replace("\n", " ").split(" ")
-            if missing := list({w for w in words if w not in known}):
+        tokenizer, known, runs = Tokenizer.from_file(path), {}, {}
+        special = [t["content"] for t in json.loads(tokenizer.to_str())["added_tokens"]]
+        # Fixed value: how the tokenizer cuts a text into runs; letters alone are one run.
+        cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        # Byte-level BPE writes a byte as a character: printable Latin-1 as itself, the others from 256 on.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        other = [b for b in range(256) if b not in set(shown)]
+        sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(other)}
+        bpe = tokenizer.model.tokenize
+
+        def single(text: str) -> bytes:
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+        def runs_of(word: str) -> list[str]:
+            if word.isascii():
+                low = word.lower()
+            elif max(word) < "\u0250" and "\u0130" not in word:
+                low = normalize("NFC", word).lower()
+            else:
+                low = tokenizer.normalizer.normalize_str(word)
+            return [low] if low.isalpha() else cut(low)
+
+        def learn(words: Iterable[str]) -> None:
+            for word in words:
+                if not word.isprintable() or any(x in word for x in special):
+                    known[word] = single(word)
+                    continue
+                ids = b""
+                for run in runs_of(word):
+                    if (got := runs.get(run)) is None:
+                        text = run if run.isascii() else "".join([sign[b] for b in run.encode()])
+                        got = runs[run] = array("I", [t.id for t in bpe(text)]).tobytes()
+                    ids += got
+                known[word] = ids
+
+        def encode(texts: list[str]) -> list[bytes]:
+            split = [t.replace("\n", " ").split(" ") for t in texts]
+            if missing := set().union(*split).difference(known):
                 if len(known) + len(missing) > CACHED_WORDS:
                     known.clear()
-                    missing = list(set(words))
-                for i in range(0, len(missing), 4096):
-                    part = missing[i : i + 4096]
-                    for word, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                        known[word] = np.array(got.ids, dtype="<u4").tobytes()
-            return b"".join([known[w] for w in words])
+                    runs.clear()
+                    missing = set().union(*split)
+                learn(missing)
+            return [b"".join([known[w] for w in words]) for words in split]
 
         _loaded[path] = encode
     return _loaded[path]
@@ -67,12 +100,20 @@ def _encoder(path: str):
 def _pieces_of(path: str, end_id: int, capacity: int):
     tail, step = end_id.to_bytes(4, "little"), 4 * capacity
 
+    def encoded(texts: pa.Array) -> Iterator[bytes]:
+        encode, part, size = _encoder(path), [], 0
+        for i in range(len(texts)):  # about a million characters at a time
+            part.append(texts[i].as_py() or "")
+            size += len(part[-1])
+            if size > 1_000_000 or i == len(texts) - 1:
+                for ids in encode(part):
+                    yield ids + tail
+                part, size = [], 0
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + tail
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     for column, value in zip(out, (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4), strict=True):

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from motifcast.llm import chat, language, neardup, packing, toxicity
+from motifcast.llm import chat, decontam, fingerprint, language, linededup, neardup, packing, secrets, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_fingerprint": fingerprint.op2_fingerprint,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_decontam": decontam.op4_decontam,
     "op5_chat": chat.op5_chat,
     "op6_minhash": neardup.op6_minhash,
+    "op7_linededup": linededup.op7_linededup,
+    "op8_secrets": secrets.op8_secrets,
     "op9_language": language.op9_language,
+    "op10_urls": urls.op10_urls,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_linededup": linededup.ORACLE, "op10_urls": urls.ORACLE}
