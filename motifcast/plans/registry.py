@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from motifcast.plans import estimates, exact, preparation, reports
+
 FLAGSHIP = "p4_exact_count"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+_MODULES = (exact, estimates, reports, preparation)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: f for m in _MODULES for name, f in m.ORACLE_SQL.items()}
