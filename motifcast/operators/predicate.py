@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motifcast.functions.frames import union_all
 
@@ -114,7 +115,7 @@ Model = Callable[[pd.DataFrame], pd.Series]
 
 def score(df: DataFrame, make_model: Callable[[], Model], inputs: list[str], out: str = "prob", batch: int = 1024) -> DataFrame:
     """Adds a probability from a user's model: ``make_model`` runs once per task, the model on batches of ``inputs``."""
-    spark_schema = df.schema.add(out, "double")
+    spark_schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from motifcast.functions.random import prn_sql
@@ -153,8 +154,6 @@ def _(spark, d):
 
 @query("d20_user_function", "SELECT doc_id, length(text)::BIGINT * 2 AS n FROM documents")
 def _(spark, d):
-    import pandas as pd
-
     @F.pandas_udf("long")
     def twice_length(s: pd.Series) -> pd.Series:
         return s.str.len() * 2
@@ -212,11 +211,11 @@ def _(spark, d):
     return D.training_split(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", 0.8, "split", F.col("toxic") == 1).select("doc_id", "train")
 
 
-@query("d28_pair_features", "SELECT vec_id, round(list_sum(embedding)::DOUBLE + list_sum(list_reverse(embedding))::DOUBLE, 2) AS plain FROM embeddings")
+@query("d28_pair_features", "SELECT vec_id, round(list_sum(embedding)::DOUBLE + list_sum(list_reverse(embedding))::DOUBLE, 2) + 0.0 AS plain FROM embeddings")
 def _(spark, d):
     v = F.transform("embedding", lambda x: x.cast("double"))
     f = D.pair_features(v, F.reverse(v))
-    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(F.slice(f, F.lit(1), 2 * F.size(v)), F.lit(0.0), lambda t, x: t + x), 2).alias("plain"))
+    return table(spark, d, "embeddings").select("vec_id", (F.round(F.aggregate(F.slice(f, F.lit(1), 2 * F.size(v)), F.lit(0.0), lambda t, x: t + x), 2) + F.lit(0.0)).alias("plain"))
 
 
 @query("d28_train_proxy")

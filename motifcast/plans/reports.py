@@ -109,9 +109,9 @@ def _(spark, d):
     return rounded(R.repeat_failures(skewed(spark, d), 1), "error", digits=9)
 
 
-@query("q12_joint_failures", RES + ", p AS (SELECT query, method, avg((rel > 0.03)::INT) AS rate, avg(rel) AS error FROM r GROUP BY ALL HAVING avg((rel > 0.03)::INT) >= 0.4) SELECT query, count(*) AS methods, round(avg(error), 6) AS error FROM p GROUP BY query HAVING count(*) = (SELECT count(DISTINCT method) FROM r)")
+@query("q12_joint_failures", RES + ", p AS (SELECT query, method, avg((rel > 0.02)::INT) AS rate, avg(rel) AS error FROM r GROUP BY ALL HAVING avg((rel > 0.02)::INT) >= 0.4) SELECT query, count(*) AS methods, round(avg(error), 6) AS error FROM p GROUP BY query HAVING count(*) = (SELECT count(DISTINCT method) FROM r)")
 def _(spark, d):
-    return rounded(R.joint_failures(results(spark, d), 0.03, 0.4), "error")
+    return rounded(R.joint_failures(results(spark, d), 0.02, 0.4), "error")
 
 
 @query("q13_zero_estimates", "SELECT DISTINCT l_linenumber AS method, l_partkey AS query, CASE WHEN l_tax = 0 THEN 'correct' ELSE 'fatal' END AS verdict FROM lineitem WHERE l_discount = 0")
