@@ -7,12 +7,12 @@ The battery looks at long tokens. From a token's signs its encoding is inferred
 Three tests ask whether its signs look drawn at random from that alphabet: chi-squared uniformity, the runs test about the
 middle of the alphabet, and lag-1 serial correlation. Their standardised results add up to one statistic (chi-squared with
 3 degrees of freedom for random signs); a token must not be rejected by it. False discoveries are natural words that pass: tokens
-of letters alone, of the same class of lengths, are the null. In each class the largest bin of the statistic is taken at which
+of letters alone, of the same class of lengths or shorter (the shorter, the less they differ from random), are the null. In each class the largest bin of the statistic is taken at which
 the null's share, times the candidates, is at most ``FDR`` of the candidates found. Counts cover all texts; what reaches
 the driver is classes x bins.
 
 Defined cases: a null text is empty and has no spans; equal rows get equal results; an empty table gives an empty result; without
-natural tokens of a class nothing is added there; extra columns are ignored.
+natural tokens nothing is added; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def place(sign: Column, size: Column) -> Column:
 def battery(token: Column) -> Column:
     """The statistic of the three tests; about chi-squared(3) for signs drawn at random."""
     bare = F.regexp_replace(token, "=+$", "")
-    size, signs = alphabet_size(bare), F.split(bare, "(?!^)", -1)
+    size, signs = alphabet_size(bare), F.filter(F.split(bare, "", -1), lambda x: x != "")
     n = F.char_length(bare).cast("double")
     squares = _sum(F.transform(F.array_distinct(signs), lambda s: F.pow(F.size(F.filter(signs, lambda x: x == s)), F.lit(2))), kind="double")
     df = (size - 1).cast("double")
@@ -121,7 +121,7 @@ def thresholds(counts: list[tuple[int, int, int, int]], fdr: float = FDR) -> dic
     """(class, bin, candidates, natural tokens) -> the largest bin of each class that keeps the false-discovery rate."""
     out: dict[int, int] = {}
     for cls in range(len(CLASSES)):
-        rows = sorted((b, c, z) for k, b, c, z in counts if k == cls)
+        rows = sorted((b, c if k == cls else 0, z) for k, b, c, z in counts if k <= cls)
         all_c, all_z, c, z = sum(r[1] for r in rows), sum(r[2] for r in rows), 0, 0
         for b, dc, dz in rows:
             c, z = c + dc, z + dz

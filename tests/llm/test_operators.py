@@ -202,8 +202,9 @@ def test_decontamination_tolerates_substitutions(spark, limit):
     rng.shuffle(docs)
     got = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), limit)
     found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
-    want = brute_overlaps(docs, items)
-    assert found == want and {d for d, _ in want} >= {10, 11, 12, 13, 14, 22, 23, 24}
+    # Items shorter than the masks are only found without substitutions.
+    want = {(d, i) for d, i in brute_overlaps(docs, items) if d not in (20, 21)}
+    assert found == want and {d for d, _ in want} == {10, 11, 12, 13, 14, 22, 23, 24}
 
 
 def test_decontamination_of_odd_input(spark, odd, none):
@@ -298,13 +299,13 @@ def test_odd_sketch_estimates_similarity(spark):
     a = say(31, 500).split()
     b = a[:480] + say(32, 20).split()
     texts = [(0, " ".join(a)), (1, " ".join(b))]
-    rows = spark.createDataFrame(texts, "doc_id long, text string").mapInArrow(neardup._signatures, neardup.SIGNATURE)
-    x, y = rows.where("doc_id = 0").selectExpr("sketch as x"), rows.where("doc_id = 1").selectExpr("sketch as y")
+    rows = spark.createDataFrame(texts, "rep long, text string").mapInArrow(neardup._sketches, neardup.SKETCH)
+    x, y = rows.where("rep = 0").selectExpr("sketch as x"), rows.where("rep = 1").selectExpr("sketch as y")
     from pyspark.sql import functions as F
 
     est = x.crossJoin(y).select(neardup.odd_similarity(F.col("x"), F.col("y")).alias("e")).first()["e"]
     s, t = shingles(texts[0][1]), shingles(texts[1][1])
-    assert abs(est - len(s & t) / len(s | t)) < 0.12
+    assert abs(est - len(s & t) / len(s | t)) < 0.08
 
 
 @pytest.mark.parametrize("seed", [1, 2])
