@@ -4,9 +4,9 @@
   share is taken by a hash of doc_id), equal texts once.
 * Terms: words and their prefixes of ``PREFIXES`` letters; the ``max_terms`` terms that separate the labels best (two-proportion
   z) are kept. Their document frequencies are counted over *all* documents.
-* Index: examples are ordered by their heaviest term and cut into blocks; each term keeps its postings per block and its
-  largest weight in each block. A query visits blocks by falling bound and stops when no block can reach its k-th cosine,
-  so the neighbours are exact; ties with the k-th are all kept.
+* Index: examples are ordered by their heaviest term and cut into blocks; each term keeps its postings by block and its
+  largest weight in each block. A query scores the blocks of the highest bounds, then only those that can still reach the
+  k-th cosine, so the neighbours are exact; ties with the k-th are all kept.
 * Score: votes weighted by inverse distance, mapped to a probability by an isotonic fit on the examples' own
   leave-one-out votes. The neighbours' ids are the evidence.
 
@@ -31,6 +31,8 @@ MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK = 20_000, 512, 15, 64
 PREFIXES = (4, 5)
 #: Smallest z of a term, and smallest number of toxic example texts with it.
 LEAST_Z, LEAST_TOXIC = 6.0, 5
+#: A term must be this many times as frequent in toxic texts as in others.
+LEAST_LIFT = 5.0
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+")
@@ -84,42 +86,36 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[tuple[list[int], np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        self.n_blocks = -(-self.n // block)
-        self.bound = np.zeros((n_terms, max(1, self.n_blocks)), dtype=np.float32)
-        lists: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
+        self.bound = np.zeros((n_terms, max(1, -(-self.n // block))))
+        lists: list[tuple[list[int], list[float]]] = [([], []) for _ in range(n_terms)]
         for i, (terms, weights) in enumerate(vectors):
             for t, w in zip(terms, weights, strict=True):
-                b, at = divmod(i, block)
-                ids, ws = lists.setdefault((t, b), ([], []))
-                ids.append(at)
-                ws.append(w)
-                self.bound[t, b] = max(self.bound[t, b], w)
-        self.postings = {k: (np.array(i, dtype=np.int64), np.array(w, dtype=np.float64)) for k, (i, w) in lists.items()}
+                lists[t][0].append(i)
+                lists[t][1].append(w)
+                self.bound[t, i // block] = max(self.bound[t, i // block], w)
+        self.postings = [(np.array(i, dtype=np.int64), np.array(w)) for i, w in lists]
 
     def nearest(self, terms: list[int], weights: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The examples with positive cosine at least the k-th largest (ties included), and their cosines."""
-        bounds = weights @ self.bound[terms].astype(np.float64)
-        ids, cosines, kth = [], [], 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < kth - 1e-6:
-                break
-            score = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                if (hit := self.postings.get((t, b))) is not None:
-                    score[hit[0]] += w * hit[1]
-            if leave_out // self.block == b:
-                score[leave_out % self.block] = 0
-            at = np.flatnonzero(score > max(0, kth - 1e-6))
-            ids.append(at + b * self.block)
-            cosines.append(score[at])
-            if sum(map(len, ids)) >= k:
-                every = np.concatenate(cosines)
-                kth = np.partition(every, len(every) - k)[len(every) - k]
-        if not ids:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        i, c = np.concatenate(ids), np.concatenate(cosines)
-        keep = c >= kth - 1e-6
-        return i[keep], np.minimum(c[keep], 1.0)
+        """The examples with positive cosine at least the k-th largest (ties included), and their cosines.
+
+        First the blocks of the highest bounds are scored, enough for about 2k examples; their k-th cosine then rules out
+        all blocks whose bound is lower, and the others are scored."""
+        bounds = weights @ self.bound[terms]
+        ids = np.concatenate([self.postings[t][0] for t in terms])
+        parts = np.concatenate([self.postings[t][1] * w for t, w in zip(terms, weights, strict=True)])
+        blocks = ids // self.block
+        score, kth = np.zeros(self.n), 0.0
+        first = np.zeros(len(bounds), dtype=bool)
+        first[np.argsort(-bounds, kind="stable")[: 1 + 2 * k // self.block]] = True
+        for chosen in (first, ~first):
+            use = (chosen & (bounds > 0) & (bounds >= kth - 1e-6))[blocks]
+            score += np.bincount(ids[use], parts[use], self.n)
+            if leave_out >= 0:
+                score[leave_out] = 0
+            if np.count_nonzero(score) >= k:
+                kth = np.partition(score, self.n - k)[self.n - k]
+        at = np.flatnonzero((score > 0) & (score >= kth - 1e-6))
+        return at, np.minimum(score[at], 1.0)
 
 
 def _unit(counts: list[int], idf: np.ndarray) -> np.ndarray:
@@ -209,7 +205,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, h
         counted = examples.mapInArrow(_count_terms, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("b"))
         pooled = (F.col("a") + F.col("b") + 1) / (n_toxic + n_clean + 2)
         z = (F.col("a") / n_toxic - F.col("b") / n_clean) / F.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean))
-        chosen = counted.where(F.col("a") >= LEAST_TOXIC).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(max_terms)
+        chosen = counted.where(F.col("a") >= LEAST_TOXIC).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("a") * n_clean >= LEAST_LIFT * (F.col("b") + 1) * n_toxic)).orderBy(F.desc("z"), "term").limit(max_terms)
         terms = sorted(r["term"] for r in chosen.collect())
 
     vectors = checkpointed(docs.select("doc_id", "held_out", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_vectors_of(terms), VECTORS))
