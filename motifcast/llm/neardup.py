@@ -1,16 +1,18 @@
 """Near-duplicate groups: banded MinHash candidates, odd-sketch screening, exact confirmation on full shingle sets.
 
-1. One Arrow pass over the texts gives each document's shingle-set size, a 128-bit hash of the whole set, its MinHash band keys
-   and an odd sketch: each MinHash sample flips one bit of a small bitmap, so the XOR of two bitmaps holds the samples that
-   differ, and its population count estimates high similarities closely.
+1. One Arrow pass over the texts gives each document's shingle-set size, a 128-bit hash of the whole set and its MinHash band
+   keys. Documents that share a band also get an odd sketch: each of ``SAMPLES`` MinHash samples flips one bit of a bitmap, so
+   the XOR of two bitmaps holds the samples that differ, and its population count estimates high similarities closely.
 2. Documents with equal sets are one class with its smallest doc_id as representative; copies are never compared.
 3. Representatives meet in bands. In each round every bucket compares one centre with its other members: pairs that are
    already connected are skipped, the rest is screened by size ratio and odd sketch and confirmed on the full sets. The
    centre, now compared with all of its bucket, leaves. A bucket whose members are one component is done. So a bucket of
-   n alike texts costs n pairs, not n squared. What is left after ``ROUNDS`` rounds is compared completely.
+   n alike texts costs n pairs, not n squared. After ``ROUNDS`` rounds, the members of buckets that are still open (texts that
+   share a passage, say, and are not alike) meet again in longer bands of the sketch's samples, which few of them share; there
+   members of different components are compared by a join with the screen in its condition, so only likely pairs leave it.
 4. Connected components over the confirmed links, and a join of every document to its class.
 
-A pair at the least similarity misses all of the 32 bands of 4 samples with probability 5e-6, a more similar one less.
+A pair at the least similarity misses all of the 32 bands of 4 samples with probability 5e-6, more similar ones with less.
 
 Defined cases: texts without words (or null) have no shingles and no links; texts of fewer than five words are one shingle;
 rows that repeat a doc_id share its component; an empty table gives an empty result; extra columns are ignored.
@@ -19,8 +21,10 @@ rows that repeat a doc_id share its component; an empty table gives an empty res
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +34,23 @@ from pyspark.sql import functions as F
 from motifcast.llm.common import bounded_broadcast, checkpointed, documents
 from motifcast.llm.components import components
 
-WORDS, BANDS, ROWS, SKETCH_BITS = 5, 32, 4, 512
+WORDS, BANDS, ROWS = 5, 32, 4
+#: MinHash samples and bits of an odd sketch: at a similarity of 0.75 the estimate's standard error is about 0.020.
+SAMPLES, SKETCH_BITS = 512, 2048
 LEAST_PERCENT = 75
-#: Pairs whose estimated similarity is below this are not confirmed; more than five standard errors under the threshold.
-SCREEN = 0.5
-#: Rounds of centres before buckets that are still not one component are compared completely.
-ROUNDS = 6
+#: Pairs whose estimated similarity is below this are not confirmed; four standard errors under the threshold.
+SCREEN = 0.67
+#: Rounds of centres before members of open buckets are banded again and compared completely.
+ROUNDS = 2
 
-SIGNATURE = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, n_shingles long, set_hash binary, bands array<long>"
+SKETCH = "rep long, n long, sketch array<long>, bands array<long>"
+#: Bands of the second cut, from the sketch's samples: a pair at the least similarity misses all of them with 6e-8.
+BANDS2, ROWS2 = 85, 6
 
 _rng = np.random.default_rng(20240501)
-_A = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_A = _rng.integers(1, 1 << 32, BANDS * ROWS + SAMPLES, dtype=np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, BANDS * ROWS + SAMPLES, dtype=np.uint32)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,45 +82,75 @@ def shingle_set(text: str | None, hashes: dict) -> np.ndarray:
     return np.unique(_mix(s))
 
 
-def _minhash(s: np.ndarray) -> np.ndarray:
-    x, least = (s >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(x), 2048):
-        least = np.minimum(least, (x[at : at + 2048, None] * _A + _B).min(0))
+def _minhash(s: np.ndarray, of: slice) -> np.ndarray:
+    """MinHash samples of a set of hashes, by the hash functions of the given numbers."""
+    a, b = _A[of], _B[of]
+    x, least = (s >> np.uint64(32)).astype(np.uint32), np.full(len(a), 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(x), 1024):
+        least = np.minimum(least, (x[at : at + 1024, None] * a + b).min(0))
     return least
 
 
+def _band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    m, key = samples.astype(np.uint64), np.arange(bands, dtype=np.uint64)
+    for k in range(rows):
+        key = _mix(key * _P + m[k * bands : (k + 1) * bands])
+    return key.view(np.int64)
+
+
 def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, place = _WordHashes(), np.arange(BANDS * ROWS, dtype=np.uint64)
+    hashes = _WordHashes()
     for batch in batches:
-        sizes, sets, bands, sketches = [], [], [], []
+        sizes, sets, bands = [], [], []
         for text in batch.column(1):
             s = shingle_set(text.as_py(), hashes)
             sizes.append(len(s))
             if not len(s):
                 sets.append(None)
                 bands.append(None)
-                sketches.append(None)
                 continue
             sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            m = _minhash(s).astype(np.uint64)
-            key = np.arange(BANDS, dtype=np.uint64)
-            for k in range(ROWS):
-                key = _mix(key * _P + m[k::ROWS])
-            bands.append(key.view(np.int64))
-            bits = (_mix(m * _P + place) % np.uint64(SKETCH_BITS)).astype(np.int64)
-            odd = np.bincount(bits, minlength=SKETCH_BITS).astype(np.uint8) & 1
-            sketches.append(np.packbits(odd).view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "set_hash", "bands", "sketch"],
-        )
+            bands.append(_band_keys(_minhash(s, slice(0, BANDS * ROWS)), BANDS, ROWS))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "bands"])
+
+
+def odd_sketch(samples: np.ndarray) -> np.ndarray:
+    """Parity bitmap, as 64-bit integers: each MinHash sample flips the bit that its number and value hash to."""
+    bits = (_mix(samples.astype(np.uint64) * _P + np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(bits, minlength=SKETCH_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
+def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _WordHashes()
+    for batch in batches:
+        sizes, sketches, bands = [], [], []
+        for text in batch.column(1):
+            s = shingle_set(text.as_py(), hashes)
+            samples = _minhash(s, slice(BANDS * ROWS, None))
+            sizes.append(len(s))
+            sketches.append(odd_sketch(samples))
+            bands.append(_band_keys(samples, BANDS2, ROWS2))
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sketches, kind), pa.array(bands, kind)], ["rep", "n", "sketch", "bands"])
+
+
+def differing_bits(x: Column, y: Column) -> Column:
+    """Bits in which two odd sketches differ."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH_BITS // 64)])
 
 
 def odd_similarity(x: Column, y: Column) -> Column:
     """Similarity estimated from two odd sketches; 0 where they differ in half of the bits or more."""
-    differing = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
-    inside = 1 - 2 * differing / SKETCH_BITS
-    return F.when(inside > 0, 1 + SKETCH_BITS / (4 * BANDS * ROWS) * F.log(inside)).otherwise(0.0)
+    inside = 1 - 2 * differing_bits(x, y) / SKETCH_BITS
+    return F.when(inside > 0, 1 + SKETCH_BITS / (4 * SAMPLES) * F.log(inside)).otherwise(0.0)
+
+
+#: The screen as a number of bits: differing in more, the estimate is below ``SCREEN``.
+_MOST_BITS = math.floor(SKETCH_BITS / 2 * (1 - math.exp(4 * SAMPLES / SKETCH_BITS * (SCREEN - 1))))
+
+
+def _alike(n: Column, sketch: Column, m: Column, other: Column) -> Column:
+    return (100 * F.least(n, m) >= LEAST_PERCENT * F.greatest(n, m)) & (differing_bits(sketch, other) <= _MOST_BITS)
 
 
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +173,17 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar enough, confirmed on full sets."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= LEAST_PERCENT * F.greatest("n_a", "n_b"))
-    near = near.where(odd_similarity(F.col("sketch_a"), F.col("sketch_b")) >= SCREEN).select("a", "b")
-    full = near.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    full = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """(bucket, rep) rows of the buckets that have several members."""
+    return rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket"), "bucket")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -151,38 +192,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"]).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
 
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = checkpointed(rows.join(shared, "bucket"))
+    members = checkpointed(_shared(rows))
     ids = checkpointed(members.select("rep").distinct())
     n_ids = ids.count()
     near_ids = bounded_broadcast(ids, n_ids)
-    reps = checkpointed(signed.join(near_ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "sketch"))
     texts = checkpointed(docs.join(near_ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"))
+    sketches = checkpointed(texts.select("rep", "text").mapInArrow(_sketches, SKETCH))
 
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    links, tested, groups = none, none, ids.select("rep", F.col("rep").alias("component"))
+    links = tested = docs.sparkSession.createDataFrame([], "a long, b long")
+    groups = ids.select("rep", F.col("rep").alias("component"))
     for round_ in range(ROUNDS + 1):
         placed = members.join(groups, "rep")
-        centre = F.min(F.struct("rep", "component"))
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), centre.alias("centre")).where("lo <> hi").select("bucket", "centre")
-        members = placed.join(open_, "bucket")
+        first = F.min_by("rep", F.struct("rep") if round_ == 0 else F.struct(F.xxhash64("rep", F.lit(round_)), "rep"))
+        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), first.alias("a")).where("lo <> hi").select("bucket", "a")
+        left = checkpointed(placed.join(open_, "bucket"))
         if round_ < ROUNDS:
-            pairs = members.where("rep <> centre.rep and component <> centre.component").select(F.col("centre.rep").alias("a"), F.col("rep").alias("b")).distinct()
-            members = members.where("rep <> centre.rep").select("bucket", "rep")
+            at = left.where("rep <> a").select("bucket", "a", F.col("rep").alias("b"), F.col("component").alias("cb")).join(left.where("rep = a").select("bucket", F.col("component").alias("ca")), "bucket")
+            near = at.where("ca <> cb").select("a", "b").distinct()
+            of = lambda x: sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+            pairs = near.join(of("a"), "a").join(of("b"), "b").where(_alike(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))).select("a", "b")
+            members = left.where("rep <> a").select("bucket", "rep")
+            if round_ == ROUNDS - 1:
+                still = sketches.join(members.select("rep").distinct(), "rep", "left_semi")
+                members = checkpointed(_shared(still.select("rep", F.explode("bands").alias("bucket"))))
         else:
-            left = members.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"))
-            right = members.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
-            members = members.select("bucket", "rep").where(F.lit(False))
+            rows = left.select("bucket", "rep", "component").join(sketches.drop("bands"), "rep")
+            x, y = rows.alias("x"), rows.alias("y")
+            alike = _alike(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch"))
+            both = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & alike)
+            pairs = both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            links = checkpointed(links.unionByName(_links(pairs, reps, texts)))
-            tested = tested.unionByName(pairs)
-            found = components(links)
-            groups = checkpointed(ids.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
-        members = checkpointed(members)
-        if members.isEmpty():
-            break
+        found = checkpointed(_links(pairs, texts))
+        tested = tested.unionByName(pairs)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            groups = checkpointed(ids.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
     grouped = checkpointed(classes.join(groups, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id")))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(grouped, "set_hash", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -190,3 +234,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), pair AS MATERIALIZED (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach(a, b) AS (
+  SELECT a, b FROM pair UNION SELECT r.a, p.b FROM reach r JOIN pair p ON p.a = r.b
+), low AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(low.b, doc_id)) AS component_id, doc_id <= coalesce(low.b, doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = doc_id
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_language": language.op9_language,
     "op10_urls": urls.op10_urls,
 }
-ORACLE_SQL = {"op7_linededup": linededup.ORACLE, "op10_urls": urls.ORACLE}
+ORACLE_SQL = {"op5_chat": chat.ORACLE, "op6_minhash": neardup.ORACLE, "op7_linededup": linededup.ORACLE, "op10_urls": urls.ORACLE}
