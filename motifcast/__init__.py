@@ -1,0 +1 @@
+"""Approximate aggregates over graph patterns with model predicates, on Spark."""

@@ -1,0 +1 @@
+"""Column expressions and small DataFrame helpers."""

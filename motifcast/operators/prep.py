@@ -64,6 +64,14 @@ def with_key_in(df: DataFrame, key: str, other: DataFrame, other_key: str, compl
     return df.join(other.select(F.col(other_key).alias(key)).distinct(), key, "left_anti" if complement else "left_semi")
 
 
+def pick_files(df: DataFrame, n: int, m: int, order: list[str], salt: str) -> DataFrame:
+    """The first m rows, by ``order``, of each of n files picked at random (by a hash of the file's name)."""
+    rows = df.withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    picked = rows.select("_file").distinct().orderBy(prn_bits(F.col("_file"), salt), "_file").limit(n)
+    kept = rows.join(F.broadcast(picked), "_file")
+    return kept.withColumn("_r", F.row_number().over(Window.partitionBy("_file").orderBy(*order))).where(F.col("_r") <= m).drop("_file", "_r")
+
+
 def child_counts(parents: DataFrame, key: str, children: DataFrame, foreign: str, out: str) -> DataFrame:
     """Number of children per parent, 0 for none."""
     n = children.groupBy(F.col(foreign).alias(key)).agg(F.count(F.lit(1)).alias(out))

@@ -78,6 +78,11 @@ def _(spark, d):
     return D.with_key_in(comments, "creator", users, "id").select("id", F.lit("in").alias("side")).unionByName(D.with_key_in(comments, "creator", users, "id", complement=True).select("id", F.lit("out").alias("side")))
 
 
+@query("d9_pick_files", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50")
+def _(spark, d):
+    return D.pick_files(table(spark, d, "documents").select("doc_id", "lang"), 1, 50, ["doc_id"], "files")
+
+
 @query("d10_child_counts", f"{S} SELECT p.id, count(c.id) AS sub_comment FROM posts p LEFT JOIN comments c ON c.post = p.id GROUP BY p.id")
 def _(spark, d):
     _, posts, comments = social_tables(spark, d)

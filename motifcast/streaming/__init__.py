@@ -1,0 +1 @@
+"""Empty: every input of the library is a bounded table."""
