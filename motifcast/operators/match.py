@@ -157,19 +157,26 @@ def bipartite_safe(pattern: Pattern, candidates: Candidates, between: DataFrame)
 
 def edge_bipartite_safe(pattern: Pattern, between: DataFrame) -> DataFrame:
     """Candidate edges that are part of such a matching at both of their ends."""
-    rows = _near_rows(pattern, between).groupBy("q", "vid").agg(F.collect_list(F.struct("edge", "n")).alias("rows"))
-    for i, (a, b, _) in enumerate(pattern.edges):
-        for q, x, y in ((a, "src", "dst"), (b, "dst", "src")):
-            others = rows.where(F.col("q") == q).select(F.col("vid").alias(x), F.transform(F.filter("rows", lambda r: r["edge"] != i), lambda r: r["n"]).alias("others"))  # noqa: B023
-            need = pattern.degree(q) - 1
+    rows = checkpointed(_near_rows(pattern, between).groupBy("q", "vid").agg(F.collect_list(F.struct("edge", "n")).alias("rows")))
+
+    def kept_with(need: int):
+        def run(batches):
+            for pdf in batches:
+                ok = [len(o) == need and _matching([set(s) - {n} for s in o], need) for o, n in zip(pdf["others"], pdf["taken"], strict=True)]
+                yield pdf[ok][["edge", "src", "dst"]]
+
+        return run
 
-            def run(batches, need=need):
-                for pdf in batches:
-                    yield pdf[[len(o) == need and _matching([set(s) - {n} for s in o], need) for o, n in zip(pdf["others"], pdf["taken"], strict=True)]][["edge", "src", "dst"]]
+    def at_end(edges: DataFrame, i: int, q: int, x: str, y: str) -> DataFrame:
+        others = rows.where(F.col("q") == q).select(F.col("vid").alias(x), F.transform(F.filter("rows", lambda r: r["edge"] != i), lambda r: r["n"]).alias("others"))
+        joined = edges.join(others, x, "left").withColumn("others", F.coalesce("others", F.array().cast("array<array<bigint>>"))).withColumn("taken", F.col(y))
+        return joined.select("edge", "src", "dst", "others", "taken").mapInPandas(kept_with(pattern.degree(q) - 1), "edge int, src long, dst long")
 
-            mine = between.where(F.col("edge") == i).join(others, x, "left").withColumn("others", F.coalesce("others", F.array().cast("array<array<bigint>>"))).withColumn("taken", F.col(y))
-            between = between.where(F.col("edge") != i).unionByName(mine.select("edge", "src", "dst", "others", "taken").mapInPandas(run, "edge int, src long, dst long"))
-    return between
+    kept = []
+    for i, (a, b, _) in enumerate(pattern.edges):
+        mine = at_end(between.where(F.col("edge") == i).select("edge", "src", "dst"), i, a, "src", "dst")
+        kept.append(at_end(mine, i, b, "dst", "src"))
+    return union_all(kept)
 
 
 def triangle_safe(pattern: Pattern, between: DataFrame) -> DataFrame:
@@ -234,10 +241,11 @@ def refine(pattern: Pattern, candidates: Candidates, edges: DataFrame, rounds: i
     between, size = checkpointed(candidate_edges(pattern, candidates, edges)), -1
     for _ in range(rounds):
         kept = neighbour_safe(pattern, candidates.join(ends_of(pattern, between), ["q", "vid"], "left_semi"), between)
+        kept = checkpointed(kept)
         if bipartite:
             kept = bipartite_safe(pattern, kept, between)
-            between = edge_bipartite_safe(pattern, between)
-        candidates = checkpointed(kept)
+            between = checkpointed(edge_bipartite_safe(pattern, between))
+        candidates = checkpointed(kept) if bipartite else kept
         between = triangle_safe(pattern, between) if pattern.triangles() else between
         between = four_cycle_safe(pattern, between)
         between = checkpointed(candidate_edges_within(pattern, candidates, between))
