@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bounds of what may be broadcast: rows are counted (or bounded by construction) before a broadcast hint is given.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch that a Python worker gets.
+ARROW_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,14 +28,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     shared_folder(spark)
-    # A checkpoint keeps its plan's constraints; a union of two such frames then fails in the optimizer. It needs none.
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    # A checkpoint keeps its plan's constraints; a union of two such frames then fails in the optimizer. It needs none. Python
+    # workers get batches of at most ARROW_ROWS rows, so that long texts do not add up in memory.
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    wanted = {"spark.sql.constraintPropagation.enabled": "false", rows: str(min(ARROW_ROWS, int(spark.conf.get(rows)) or ARROW_ROWS))}
+    before = {key: spark.conf.get(key) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         return df.checkpoint(eager=True)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

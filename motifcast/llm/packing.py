@@ -27,7 +27,7 @@ from motifcast.llm.common import checkpointed, documents
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words whose ids a Python worker keeps; the table is emptied when it is full.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 180_000
 #: Pieces that share a length and a salt, about; groups of that size are ranked in one task.
 RANK_GROUP = 20_000
 
