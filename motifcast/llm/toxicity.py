@@ -1,22 +1,24 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact cosine over all terms of the examples, weighted by TF-IDF and label.
 
 * Examples: labelled documents outside the held-out rows, at most ``max_examples`` of them (a documented bound; a smaller
   share is taken by a hash of doc_id), equal texts once.
-* Terms: words and their prefixes of ``PREFIXES`` letters; the ``max_terms`` terms that separate the labels best (two-proportion
-  z) are kept. Their document frequencies are counted over *all* documents.
-* Index: examples are ordered by their heaviest term and cut into blocks; each term keeps its postings by block and its
-  largest weight in each block. A query scores the blocks of the highest bounds, then only those that can still reach the
-  k-th cosine, so the neighbours are exact; ties with the k-th are all kept.
+* Terms: all words of the examples and their prefixes of ``PREFIXES`` letters; none is left out. A term is kept as a 64-bit hash.
+  Document frequencies are counted over *all* documents. A term's weight is TF-IDF times ``1 + z``, where z (0 at least) is the
+  two-proportion statistic of its share in toxic and other examples: every term counts, those that tell the labels apart more.
+* Index: terms that many examples have are columns of a dense matrix, all others have postings; the cosine with every example
+  is the sum of both, so the neighbours are exact; ties with the k-th are all kept.
 * Score: votes weighted by inverse distance, mapped to a probability by an isotonic fit on the examples' own
-  leave-one-out votes. The neighbours' ids are the evidence.
+  leave-one-out votes (computed by the executors). The neighbours' ids are the evidence.
 
-Defined cases: null and empty texts, and texts without any term, get the rate of toxic examples among examples without
-terms; a document that repeats is scored each time; no labels or no terms give 0 for all; extra columns are ignored.
+Defined cases: null and empty texts, and texts without any term of an example, get the rate of toxic examples among examples
+without terms; a document that repeats is scored each time; no labels give 0 for all; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -27,12 +29,12 @@ from pyspark.sql import functions as F
 
 from motifcast.llm.common import checkpointed, crc32_mod, documents
 
-MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK = 20_000, 512, 15, 64
+MAX_EXAMPLES, NEIGHBOURS, BLOCK = 20_000, 15, 64
 PREFIXES = (4, 5)
-#: Smallest z of a term, and smallest number of toxic example texts with it.
-LEAST_Z, LEAST_TOXIC = 6.0, 5
-#: A term must be this many times as frequent in toxic texts as in others.
-LEAST_LIFT = 5.0
+#: Terms of at least this share of the examples are dense columns, the most frequent ``DENSE_TERMS`` of them; documents scored at once.
+DENSE_SHARE, DENSE_TERMS, TOGETHER = 0.03, 768, 128
+#: Words and documents whose terms or scores a worker remembers.
+REMEMBERED = 50_000
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+")
@@ -42,43 +44,81 @@ def word_terms(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
 
 
-def _count_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) -> (term, toxic, n): texts with the term, summed within an Arrow batch."""
-    for batch in batches:
-        seen: Counter = Counter()
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            terms = {t for w in set(_WORD.findall((text.as_py() or "").lower())) for t in word_terms(w)}
-            seen.update((t, toxic) for t in terms)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([t for t, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.int32()), pa.array(seen.values(), pa.int64())], ["term", "toxic", "n"]
-        )
+def term_hashes(terms: Iterable[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in terms), dtype="<i8")
+
 
+def _words(text: str | None) -> Counter:
+    return Counter(_WORD.findall((text or "").lower()))
 
-def _vectors_of(terms: list[str]):
-    """(doc_id, held_out, text) -> (doc_id, held_out, text_hash, terms, counts) over the given vocabulary."""
-    place = {t: i for i, t in enumerate(terms)}
 
+def _term_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (term): hashes of all terms, once a task."""
+    words: set[str] = set()
+    for batch in batches:
+        for text in batch.column(0):
+            words.update(_WORD.findall((text.as_py() or "").lower()))
+    yield pa.RecordBatch.from_arrays([pa.array(term_hashes({t for w in words for t in word_terms(w)}), pa.int64())], ["term"])
+
+
+class Vocabulary:
+    """Sorted term hashes; numbers of the terms of words."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.known = hashes, {}
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "known": {}}
+
+    def vectors(self, texts: Iterable[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Term numbers and counts of each text."""
+        counted = [_words(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list({w for c in counted for w in c if w not in self.known})
+        terms = [word_terms(w) for w in new]
+        hashes = term_hashes(t for ts in terms for t in ts)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        there = (self.hashes[at] == hashes).tolist() if len(self.hashes) else [False] * len(hashes)
+        at, k = at.tolist(), 0
+        for word, ts in zip(new, terms, strict=True):
+            self.known[word] = tuple(at[i] for i in range(k, k + len(ts)) if there[i])
+            k += len(ts)
+        out = []
+        for c in counted:
+            found: Counter = Counter()
+            for word, n in c.items():
+                for i in self.known[word]:
+                    found[i] += n
+            out.append((np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))))
+        return out
+
+
+def _vectors_of(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        """(doc_id, key, toxic, text) -> (doc_id, key, toxic, terms, counts)."""
         for batch in batches:
-            ids, counts = [], []
-            for text in batch.column(3):
-                found: Counter = Counter()
-                for word, n in Counter(_WORD.findall((text.as_py() or "").lower())).items():
-                    if (hit := known.get(word)) is None:
-                        if len(known) > 100_000:
-                            known.clear()
-                        hit = known[word] = tuple(place[t] for t in word_terms(word) if t in place)
-                    for i in hit:
-                        found[i] += n
-                ids.append(sorted(found))
-                counts.append([found[i] for i in ids[-1]])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "held_out", "text_hash", "terms", "counts"])
+            got = [(t[o], n[o]) for t, n in shared.value.vectors(batch.column(3).to_pylist()) for o in (np.argsort(t),)]
+            terms, counts = ([v[k].astype(np.int32) for v in got] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "key", "toxic", "terms", "counts"])
 
     return run
 
 
-VECTORS = "doc_id long, held_out boolean, text_hash long, terms array<int>, counts array<int>"
+def _frequencies_of(shared):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text) -> (term, n): documents with the term, summed within a task."""
+        vocabulary = shared.value
+        df = np.zeros(len(vocabulary.hashes), dtype=np.int64)
+        for batch in batches:
+            for terms, _ in vocabulary.vectors(batch.column(0).to_pylist()):
+                df[terms] += 1
+        at = np.flatnonzero(df)
+        for k in range(0, len(at), 100_000):
+            part = at[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(df[part], pa.int64())], ["term", "n"])
+
+    return run
 
 
 class BlockMaxIndex:
@@ -118,9 +158,48 @@ class BlockMaxIndex:
         return at, np.minimum(score[at], 1.0)
 
 
-def _unit(counts: list[int], idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(np.asarray(counts, dtype=np.float64))) * idf
-    return w / np.sqrt((w * w).sum())
+class CosineIndex:
+    """Exact top-k cosine over sparse unit vectors (CSR: row bounds, terms, weights), for many queries at once."""
+
+    def __init__(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
+        self.n = len(bounds) - 1
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(bounds))
+        df = np.bincount(terms, minlength=n_terms)
+        frequent = np.argsort(-df, kind="stable")[:DENSE_TERMS]
+        frequent = frequent[df[frequent] >= max(1, DENSE_SHARE * self.n)]
+        self.column = np.full(n_terms, -1, dtype=np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        column = self.column[terms]
+        dense = column >= 0
+        self.matrix = np.zeros((len(frequent), self.n), dtype=np.float32)
+        self.matrix[column[dense], rows[dense]] = weights[dense]
+        rest = np.flatnonzero(~dense)
+        rest = rest[np.argsort(terms[rest], kind="stable")]
+        self.rows, self.weights = rows[rest], weights[rest].astype(np.float32)
+        self.start = np.searchsorted(terms[rest], np.arange(n_terms + 1))
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """queries x examples."""
+        q = np.zeros((len(queries), len(self.matrix)), dtype=np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            column = self.column[terms]
+            q[i, column[column >= 0]] = weights[column >= 0]
+        out = q @ self.matrix
+        for i, (terms, weights) in enumerate(queries):
+            first, size = self.start[terms], self.start[terms + 1] - self.start[terms]
+            ends = np.cumsum(size)
+            if len(ends) and ends[-1]:
+                at = np.repeat(first - ends + size, size) + np.arange(ends[-1])
+                out[i] += np.bincount(self.rows[at], self.weights[at] * np.repeat(weights, size), self.n)
+        return out
+
+    def nearest(self, score: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The examples with positive cosine at least the k-th largest (ties included), and their cosines."""
+        if leave_out >= 0:
+            score[leave_out] = 0
+        kth = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
+        at = np.flatnonzero((score > 0) & (score >= kth - 1e-6))
+        return at, np.minimum(score[at].astype(np.float64), 1.0)
 
 
 def _vote(cosines: np.ndarray, toxic: np.ndarray) -> float:
@@ -143,52 +222,98 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """What a task needs to score a document; its size is bounded by the examples and terms."""
-
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], k: int = NEIGHBOURS):
-        self.idf, self.k = idf, k
-        none = [x for _, t, _, x in examples if not t]
-        self.without = (sum(none) + 0.01) / (len(none) + 1) if none or examples else 0.0
-        full = sorted(((t, _unit(c, idf[t]), x, i) for i, t, c, x in examples if t), key=lambda e: (e[0][int(np.argmax(e[1]))], e[0], e[3]))
-        self.toxic, self.ids = np.array([e[2] for e in full], dtype=np.float64), np.array([e[3] for e in full], dtype=np.int64)
-        self.index = BlockMaxIndex([(e[0], e[1]) for e in full], len(idf))
-        votes, truth = [], []
-        for i, (terms, weights, toxic, _) in enumerate(full):
-            near, cosines = self.index.nearest(terms, weights, k, leave_out=i)
-            if len(near):
-                votes.append(_vote(cosines, self.toxic[near]))
-                truth.append(toxic)
-        self.knots, self.means = isotonic(np.array(votes), np.array(truth, dtype=np.float64)) if votes else (np.zeros(1), np.full(1, self.without))
-
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
-        if not terms:
-            return self.without, []
-        near, cosines = self.index.nearest(terms, _unit(counts, self.idf[terms]), self.k)
-        if not len(near):
-            return self.without, []
-        best = near[np.argsort(-cosines, kind="stable")[:3]]
-        return float(np.interp(_vote(cosines, self.toxic[near]), self.knots, self.means)), self.ids[best].tolist()
-
-
-def _scores_of(shared):
+    """What a task needs to score a document; its size is bounded by the examples."""
+
+    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray, toxic: np.ndarray, ids: np.ndarray, k: int = NEIGHBOURS):
+        self.parts = (vocabulary.hashes, weight.astype(np.float32), bounds, terms, counts, toxic, ids, k)
+        self._build()
+
+    def __getstate__(self) -> dict:
+        """What is shipped: the examples' terms as gaps and their counts, packed; the index is built again where it is used."""
+        hashes, weight, bounds, terms, counts, *rest = self.parts
+        packed = [(zlib.compress(x.tobytes(), 1), x.dtype.str) for x in (hashes, weight, bounds, np.diff(terms, prepend=np.int32(0)), counts)]
+        return {"packed": packed, "rest": rest, "fit": (self.knots, self.means)}
+
+    def __setstate__(self, state: dict) -> None:
+        hashes, weight, bounds, gaps, counts = (np.frombuffer(zlib.decompress(x), kind) for x, kind in state["packed"])
+        self.parts = (hashes, weight, bounds, np.cumsum(gaps, dtype=np.int32), counts, *state["rest"])
+        self._build()
+        self.parts = None
+        self.knots, self.means = state["fit"]
+
+    def _build(self) -> None:
+        hashes, weight, bounds, terms, counts, toxic, ids, k = self.parts
+        self.vocabulary, self.weight, self.k, self.toxic, self.ids = Vocabulary(hashes), weight, k, toxic.astype(np.float64), ids
+        none = toxic[np.diff(bounds) == 0]
+        self.without = float((none.sum() + 0.01) / (len(none) + 1)) if len(toxic) else 0.0
+        w = (1 + np.log(counts, dtype=np.float32)) * weight[terms]
+        norms = np.sqrt(np.bincount(np.repeat(np.arange(len(ids)), np.diff(bounds)), w * w, len(ids))).astype(np.float32)
+        self.index = CosineIndex(bounds, terms, w / np.repeat(norms, np.diff(bounds)), len(weight))
+        self.knots, self.means = np.zeros(1), np.full(1, self.without)
+
+    def neighbours(self, texts: list[str | None], leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(0, len(texts), TOGETHER):
+            queries = []
+            for terms, counts in self.vocabulary.vectors(texts[k : k + TOGETHER]):
+                w = (1 + np.log(counts)) * self.weight[terms]
+                queries.append((terms, w / np.sqrt((w * w).sum()) if len(w) else w))
+            for i, score in enumerate(self.index.cosines(queries)):
+                yield self.index.nearest(score, self.k, leave_out[k + i] if leave_out else -1)
+
+    def calibrate(self, votes: np.ndarray, truth: np.ndarray) -> None:
+        if len(votes):
+            self.knots, self.means = isotonic(votes, truth)
+
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int]]]:
+        for near, cosines in self.neighbours(texts):
+            if not len(near):
+                yield self.without, []
+            else:
+                best = near[np.argsort(-cosines, kind="stable")[:3]]
+                yield float(np.interp(_vote(cosines, self.toxic[near]), self.knots, self.means)), self.ids[best].tolist()
+
+
+def _votes_of(shared, keys: np.ndarray):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, toxic, text) of examples -> (vote, toxic): the vote of the other examples, where there is one."""
+        model = shared.value
+        place = {d: i for i, d in enumerate(keys.tolist())}
+        for batch in batches:
+            near = model.neighbours(batch.column(2).to_pylist(), [place[d] for d in batch.column(0).to_pylist()])
+            got = [(_vote(c, model.toxic[n]), x) for (n, c), x in zip(near, batch.column(1).to_pylist(), strict=True) if len(n)]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in got], pa.float64()), pa.array([x for _, x in got], pa.int32())], ["vote", "toxic"])
+
+    return run
+
+
+def _scores_of(shared, knots: np.ndarray, means: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value, {}
+        model.knots, model.means = knots, means
         for batch in batches:
-            scores, evidence = [], []
-            for terms, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                key = (*terms, -1, *counts)
-                if (got := known.get(key)) is None:
-                    if len(known) > 100_000:
-                        known.clear()
-                    got = known[key] = model.score(terms, counts)
-                scores.append(got[0])
-                evidence.append(got[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "evidence"])
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+            new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
+            got = dict(zip(new, model.scores(list(new.values())), strict=True))
+            rows = [known.get(k) or got[k] for k in keys]
+            if len(known) > REMEMBERED:
+                known.clear()
+            known.update(got)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "evidence"])
 
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out: int = 2, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> DataFrame:
+def label_weight(terms: np.ndarray, toxic: np.ndarray, n_terms: int, n_toxic: int, n_clean: int) -> np.ndarray:
+    """1 + z of each term (z at least 0): two-proportion statistic of its share in toxic and other examples; 1 without both labels."""
+    if not n_toxic or not n_clean:
+        return np.ones(n_terms)
+    a, b = (np.bincount(terms[toxic == x], minlength=n_terms) for x in (1, 0))
+    pooled = (a + b + 1) / (n_toxic + n_clean + 2)
+    return 1 + np.maximum((a / n_toxic - b / n_clean) / np.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean)), 0)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out: int = 2, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, held_out, score, evidence (doc_ids of the nearest examples), for every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", crc32_mod(F.col("doc_id"), held_out_mod) == held_out)
@@ -196,26 +321,33 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, h
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, max_examples / max(1, usable.count()))
     sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))  # at most about max_examples rows
-    examples = checkpointed(docs.join(F.broadcast(sample), "doc_id").select("text", "toxic").dropDuplicates())
-
-    total = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = total.get(1, 0), total.get(0, 0)
-    terms: list[str] = []
-    if n_toxic and n_clean:
-        counted = examples.mapInArrow(_count_terms, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("n"))).alias("b"))
-        pooled = (F.col("a") + F.col("b") + 1) / (n_toxic + n_clean + 2)
-        z = (F.col("a") / n_toxic - F.col("b") / n_clean) / F.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean))
-        chosen = counted.where(F.col("a") >= LEAST_TOXIC).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("a") * n_clean >= LEAST_LIFT * (F.col("b") + 1) * n_toxic)).orderBy(F.desc("z"), "term").limit(max_terms)
-        terms = sorted(r["term"] for r in chosen.collect())
-
-    vectors = checkpointed(docs.select("doc_id", "held_out", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_vectors_of(terms), VECTORS))
-    n_docs = vectors.count()
-    df = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = np.log((1 + n_docs) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], dtype=np.float64))) + 1
-    taken = vectors.where(~F.col("held_out")).join(F.broadcast(sample), "doc_id").dropDuplicates(["text_hash", "toxic"]).select("doc_id", "terms", "counts", "toxic").collect()
-    model = Model(idf, sorted((r["doc_id"], r["terms"], r["counts"], r["toxic"]) for r in taken))
-    shared = spark.sparkContext.broadcast(model)
-    return vectors.select("doc_id", "held_out", "terms", "counts").mapInArrow(_scores_of(shared), "doc_id long, held_out boolean, score double, evidence array<long>")
+    # A text that repeats with one label is one example.
+    examples = docs.join(F.broadcast(sample), "doc_id").groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    examples = checkpointed(examples.select("doc_id", F.xxhash64("text", "toxic").alias("key"), "toxic", "text"))
+
+    context = spark.sparkContext
+    hashes = examples.select("text").mapInArrow(_term_hashes, "term long").distinct().toArrow().column("term").to_numpy()
+    vocabulary, df = Vocabulary(np.sort(hashes)), np.zeros(len(hashes))
+    shared = context.broadcast(vocabulary)
+    read = examples.mapInArrow(_vectors_of(shared), "doc_id long, key long, toxic int, terms array<int>, counts array<int>").toArrow().combine_chunks()
+    read = read.sort_by([("doc_id", "ascending"), ("key", "ascending")])
+    ids, keys, toxic = (read.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("doc_id", "key", "toxic"))
+    lists = read.column("terms").combine_chunks()
+    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    terms, counts = lists.flatten().to_numpy(zero_copy_only=False), read.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    del read, lists
+    n_toxic, n_clean = int((toxic == 1).sum()), int((toxic != 1).sum())
+    label = label_weight(terms, np.repeat((toxic == 1).astype(np.int8), np.diff(bounds)), len(hashes), n_toxic, n_clean)
+
+    found = docs.select("text").mapInArrow(_frequencies_of(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    shared.unpersist()
+    idf = np.log((1 + docs.count()) / (1 + df)) + 1
+    model = Model(vocabulary, idf * label, bounds, terms, counts, toxic, ids)
+    shared = context.broadcast(model)
+    votes = checkpointed(examples.select("key", "toxic", "text").mapInArrow(_votes_of(shared, keys), "vote double, toxic int")).toArrow()
+    model.calibrate(votes.column("vote").to_numpy(), votes.column("toxic").to_numpy().astype(np.float64))
+    return checkpointed(docs.select("doc_id", "held_out", "text").mapInArrow(_scores_of(shared, model.knots, model.means), "doc_id long, held_out boolean, score double, evidence array<long>"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,33 @@ def test_toxicity_finds_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got) and all(r["score"] < 0.3 for r in got if r["doc_id"] > 9000)
 
 
+def test_toxicity_of_few_labels_uses_all_terms(spark):
+    # 40 labels, 5 toxic: no term is common enough for a test of significance, yet the held-out toxic texts share terms with them.
+    rng = random.Random(18)
+    rows = [(i, " ".join([*rng.choices(WORDS, k=12), *(["vile", "scum", "filth"] if i % 8 == 0 else [])])) for i in range(60)]
+    labels = [(i, int(i % 8 == 0)) for i, _ in rows]
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [i for i, _ in rows if got[i]["held_out"]]
+    assert all(got[i]["evidence"] for i in held)
+    assert any(i % 8 == 0 for i in held) and min(got[i]["score"] for i in held if i % 8 == 0) > max(got[i]["score"] for i in held if i % 8)
+
+
+def test_cosine_index_is_exact():
+    import numpy as np
+
+    rng = random.Random(4)
+    vectors = []
+    for _ in range(500):
+        terms = np.array(sorted(set(rng.sample(range(20), 3) + rng.sample(range(400), 6))))
+        w = np.array([rng.random() + 0.1 for _ in terms])
+        vectors.append((terms, w / np.sqrt((w * w).sum())))
+    full = np.zeros((500, 400))
+    for i, (t, w) in enumerate(vectors):
+        full[i, t] = w
+    index = toxicity.CosineIndex(np.cumsum([0, *(len(t) for t, _ in vectors)]), np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors]), 400)
+    assert 0 < len(index.matrix) < 400 and np.allclose(index.cosines(vectors), full @ full.T, atol=1e-6)
+
+
 def test_toxicity_without_labels(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity_scores(odd, labels).collect()} == {0.0}
