@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -234,6 +236,27 @@ def test_decontamination_tolerates_substitutions(spark, limit):
     assert found == want and {d for d, _ in want} == {10, 11, 12, 13, 14, 22, 23, 24}
 
 
+def test_masks_hit_every_placement():
+    for n in range(decontam.LEAST_SPACED, decontam.WINDOW + 1):
+        ((_, _, masks),) = decontam.families([n])
+        places = [sum(1 << (o + i) for i, x in enumerate(m) if x == "1") for m in masks for o in range(n - len(m) + 1)]
+        for changed in itertools.combinations(range(n), n - math.ceil(n * decontam.LEAST_SHARE)):
+            assert any(not p & sum(1 << c for c in changed) for p in places), (n, changed)
+
+
+def test_decontamination_with_regular_substitutions(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, n in enumerate([1, 3, 4, 10, 14, 15, 16, 18, 45])]
+    docs = []
+    for i, said in items:
+        for phase in range(4):
+            words = said.split()
+            n = min(len(words), decontam.WINDOW)
+            changed = [k for k in range(phase, len(words), 4) if n >= 10][: None if len(words) >= 16 else n - math.ceil(n * 0.7)]
+            docs.append((10 * i + phase, " ".join(["before", *("other" if k in changed else w for k, w in enumerate(words)), "after"])))
+    got = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(d, d // 10) for d, _ in docs}
+
+
 def test_decontamination_of_odd_input(spark, odd, none):
     items = spark.createDataFrame([(1, say(2, 60)), (2, None)], "item_id long, text string")
     assert {r["doc_id"] for r in decontam.overlaps(odd, items).collect()} == {6, 7}
