@@ -5,6 +5,8 @@ vertices: (vid, label, ...); links: (u, v, elabel), each edge once; edges: (src,
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,25 +79,27 @@ def label_entropy(vertices: DataFrame) -> DataFrame:
     return relabel(vertices).agg(F.sum(-F.col("share") * F.log2("share")).alias("entropy"))
 
 
-def core_numbers(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def core_numbers(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(vid, core): the k-core number of each vertex, as the fixpoint of the h-index of the neighbours' numbers.
 
     A vertex starts with its degree; each round it takes the largest h such that h neighbours have at least h. The h-index
-    comes from a count per (vertex, value) and a running sum, so a hub's neighbours are pre-aggregated, not gathered.
+    comes from a count per (vertex, value) and a running sum, so a hub's neighbours are pre-aggregated, not gathered. Rounds go on
+    until nothing changes (about half the length of the longest chain); past a limit of ``rounds`` it raises.
     """
     pairs = checkpointed(edges.select("src", "dst").distinct())
     core = checkpointed(degrees(pairs).select("vid", F.col("degree").cast("long").alias("core")))
-    for _ in range(rounds):
+    for done in itertools.count():
+        if done == rounds:
+            raise RuntimeError(f"core numbers still change after {rounds} rounds")
         near = pairs.join(core.select(F.col("vid").alias("dst"), F.col("core").alias("c")), "dst").join(core.select(F.col("vid").alias("src"), "core"), "src")
         counts = near.groupBy("src", "core", F.least("c", "core").alias("c")).agg(F.count(F.lit(1)).alias("n"))
         above = Window.partitionBy("src").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
         new = counts.withColumn("h", F.least("c", F.sum("n").over(above))).groupBy(F.col("src").alias("vid")).agg(F.max("h").alias("core"), F.first("core").alias("old"))
         new = checkpointed(new)
-        changed = new.where("core <> old").isEmpty()
+        same = new.where("core <> old").isEmpty()
         core = new.select("vid", "core")
-        if changed:
-            break
-    return core
+        if same:
+            return core
 
 
 def incidence(vertices: DataFrame, edges: DataFrame) -> DataFrame:

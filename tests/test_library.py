@@ -94,6 +94,13 @@ def test_core_numbers(small):
     assert {r["vid"]: r["core"] for r in G.core_numbers(small[1]).collect()} == core
 
 
+def test_core_numbers_of_a_chain(spark):
+    chain = G.checkpointed(G.both_directions(spark.range(19).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(0).alias("elabel"))))
+    with pytest.raises(RuntimeError):
+        G.core_numbers(chain, rounds=3).collect()
+    assert [r["core"] for r in G.core_numbers(chain).collect()] == [1] * 20
+
+
 SQUARE = M.Pattern("square", (0, 1, 0, 1), ((0, 1, 0), (1, 2, 0), (2, 3, 0), (0, 3, 0)), (0, 2))
 STAR = M.Pattern("star", (0, 1, 1), ((0, 1, 0), (0, 2, 0)), (0,))
 
