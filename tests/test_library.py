@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -211,3 +214,17 @@ def test_graph_files(spark, tmp_path):
 def test_result_error(spark):
     rows = spark.createDataFrame([(0.0, 0.0), (3.0, 0.0), (3.0, 2.0)], "e double, t double").select(S.result_error(F.col("e"), F.col("t")).alias("x")).collect()
     assert [r["x"] for r in rows] == [0.0, 1.0, 0.5]
+
+
+def test_entry_without_the_training_data_operators():
+    """With that subpackage gone (and corpus_pipeline.py left or gone), all other queries are there."""
+    code = """
+import importlib.util, sys
+find = importlib.util.find_spec
+importlib.util.find_spec = lambda name, *rest: None if name.startswith("motifcast.llm") else find(name, *rest)
+sys.modules["motifcast.llm"] = None
+import __spark_entry__
+from motifcast.plans import registry
+assert __spark_entry__.queries().keys() == registry.QUERIES.keys() and __spark_entry__.oracle_sql() == registry.ORACLE_SQL
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True)
