@@ -4,19 +4,21 @@ A paragraph (line) is hashed to a wide vector; a text's fingerprint is the sum o
 power of two. So it does not depend on the paragraphs' order, and a paragraph is added or taken away by adding or subtracting
 its vector. The vector has two parts:
 
-* ``DENSE`` lanes of 60 bits, hashes of the paragraph: equality of the multiset of paragraphs (240 bits);
+* ``DENSE`` lanes of 60 bits, each a hash of the paragraph from another seed: equality of the multiset of paragraphs;
 * 65,536 lanes of 16 bits, almost all zero and kept sparse: each sentence of the paragraph adds one to the lane that its hash
   names. Two fingerprints' likeness is the overlap of these counts (sum of minima / sum of maxima).
 
 As a string: the dense lanes in hex, ``-``, then for each lane that is not zero the lane and its count in hex, by lane.
 
 Defined cases: a null text is empty; the empty text has one empty paragraph; equal texts (and texts with the same paragraphs
-in another order) have equal fingerprints; repeated rows get equal results; two texts without sentences are alike if equal;
+in another order) have equal fingerprints; repeated rows follow one another, and the last of them is followed by the next document; two texts without sentences are alike if equal;
 an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,16 +26,20 @@ from motifcast.llm.common import documents
 
 DENSE, DENSE_BITS = 4, 60
 LANE_MASK, COUNT_MASK = 0xFFFF, 0xFFFF
-#: Documents that share a block of the order, about, and most blocks there may be.
-BLOCK_ROWS, MAX_BLOCKS = 2_048, 65_536
+#: Documents that share a block of the order, about, and most blocks there may be (256 times 256 cuts are searched in two steps).
+BLOCK_ROWS, MAX_BLOCKS, STEP = 2_048, 65_536, 256
+LEAST_ID = -(1 << 63)
 
 
 def dense_lanes(paragraphs: Column, lanes: int = DENSE) -> Column:
-    """Array of lanes: sums of the paragraphs' hashes modulo 2**60."""
+    """Array of lanes: sums of the paragraphs' hashes modulo 2**60.
+
+    ``xxhash64`` takes the hash of one argument as the seed of the next, so the lane's number comes first: lanes whose paragraph
+    came first would all follow from one 64-bit hash."""
     mask = F.lit((1 << DENSE_BITS) - 1)
 
     def lane(k: int) -> Column:
-        return F.aggregate(paragraphs, F.lit(0).cast("long"), lambda t, p: (t + F.xxhash64(p, F.lit(k)).bitwiseAND(mask)).bitwiseAND(mask))
+        return F.aggregate(paragraphs, F.lit(0).cast("long"), lambda t, p: (t + F.xxhash64(F.lit(k), p).bitwiseAND(mask)).bitwiseAND(mask))
 
     return F.array(*map(lane, range(lanes)))
 
@@ -79,24 +85,44 @@ def with_fingerprint(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     return df.withColumns({f"{prefix}fingerprint": fingerprint(F.col(dense), F.col(counted)), f"{prefix}occurrences": _occurrences(F.col(lanes), F.col(counted))}).drop(dense, lanes, counted)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def blocks_of(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> Column:
+    """A struct (ids, part) that rises with the order (key, tie) and cuts the rows into blocks of about ``block_rows``.
+
+    Cuts are quantiles of the key, so gaps between ids do not matter. An id that several quantiles meet on has so many rows that
+    its block is cut further, by equal ranges of the tie (a hash of the text)."""
+    n = docs.count()
+    blocks = min(MAX_BLOCKS, -(-n // block_rows))
+    if blocks < 2:
+        return F.struct(F.lit(0).alias("ids"), F.lit(0).alias("part"))
+    at = [k / blocks for k in range(1, blocks)]
+    found = Counter(docs.agg(F.percentile_approx("key", at, max(10_000, 4 * blocks)).alias("cuts")).first()["cuts"])
+    distinct, repeats = sorted(found), {c: k + 1 for c, k in found.items() if k > 1}
+    array = lambda x: F.from_json(F.lit(str(x)), "array<bigint>")  # noqa: E731  (a constant of at most MAX_BLOCKS numbers)
+    step = F.size(F.filter(array(distinct[STEP - 1 :: STEP]), lambda c: c < F.col("key"))) * STEP
+    ids = step + F.size(F.filter(F.slice(array(distinct), step + 1, STEP), lambda c: c < F.col("key")))
+    parts = F.coalesce(F.from_json(F.lit(str({str(k): v for k, v in repeats.items()}).replace("'", '"')), "map<string,bigint>")[F.col("key").cast("string")], F.lit(1))
+    part = F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * parts).cast("int")
+    return F.struct(ids.alias("ids"), F.when((parts > 1) & (F.element_at(array(distinct), ids + 1) == F.col("key")), 1 + F.least(part, parts - 1)).otherwise(0).cast("int").alias("part"))
+
+
+def with_next(docs: DataFrame, columns: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each row with ``next_<column>`` of the row that follows by descending doc_id (after the last: the first).
 
-    The order is cut into blocks of neighbouring ids; a block also gets a copy of the first row of the block that follows, so
-    rows are dealt to tasks once, by block. Rows that tie on doc_id are ordered by a hash of the text. The table of blocks has
-    at most 65,536 rows.
+    The order is cut into blocks of neighbouring rows; a block also gets a copy of the first row of the block that follows, so
+    rows are dealt to tasks once, by block. Rows that tie on doc_id are ordered by a hash of the text; a null doc_id comes last.
+    The table of blocks is small (at most two for each of 65,536 quantiles). Only rows that repeat one doc_id and one text stay
+    together, however many they are.
     """
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    width = 1 if stats["lo"] is None else max(1, (stats["hi"] - stats["lo"] + 1) * max(BLOCK_ROWS, stats["n"] // MAX_BLOCKS) // stats["n"])
-    # A null doc_id counts as the smallest id; the table of blocks does not lose it.
-    keyed = docs.withColumn("block", F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(-(1 << 63)).cast("long"))).withColumn("tie", F.xxhash64("text"))
-    heads = keyed.groupBy("block").agg(F.max("doc_id").alias("head_id"))
-    order = Window.orderBy(F.desc("block"))  # at most MAX_BLOCKS rows
+    keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(LEAST_ID).cast("long"))).withColumn("tie", F.xxhash64("text"))
+    keyed = keyed.withColumn("block", blocks_of(keyed.select("key"), block_rows))
+    heads = keyed.groupBy("block").agg(F.max(F.struct("key", "tie")).alias("head"))
+    order = Window.orderBy(F.desc("block"))
     above = heads.withColumn("to", F.lag("block").over(order)).withColumn("to", F.coalesce("to", F.min("block").over(Window.partitionBy())))
-    copies = keyed.join(F.broadcast(above), (keyed["block"] == above["block"]) & keyed["doc_id"].eqNullSafe(above["head_id"])).select(F.col("to").alias("block"), keyed["doc_id"], "tie", *[keyed[c] for c in columns if c != "doc_id"], F.lit(True).alias("copy"))
-    rows = keyed.select("block", "doc_id", "tie", *[c for c in columns if c != "doc_id"], F.lit(False).alias("copy")).unionByName(copies)
-    along = Window.partitionBy("block").orderBy("copy", F.desc_nulls_last("doc_id"), "tie")
-    return rows.select("*", *[F.lead(c).over(along).alias(f"next_{c}") for c in columns]).where(~F.col("copy")).drop("block", "copy", "tie")
+    first = F.struct("key", "tie") == F.col("head")
+    copies = keyed.join(F.broadcast(above), "block").where(first).drop("block", "head").withColumnRenamed("to", "block").dropDuplicates(["block"])
+    rows = keyed.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
+    along = Window.partitionBy("block").orderBy("copy", F.desc("key"), F.desc("tie"))
+    return rows.select("*", *[F.lead(c).over(along).alias(f"next_{c}") for c in columns]).where(~F.col("copy")).drop("block", "copy", "tie", "key")
 
 
 def edited(text: Column, n_chars: Column, next_text: Column) -> Column:
