@@ -1,13 +1,17 @@
 """Chat formatting: schema fingerprints select declarative mappings into canonical turns, then a reversible template.
 
 * ``schema_paths`` lists the nested field paths of a record's type; ``schema_fingerprint`` hashes them (names lower-cased and
-  sorted, so column order does not count). ``LAYOUTS`` maps fingerprints to declarative mappings: for each turn a role and the
-  path of its text, or the path of an array of messages, or the table's own row per turn. Tables are mapped by their schema;
-  JSON records of mixed layouts by the fingerprint of each record, one typed parse per layout.
+  sorted, so column order does not count). ``mappings`` is the table of fingerprints and declarative mappings: for each turn a
+  role and the path of its text, or the path of an array of messages, or the table's own row per turn; a layout has a fingerprint
+  for each choice of its optional fields. Tables are looked up by the fingerprint of their schema, JSON records of mixed layouts
+  by the fingerprint of each record's nested paths, and parsed by the mapping found. Fields that no layout names do not count;
+  if the fields of several layouts stand side by side, the layout with the most fields whose own paths are there is taken.
+  Records of no known fingerprint are listed with their fingerprint by ``json_layouts``.
 * The template writes ``<|im_start|>role\\n`` + text + ``<|im_end|>\\n``; in roles and texts ``\\`` and ``<|`` are escaped, so
   no control string can arise inside a text, and reading back is exact. The unit of output is the turn (a segment with its
   loss mask), so a conversation of any length is never held as one value; a conversation is its segments in order.
-* Reading back is a stream over segments sorted by conversation and turn: memory is bounded by one segment.
+* Reading back is a stream over segments sorted by conversation and turn: memory is bounded by one segment. A conversation is
+  read by one task, since its digest (SHA-256 over all turns) can only be computed in order.
 
 Defined cases: null texts and roles are empty; a null conv_id is a conversation of its own; rows that tie on turn are
 ordered by role and text, equal rows all stay; an empty table gives no conversations; extra columns are ignored.
@@ -19,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,8 +70,12 @@ class Layout:
     messages: tuple[str, str, str] | None = None
     rows: tuple[str, str, str] | None = None
 
-    def fingerprint(self) -> str:
-        return schema_fingerprint(schema_paths(T.StructType.fromDDL(self.ddl)))
+    def paths(self) -> list[str]:
+        return schema_paths(T.StructType.fromDDL(self.ddl))
+
+    def fingerprints(self) -> list[str]:
+        """One for each choice of the optional fields."""
+        return [schema_fingerprint([p for p in self.paths() if p not in gone]) for k in range(len(self.optional) + 1) for gone in combinations(sorted(self.optional), k)]
 
 
 LAYOUTS = (
@@ -98,13 +107,30 @@ def _role() -> Column:
     return F.coalesce(names[F.col("role")], F.col("role"), F.lit(""))
 
 
+def mappings(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, Layout]:
+    """Fingerprint -> layout. Of two layouts with one fingerprint (one lacks an optional field) the first counts."""
+    out: dict[str, Layout] = {}
+    for layout in layouts:
+        for fingerprint in layout.fingerprints():
+            out.setdefault(fingerprint, layout)
+    return out
+
+
 def layout_of(schema: T.StructType, layouts: tuple[Layout, ...] = LAYOUTS, id_column: str = "conv_id") -> Layout:
-    """The layout whose fingerprint the schema has, without other columns than a known layout's; the largest one wins."""
-    paths = set(schema_paths(schema))
-    fits = [x for x in layouts if set(schema_paths(T.StructType.fromDDL(x.ddl))) <= paths | {id_column}]
-    if not fits:
-        raise ValueError(f"no layout has fingerprint {schema_fingerprint(sorted(paths))}: {sorted(paths)}")
-    return max(fits, key=lambda x: len(schema_paths(T.StructType.fromDDL(x.ddl))))
+    """The layout that the fingerprint of the schema's known paths selects.
+
+    First all paths that any layout names are hashed; where the fields of several layouts stand side by side, the paths that each
+    layout names, the layout with most paths first. A known field with other fields below it matches no fingerprint."""
+    table, paths = mappings(layouts), schema_paths(schema)
+    named = {p.split(".")[0].removesuffix("[]") for x in layouts for p in x.paths()}
+    top = lambda p: p.split(".")[0].removesuffix("[]")
+    known = [p for p in paths if top(p) in named]
+    choices = [known] + [[p for p in known if top(p) in set(map(top, x.paths()))] for x in sorted(layouts, key=lambda x: -len(x.paths()))]
+    for some in choices:
+        for ids in (some, [p for p in some if p != id_column], sorted({*some, id_column} & {*paths, id_column})):
+            if found := table.get(schema_fingerprint(ids)):
+                return found
+    raise ValueError(f"no layout has fingerprint {schema_fingerprint(known)}: {paths}")
 
 
 def canonical_turns(df: DataFrame, id_column: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -117,17 +143,40 @@ def canonical_turns(df: DataFrame, id_column: str = "conv_id", layouts: tuple[La
     return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.coalesce("t.text", F.lit("")).alias("text")).withColumn("role", _role())
 
 
+def _record_paths(record: Column, layouts: tuple[Layout, ...]) -> Column:
+    """Sorted nested paths of a JSON record, of the fields that a layout names: in SQL functions, record by record."""
+    arrays = sorted({x.messages[0] for x in layouts if x.messages})
+    below = sorted({n for x in layouts if x.messages for n in x.messages[1:]})
+    plain = sorted({n for x in layouts for _, n in x.fields})
+    lowered = F.transform(F.coalesce(F.json_object_keys(record), F.array().cast("array<string>")), F.lower)
+    paths = F.array_intersect(lowered, F.array(*map(F.lit, plain)))
+    for name in arrays:
+        members = F.from_json(F.get_json_object(record, f"$.{name}"), "array<map<string,string>>")
+        keys = F.array_distinct(F.flatten(F.transform(members, lambda m: F.transform(F.map_keys(m), F.lower))))
+        prefix = F.lit(f"{name}[].")
+        nested = F.transform(F.array_intersect(keys, F.array(*map(F.lit, below))), lambda k: F.concat(prefix, k))  # noqa: B023
+        paths = F.concat(paths, F.when(F.array_contains(lowered, name), F.coalesce(nested, F.array(F.lit(name)))).otherwise(F.array().cast("array<string>")))
+    return F.array_sort(paths)
+
+
+def json_layouts(df: DataFrame, record: str, id_column: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """conv_id, record, fingerprint, layout: the name that the fingerprint of the record's nested paths selects, null if none."""
+    of_records = tuple(x for x in layouts if not x.rows)
+    names = F.create_map(*[F.lit(x) for f, layout in mappings(of_records).items() for x in (f, layout.name)])
+    fingerprint = F.substring(F.sha2(F.array_join(_record_paths(F.col(record), of_records), "\n"), 256), 1, 16)
+    out = df.select(F.col(id_column).cast("long").alias("conv_id"), F.col(record).alias("record"), fingerprint.alias("fingerprint"))
+    return out.withColumn("layout", names[F.col("fingerprint")])
+
+
 def canonical_turns_json(df: DataFrame, record: str, id_column: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """JSON records of mixed layouts -> conv_id, turn, role, text. A record is parsed by the layout whose fingerprint the
-    set of its top-level keys has; records of no known layout give no turns."""
-    keyed = df.select(F.col(id_column).cast("long").alias("conv_id"), F.col(record).alias("r")).withColumn("keys", F.array_join(F.array_sort(F.transform(F.json_object_keys("r"), F.lower)), "\n"))
-    none = F.array().cast("array<struct<role:string,text:string>>")
-    turns = none
+    """JSON records of mixed layouts -> conv_id, turn, role, text. A record is parsed by the mapping that its fingerprint selects;
+    records of no known layout give no turns here and are listed by ``json_layouts``."""
+    keyed = json_layouts(df, record, id_column, layouts)
+    turns = F.array().cast("array<struct<role:string,text:string>>")
     for layout in layouts:
         if not layout.rows:
-            top = "\n".join(sorted(f.name.lower() for f in T.StructType.fromDDL(layout.ddl).fields))
-            parsed = F.from_json("r", layout.ddl)
-            turns = F.when(F.sha2("keys", 256) == hashlib.sha256(top.encode()).hexdigest(), _turns(layout, lambda n, p=parsed: p[n])).otherwise(turns)
+            parsed = F.from_json("record", layout.ddl)
+            turns = F.when(F.col("layout") == layout.name, _turns(layout, lambda n, p=parsed: p[n])).otherwise(turns)
     out = keyed.select("conv_id", F.posexplode(turns).alias("turn", "t"))
     return out.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.coalesce("t.text", F.lit("")).alias("text")).withColumn("role", _role())
 
