@@ -1,7 +1,8 @@
 """Line dedup: repeated runs of lines by distributed prefix doubling, in DataFrame functions only.
 
 A run of consecutive lines with at least ``least_words`` words that occurs more than once stays at its first place (smallest
-doc_id, then line); every line of its later copies is deleted. Lines are compared exactly, runs of any length are found.
+doc_id, then line); every line of its later copies is deleted. Lines are compared by two 64-bit hashes of different seeds, runs of
+any length are found.
 
 The suffix array over line ids is held as its intervals: at depth 2**k, suffixes that share their first 2**k lines form one
 interval, named by the first place where those lines occur. Names double: a depth-2**(k+1) name is the first place of the
@@ -95,13 +96,13 @@ def _not_first(windows: DataFrame) -> DataFrame:
 def deleted_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, tie (hash of the text), lines: numbers from 0 of the lines to delete; null for the whole text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    hashed = texts.select("doc_id", "tie", F.xxhash64("text", F.lit(1)).alias("tie2"), F.size(F.array_remove(F.split(F.col("text"), "[ \n]", -1), "")).alias("words")).distinct()
+    hashed = texts.select("doc_id", "tie", F.xxhash64(F.lit(1), "text").alias("tie2"), F.size(F.array_remove(F.split(F.col("text"), "[ \n]", -1), "")).alias("words")).distinct()
     hashed = checkpointed(hashed)
     copied = checkpointed(hashed.groupBy("tie", "tie2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last"))
     copies = checkpointed(hashed.join(copied, ["tie", "tie2"]).where("doc_id <> first").select("doc_id", "tie", "words"))
 
     lines = texts.select("doc_id", "tie", F.posexplode(F.split("text", "\n", -1)).alias("line", "said"))
-    lines = lines.select(*PLACE, F.xxhash64("said").alias("h1"), F.xxhash64("said", F.lit(1)).alias("h2"), word_count(F.col("said")).alias("words"))
+    lines = lines.select(*PLACE, F.xxhash64("said").alias("h1"), F.xxhash64(F.lit(1), "said").alias("h2"), word_count(F.col("said")).alias("words"))
     lines = lines.join(bounded_broadcast(copies.select("doc_id", "tie"), copies.count()), ["doc_id", "tie"], "left_anti")
     covered = later_copies(lines, least_words).select("doc_id", "tie", F.explode(F.sequence("line", F.col("line") + F.col("n") - 1)).alias("line"))
     runs = covered.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("lines"))
@@ -109,18 +110,21 @@ def deleted_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the later copies of repeated runs deleted from ``text``, and n_lines, n_deleted."""
-    gone = checkpointed(deleted_lines(docs, least_words).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.struct("lines").alias("_gone")))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64(text) == F.col("_tie"))
-    joined = docs.join(bounded_broadcast(gone, gone.count()), key, "left")
-    lines = F.split(text, "\n", -1)
-    mask = F.col("_gone.lines")
-    rest = F.array_join(F.filter(lines, lambda s, i: ~F.array_contains(mask, i)), "\n")
-    clean = F.when(F.col("_gone").isNull(), F.col("text")).when(mask.isNull(), F.lit("")).otherwise(rest)
-    n_lines = F.size(lines).cast("long")
-    n_deleted = F.when(F.col("_gone").isNull(), F.lit(0)).when(mask.isNull(), n_lines).otherwise(F.size(mask)).cast("long")
-    return joined.withColumns({"n_lines": n_lines, "n_deleted": n_deleted, "_text": clean}).drop("text", "_id", "_tie", "_gone").withColumnRenamed("_text", "text")
+    """``docs`` with the later copies of repeated runs deleted from ``text``, and n_lines, n_deleted (they replace columns of these names)."""
+    gone = checkpointed(deleted_lines(docs, least_words).select("doc_id", "tie", F.struct("lines").alias("gone")))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"id": F.col("row.doc_id").cast("long"), "hash": F.xxhash64("text")})
+    joined = rows.join(bounded_broadcast(gone, gone.count()), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("tie")), "left")
+    lines, mask = F.split("text", "\n", -1), F.col("gone.lines")
+    n_lines = F.size(lines)
+    stay = F.array_except(F.sequence(F.lit(0), n_lines - 1), mask)
+    rest = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")
+    clean = F.when(F.col("gone").isNull(), F.col("row.text")).when(mask.isNull(), F.lit("")).otherwise(rest)
+    n_deleted = F.when(F.col("gone").isNull(), F.lit(0)).when(mask.isNull(), n_lines).otherwise(F.size(mask))
+    made = {"text": clean, "n_lines": n_lines.cast("long"), "n_deleted": n_deleted.cast("long")}
+    out = joined.withColumn("lines", F.when(mask.isNotNull(), lines))
+    names = [*docs.columns, *(x for x in ("n_lines", "n_deleted") if x not in docs.columns)]
+    return out.select(*[made[x].alias(x) if x in made else F.col("row")[x].alias(x) for x in names])
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
