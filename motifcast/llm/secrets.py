@@ -3,16 +3,20 @@
 DataFrame functions only. Matches with their places come from splitting a text by the pattern: the lengths of the pieces
 and of the matches add up to the starts.
 
-The battery looks at long tokens. From a token's signs its encoding is inferred (hex, base32, one case and digits, base64).
-Three tests ask whether its signs look drawn at random from that alphabet: chi-squared uniformity, the runs test about the
-middle of the alphabet, and lag-1 serial correlation. Their standardised results add up to one statistic (chi-squared with
-3 degrees of freedom for random signs); a token must not be rejected by it. False discoveries are natural words that pass: tokens
-of letters alone, of the same class of lengths or shorter (the shorter, the less they differ from random), are the null. In each class the largest bin of the statistic is taken at which
-the null's share, times the candidates, is at most ``FDR`` of the candidates found. Counts cover all texts; what reaches
-the driver is classes x bins.
-
-Defined cases: a null text is empty and has no spans; equal rows get equal results; an empty table gives an empty result; without
-natural tokens nothing is added; extra columns are ignored.
+The battery looks at long tokens outside the base spans. From a token's signs its encoding is inferred (hex, base32, one case and
+digits, base64). Three tests ask whether its signs look drawn at random from that alphabet: chi-squared uniformity, the runs test
+about the middle of the alphabet, and lag-1 serial correlation. Their standardised results add up to one statistic (chi-squared
+with 3 degrees of freedom for random signs); a token that it rejects is never added.
+
+A false discovery is a natural word. A token's p-value is the chance that as many letters drawn as in written language repeat so
+little: pairs of equal signs have a known mean and variance for a language's repeat rate, the least of common languages is taken,
+and the lower tail is bounded from above. (Hex signs repeat as often as letters do; their p-value is the chance that written
+letters are all hex signs.) So longer tokens get smaller p-values. All tokens are candidates, letters alone too; in each class of
+lengths the largest p-value is taken at which Benjamini and Hochberg's rule keeps the false-discovery rate at ``FDR``. Counts cover
+all texts; what reaches the driver is classes x bins.
+
+Defined cases: a null text is empty and has no spans; equal rows get equal results; an empty table gives an empty result; a single
+token can be added if its own p-value is at most ``FDR``; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +35,12 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGNED = 6
 
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-#: Lower ends of the classes of lengths; width and number of the statistic's bins; 0.999 quantile of chi-squared(3).
-CLASSES, BIN, BINS, REJECTED, FDR = (20, 24, 32, 48, 64, 128), 0.25, 65, 16.27, 0.05
-_ORDER = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+#: Lower ends of the classes of lengths; 0.999 quantile of chi-squared(3); p-values are kept in tenths of their decimal exponent.
+CLASSES, REJECTED, FDR, BINS = (20, 24, 32, 48, 64, 128), 16.27, 0.05, 300
+# The least sum of squared letter frequencies of common written languages, a matching sum of cubes, and the share of
+# hex signs among written letters.
+REPEATS, TRIPLES, HEX_SHARE = 0.06, 0.0045, 0.35
+_ORDER = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
 def _sum(x: Column, of=lambda v: v, kind: str = "long") -> Column:
@@ -73,7 +80,7 @@ def alphabet_size(token: Column) -> Column:
 
 def place(sign: Column, size: Column) -> Column:
     """The sign's number in its alphabet: hex and one-case alphabets have their digits first, base32 and base64 their letters."""
-    by64 = F.least(F.instr(F.lit(_ORDER), sign) - 1, F.lit(63))
+    by64 = F.instr(F.lit(_ORDER), F.translate(sign, "-_", "+/")) - 1
     by36 = F.instr(F.lit("0123456789abcdefghijklmnopqrstuvwxyz"), F.lower(sign)) - 1
     by32 = F.instr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), sign) - 1
     return F.when(size == 64, by64).when(size == 32, by32).otherwise(by36).cast("double")
@@ -104,6 +111,18 @@ def battery(token: Column) -> Column:
     return uniform * uniform + ran * ran + serial * serial
 
 
+def natural_p(token: Column) -> Column:
+    """Upper bound of the chance that a natural token of this length repeats its signs as little as this one."""
+    bare = F.regexp_replace(token, "=+$", "")
+    n, signs = F.char_length(bare).cast("double"), F.filter(F.split(bare, "", -1), lambda x: x != "")
+    same = _sum(F.transform(F.array_distinct(signs), lambda s: F.size(F.filter(signs, lambda x: x == s))), lambda c: c * (c - 1) / 2, "double")
+    pairs = n * (n - 1) / 2
+    spread = pairs * REPEATS * (1 - REPEATS) + n * (n - 1) * (n - 2) * (TRIPLES - REPEATS**2)
+    z = (pairs * REPEATS - same) / F.sqrt(spread)
+    tail = F.when(z > 0, F.exp(-z * z / 2) * F.least(F.lit(0.5), 0.3989423 / F.greatest(z, F.lit(1e-6)))).otherwise(1.0)
+    return F.when(alphabet_size(bare) == 16, F.pow(F.lit(HEX_SHARE), n)).otherwise(tail)
+
+
 def length_class(n: Column) -> Column:
     found = F.lit(0)
     for i, least in enumerate(CLASSES):
@@ -112,20 +131,21 @@ def length_class(n: Column) -> Column:
 
 
 def _scored(tokens: Column) -> Column:
-    """(start, end, class, bin) of tokens."""
-    one = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), length_class(m["end"] - m["start"]).alias("cls"), F.least(F.floor(battery(m["match"]) / BIN), F.lit(BINS - 1)).cast("int").alias("bin"))
+    """(start, end, class, bin) of tokens: the bin is -10 log10 of the p-value, 0 if the battery rejects."""
+    exponent = lambda t: F.least(F.floor(-10 * F.log10(F.greatest(natural_p(t), F.lit(1e-300)))), F.lit(BINS - 1))
+    one = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), length_class(m["end"] - m["start"]).alias("cls"), F.when(battery(m["match"]) > REJECTED, 0).otherwise(exponent(m["match"])).cast("int").alias("bin"))
     return F.coalesce(F.transform(tokens, one), F.array().cast("array<struct<start:bigint,end:bigint,cls:int,bin:int>>"))
 
 
-def thresholds(counts: list[tuple[int, int, int, int]], fdr: float = FDR) -> dict[int, int]:
-    """(class, bin, candidates, natural tokens) -> the largest bin of each class that keeps the false-discovery rate."""
+def thresholds(counts: list[tuple[int, int, int]], fdr: float = FDR) -> dict[int, int]:
+    """(class, bin, candidates) -> the least bin of each class at which the expected share of false discoveries is at most ``fdr``."""
     out: dict[int, int] = {}
-    for cls in range(len(CLASSES)):
-        rows = sorted((b, c if k == cls else 0, z) for k, b, c, z in counts if k <= cls)
-        all_c, all_z, c, z = sum(r[1] for r in rows), sum(r[2] for r in rows), 0, 0
-        for b, dc, dz in rows:
-            c, z = c + dc, z + dz
-            if all_z and c and BIN * (b + 1) <= REJECTED and (z + 1) / (all_z + 1) * all_c / c <= fdr:
+    for cls in {k for k, _, _ in counts}:
+        rows = sorted(((b, n) for k, b, n in counts if k == cls), reverse=True)
+        total, found = sum(n for _, n in rows), 0
+        for b, n in rows:
+            found += n
+            if b > 0 and total * 10 ** (-b / 10) / found <= fdr:
                 out[cls] = b
     return out
 
@@ -136,14 +156,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base_spans(text).alias("base"), matches(text, TOKEN).alias("tokens"))
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     read = read.withColumn("free", free)
-    mixed = F.filter("free", lambda t: t["match"].rlike("[0-9]") & t["match"].rlike("[A-Za-z]"))
-    natural = F.filter("free", lambda t: t["match"].rlike("^[A-Za-z]+$"))
-    read = checkpointed(read.select("doc_id", "base", _scored(mixed).alias("mixed"), F.transform(_scored(natural), lambda t: F.struct(t["cls"].alias("cls"), t["bin"].alias("bin"))).alias("natural")))
-    count = lambda c, k: read.select(F.explode(c).alias("t")).groupBy(F.col("t.cls").alias("cls"), F.col("t.bin").alias("bin")).agg(F.count(F.lit(1)).alias(k))
-    both = count("mixed", "c").join(count("natural", "z"), ["cls", "bin"], "full").fillna(0)
-    limits = thresholds([(r["cls"], r["bin"], r["c"], r["z"]) for r in both.collect()])
-    limit = F.array(*[F.lit(limits.get(k, -1)) for k in range(len(CLASSES))])
-    added = _spans(F.filter("mixed", lambda t: t["bin"] <= F.get(limit, t["cls"])), 3)
+    read = checkpointed(read.select("doc_id", "base", _scored(F.col("free")).alias("scored")))
+    counts = read.select(F.explode("scored").alias("t")).groupBy(F.col("t.cls").alias("cls"), F.col("t.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    limits = thresholds([(r["cls"], r["bin"], r["n"]) for r in counts.collect()])
+    limit = F.array(*[F.lit(limits.get(k, BINS)) for k in range(len(CLASSES))])
+    added = _spans(F.filter("scored", lambda t: t["bin"] >= F.get(limit, t["cls"])), 3)
     return read.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
