@@ -3,8 +3,10 @@
 * Training: texts of learnable documents (at most about ``max_docs`` per language, a documented bound, taken by a hash of
   doc_id), lower-cased, as UTF-8. Tasks count all (order+1)-grams per language; Spark adds the counts.
 * Model per language: contexts of up to ``order`` bytes; a symbol that a context has not seen is coded by that context's
-  escape probability (method C: distinct / (total + distinct)) times its probability in the context one byte shorter, down to
-  1/256 per byte. The tree is of variable order: a longest context is kept if it was seen ``LEAST_CONTEXT`` times.
+  escape probability (method C: distinct / (total + distinct)) times its probability in the context one byte shorter, among the
+  symbols that the context has not seen (exclusion), down to equal shares of all 256 bytes. So a context's probabilities add up
+  to one. The tree is of variable order: a longest context is kept if it was seen ``LEAST_CONTEXT`` times, the most frequent ones
+  first, until the tables take ``MODEL_BYTES`` (a documented bound, whatever the number of languages and bytes in use).
 * Scoring: the tree is frozen into tables, node = deepest kept context of the last bytes, cost[node, symbol, language] in bits,
   so a text's exact code lengths are sums of table rows, computed for the whole text in blocks.
 * Score: the winner's share of 2^-(bits per byte times ``SHARPNESS``), between 0 and 1.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from motifcast.llm.common import crc32_mod, documents
 
-ORDER, MAX_DOCS, LEAST_CONTEXT, MAX_NODES = 3, 2_000, 8, 40_000
+ORDER, MAX_DOCS, LEAST_CONTEXT, MODEL_BYTES = 3, 2_000, 8, 64 << 20
 SHARPNESS = 20.0
 #: Bytes scored at once; a long text is scored in blocks that overlap by the order.
 BLOCK = 1 << 20
@@ -59,11 +61,11 @@ def _count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Frozen PPM statistics of all languages as two tables: history -> node, (node, symbol) -> bits per language."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, model_bytes: int = MODEL_BYTES):
         self.langs = sorted(counts)
         grams = {x: (g.astype(np.int64), n.astype(np.float64)) for x, (g, n) in counts.items()}
         used = np.unique(np.concatenate([(g >> (8 * k)) & 255 for g, _ in grams.values() for k in range(order + 1)] or [np.zeros(0, dtype=np.int64)]))
-        # Bytes that training never saw share the last class: every language codes them by escapes alone.
+        # Bytes that training never saw share the last class, coded by escapes alone (which of them it is costs every language the same).
         self.a = len(used) + 1
         self.symbol = np.full(256, len(used), dtype=np.int32)
         self.symbol[used] = np.arange(len(used))
@@ -79,12 +81,12 @@ class Model:
         # Nodes: all histories that were seen often have one of their own; others share that of a shorter history.
         self.node = np.zeros(size, dtype=np.int32)
         histories = np.arange(size)
-        nodes, rows = 1, []
+        nodes, rows, most = 1, [], max(1, model_bytes // (4 * a * max(1, len(self.langs)) * order))
         for k in range(1, order + 1):
             seen = total if k == order else np.bincount(histories % a**k, total, a**k)
             kept = np.flatnonzero(seen >= (LEAST_CONTEXT if k > 1 else 1))
-            if len(kept) > MAX_NODES:
-                kept = np.sort(np.argsort(-seen, kind="stable")[:MAX_NODES])
+            if len(kept) > most:
+                kept = np.sort(np.argsort(-seen, kind="stable")[:most])
             place = np.zeros(a**k, dtype=np.int32)
             place[kept] = nodes + np.arange(len(kept))
             at = place[histories % a**k]
@@ -95,7 +97,7 @@ class Model:
         for j, x in enumerate(self.langs):
             code, n = coded[x]
             p = np.zeros((nodes, a))
-            p[0] = self._mix(np.bincount(code % a, n, a)[None, :], np.full((1, a), 1 / 256))[0]
+            p[0] = self._mix(np.bincount(code % a, n, a)[None, :], np.append(np.full(a - 1, 1 / 256), (257 - a) / 256)[None, :])[0]
             start, place = 1, np.zeros(1, dtype=np.int32)
             for k, kept in rows:
                 up = place[kept % a ** (k - 1)] if k > 1 else np.zeros(len(kept), dtype=np.int32)
@@ -113,11 +115,11 @@ class Model:
 
     @staticmethod
     def _mix(table: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Method C: seen symbols n/(N+d), unseen ones d/(N+d) times the shorter context's probability."""
+        """Method C with exclusion: seen symbols n/(N+d); unseen ones share d/(N+d) as the shorter context has them."""
         total, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-        whole = np.maximum(total + distinct, 1)
-        escape = np.where(total > 0, distinct / whole, 1.0)
-        return np.where(table > 0, table / whole, escape * shorter)
+        left = np.where(table > 0, 0.0, shorter).sum(1, keepdims=True)
+        escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0) * (left > 0)
+        return np.where(table > 0, table / np.maximum(total, 1e-9) * (1 - escape), escape * shorter / np.where(left > 0, left, 1.0))
 
     def code_lengths(self, text: str) -> tuple[np.ndarray, int]:
         """Bits that each language needs for the text, and the text's bytes."""
