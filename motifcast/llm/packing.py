@@ -15,6 +15,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,89 +27,106 @@ from pyspark.sql import types as T
 from motifcast.llm.common import checkpointed, documents
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Words whose ids a Python worker keeps; the table is emptied when it is full.
-CACHED_WORDS = 180_000
+#: Runs whose ids a Python worker keeps, about (those not used for the longest time leave); characters encoded at once.
+RECENT_RUNS, TOGETHER = 180_000, 1_000_000
 #: Pieces that share a length and a salt, about; groups of that size are ranked in one task.
 RANK_GROUP = 20_000
 
 _loaded: dict = {}
 
 
+class Recent(dict):
+    """At most about ``size`` entries: when the younger half is full it becomes the older one, and what is used again moves up."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.half, self.older = size // 2, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that neither half holds; those of the older half move up. All other ``keys`` can be looked up afterwards."""
+        if len(self) > self.half:
+            self.older = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        again = new.intersection(self.older)
+        self.update((k, self.older[k]) for k in again)
+        return new - again
+
+
 def _encoder(path: str):
     """Per worker: texts -> bytes of little-endian unsigned 32-bit ids.
 
     The tokenizer drops white space, cuts a text into runs of letters, digits and other signs, and never joins text across
-    them. So words are kept with their ids; a new word is cut into its runs, and the tokenizer's BPE model encodes each run.
+    them. So a text is cut into its runs, and the tokenizer's BPE model encodes each new run; recent runs are kept with their
+    ids. Texts with special tokens or unusual control signs go to the tokenizer as they are.
     """
     if path not in _loaded:
         import json
         from array import array
-        from unicodedata import normalize
 
         import regex
         from tokenizers import Tokenizer
 
-        tokenizer, known, runs = Tokenizer.from_file(path), {}, {}
+        tokenizer, runs = Tokenizer.from_file(path), Recent(RECENT_RUNS)
         special = [t["content"] for t in json.loads(tokenizer.to_str())["added_tokens"]]
-        # Fixed value: how the tokenizer cuts a text into runs; letters alone are one run.
+        # How the tokenizer cuts a text into runs, and the same for lower-case letters up to U+017F.
         cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        letters, numbers = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+        cut_latin = re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^\s{letters}{numbers}]+").findall
+        beyond = re.compile("[\u0130\u0180-\U0010ffff]").search
         # Byte-level BPE writes a byte as a character: printable Latin-1 as itself, the others from 256 on.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         other = [b for b in range(256) if b not in set(shown)]
         sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(other)}
         bpe = tokenizer.model.tokenize
 
-        def single(text: str) -> bytes:
-            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-        def runs_of(word: str) -> list[str]:
-            if word.isascii():
-                low = word.lower()
-            elif max(word) < "\u0250" and "\u0130" not in word:
-                low = normalize("NFC", word).lower()
-            else:
-                low = tokenizer.normalizer.normalize_str(word)
-            return [low] if low.isalpha() else cut(low)
-
-        def learn(words: Iterable[str]) -> None:
-            for word in words:
-                if not word.isprintable() or any(x in word for x in special):
-                    known[word] = single(word)
-                    continue
-                ids = b""
-                for run in runs_of(word):
-                    if (got := runs.get(run)) is None:
-                        text = run if run.isascii() else "".join([sign[b] for b in run.encode()])
-                        got = runs[run] = array("I", [t.id for t in bpe(text)]).tobytes()
-                    ids += got
-                known[word] = ids
+        def runs_of(text: str) -> list[str] | None:
+            text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            if not text.isprintable() or "<|" in text and any(x in text for x in special):
+                return None
+            if text.isascii() or not beyond(text):
+                return cut_latin(text.lower())
+            return cut(tokenizer.normalizer.normalize_str(text))
 
         def encode(texts: list[str]) -> list[bytes]:
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            if missing := set().union(*split).difference(known):
-                if len(known) + len(missing) > CACHED_WORDS:
-                    known.clear()
-                    runs.clear()
-                    missing = set().union(*split)
-                learn(missing)
-            return [b"".join([known[w] for w in words]) for words in split]
+            cuts = [runs_of(t) for t in texts]
+            for run in runs.missing(set().union(*(c for c in cuts if c))):
+                text = run if run.isascii() else "".join([sign[b] for b in run.encode()])
+                runs[run] = array("I", [t.id for t in bpe(text)]).tobytes()
+            return [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if c is None else b"".join([runs[r] for r in c]) for t, c in zip(texts, cuts, strict=True)]
 
         _loaded[path] = encode
     return _loaded[path]
 
 
+def text_parts(text: str, size: int) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, cut at spaces only, so that no run is cut."""
+    at = 0
+    while len(text) - at > 2 * size and (end := text.find(" ", at + size)) >= 0:
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 def _pieces_of(path: str, end_id: int, capacity: int):
     tail, step = end_id.to_bytes(4, "little"), 4 * capacity
 
     def encoded(texts: pa.Array) -> Iterator[bytes]:
         encode, part, size = _encoder(path), [], 0
         for i in range(len(texts)):  # about a million characters at a time
-            part.append(texts[i].as_py() or "")
-            size += len(part[-1])
-            if size > 1_000_000 or i == len(texts) - 1:
-                for ids in encode(part):
-                    yield ids + tail
+            text = texts[i].as_py() or ""
+            if len(text) > 2 * TOGETHER:
+                if part:
+                    yield from (ids + tail for ids in encode(part))
+                    part, size = [], 0
+                yield b"".join([encode([t])[0] for t in text_parts(text, TOGETHER)]) + tail
+                continue
+            part.append(text)
+            size += len(text)
+            if size > TOGETHER:
+                yield from (ids + tail for ids in encode(part))
                 part, size = [], 0
+        yield from (ids + tail for ids in encode(part) if part)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
