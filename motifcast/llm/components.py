@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifcast.llm.common import checkpointed
+from motifcast.llm.common import bounded_broadcast, checkpointed
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, rows: int) -> DataFrame:
     """Each node sends its larger neighbours to the smallest node of its neighbourhood."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(bounded_broadcast(least, 2 * rows), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, rows: int) -> DataFrame:
     """Each node sends its smaller neighbours, and itself, to the smallest of them. Edges point down: u > v."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = e.join(bounded_broadcast(least, 2 * rows), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -31,12 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-links and repeated links do not matter; null ends are dropped; no links give an empty table. A node with very many
     links is a large group only of map-side minima and of joins that adaptive execution splits. The number of rounds is
-    logarithmic in practice (squared logarithm at most).
+    logarithmic in practice (squared logarithm at most). Few links (a counted bound) are joined by a broadcast.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpointed(e)
     before, now = None, _state(e)
     while now != before:
-        e = checkpointed(_small_star(_large_star(e)))
+        e = checkpointed(_small_star(_large_star(e, now[0]), now[0]))
         before, now = now, _state(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,28 +1,31 @@
 """Near-duplicate groups: banded MinHash candidates, odd-sketch screening, exact confirmation on full shingle sets.
 
 1. One Arrow pass over the texts gives each document's shingle-set size, a 128-bit hash of the whole set and its MinHash band
-   keys. Documents that share a band also get an odd sketch: each of ``SAMPLES`` MinHash samples flips one bit of a bitmap, so
-   the XOR of two bitmaps holds the samples that differ, and its population count estimates high similarities closely.
-2. Documents with equal sets are one class with its smallest doc_id as representative; copies are never compared.
-3. Representatives meet in bands. In each round every bucket compares one centre with its other members: pairs that are
-   already connected are skipped, the rest is screened by size ratio and odd sketch and confirmed on the full sets. The
-   centre, now compared with all of its bucket, leaves. A bucket whose members are one component is done. So a bucket of
-   n alike texts costs n pairs, not n squared. After ``ROUNDS`` rounds, the members of buckets that are still open (texts that
-   share a passage, say, and are not alike) meet again in longer bands of the sketch's samples, which few of them share; there
-   members of different components are compared by a join with the screen in its condition, so only likely pairs leave it.
-4. Connected components over the confirmed links, and a join of every document to its class.
-
-A pair at the least similarity misses all of the 32 bands of 4 samples with probability 5e-6, more similar ones with less.
+   keys. Documents with equal sets are one class with its smallest doc_id as representative; copies are never compared.
+2. Representatives that share a band also get, once, their shingle set (64-bit hashes) and an odd sketch: each of ``SAMPLES``
+   MinHash samples flips one bit of a bitmap, so the XOR of two bitmaps holds the samples that differ, and its population count
+   estimates high similarities closely. Pairs are screened by size ratio and odd sketch, and confirmed on the full sets.
+3. Two rounds of centres: every bucket compares one member with its others, so n alike texts cost n pairs, not n squared; a
+   bucket whose members are one component is done.
+4. What is left are members of different components in one bucket: texts that share a passage, or the fringe of a group. A
+   shingle of one component alone is in no intersection of interest; so a text with ``shared`` others has at most ``shared`` in
+   common with any text it may still be linked to. Texts for which that rules out the least similarity leave, which lowers the
+   count of others; this is exact and costs one count over shingles, no pairs. The rest meet in longer bands, where the same bound, for the two
+   sizes of a pair, stands in the join's condition with the sketch screen.
+5. Connected components over the confirmed links, and a join of every document to its class.
+
+A pair at the least similarity shares no band with probability 1 - (1 - 0.75**4)**32 = 5e-6 of the first kind, fails the screen
+(four standard errors) with about 3e-5, and more similar pairs do so less often.
 
 Defined cases: texts without words (or null) have no shingles and no links; texts of fewer than five words are one shingle;
-rows that repeat a doc_id share its component; an empty table gives an empty result; extra columns are ignored.
+rows that repeat a doc_id share its component (of texts that differ under one doc_id as representative, one is compared); a null
+doc_id gets the component of its copies, else null and is kept; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -40,13 +43,17 @@ SAMPLES, SKETCH_BITS = 512, 2048
 LEAST_PERCENT = 75
 #: Pairs whose estimated similarity is below this are not confirmed; four standard errors under the threshold.
 SCREEN = 0.67
-#: Rounds of centres before members of open buckets are banded again and compared completely.
-ROUNDS = 2
+#: Times that texts without enough shared shingles leave.
+PEELS = 3
 
 SIGNATURE = "doc_id long, n_shingles long, set_hash binary, bands array<long>"
-SKETCH = "rep long, n long, sketch array<long>, bands array<long>"
-#: Bands of the second cut, from the sketch's samples: a pair at the least similarity misses all of them with 6e-8.
-BANDS2, ROWS2 = 85, 6
+SKETCH = "rep long, n long, sketch array<long>, bands array<long>, shingles binary"
+#: Members that are compared with one centre in one task, about.
+SALT_GROUP = 20_000
+#: Bands of the second cut, from the sketch's samples: a pair at the least similarity misses all of them with 2e-5.
+BANDS2, ROWS2 = 56, 6
+#: Members of a bucket that one task compares with as many others; larger buckets are cut into pairs of such blocks.
+BLOCK = 1_024
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(1, 1 << 32, BANDS * ROWS + SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -121,17 +128,17 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
+    """(rep, set_hash, text) -> ``SKETCH``; rows whose text has another shingle set are left out."""
+    hashes, longs = _WordHashes(), pa.list_(pa.int64())
     for batch in batches:
-        sizes, sketches, bands = [], [], []
-        for text in batch.column(1):
+        out: list[list] = [[], [], [], [], []]
+        for rep, set_hash, text in zip(*batch.columns, strict=True):
             s = shingle_set(text.as_py(), hashes)
-            samples = _minhash(s, slice(BANDS * ROWS, None))
-            sizes.append(len(s))
-            sketches.append(odd_sketch(samples))
-            bands.append(_band_keys(samples, BANDS2, ROWS2))
-        kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sketches, kind), pa.array(bands, kind)], ["rep", "n", "sketch", "bands"])
+            if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == set_hash.as_py():
+                samples = _minhash(s, slice(BANDS * ROWS, None))
+                for column, value in zip(out, (rep.as_py(), len(s), odd_sketch(samples), _band_keys(samples, BANDS2, ROWS2), s.tobytes()), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), longs, longs, pa.binary()), strict=True)], ["rep", "n", "sketch", "bands", "shingles"])
 
 
 def differing_bits(x: Column, y: Column) -> Column:
@@ -154,82 +161,138 @@ def _alike(n: Column, sketch: Column, m: Column, other: Column) -> Column:
 
 
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, sets = _WordHashes(), OrderedDict()
-
-    def of(doc_id: int, text: pa.Scalar) -> np.ndarray:
-        if doc_id not in sets:
-            sets[doc_id] = shingle_set(text.as_py(), hashes)
-            if len(sets) > 64:
-                sets.popitem(last=False)
-        sets.move_to_end(doc_id)
-        return sets[doc_id]
-
     for batch in batches:
-        a, b, linked = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-        for i in range(len(a)):
-            x, y = of(a[i], batch.column(2)[i]), of(b[i], batch.column(3)[i])
+        linked = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             linked.append(100 * both >= LEAST_PERCENT * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough, confirmed on full sets."""
-    full = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean").where("linked").select("a", "b")
+def _of(kept: DataFrame, x: str, *columns: str) -> DataFrame:
+    """The given columns of representatives, named for side ``x`` of a pair."""
+    return kept.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+
+
+def _links(pairs: DataFrame, kept: DataFrame, screened: bool = False) -> DataFrame:
+    """The pairs (a, b) that are similar enough: screened by sketch, then confirmed on full sets.
 
+    Few distinct ``a`` may have very many ``b``; each is dealt to as many tasks as its pairs need."""
+    if not screened:
+        seen = pairs.join(_of(kept, "a", "n", "sketch"), "a").join(_of(kept, "b", "n", "sketch"), "b")
+        pairs = seen.where(_alike(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b"))).select("a", "b")
+    pairs = checkpointed(pairs)
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_GROUP).cast("int").alias("salts"))
+    centres = _of(kept, "a", "shingles").join(salts, "a").select("a", "shingles_a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = pairs.join(_of(kept, "b", "shingles"), "b").join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    full = salted.join(centres, ["a", "salt"]).select("a", "b", "shingles_a", "shingles_b")
+    return checkpointed(full.mapInArrow(_confirm, "a long, b long, linked boolean").where("linked").select("a", "b"))
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """(bucket, rep) rows of the buckets that have several members."""
-    return rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket"), "bucket")
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, component, shingles) -> (rep, component, shingle), a row each."""
+    for batch in batches:
+        for rep, component, shingles in zip(*batch.columns, strict=True):
+            values = pa.Array.from_buffers(pa.int64(), len(shingles.as_buffer()) // 8, [None, shingles.as_buffer()])
+            yield pa.RecordBatch.from_arrays([pa.repeat(rep, len(values)), pa.repeat(component, len(values)), values], ["rep", "component", "shingle"])
+
+
+def _with_shared(rows: DataFrame) -> DataFrame:
+    """Adds ``shared``: how many of the row's shingles a row of another component has.
+
+    A shingle of one component alone is found by its least and largest component; rows are not paired, and a shingle that very
+    many rows have is one row on the other side of the join, which adaptive execution splits."""
+    said = rows.select("rep", "component", "shingles").mapInArrow(_unpacked, "rep long, component long, shingle long")
+    alone = said.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo = hi").select("shingle")
+    own = said.join(alone, "shingle", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    return rows.join(own, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+
+
+def _possible(shared: Column, sizes: Column) -> Column:
+    """May sets of these sizes (their sum) with at most ``shared`` in common reach the least similarity?"""
+    return (100 + LEAST_PERCENT) * shared >= LEAST_PERCENT * sizes
+
+
+def _open(placed: DataFrame, centre: Column) -> DataFrame:
+    """The rows of buckets that hold several components, with ``a``: the member that ``centre`` puts first, and its component."""
+    first = F.min_by(F.struct("rep", "component"), centre).alias("a")
+    buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), first).where("lo <> hi").select("bucket", "a")
+    return placed.join(buckets, "bucket")
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """One block of a bucket (rows of one or two parts of it): pairs of different components that pass the bounds and the screen,
+    each only in the first band that the two share."""
+    if table.num_rows < 2:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    rep, component, n, shared, part, band, i, j = (table.column(c).to_numpy() for c in ("rep", "component", "n", "shared", "part", "band", "i", "j"))
+    sketch = np.array(table.column("sketch").to_pylist(), dtype=np.int64).view(np.uint64)
+    earlier = np.array(table.column("marks").to_pylist(), dtype=np.int32)[:, : band[0]]
+    left, right = np.flatnonzero(part == i[0]), np.flatnonzero(part == j[0])
+    found: tuple[list, list] = ([], [])
+    for x in left:
+        y = right[rep[right] > rep[x]] if i[0] == j[0] else right
+        y = y[component[y] != component[x]]
+        y = y[(100 * np.minimum(n[x], n[y]) >= LEAST_PERCENT * np.maximum(n[x], n[y])) & ((100 + LEAST_PERCENT) * np.minimum(shared[x], shared[y]) >= LEAST_PERCENT * (n[x] + n[y]))]
+        y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(1) <= _MOST_BITS]
+        y = y[~(earlier[y] == earlier[x]).any(1)]
+        found[0].extend(np.minimum(rep[x], rep[y]).tolist())
+        found[1].extend(np.maximum(rep[x], rep[y]).tolist())
+    return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+
+def _likely(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a longer band and may be similar enough.
+
+    The members of a bucket are dealt to parts of about ``BLOCK``, and each pair of parts is one group: groups are bounded
+    whatever the bucket's size. ``marks`` (32 bits of each band key) tell a bucket that it is not the first one two rows share."""
+    marks = F.transform("bands", lambda k: F.shiftright(k, 32).cast("int"))
+    rows = rest.select("rep", "component", "n", "shared", "sketch", marks.alias("marks"), F.posexplode("bands").alias("band", "bucket"))
+    buckets = rows.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    parts = buckets.select("bucket", "band", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts"))
+    dealt = rows.join(parts, ["bucket", "band"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    return dealt.drop("parts", "other").groupBy("bucket", "i", "j").applyInArrow(_compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = checkpointed(docs.mapInArrow(_signatures, SIGNATURE))
-    classes = checkpointed(signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"]).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    classes = checkpointed(signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    reps = classes.where("rep is not null").groupBy("rep").agg(F.min_by(F.struct("set_hash", "bands"), "set_hash").alias("x")).select("rep", "x.set_hash", "x.bands")
 
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
-    members = checkpointed(_shared(rows))
-    ids = checkpointed(members.select("rep").distinct())
-    n_ids = ids.count()
-    near_ids = bounded_broadcast(ids, n_ids)
-    texts = checkpointed(docs.join(near_ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"))
-    sketches = checkpointed(texts.select("rep", "text").mapInArrow(_sketches, SKETCH))
-
-    links = tested = docs.sparkSession.createDataFrame([], "a long, b long")
+    firsts = rows.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("bucket", "a")
+    members = checkpointed(rows.join(firsts, "bucket").where("rep <> a"))
+    ids = checkpointed(members.select("rep").unionByName(members.select(F.col("a").alias("rep"))).distinct())
+    near_ids = bounded_broadcast(reps.select(F.col("rep").alias("doc_id"), "set_hash").join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), ids.count())
+    kept = checkpointed(docs.join(near_ids, "doc_id").select("doc_id", "set_hash", "text").mapInArrow(_sketches, SKETCH).dropDuplicates(["rep"]))
+
     groups = ids.select("rep", F.col("rep").alias("component"))
-    for round_ in range(ROUNDS + 1):
-        placed = members.join(groups, "rep")
-        first = F.min_by("rep", F.struct("rep") if round_ == 0 else F.struct(F.xxhash64("rep", F.lit(round_)), "rep"))
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), first.alias("a")).where("lo <> hi").select("bucket", "a")
-        left = checkpointed(placed.join(open_, "bucket"))
-        if round_ < ROUNDS:
-            at = left.where("rep <> a").select("bucket", "a", F.col("rep").alias("b"), F.col("component").alias("cb")).join(left.where("rep = a").select("bucket", F.col("component").alias("ca")), "bucket")
-            near = at.where("ca <> cb").select("a", "b").distinct()
-            of = lambda x: sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-            pairs = near.join(of("a"), "a").join(of("b"), "b").where(_alike(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))).select("a", "b")
-            members = left.where("rep <> a").select("bucket", "rep")
-            if round_ == ROUNDS - 1:
-                still = sketches.join(members.select("rep").distinct(), "rep", "left_semi")
-                members = checkpointed(_shared(still.select("rep", F.explode("bands").alias("bucket"))))
-        else:
-            rows = left.select("bucket", "rep", "component").join(sketches.drop("bands"), "rep")
-            x, y = rows.alias("x"), rows.alias("y")
-            alike = _alike(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch"))
-            both = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & alike)
-            pairs = both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = checkpointed(_links(pairs, texts))
-        tested = tested.unionByName(pairs)
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+
+    def grouped(found: DataFrame) -> None:
+        nonlocal groups, links
         if not found.isEmpty():
             links = links.unionByName(found)
             groups = checkpointed(ids.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
-    grouped = checkpointed(classes.join(groups, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id")))
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(grouped, "set_hash", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+    grouped(_links(members.select("a", F.col("rep").alias("b")).distinct(), kept))
+    left = checkpointed(_open(members.drop("a").join(groups, "rep"), F.xxhash64("rep")))
+    grouped(_links(left.where("component <> a.component").select("a.rep", F.col("rep").alias("b")).toDF("a", "b").distinct(), kept))
+
+    open_ = _open(left.where("rep <> a.rep").select("bucket", "rep").join(groups, "rep"), F.col("rep")).select("rep", "component").distinct()
+    rest = checkpointed(kept.join(open_, "rep"))
+    for _ in range(PEELS):
+        rest = checkpointed(_with_shared(rest.drop("shared")).where(_possible(F.col("shared"), F.col("n") + F.col("shared"))))
+    grouped(_links(_likely(rest), kept, screened=True))
+
+    found = checkpointed(classes.select("set_hash", "rep").join(groups, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id")))
+    out = signed.select("doc_id", "n_shingles", "set_hash").join(found, "set_hash", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
