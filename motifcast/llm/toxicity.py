@@ -5,8 +5,9 @@
 * Terms: all words of the examples and their prefixes of ``PREFIXES`` letters; none is left out. A term is kept as a 64-bit hash.
   Document frequencies are counted over *all* documents. A term's weight is TF-IDF times ``1 + z``, where z (0 at least) is the
   two-proportion statistic of its share in toxic and other examples: every term counts, those that tell the labels apart more.
-* Index: terms that many examples have are columns of a dense matrix, all others have postings; the cosine with every example
-  is the sum of both, so the neighbours are exact; ties with the k-th are all kept.
+* Index: a block-max inverted index. Terms that many examples have are columns of a dense matrix, all others have postings by
+  block of examples; blocks whose bound cannot reach the k-th cosine are not read. The neighbours are exact; ties with the k-th
+  are all kept. Alike examples are put in one block, which tightens the bounds.
 * Score: votes weighted by inverse distance, mapped to a probability by an isotonic fit on the examples' own
   leave-one-out votes (computed by the executors). The neighbours' ids are the evidence.
 
@@ -19,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 
 from motifcast.llm.common import checkpointed, crc32_mod, documents
 
-MAX_EXAMPLES, NEIGHBOURS, BLOCK = 20_000, 15, 64
+MAX_EXAMPLES, NEIGHBOURS = 20_000, 15
 PREFIXES = (4, 5)
 #: Terms of at least this share of the examples are dense columns, the most frequent ``DENSE_TERMS`` of them; documents scored at once.
 DENSE_SHARE, DENSE_TERMS, TOGETHER = 0.03, 768, 128
+#: Examples of a block of the index, clusters (by the most frequent terms) by which they are ordered, and most postings of a rare term.
+BLOCK, CLUSTERS, ORDERING_TERMS = 256, 48, 256
+RARE = 16
 #: Words and documents whose terms or scores a worker remembers.
-REMEMBERED = 50_000
+REMEMBERED = 200_000
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"\w+")
@@ -44,53 +47,74 @@ def word_terms(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
 
 
-def term_hashes(terms: Iterable[str]) -> np.ndarray:
-    return np.frombuffer(b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in terms), dtype="<i8")
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _words(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+def term_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the terms of each word (a row: the word, its prefixes), and which of them there are.
+
+    A hash mixes the sum of mixed (place, letter) pairs, so those of the prefixes come from the same running sum."""
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(size) - size
+    place = np.arange(len(letters)) - np.repeat(first, size)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(_mix(letters + np.uint64(1)) + place.astype(np.uint64)), dtype=np.uint64)])
+    ends = [size, *(np.minimum(size, n) for n in PREFIXES)]
+    hashes = [_mix(upto[first + n] - upto[first] + np.uint64(k)) for k, n in enumerate(ends)]
+    return np.stack(hashes, 1).view(np.int64), np.stack([size > 0, *(size >= n for n in PREFIXES)], 1)
 
 
 def _term_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (term): hashes of all terms, once a task."""
-    words: set[str] = set()
+    """(text) -> (term): hashes of all terms, once a batch."""
     for batch in batches:
+        words: set[str] = set()
         for text in batch.column(0):
             words.update(_WORD.findall((text.as_py() or "").lower()))
-    yield pa.RecordBatch.from_arrays([pa.array(term_hashes({t for w in words for t in word_terms(w)}), pa.int64())], ["term"])
+        hashes, there = term_hashes(list(words))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes[there]), pa.int64())], ["term"])
 
 
 class Vocabulary:
-    """Sorted term hashes; numbers of the terms of words."""
+    """Sorted term hashes; numbers of the terms of words. A worker keeps those of about ``REMEMBERED`` recent words."""
 
     def __init__(self, hashes: np.ndarray):
-        self.hashes, self.known = hashes, {}
+        self.hashes = hashes
+        self._forget()
 
     def __getstate__(self) -> dict:
-        return {"hashes": self.hashes, "known": {}}
+        return {"hashes": self.hashes}
 
-    def vectors(self, texts: Iterable[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Term numbers and counts of each text."""
-        counted = [_words(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for c in counted for w in c if w not in self.known})
-        terms = [word_terms(w) for w in new]
-        hashes = term_hashes(t for ts in terms for t in ts)
+    def __setstate__(self, state: dict) -> None:
+        self.hashes = state["hashes"]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.used, self.table = {}, set(), np.zeros((0, 1 + len(PREFIXES)), dtype=np.int64)
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) > REMEMBERED:  # those used since the last time stay
+            stay = list(self.used)
+            self.table = self.table[[self.known[w] for w in stay]]
+            self.known, self.used = dict(zip(stay, range(len(stay)), strict=True)), set()
+        new = list(words.difference(self.known))
+        self.used |= words
+        hashes, there = term_hashes(new)
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        there = (self.hashes[at] == hashes).tolist() if len(self.hashes) else [False] * len(hashes)
-        at, k = at.tolist(), 0
-        for word, ts in zip(new, terms, strict=True):
-            self.known[word] = tuple(at[i] for i in range(k, k + len(ts)) if there[i])
-            k += len(ts)
+        rows = np.where(there & (self.hashes[at] == hashes), at, -1) if len(self.hashes) else np.full(hashes.shape, -1)
+        self.known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+        self.table = np.concatenate([self.table, rows])
+
+    def vectors(self, texts: Iterable[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Term numbers (rising) and counts of each text."""
+        said = [_WORD.findall((t or "").lower()) for t in texts]
+        self._learn(set().union(*said))
         out = []
-        for c in counted:
-            found: Counter = Counter()
-            for word, n in c.items():
-                for i in self.known[word]:
-                    found[i] += n
-            out.append((np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))))
+        for words in said:
+            terms = self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].ravel()
+            out.append(np.unique(terms[terms >= 0], return_counts=True))
         return out
 
 
@@ -98,7 +122,7 @@ def _vectors_of(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, key, toxic, text) -> (doc_id, key, toxic, terms, counts)."""
         for batch in batches:
-            got = [(t[o], n[o]) for t, n in shared.value.vectors(batch.column(3).to_pylist()) for o in (np.argsort(t),)]
+            got = shared.value.vectors(batch.column(3).to_pylist())
             terms, counts = ([v[k].astype(np.int32) for v in got] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "key", "toxic", "terms", "counts"])
 
@@ -122,84 +146,101 @@ def _frequencies_of(shared):
 
 
 class BlockMaxIndex:
-    """Exact top-k cosine over sparse unit vectors."""
-
-    def __init__(self, vectors: list[tuple[list[int], np.ndarray]], n_terms: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        self.bound = np.zeros((n_terms, max(1, -(-self.n // block))))
-        lists: list[tuple[list[int], list[float]]] = [([], []) for _ in range(n_terms)]
-        for i, (terms, weights) in enumerate(vectors):
-            for t, w in zip(terms, weights, strict=True):
-                lists[t][0].append(i)
-                lists[t][1].append(w)
-                self.bound[t, i // block] = max(self.bound[t, i // block], w)
-        self.postings = [(np.array(i, dtype=np.int64), np.array(w)) for i, w in lists]
-
-    def nearest(self, terms: list[int], weights: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The examples with positive cosine at least the k-th largest (ties included), and their cosines.
-
-        First the blocks of the highest bounds are scored, enough for about 2k examples; their k-th cosine then rules out
-        all blocks whose bound is lower, and the others are scored."""
-        bounds = weights @ self.bound[terms]
-        ids = np.concatenate([self.postings[t][0] for t in terms])
-        parts = np.concatenate([self.postings[t][1] * w for t, w in zip(terms, weights, strict=True)])
-        blocks = ids // self.block
-        score, kth = np.zeros(self.n), 0.0
-        first = np.zeros(len(bounds), dtype=bool)
-        first[np.argsort(-bounds, kind="stable")[: 1 + 2 * k // self.block]] = True
-        for chosen in (first, ~first):
-            use = (chosen & (bounds > 0) & (bounds >= kth - 1e-6))[blocks]
-            score += np.bincount(ids[use], parts[use], self.n)
-            if leave_out >= 0:
-                score[leave_out] = 0
-            if np.count_nonzero(score) >= k:
-                kth = np.partition(score, self.n - k)[self.n - k]
-        at = np.flatnonzero((score > 0) & (score >= kth - 1e-6))
-        return at, np.minimum(score[at], 1.0)
-
-
-class CosineIndex:
-    """Exact top-k cosine over sparse unit vectors (CSR: row bounds, terms, weights), for many queries at once."""
-
-    def __init__(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
-        self.n = len(bounds) - 1
+    """Exact top-k cosine over sparse unit vectors (CSR: row bounds, terms, weights), for many queries at once.
+
+    Terms that many examples have are columns of a dense matrix; the few postings of rare terms are always read. For the terms in
+    between, postings are kept by block of examples, with the block's largest weight of each term. A block's bound is its best
+    dense and rare part plus the sum of these. The two best blocks are read first; their k-th cosine rules out all blocks whose
+    bound is lower, which are never read."""
+
+    def __init__(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int = BLOCK, rare: int = RARE):
+        self.n, self.block, self.blocks = len(bounds) - 1, block, max(1, -(-(len(bounds) - 1) // block))
         rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(bounds))
+        self.column, self.matrix = dense_part(rows, terms, weights, self.n, n_terms)
         df = np.bincount(terms, minlength=n_terms)
-        frequent = np.argsort(-df, kind="stable")[:DENSE_TERMS]
-        frequent = frequent[df[frequent] >= max(1, DENSE_SHARE * self.n)]
-        self.column = np.full(n_terms, -1, dtype=np.int32)
-        self.column[frequent] = np.arange(len(frequent))
-        column = self.column[terms]
-        dense = column >= 0
-        self.matrix = np.zeros((len(frequent), self.n), dtype=np.float32)
-        self.matrix[column[dense], rows[dense]] = weights[dense]
-        rest = np.flatnonzero(~dense)
-        rest = rest[np.argsort(terms[rest], kind="stable")]
+        self.middle = np.full(n_terms, -1, dtype=np.int32)  # number of a term with postings by block
+        middle = np.flatnonzero((self.column < 0) & (df > rare))
+        self.middle[middle] = np.arange(len(middle))
+        rest = np.flatnonzero(self.column[terms] < 0)
+        rest = rest[np.argsort(terms[rest].astype(np.int64) * self.n + rows[rest], kind="stable")]
         self.rows, self.weights = rows[rest], weights[rest].astype(np.float32)
         self.start = np.searchsorted(terms[rest], np.arange(n_terms + 1))
-
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """queries x examples."""
+        there = np.flatnonzero(self.middle[terms[rest]] >= 0)
+        cell = self.middle[terms[rest[there]]].astype(np.int64) * self.blocks + self.rows[there] // block
+        self.most = np.zeros(len(middle) * self.blocks, dtype=np.float32)
+        if len(cell):
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            self.most[cell[first]] = np.maximum.reduceat(self.weights[there], first)
+        self.most = self.most.reshape(len(middle), self.blocks)
+        # Where each (term, block) has its postings: its first one; a term's postings are in the order of their rows.
+        many = np.bincount(cell, minlength=len(middle) * self.blocks).reshape(len(middle), self.blocks)
+        self.cells = (self.start[middle][:, None] + np.concatenate([np.zeros((len(middle), 1), dtype=np.int64), np.cumsum(many, 1)], 1)).astype(np.int32)
+
+    def _read(self, first: np.ndarray, end: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums over runs of postings, each times its weight."""
+        many = end - first
+        ends = np.cumsum(many)
+        at = np.repeat(first - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.rows.take(at), self.weights.take(at) * np.repeat(weights, many), self.n)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the examples with positive cosine at least the k-th largest (ties included), and their cosines."""
         q = np.zeros((len(queries), len(self.matrix)), dtype=np.float32)
         for i, (terms, weights) in enumerate(queries):
             column = self.column[terms]
             q[i, column[column >= 0]] = weights[column >= 0]
-        out = q @ self.matrix
+        dense = q @ self.matrix
+        starts = np.arange(0, self.n, self.block)
+        of_block = np.arange(self.n) // self.block
         for i, (terms, weights) in enumerate(queries):
-            first, size = self.start[terms], self.start[terms + 1] - self.start[terms]
-            ends = np.cumsum(size)
-            if len(ends) and ends[-1]:
-                at = np.repeat(first - ends + size, size) + np.arange(ends[-1])
-                out[i] += np.bincount(self.rows[at], self.weights[at] * np.repeat(weights, size), self.n)
-        return out
-
-    def nearest(self, score: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The examples with positive cosine at least the k-th largest (ties included), and their cosines."""
-        if leave_out >= 0:
-            score[leave_out] = 0
-        kth = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
-        at = np.flatnonzero((score > 0) & (score >= kth - 1e-6))
-        return at, np.minimum(score[at].astype(np.float64), 1.0)
+            weights, score = weights.astype(np.float32), dense[i].astype(np.float64)
+            rare = (self.column[terms] < 0) & (self.middle[terms] < 0)
+            score += self._read(self.start[terms[rare]], self.start[terms[rare] + 1], weights[rare])
+            middle = self.middle[terms]
+            weights, middle = weights[middle >= 0], middle[middle >= 0]
+            bound = np.maximum.reduceat(score, starts) + weights @ self.most[middle] if self.n else np.zeros(1)
+            read, kth = np.zeros(self.blocks, dtype=bool), 0.0
+            for first in (True, False):
+                chosen = np.argsort(-bound, kind="stable")[:2] if first else np.flatnonzero((bound >= kth - 1e-5) & ~read)
+                chosen = chosen[bound[chosen] > 0]
+                cells = self.cells[middle]
+                score += self._read(cells[:, chosen].ravel(), cells[:, chosen + 1].ravel(), np.repeat(weights, len(chosen)))
+                read[chosen] = True
+                if leave_out:
+                    score[leave_out[i]] = 0
+                seen = score[read[of_block]]
+                kth = max(0.0, np.partition(seen, len(seen) - k)[len(seen) - k]) if len(seen) > k else 0.0
+            at = np.flatnonzero(read[of_block] & (score > 0) & (score >= kth - 1e-6))
+            yield at, np.minimum(score[at], 1.0)
+
+
+def dense_part(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, most: int = DENSE_TERMS) -> tuple[np.ndarray, np.ndarray]:
+    """Column number of each term (-1: not dense), and the dense matrix, terms x examples."""
+    df = np.bincount(terms, minlength=n_terms)
+    frequent = np.argsort(-df, kind="stable")[:most]
+    frequent = frequent[df[frequent] >= max(1, DENSE_SHARE * n)]
+    column = np.full(n_terms, -1, dtype=np.int32)
+    column[frequent] = np.arange(len(frequent))
+    at = column[terms]
+    matrix = np.zeros((len(frequent), n), dtype=np.float32)
+    matrix[at[at >= 0], rows[at >= 0]] = weights[at >= 0]
+    return column, matrix
+
+
+def alike_together(matrix: np.ndarray, clusters: int = CLUSTERS, rounds: int = 5) -> np.ndarray:
+    """An order of the examples (columns of the dense matrix) that puts alike ones side by side: some rounds of k-means by cosine.
+
+    It only makes the blocks' bounds tighter; the neighbours do not depend on it."""
+    n = matrix.shape[1]
+    if n <= clusters or not len(matrix):
+        return np.arange(n)
+    unit = (matrix / np.maximum(np.linalg.norm(matrix, axis=0), 1e-9)).T
+    centres = unit[np.linspace(0, n - 1, clusters).astype(int)]
+    for _ in range(rounds):
+        nearest = (unit @ centres.T).argmax(1)
+        sums = np.stack([unit[nearest == c].sum(0) for c in range(clusters)])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    return np.argsort(nearest, kind="stable")
 
 
 def _vote(cosines: np.ndarray, toxic: np.ndarray) -> float:
@@ -222,34 +263,28 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """What a task needs to score a document; its size is bounded by the examples."""
+    """What a task needs to score a document; its size is bounded by the examples. The index is built where the model arrives, not
+    on the driver."""
 
-    def __init__(self, vocabulary: Vocabulary, weight: np.ndarray, bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray, toxic: np.ndarray, ids: np.ndarray, k: int = NEIGHBOURS):
-        self.parts = (vocabulary.hashes, weight.astype(np.float32), bounds, terms, counts, toxic, ids, k)
-        self._build()
+    def __init__(self, hashes: np.ndarray, weight: np.ndarray, bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray, toxic: np.ndarray, ids: np.ndarray, k: int = NEIGHBOURS):
+        self.parts = (hashes, weight.astype(np.float32), bounds, terms, counts, toxic, ids, k)
+        none = toxic[np.diff(bounds) == 0]
+        self.without = float((none.sum() + 0.01) / (len(none) + 1)) if len(toxic) else 0.0
+        self.knots, self.means = np.zeros(1), np.full(1, self.without)
 
     def __getstate__(self) -> dict:
-        """What is shipped: the examples' terms as gaps and their counts, packed; the index is built again where it is used."""
+        """The examples' terms as gaps and their counts, packed."""
         hashes, weight, bounds, terms, counts, *rest = self.parts
         packed = [(zlib.compress(x.tobytes(), 1), x.dtype.str) for x in (hashes, weight, bounds, np.diff(terms, prepend=np.int32(0)), counts)]
-        return {"packed": packed, "rest": rest, "fit": (self.knots, self.means)}
+        return {"packed": packed, "rest": rest, "without": self.without}
 
     def __setstate__(self, state: dict) -> None:
         hashes, weight, bounds, gaps, counts = (np.frombuffer(zlib.decompress(x), kind) for x, kind in state["packed"])
-        self.parts = (hashes, weight, bounds, np.cumsum(gaps, dtype=np.int32), counts, *state["rest"])
-        self._build()
-        self.parts = None
-        self.knots, self.means = state["fit"]
-
-    def _build(self) -> None:
-        hashes, weight, bounds, terms, counts, toxic, ids, k = self.parts
-        self.vocabulary, self.weight, self.k, self.toxic, self.ids = Vocabulary(hashes), weight, k, toxic.astype(np.float64), ids
-        none = toxic[np.diff(bounds) == 0]
-        self.without = float((none.sum() + 0.01) / (len(none) + 1)) if len(toxic) else 0.0
+        terms, (toxic, self.ids, self.k) = np.cumsum(gaps, dtype=np.int32), state["rest"]
+        self.vocabulary, self.weight, self.toxic, self.without = Vocabulary(hashes), weight, toxic.astype(np.float64), state["without"]
         w = (1 + np.log(counts, dtype=np.float32)) * weight[terms]
-        norms = np.sqrt(np.bincount(np.repeat(np.arange(len(ids)), np.diff(bounds)), w * w, len(ids))).astype(np.float32)
-        self.index = CosineIndex(bounds, terms, w / np.repeat(norms, np.diff(bounds)), len(weight))
-        self.knots, self.means = np.zeros(1), np.full(1, self.without)
+        norms = np.sqrt(np.bincount(np.repeat(np.arange(len(self.ids)), np.diff(bounds)), w * w, len(self.ids))).astype(np.float32)
+        self.index = BlockMaxIndex(bounds, terms, w / np.repeat(norms, np.diff(bounds)), len(weight))
 
     def neighbours(self, texts: list[str | None], leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k in range(0, len(texts), TOGETHER):
@@ -257,8 +292,7 @@ class Model:
             for terms, counts in self.vocabulary.vectors(texts[k : k + TOGETHER]):
                 w = (1 + np.log(counts)) * self.weight[terms]
                 queries.append((terms, w / np.sqrt((w * w).sum()) if len(w) else w))
-            for i, score in enumerate(self.index.cosines(queries)):
-                yield self.index.nearest(score, self.k, leave_out[k + i] if leave_out else -1)
+            yield from self.index.nearest(queries, self.k, leave_out[k : k + TOGETHER] if leave_out else None)
 
     def calibrate(self, votes: np.ndarray, truth: np.ndarray) -> None:
         if len(votes):
@@ -273,6 +307,18 @@ class Model:
                 yield float(np.interp(_vote(cosines, self.toxic[near]), self.knots, self.means)), self.ids[best].tolist()
 
 
+def ordered_examples(weight: np.ndarray, bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, terms, counts) with alike examples side by side, and the order that was taken."""
+    size = np.diff(bounds)
+    rows = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    w = weight.astype(np.float32)[terms]
+    w *= 1 + np.log(counts, dtype=np.float32)
+    order = alike_together(dense_part(rows, terms, w, len(size), len(weight), ORDERING_TERMS)[1])
+    del rows, w
+    moved = [np.concatenate([x[:0], *(x[bounds[i] : bounds[i + 1]] for i in order.tolist())]) for x in (terms, counts)]
+    return np.concatenate([[0], np.cumsum(size[order])]).astype(np.int64), *moved, order
+
+
 def _votes_of(shared, keys: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, toxic, text) of examples -> (vote, toxic): the vote of the other examples, where there is one."""
@@ -343,7 +389,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, h
     df[found.column("term").to_numpy()] = found.column("n").to_numpy()
     shared.unpersist()
     idf = np.log((1 + docs.count()) / (1 + df)) + 1
-    model = Model(vocabulary, idf * label, bounds, terms, counts, toxic, ids)
+    bounds, terms, counts, order = ordered_examples(idf * label, bounds, terms, counts)
+    ids, keys, toxic = ids[order], keys[order], toxic[order]
+    model = Model(vocabulary.hashes, idf * label, bounds, terms, counts, toxic, ids)
+    del terms, counts
     shared = context.broadcast(model)
     votes = checkpointed(examples.select("key", "toxic", "text").mapInArrow(_votes_of(shared, keys), "vote double, toxic int")).toArrow()
     model.calibrate(votes.column("vote").to_numpy(), votes.column("toxic").to_numpy().astype(np.float64))
