@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import pytest
 
@@ -86,7 +87,7 @@ def test_words_are_encoded_as_whole_texts():
     from tokenizers import Tokenizer
 
     tokenizer, encode = Tokenizer.from_file(packing.word_tokenizer()), packing._encoder(packing.word_tokenizer())
-    texts = ["Don't WE'LL 'SSS it's'd 12345 ...,", "ﬁ naïve İstanbul ΑΣ. e\u0301 \u0300a ½ ²x Ⅷ ẞ", "<|endoftext|> a\x1cb 日本語\tx\r\ny\u2028z", "", "  "]
+    texts = ["Don't WE'LL 'SSS it's'd 12345 ...,", "ﬁ naïve İstanbul ΑΣ. e\u0301 \u0300a ½ ²x Ⅷ ẞ", "ŁÓDŹ's ŉ ÷× ¼a 'sé\t'S'Re", "<|endoftext|> a\x1cb 日本語\tx\r\ny\u2028z", "", "  "]
     for text, got in zip(texts, encode(texts), strict=True):
         assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -119,34 +120,137 @@ def test_fingerprint_is_a_multiset_hash(spark):
         assert (lane(3, k) + int(one[15 * k : 15 * k + 15], 16)) % (1 << 60) == lane(1, k)
 
 
-def test_next_crosses_blocks(spark):
-    rows = [(i * 7919, f"t{i}") for i in range(5000)]
+def test_lanes_are_independent(spark):
+    """No lane follows from the plain 64-bit hash of a paragraph."""
+    from pyspark.sql import functions as F
+
+    r = spark.createDataFrame([("some words",)], "p string").select(fingerprint.dense_lanes(F.array("p")).alias("lanes"), *[F.xxhash64(F.col("p"), F.lit(k)).bitwiseAND(F.lit((1 << 60) - 1)).alias(f"h{k}") for k in range(4)]).first()
+    assert len(set(r["lanes"])) == 4 and not set(r["lanes"]) & {r[f"h{k}"] for k in range(4)}
+
+
+@pytest.mark.parametrize("kind", ["steps", "outlier", "hashed", "ties", "few"])
+def test_next_crosses_blocks(spark, kind):
+    rng = random.Random(6)
+    ids = {
+        "steps": [i * 7919 for i in range(3000)], "outlier": [*range(2000), 10**15, -(10**17)], "hashed": [rng.randrange(-(1 << 63), 1 << 63) for _ in range(1500)],
+        "ties": [*range(500), *[77] * 900, *[None] * 700], "few": [-(1 << 63) + 1, (1 << 63) - 1, 0],
+    }[kind]
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next(df, ["text"]).collect()}
-    assert len(got) == 5000 and all(got[i * 7919] == f"t{(i - 1) % 5000}" for i in range(5000))
+    got = {r["text"]: (r["doc_id"], r["next_text"]) for r in fingerprint.with_next(df, ["text"], block_rows=64).collect()}
+    assert len(got) == len(rows)
+    of, chain = dict((t, i) for i, t in rows), ["t0"]
+    while len(chain) <= len(rows):
+        chain.append(got[chain[-1]][1])
+    low = -(1 << 64)
+    order = [low if of[t] is None else of[t] for t in chain[:-1]]
+    assert chain[0] == chain[-1] and len(set(chain)) == len(rows) and sum(x < y for x, y in zip(order, [*order[1:], order[0]], strict=True)) == 1
+
+
+def test_blocks_are_even(spark):
+    from pyspark.sql import functions as F
+
+    for ids in ([*range(5000), 10**15], [*range(1000), *[5] * 4000]):
+        df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "key long, text string").withColumn("tie", F.xxhash64("text"))
+        sizes = [r["count"] for r in df.withColumn("block", fingerprint.blocks_of(df.select("key"), 100)).groupBy("block").count().collect()]
+        assert max(sizes) < 400 and sum(sizes) == len(ids)
+
+
+def test_likeness_matches_brute_force(spark):
+    texts = ["a b. c\nd e\nd e", "d e\nx y! c", "", "a b. c", "d e"] * 2
+    docs = list(enumerate(texts))
+
+    def lanes(text):
+        return Counter(x for x in re.split(r"\n|(?<=[^\W_]) (?!.)|(?<=[^a-z0-9]) ", text) if x)
+
+    got = {r["doc_id"]: r["near_next"] for r in fingerprint.document_fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, text in docs:
+        after = texts[i - 1]
+        x, y = lanes(text), lanes(after)
+        want = 1.0 if sorted(text.split("\n")) == sorted(after.split("\n")) else (sum((x & y).values()) / sum((x | y).values()) if x | y else 0.0)
+        assert abs(got[i] - want) < 1e-9
+
+
+def test_fingerprints_of_odd_input(odd, none):
+    assert fingerprint.document_fingerprints(odd).count() == len(odd_documents()) and fingerprint.document_fingerprints(none).count() == 0
 
 
 # ---------------------------------------------------------------- toxicity
 
 
-def test_block_max_is_exact():
+@pytest.mark.parametrize(("block", "rare", "dense"), [(32, 3, 0.2), (700, 0, 2.0), (64, 1000, 0.01)])
+def test_block_max_is_exact(monkeypatch, block, rare, dense):
     import numpy as np
 
-    rng = random.Random(3)
+    monkeypatch.setattr(toxicity, "DENSE_SHARE", dense)
+    rng = random.Random(4)
     vectors = []
-    for _ in range(700):
-        terms = sorted(rng.sample(range(40), rng.randint(1, 6)))
+    for _ in range(500):
+        terms = np.array(sorted(set(rng.sample(range(20), 3) + rng.sample(range(400), 6))))
         w = np.array([rng.random() + 0.1 for _ in terms])
         vectors.append((terms, w / np.sqrt((w * w).sum())))
-    vectors.sort(key=lambda v: v[0])
-    index = toxicity.BlockMaxIndex(vectors, 40, block=32)
-    for q in range(0, 700, 9):
-        terms, weights = vectors[q]
-        full = np.array([sum(w * dict(zip(t, x, strict=True)).get(k, 0) for k, w in zip(terms, weights, strict=True)) for t, x in vectors])
-        full[q] = 0
-        ids, cosines = index.nearest(terms, weights, 15, leave_out=q)
-        kth = np.sort(full)[-15]
-        assert set(np.flatnonzero((full > 0) & (full >= kth - 1e-6))) == set(ids) and np.allclose(np.minimum(full[ids], 1), cosines)
+    full = np.zeros((500, 400))
+    for i, (t, w) in enumerate(vectors):
+        full[i, t] = w
+    full = full @ full.T
+    index = toxicity.BlockMaxIndex(np.cumsum([0, *(len(t) for t, _ in vectors)]), np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors]), 400, block, rare)
+    np.fill_diagonal(full, 0)
+    for row, (ids, cosines) in zip(full, index.nearest(vectors, 15, list(range(500))), strict=True):
+        kth = np.sort(row)[-15]
+        assert set(np.flatnonzero((row > 0) & (row >= kth + 1e-5))) <= set(ids) <= set(np.flatnonzero(row >= kth - 1e-5)) and np.allclose(np.minimum(row[ids], 1), cosines, atol=1e-5)
+
+
+def test_term_hashes_do_not_depend_on_the_batch():
+    import numpy as np
+
+    words = ["a", "über", "toxicity", "toxic", "日本語の文", "x" * 50, "", "toxicities"]
+    hashes, there = toxicity.term_hashes(words)
+    for w, h, t in zip(words, hashes, there, strict=True):
+        assert (toxicity.term_hashes([w])[0][0][t] == h[t]).all() and t.sum() == (len(toxicity.word_terms(w)) if w else 0)
+    assert len(np.unique(hashes[there])) == len({t for w in words if w for t in toxicity.word_terms(w)})
+
+
+def brute_scores(docs, labels):
+    """The score of every document in plain Python: TF-IDF times 1 + z over words and prefixes, full sort, votes, isotonic fit."""
+    terms = {i: Counter(t for w in re.findall(r"\w+", (x or "").lower()) for t in toxicity.word_terms(w)) for i, x in docs}
+    df = Counter(t for c in terms.values() for t in c)
+    examples = [(i, labels[i]) for i, _ in docs if i in labels and zlib.crc32(str(i).encode()) % 4 != 2]
+    n1, n0 = sum(y for _, y in examples), sum(1 - y for _, y in examples)
+    a, b = (Counter(t for i, y in examples if y == x for t in terms[i]) for x in (1, 0))
+
+    def weight(t):
+        p = (a[t] + b[t] + 1) / (n1 + n0 + 2)
+        return (math.log((1 + len(docs)) / (1 + df[t])) + 1) * (1 + max((a[t] / n1 - b[t] / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), 0))
+
+    def vector(i):
+        v = {t: (1 + math.log(n)) * weight(t) for t, n in terms[i].items() if a[t] or b[t]}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: vector(i) for i, _ in docs}
+
+    def vote(i, out=None):
+        near = sorted(((sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), y) for j, y in examples if j != out), reverse=True)
+        near = [(c, y) for c, y in near if c > 1e-9 and c >= near[toxicity.NEIGHBOURS - 1][0] - 1e-6]
+        w = [1 / (1.05 - min(c, 1)) for c, _ in near]
+        return sum(x * y for x, (_, y) in zip(w, near, strict=True)) / sum(w) if near else None
+
+    import numpy as np
+
+    fit = [(v, y) for i, y in examples if (v := vote(i, i)) is not None]
+    knots, means = toxicity.isotonic(np.array([v for v, _ in fit]), np.array([float(y) for _, y in fit]))
+    none = [y for i, y in examples if not vectors[i]]
+    without = (sum(none) + 0.01) / (len(none) + 1)
+    return {i: without if (v := vote(i)) is None else float(np.interp(v, knots, means)) for i, _ in docs}
+
+
+def test_toxicity_matches_brute_force(spark):
+    rng = random.Random(12)
+    docs = [(i, " ".join([*rng.choices(WORDS[:60], k=rng.randint(3, 20)), *(rng.choices(["vile", "scum", "filthy"], k=2) if i % 5 == 0 else [])])) for i in range(150)] + [(500, None), (501, "zzzz")]
+    labels = {i: int(i % 5 == 0) for i in range(100)}
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
+    want = brute_scores(docs, labels)
+    assert all(abs(got[i] - want[i]) < 1e-3 for i in want)
 
 
 def test_toxicity_finds_held_out(spark):
@@ -179,22 +283,6 @@ def test_toxicity_of_few_labels_uses_all_terms(spark):
     assert any(i % 8 == 0 for i in held) and min(got[i]["score"] for i in held if i % 8 == 0) > max(got[i]["score"] for i in held if i % 8)
 
 
-def test_cosine_index_is_exact():
-    import numpy as np
-
-    rng = random.Random(4)
-    vectors = []
-    for _ in range(500):
-        terms = np.array(sorted(set(rng.sample(range(20), 3) + rng.sample(range(400), 6))))
-        w = np.array([rng.random() + 0.1 for _ in terms])
-        vectors.append((terms, w / np.sqrt((w * w).sum())))
-    full = np.zeros((500, 400))
-    for i, (t, w) in enumerate(vectors):
-        full[i, t] = w
-    index = toxicity.CosineIndex(np.cumsum([0, *(len(t) for t, _ in vectors)]), np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors]), 400)
-    assert 0 < len(index.matrix) < 400 and np.allclose(index.cosines(vectors), full @ full.T, atol=1e-6)
-
-
 def test_toxicity_without_labels(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity_scores(odd, labels).collect()} == {0.0}
@@ -231,13 +319,12 @@ def test_decontamination_tolerates_substitutions(spark, limit):
     rng.shuffle(docs)
     got = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), limit)
     found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
-    # Items shorter than the masks are only found without substitutions.
-    want = {(d, i) for d, i in brute_overlaps(docs, items) if d not in (20, 21)}
-    assert found == want and {d for d, _ in want} == {10, 11, 12, 13, 14, 22, 23, 24}
+    want = brute_overlaps(docs, items)
+    assert found == want and {d for d, _ in want} == {10, 11, 12, 13, 14, 20, 21, 22, 23, 24}
 
 
 def test_masks_hit_every_placement():
-    for n in range(decontam.LEAST_SPACED, decontam.WINDOW + 1):
+    for n in range(decontam.LEAST_TOKENS, decontam.WINDOW + 1):
         ((_, _, masks),) = decontam.families([n])
         places = [sum(1 << (o + i) for i, x in enumerate(m) if x == "1") for m in masks for o in range(n - len(m) + 1)]
         for changed in itertools.combinations(range(n), n - math.ceil(n * decontam.LEAST_SHARE)):
@@ -251,7 +338,7 @@ def test_decontamination_with_regular_substitutions(spark):
         for phase in range(4):
             words = said.split()
             n = min(len(words), decontam.WINDOW)
-            changed = [k for k in range(phase, len(words), 4) if n >= 10][: None if len(words) >= 16 else n - math.ceil(n * 0.7)]
+            changed = [k for k in range(phase, len(words), 4) if n >= 5][: None if len(words) >= 16 else n - math.ceil(n * 0.7)]
             docs.append((10 * i + phase, " ".join(["before", *("other" if k in changed else w for k, w in enumerate(words)), "after"])))
     got = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(d, d // 10) for d, _ in docs}
@@ -295,6 +382,21 @@ def test_chat_layouts(spark):
         chat.canonical_turns(spark.createDataFrame([(1, 2)], "conv_id long, x int"))
 
 
+def test_chat_fingerprints_select_nested_layouts(spark):
+    records = [
+        '{"messages": [{"from": "human", "value": "v"}]}', '{"id": 7, "conversations": [{"from": "human", "value": "v", "weight": 1}], "source": {"a": 1}}',
+        '{"system": "", "question": "q", "answer": "a"}', '{"question": "q", "answer": "a"}', '{"instruction": "i", "output": "o"}', '{"prompt": "p", "completion": "c", "response": "r"}', "[1]",
+    ]
+    mixed = spark.createDataFrame(list(enumerate(records)), "conv_id long, r string")
+    assert {r["conv_id"]: r["layout"] for r in chat.json_layouts(mixed, "r").collect()} == {0: None, 1: "conversations", 2: "system_question", 3: "system_question", 4: "instruction", 5: None, 6: None}
+    assert sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat.canonical_turns_json(mixed, "r").collect()) == [(1, 0, "user", "v"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", "q"), (3, 1, "assistant", "a"), (4, 0, "user", "i"), (4, 1, "assistant", "o")]
+    kind = lambda ddl: chat.layout_of(chat.T.StructType.fromDDL(ddl)).name
+    assert kind("conv_id long, messages array<struct<role:string,content:string>>, meta string") == "messages"
+    assert kind("conv_id long, turn long, role string, text string, prompt string, x int") == "turn_rows"
+    with pytest.raises(ValueError):
+        kind("conv_id long, messages array<struct<from:string,value:string>>")
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
@@ -345,16 +447,51 @@ def test_near_duplicates_of_odd_input(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def near_group(n: int, seed: int) -> list[str]:
+    """Texts around one base, from close copies to a fringe that is not alike, with edits that many of them share."""
+    rng, base = random.Random(seed), say(800 + seed, 90).split()
+    out = []
+    for k in range(n):
+        words = base[:]
+        for at in rng.sample(range(90), k % 7):
+            words[at] = rng.choice([f"edit{at}", f"own{rng.random()}"])
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 8])
+def test_fringe_of_a_group_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    docs = list(enumerate(near_group(120, 3)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute_groups(docs)
+    assert got == want and len({c for _, c in want.values()}) > 10
+
+
+def test_likely_pairs_reach_the_recall(spark):
+    """All links between texts of different components are among the pairs, each once."""
+    rows = [(k, len(s), neardup.odd_sketch(m).tolist(), neardup._band_keys(m, neardup.BANDS2, neardup.ROWS2).tolist(), k, s) for k, t in enumerate(near_group(80, 5)) for s in (neardup.shingle_set(t, neardup._WordHashes()),) for m in (neardup._minhash(s, slice(neardup.BANDS * neardup.ROWS, None)),)]
+    sets = [set(r[5].tolist()) for r in rows]
+    frame = spark.createDataFrame([(*r[:5], r[1]) for r in rows], "rep long, n long, sketch array<long>, bands array<long>, component long, shared long")
+    pairs = [tuple(r) for r in neardup._likely(frame).collect()]
+    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if rows[a][2] != rows[b][2] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(pairs) == len(set(pairs)) and len(want) > 100 and len(want & set(pairs)) >= 0.99 * len(want)
+
+
+def test_null_ids_are_kept_unless_they_are_copies(spark):
+    rows = [(None, say(3, 30)), (None, say(3, 30)), (None, say(4, 30)), (5, say(4, 30)), (6, say(5, 30)), (6, say(6, 30))]
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, None, True), (None, None, True), (None, 5, False), (5, 5, True), (6, 6, True), (6, 6, True)], key=str)
+
+
 def test_odd_sketch_estimates_similarity(spark):
-    a = say(31, 500).split()
-    b = a[:480] + say(32, 20).split()
-    texts = [(0, " ".join(a)), (1, " ".join(b))]
-    rows = spark.createDataFrame(texts, "rep long, text string").mapInArrow(neardup._sketches, neardup.SKETCH)
-    x, y = rows.where("rep = 0").selectExpr("sketch as x"), rows.where("rep = 1").selectExpr("sketch as y")
+    a = say(31, 500)
+    b = " ".join(a.split()[:480] + say(32, 20).split())
+    x, y = (neardup.odd_sketch(neardup._minhash(neardup.shingle_set(t, neardup._WordHashes()), slice(neardup.BANDS * neardup.ROWS, None))).tolist() for t in (a, b))
     from pyspark.sql import functions as F
 
-    est = x.crossJoin(y).select(neardup.odd_similarity(F.col("x"), F.col("y")).alias("e")).first()["e"]
-    s, t = shingles(texts[0][1]), shingles(texts[1][1])
+    est = spark.createDataFrame([(x, y)], "x array<long>, y array<long>").select(neardup.odd_similarity(F.col("x"), F.col("y")).alias("e")).first()["e"]
+    s, t = shingles(a), shingles(b)
     assert abs(est - len(s & t) / len(s | t)) < 0.08
 
 
@@ -418,6 +555,15 @@ def test_line_dedup_of_odd_input(odd, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_with_clashing_columns(spark):
+    names = ["_id", "_tie", "_gone", "_text", "tie", "hash", "id", "row", "gone", "lines", "line", "words", "n_lines", "n_deleted"]
+    text = "\n".join(say(k, 9) for k in range(8))
+    df = spark.createDataFrame([(i, t, *[7] * len(names)) for i, t in enumerate([f"{text}\nfirst", f"other\n{text}"])], f"doc_id long, text string, {', '.join(f'{x} int' for x in names)}")
+    got = linededup.dedup_lines(df)
+    assert got.columns == df.columns
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_deleted"], r["row"]) for r in got.collect()} == {0: (f"{text}\nfirst", 9, 0, 7), 1: ("other", 9, 8, 7)}
+
+
 # ---------------------------------------------------------------- secrets
 
 
@@ -448,6 +594,48 @@ def test_battery_adds_random_tokens(spark):
     assert sum(len(rows[i]["spans"]) for i in range(40)) >= 30 and not any(rows[1000 + i]["spans"] for i in range(400))
 
 
+def brute_battery(token):
+    """The statistic of the three tests, and the p-value, in plain Python."""
+    bare = token.rstrip("=")
+    size = next(m for m, p in [(16, "[0-9a-f]+|[0-9A-F]+"), (32, "[A-Z2-7]+"), (36, "[a-z0-9]+|[A-Z0-9]+"), (64, ".*")] if re.fullmatch(p, bare))
+    order = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "0123456789abcdefghijklmnopqrstuvwxyz", 64: secrets._ORDER}[size]
+    code = [order.index(x.lower() if size in (16, 36) else {"-": "+", "_": "/"}.get(x, x)) for x in bare]
+    n, many = len(code), Counter(bare).values()
+    uniform = max(0.0, (sum(c * c for c in many) * size / n - n - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n))
+    up = [c >= size / 2 for c in code]
+    high, runs = sum(up), 1 + sum(x != y for x, y in itertools.pairwise(up))
+    expected = 2 * high * (n - high) / n + 1
+    ran = (runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9)) if 0 < high < n else math.sqrt(n)
+    mean = sum(code) / n
+    variance = sum((c - mean) ** 2 for c in code)
+    serial = sum((x - mean) * (y - mean) for x, y in itertools.pairwise(code)) / variance * math.sqrt(n) if variance else math.sqrt(n)
+    pairs, same = n * (n - 1) / 2, sum(c * (c - 1) / 2 for c in many)
+    z = (pairs * 0.06 - same) / math.sqrt(pairs * 0.06 * 0.94 + n * (n - 1) * (n - 2) * (0.0045 - 0.0036))
+    p = 0.35**n if size == 16 else (math.exp(-z * z / 2) * min(0.5, 0.3989423 / max(z, 1e-6)) if z > 0 else 1.0)
+    return uniform**2 + ran**2 + serial**2, p
+
+
+def test_battery_matches_plain_python(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", secrets._ORDER, secrets._ORDER[:62] + "-_", "ab", "a"]
+    tokens = ["".join(rng.choices(a, k=rng.randint(20, 90))) for a in alphabets for _ in range(12)] + ["abcdefghijklmnopqrstuvwxyz", "A" * 30 + "=="]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.battery(F.col("t")).alias("b"), secrets.natural_p(F.col("t")).alias("p")).collect()
+    for r in got:
+        b, p = brute_battery(r["t"])
+        assert abs(r["b"] - b) < 1e-6 * max(1, b) and abs(r["p"] - p) < 1e-9
+
+
+def test_battery_needs_no_natural_words(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choices(a, k=n)) for a, n in [(letters + "0123456789+/", 40), (letters, 48), (letters + "0123456789-_", 64), ("0123456789ABCDEF", 32)]]
+    docs = [(i, f"see {k} now") for i, k in enumerate(keys)] + [(9, "abcdefghijklmnopqrstuvwxyz and internationalizationalism donaudampfschifffahrtsgesellschaft")]
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"]] for r in secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {**{i: [(4, 4 + len(k), 3)] for i, k in enumerate(keys)}, 9: []}
+
+
 def test_secrets_of_odd_input(odd, none):
     assert secrets.scan_secrets(odd).count() == len(odd_documents()) and secrets.scan_secrets(none).count() == 0
 
@@ -460,8 +648,46 @@ def test_ppm_probabilities_add_up():
 
     texts = ["the cat and the hat", "der hund und die katze"]
     counts = {x: np.unique(language._grams(language._bytes(t)), return_counts=True) for x, t in zip("ab", texts, strict=True)}
-    p = np.exp2(-language.Model(counts).bits.astype(float)).reshape(-1, language.Model(counts).a, 2).sum(1)
-    assert (p <= 1.0001).all() and (p > 0.2).all()
+    for size in (1 << 20, 4000):
+        model = language.Model(counts, model_bytes=size)
+        p = np.exp2(-model.bits.astype(float)).reshape(-1, model.a, 2).sum(1)
+        assert np.allclose(p, 1, atol=1e-5) and model.bits.nbytes <= 3 * size
+
+
+def brute_bits(training, text, order=language.ORDER):
+    """Code length by PPM, method C with exclusion, in plain Python over all contexts seen in training."""
+    data = b"\n" * order + training.lower().encode()
+    seen = defaultdict(Counter)
+    for i in range(order, len(data)):
+        for k in range(order + 1):
+            seen[data[i - k : i]][data[i]] += 1
+
+    @cache
+    def shares(context):
+        c, shorter = seen[context], shares(context[1:]) if context else [1 / 256] * 256
+        n, d, left = sum(c.values()), len(c), sum(s for y, s in enumerate(shorter) if not c[y])
+        return [c[y] / (n + d) if c[y] else d / (n + d) * s / left for y, s in enumerate(shorter)] if n else shorter
+
+    said = b"\n" * order + text.lower().encode()
+    return -sum(math.log2(shares(said[i - order : i])[said[i]]) for i in range(order, len(said)))
+
+
+def test_code_lengths_match_brute_force(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(language, "LEAST_CONTEXT", 1)
+    texts = ["abracadabra", "banana bandana"]
+    model = language.Model({x: np.unique(language._grams(language._bytes(t)), return_counts=True) for x, t in zip("ab", texts, strict=True)})
+    for text in ("abra", "bandana ab", "nab", "cab dna"):
+        bits, _ = model.code_lengths(text)
+        assert np.allclose(bits, [brute_bits(t, text) for t in texts], rtol=1e-4)
+
+
+def test_equal_code_lengths_go_to_the_first_language():
+    import numpy as np
+
+    counts = np.unique(language._grams(language._bytes("same words")), return_counts=True)
+    assert language.Model({"b": counts, "a": counts}).predict("same") == ("a", 0.5)
 
 
 def test_language_held_out_accuracy(spark, sf_dir):
