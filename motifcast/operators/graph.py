@@ -128,13 +128,9 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def edge_triangles(edges: DataFrame) -> DataFrame:
     """(src, dst, third): for each directed pair every third vertex that closes a triangle."""
-    t = triangles(edges)
-    turns = [("a", "b", "c"), ("a", "c", "b"), ("b", "c", "a")]
-    out = [t.select(F.col(x).alias("src"), F.col(y).alias("dst"), F.col(z).alias("third")) for p, q, z in turns for x, y in ((p, q), (q, p))]
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    turns = [("a", "b", "c"), ("b", "a", "c"), ("a", "c", "b"), ("c", "a", "b"), ("b", "c", "a"), ("c", "b", "a")]
+    six = F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.col(z).alias("third")) for x, y, z in turns])
+    return triangles(edges).select(F.inline(six))
 
 
 def edge_four_cycles(edges: DataFrame) -> DataFrame:

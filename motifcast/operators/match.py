@@ -300,24 +300,25 @@ def match_graph(pattern: Pattern, vertices: DataFrame, edges: DataFrame) -> Data
 
 
 def match_batch(patterns: list[Pattern], vertices: DataFrame, edges: DataFrame, timeout_s: float | None = None) -> DataFrame:
-    """(pattern, elapsed_ms, cardinality): one count per pattern; -1 where it failed or took too long (its jobs are cancelled)."""
+    """(pattern, elapsed_ms, cardinality, failure): one count per pattern. Where it took too long (its jobs are cancelled) or
+    failed, the cardinality is -1 and ``failure`` says ``timeout`` or names the error; it is null else."""
     import threading
     import time
 
     spark, rows = vertices.sparkSession, []
     context = spark.sparkContext
     for pattern in patterns:
-        tag, began, n = f"match-{pattern.name}", time.time(), -1
+        tag, began, n, failure = f"match-{pattern.name}", time.time(), -1, None
         timer = threading.Timer(timeout_s or 1e6, context.cancelJobsWithTag, [tag])
         timer.daemon = True
         context.addJobTag(tag)
         timer.start()
         try:
             n = match_graph(pattern, vertices, edges).count()
-        except Exception as failure:  # a cancelled or failed job counts as not answered
-            print(f"{pattern.name}: {str(failure)[:200]}")
+        except Exception as error:  # a cancelled or failed job counts as not answered
+            failure = "timeout" if timeout_s and time.time() - began >= timeout_s else f"{type(error).__name__}: {str(error)[:200]}"
         finally:
             timer.cancel()
             context.removeJobTag(tag)
-        rows.append((pattern.name, (time.time() - began) * 1000, n))
-    return spark.createDataFrame(rows, "pattern string, elapsed_ms double, cardinality long")
+        rows.append((pattern.name, (time.time() - began) * 1000, n, failure))
+    return spark.createDataFrame(rows, "pattern string, elapsed_ms double, cardinality long, failure string")

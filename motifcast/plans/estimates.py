@@ -212,7 +212,14 @@ def strata(spark, d):
 ST = POP + CUTS.format("proxy")
 
 
-@query("e4_pilot_allocation")
+#: Largest remainder of {0} units over s(stratum, s), at least 1 each (no stratum is smaller than its share here).
+SHARED = ", f AS (SELECT *, floor(w) AS b, row_number() OVER (PARTITION BY {1} ORDER BY floor(w) - w, stratum) AS r, {0} - sum(floor(w)) OVER (PARTITION BY {1}) AS rest FROM (SELECT *, {0} * (s / sum(s) OVER (PARTITION BY {1})) AS w FROM s))"
+UNITS = "greatest(1, b + (r <= rest)::INT)::BIGINT AS n_h FROM f"
+PILOT = f", r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {prn_sql('id', 'pilot')}, id) AS r, CASE WHEN pass THEN a ELSE 0 END AS y FROM st), s AS (SELECT stratum, sqrt(greatest(0, sum(y) / sum(a) * coalesce(stddev_samp(y), 0))) AS s FROM r WHERE r <= 20 GROUP BY stratum)"
+ALLOCATED = {"root_wp": "sum(a * sqrt(proxy))", "sqrt_wp": "sum(sqrt(a * proxy))", "neyman_bernoulli": "sum(a * sqrt(greatest(proxy * (1 - proxy), 0)))", "prop_value": "sum(a * proxy)", "uniform": "count(*)::DOUBLE", "w_root_mean_p": "sum(a) * sqrt(avg(proxy))"}
+
+
+@query("e4_pilot_allocation", ST + ", s AS (SELECT stratum, count(*)::DOUBLE AS s FROM st GROUP BY stratum)" + SHARED.format(100, "1") + " SELECT stratum, " + UNITS)
 def _(spark, d):
     pop = strata(spark, d)
     counts = {r["stratum"]: float(r["count"]) for r in pop.groupBy("stratum").count().collect()}
@@ -224,13 +231,13 @@ def _(spark, d):
     return E.pilot_statistics(E.uniform(strata(spark, d), dict.fromkeys(range(5), 20), "pilot")).withColumns({"rate": F.round("rate", 6), "sd": F.round("sd", 6)})
 
 
-@query("e6_second_allocation")
+@query("e6_second_allocation", ST + PILOT + SHARED.format(100, "1") + " SELECT stratum, " + UNITS)
 def _(spark, d):
     pop = strata(spark, d)
     return E.sizes_frame(pop, E.second_allocation(E.pilot_statistics(E.uniform(pop, dict.fromkeys(range(5), 20), "pilot")), 100))
 
 
-@query("e7_allocate")
+@query("e7_allocate", ST + ", s AS (" + " UNION ALL ".join(f"SELECT '{rule}' AS rule, stratum, {of} AS s FROM st GROUP BY stratum" for rule, of in ALLOCATED.items()) + ")" + SHARED.format(200, "rule") + " SELECT rule, stratum, " + UNITS)
 def _(spark, d):
     pop = strata(spark, d)
     return union_all([E.sizes_frame(pop, E.allocate(pop, 200, rule)).select(F.lit(rule).alias("rule"), "*") for rule in (*E.RULES, "w_root_mean_p")])
@@ -325,9 +332,9 @@ def _(spark, d):
     return E.confidence(_sample(spark, d), kind="bernstein").select(*[F.round(c, 3).alias(c) for c in ("estimate", "lo", "hi")])
 
 
-@query("e23_confidence_winsorised")
+@query("e23_confidence_winsorised", UNI.split(", per AS")[0] + ", top AS (SELECT stratum, quantile_cont(z, 1 - 1e-6) AS top, count(*) AS k FROM z GROUP BY stratum), per AS (SELECT stratum, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM (SELECT stratum, CASE WHEN k > 20 THEN least(z, top) ELSE z END AS x FROM z JOIN top USING (stratum)) GROUP BY stratum) SELECT round(sum(m), 3) AS estimate, round(greatest(0, sum(m) - 1.959963984540054 * sqrt(sum(v / n))), 3) AS lo, round(sum(m) + 1.959963984540054 * sqrt(sum(v / n)), 3) AS hi FROM per")
 def _(spark, d):
-    return E.confidence(_sample(spark, d), winsorise=True)
+    return E.confidence(_sample(spark, d), winsorise=True).select(*[F.round(c, 3).alias(c) for c in ("estimate", "lo", "hi")])
 
 
 @query("e24_budget_curve_systematic")

@@ -165,8 +165,8 @@ def _(spark, d):
 
 
 @query("y9_semantic_check", LONG + """, o AS (SELECT i.pattern, count(*) AS odd FROM ind i JOIN pv a ON a.pattern = i.pattern AND a.q = i.u JOIN pv b ON b.pattern = i.pattern AND b.q = i.v WHERE (least(a.label, b.label), greatest(a.label, b.label)) NOT IN ((0, 1), (1, 2)) GROUP BY i.pattern),
-n AS (SELECT pattern, sum((label = 1)::INT)::BIGINT AS c FROM pv GROUP BY pattern),
-r AS (SELECT pattern, CASE WHEN c <> 1 THEN c || ' centres' WHEN odd > 0 THEN odd || ' pairs of labels not allowed' ELSE '' END AS reason FROM n LEFT JOIN o USING (pattern)) SELECT pattern, reason = '' AS ok, reason FROM r""")
+centres AS (SELECT pattern, sum((label = 1)::INT)::BIGINT AS c FROM pv GROUP BY pattern),
+r AS (SELECT pattern, CASE WHEN c <> 1 THEN c || ' centres' WHEN odd > 0 THEN odd || ' pairs of labels not allowed' ELSE '' END AS reason FROM centres LEFT JOIN o USING (pattern)) SELECT pattern, reason = '' AS ok, reason FROM r""")
 def _(spark, d):
     _, induced, vertices = drawn(spark, d)
     return Y.semantic_check(vertices, induced, 1, [(0, 1), (1, 2)])
