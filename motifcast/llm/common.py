@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motifcast.functions.frames import shared_folder
+
 #: Bounds of what may be broadcast: rows are counted (or bounded by construction) before a broadcast hint is given.
 BROADCAST_ROWS = 1_000_000
 #: Rows of an Arrow batch that a Python worker gets.
 ARROW_ROWS = 1_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
-
-    Only where neither the session nor the context has a folder (as in tests) a temporary one is set.
-    """
+    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
     spark = df.sparkSession
     shared_folder(spark)
     # A checkpoint keeps its plan's constraints; a union of two such frames then fails in the optimizer. It needs none. Python
