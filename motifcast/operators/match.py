@@ -292,10 +292,16 @@ def match(pattern: Pattern, between: DataFrame, sizes: dict[int, int] | None = N
     return out.select(*[f"u{q}" for q in range(len(pattern.labels))])
 
 
-def match_graph(pattern: Pattern, vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Match over all edges between vertices of the right labels, without further filtering."""
+def match_graph(pattern: Pattern, vertices: DataFrame, edges: DataFrame, passing: DataFrame | None = None) -> DataFrame:
+    """Match over all edges between vertices of the right labels. With ``passing`` (vid) the core vertices must be among them:
+    that filters the candidates, before any embedding is made."""
     wanted = vertices.where(F.col("label").isin(sorted(set(pattern.labels))))
-    candidates = union_all([wanted.where(F.col("label") == x).select(F.lit(q).alias("q"), "vid") for q, x in enumerate(pattern.labels)])
+
+    def of(q: int, label: int) -> DataFrame:
+        rows = wanted.where(F.col("label") == label).select(F.lit(q).alias("q"), "vid")
+        return rows.join(passing.select("vid"), "vid", "left_semi").select("q", "vid") if passing is not None and q in pattern.core else rows
+
+    candidates = union_all([of(q, x) for q, x in enumerate(pattern.labels)])
     return match(pattern, candidate_edges(pattern, candidates, edges))
 
 

@@ -266,8 +266,9 @@ def core_sql(name: str) -> str:
 
 
 def passed(spark, d, name):
+    """Embeddings whose core vertices pass, with the predicate pushed into the candidates."""
     attrs = attributes(trade_vertices(spark, d))
-    return P.filter_core(embeddings(spark, d, name), attrs, M.PATTERNS[name].core), attrs
+    return M.match_graph(M.PATTERNS[name], *trade(spark, d), P.passing(attrs)), attrs
 
 
 @query("p1_oracle_source", "SELECT 'post' AS type, doc_id::VARCHAR AS orig_id, toxic::DOUBLE AS prob FROM labels UNION ALL SELECT 'comment', event_id::VARCHAR, 0.0 FROM events")
@@ -285,7 +286,7 @@ def _(spark, d):
 
 @query("p3_filter_core", f"{T}, {TRI} SELECT * FROM m WHERE {core_sql('tri')}")
 def _(spark, d):
-    return passed(spark, d, "tri")[0]
+    return P.filter_core(embeddings(spark, d, "tri"), attributes(trade_vertices(spark, d)), M.PATTERNS["tri"].core)
 
 
 @query("p4_exact_count", f"{T}, {PATH3} SELECT 'path3' AS pattern, count(*) AS n, sum(a.val)::BIGINT AS total, sum(a.val) / count(*) AS mean FROM m JOIN a ON a.vid = u1 WHERE {core_sql('path3')}")

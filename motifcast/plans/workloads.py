@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from motifcast.functions.frames import checkpointed
+from motifcast.functions.frames import checkpointed, shared_folder
 from motifcast.functions.random import prn, prn_sql
 from motifcast.operators import graph as G
 from motifcast.operators import synth as W
@@ -213,15 +212,12 @@ def _(spark, d):
 
 def folder(spark) -> str:
     """A new folder that driver and executors share."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return f"{context._jsc.sc().getCheckpointDir().get()}/files-{uuid.uuid4()}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4()}"
 
 
-@query("s1_s2_graph_round_trip", T + " SELECT src, dst, elabel FROM e WHERE elabel IN (0, 3)")
+@query("s1_s2_graph_round_trip", T + " SELECT src, dst, elabel FROM e")
 def _(spark, d):
-    links, path = trade_links(spark, d).where("elabel in (0, 3)"), folder(spark)
+    links, path = trade_links(spark, d), folder(spark)
     edges = G.both_directions(links)
     vertices = trade_vertices(spark, d).where("label <> 9").join(G.degrees(edges), "vid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     S.write_graph(vertices, links, path)
