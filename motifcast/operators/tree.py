@@ -8,6 +8,7 @@ their random numbers are portable (md5), so samples repeat under any partitionin
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -145,9 +146,9 @@ def _beta(x: float, a: float, b: float) -> float:
     return front * h
 
 
-def stop_rule(trials: DataFrame, budget: int = 1000, every: int = 100, give_up: int = 50_000, least: int = 10) -> tuple[int, int]:
-    """(trials, successes) at which sampling may stop: at a multiple of ``every`` from ``budget`` on, where the exact 95 % bounds
-    of the success rate are within [0.8, 1.25] of it; or at ``give_up`` with at most ``least`` successes; else all trials.
+def first_stop(trials: DataFrame, budget: int = 1000, every: int = 100, give_up: int = 50_000, least: int = 10) -> tuple[int, int, bool]:
+    """(trials, successes, stopped): the first multiple of ``every`` from ``budget`` on where the exact 95 % bounds of the success
+    rate are within [0.8, 1.25] of it, or ``give_up`` with at most ``least`` successes; else all trials, not stopped.
 
     Successes are counted per step of ``every`` trials; only these counts reach the driver."""
     steps = trials.groupBy(F.expr(f"trial div {every}L").alias("step")).agg(F.sum(F.col("valid").cast("int")).alias("s"), F.count(F.lit(1)).alias("n")).orderBy("step").collect()
@@ -159,10 +160,41 @@ def stop_rule(trials: DataFrame, budget: int = 1000, every: int = 100, give_up:
             low_ok = binomial_tail(s, n, 0.8 * rate) < 0.025
             high_ok = 1.25 * rate >= 1 or 1 - binomial_tail(s + 1, n, 1.25 * rate) < 0.025
             if low_ok and high_ok:
-                break
+                return n, s, True
         if n >= give_up and s <= least:
-            break
-    return n, s
+            return n, s, True
+    return n, s, False
+
+
+def stop_rule(trials: DataFrame, budget: int = 1000, every: int = 100, give_up: int = 50_000, least: int = 10) -> tuple[int, int]:
+    """(trials, successes) at which sampling may stop (see ``first_stop``)."""
+    return first_stop(trials, budget, every, give_up, least)[:2]
+
+
+def draw_rounds(draw: Callable[[int, int], DataFrame], settled: Callable[[DataFrame], bool], at_once: int = 4000) -> DataFrame:
+    """Trials of ``draw(first, n)`` in rounds that double, until ``settled``. A trial hangs on its number alone, so the size of a
+    round does not change the result. Nothing is drawn twice; an empty space (no trial drawn) ends at once."""
+    trials, n = checkpointed(draw(0, at_once)), at_once
+    while not trials.isEmpty() and not settled(trials):
+        trials, n = checkpointed(trials.unionByName(draw(n, n))), 2 * n
+    return trials
+
+
+def sample_until_stop(pattern: Pattern, tree: Tree, counts: dict[int, DataFrame], between: DataFrame, seed: str, at_once: int = 4000, **rule: int) -> DataFrame:
+    """Trials drawn until the stop rule holds, cut at the trial where it does."""
+    trials = draw_rounds(lambda first, n: sample_trees(pattern, tree, counts, between, n, seed, first), lambda t: first_stop(t, **rule)[2], at_once)
+    return trials.where(F.col("trial") < first_stop(trials, **rule)[0])
+
+
+def estimate_embeddings(pattern: Pattern, candidates: DataFrame, between: DataFrame, trials: DataFrame, total: float, keep: int = 2000, least: int = 10, seed: str = "grow") -> DataFrame:
+    """(estimate, trials, successes, by): by the trials, or by expansion where at most ``least`` of them succeeded.
+
+    Expansion then keeps ``keep`` partial embeddings per pattern vertex, fewer the more trials succeeded."""
+    n, s = trials.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("valid").cast("long")), F.lit(0))).first()
+    if s > least:
+        return estimate_count(trials, total).withColumn("by", F.lit("trees"))
+    grown = estimate_by_expansion(pattern, candidates, between, math.ceil(keep * len(pattern.labels) / math.sqrt(s + 1)), seed)
+    return grown.select("estimate", F.lit(n).cast("long").alias("trials"), F.lit(s).cast("long").alias("successes"), F.lit("expansion").alias("by"))
 
 
 def estimate_count(trials: DataFrame, total: float) -> DataFrame:
@@ -183,11 +215,12 @@ def projection_weights(trials: DataFrame, core: tuple[int, ...], total: float, g
     return trials.where("valid").groupBy(instance).agg((F.sum(F.lit(1) if g is None else g) * F.lit(total) / n).alias("est_w"))
 
 
-def estimate_under_budget(trials: DataFrame, attrs: DataFrame, core: tuple[int, ...], total: float, budget: int, g: Column | None = None) -> DataFrame:
-    """Estimate with the oracle inside the loop: (estimate, trials, unique, calls, hits) within ``budget`` new vertices.
+def paid_trials(trials: DataFrame, attrs: DataFrame, core: tuple[int, ...], budget: int, **rule: int) -> tuple[DataFrame, bool]:
+    """Trials that count (draw, valid, pass, cost, checks), with the oracle inside the loop, and whether the run is over.
 
     Trials are taken in order. A valid trial checks its core vertices in order until one fails; a vertex is paid when first
-    checked. The run stops before the first trial that cannot be paid in full; that trial does not count."""
+    checked. The run is over before the first trial that ``budget`` new vertices cannot pay in full (that trial does not count), or
+    where the stop rule holds for trials that are valid and pass."""
     from motifcast.functions.ordered import running
     from motifcast.operators.predicate import short_circuit
 
@@ -200,6 +233,13 @@ def estimate_under_budget(trials: DataFrame, attrs: DataFrame, core: tuple[int,
     each = checkpointed(running(each.withColumn("at", F.col("draw") / F.lit(top + 1.0)), ["at", "draw"], "cost", "spent"))
     last = each.where(F.col("spent") > budget).agg(F.min("draw")).first()[0]
     kept = each if last is None else each.where(F.col("draw") < last)
+    n, _, stopped = first_stop(kept.select(F.col("draw").alias("trial"), (F.col("valid") & F.coalesce("pass", F.lit(False))).alias("valid")), **rule)
+    return kept.where(F.col("draw") < n) if stopped else kept, stopped or last is not None
+
+
+def estimate_under_budget(trials: DataFrame, attrs: DataFrame, core: tuple[int, ...], total: float, budget: int, g: Column | None = None, **rule: int) -> DataFrame:
+    """(estimate, trials, unique, calls, hits) of the trials that count within ``budget`` new vertices (see ``paid_trials``)."""
+    kept = paid_trials(trials, attrs, core, budget, **rule)[0]
     if g is not None:
         kept = kept.join(trials.select(F.col("trial").alias("draw"), g.alias("g")), "draw")
     hit = F.when(F.col("valid") & F.col("pass"), F.col("g") if g is not None else F.lit(1)).otherwise(0)
@@ -207,6 +247,16 @@ def estimate_under_budget(trials: DataFrame, attrs: DataFrame, core: tuple[int,
     return sums.select(F.coalesce(F.try_divide(F.col("s") * F.lit(total), F.col("trials")), F.lit(0.0)).alias("estimate"), "trials", "unique", "calls", (F.col("calls") - F.col("unique")).alias("hits"))
 
 
+def sample_until_spent(pattern: Pattern, tree: Tree, counts: dict[int, DataFrame], between: DataFrame, attrs: DataFrame, core: tuple[int, ...], budget: int, seed: str, at_once: int = 4000, **rule: int) -> DataFrame:
+    """Trials drawn until ``budget`` new vertices are spent or the stop rule holds."""
+    return draw_rounds(lambda first, n: sample_trees(pattern, tree, counts, between, n, seed, first), lambda t: paid_trials(t, attrs, core, budget, **rule)[1], at_once)
+
+
+def curve_budgets(fracs: tuple[float, ...], costs: dict[float, float], summary: float | None = None, default: int = 500) -> dict[float, int]:
+    """Budget of each fraction: 1.2 times what the reference method paid there, else the ``summary`` value, else ``default``."""
+    return {f: math.ceil(1.2 * costs[f]) if f in costs else math.ceil(summary) if summary is not None else default for f in fracs}
+
+
 def estimate_by_expansion(pattern: Pattern, candidates: DataFrame, between: DataFrame, keep: int, seed: str) -> DataFrame:
     """(estimate): partial embeddings extended vertex by vertex; each partial keeps at most max(ceil(n/2), 4) of its n extensions
     at random and is weighted by n / kept; each level keeps at most ``keep`` partials, weighted likewise."""

@@ -36,9 +36,16 @@ def space(spark, d, name="tri"):
     return p, c, b, tree, X.count_trees(p, tree, c, b), attributes(vertices)
 
 
-def sampled(spark, d, n=4000, name="tri"):
-    p, c, b, tree, counts, attrs = space(spark, d, name)
-    return p, tree, X.total_trees(tree, counts), checkpointed(X.sample_trees(p, tree, counts, b, n, "trees")), attrs
+def stopped(spark, d, name="tri"):
+    """pattern, tree, total, trials up to where the stop rule holds."""
+    p, _, b, tree, counts, _ = space(spark, d, name)
+    return p, tree, X.total_trees(tree, counts), X.sample_until_stop(p, tree, counts, b, "trees")
+
+
+def under_budget(spark, d, core, budget, name="tri"):
+    p, _, b, tree, counts, attrs = space(spark, d, name)
+    trials = X.sample_until_spent(p, tree, counts, b, attrs, core, budget, "trees")
+    return X.estimate_under_budget(trials, attrs, core, X.total_trees(tree, counts), budget)
 
 
 @query("t1_choose_tree", "SELECT 'tree' AS what, 2 AS edges, count(*) > 0 AS rooted FROM lineitem")
@@ -59,44 +66,43 @@ def _(spark, d):
 
 @query("t3_sample_trees")
 def _(spark, d):
-    return sampled(spark, d)[3]
+    p, _, b, tree, counts, _ = space(spark, d)
+    return X.sample_trees(p, tree, counts, b, 4000, "trees")
 
 
 @query("t4_stop_rule")
 def _(spark, d):
-    trials = sampled(spark, d)[3]
-    n, s = X.stop_rule(trials)
-    return trials.where(F.col("trial") < n).agg(F.count(F.lit(1)).alias("trials"), F.sum(F.col("valid").cast("int")).alias("successes"))
+    *_, trials = stopped(spark, d)
+    return trials.agg(F.count(F.lit(1)).alias("trials"), F.sum(F.col("valid").cast("int")).alias("successes"))
 
 
 @query("t5_estimate_count")
 def _(spark, d):
-    _, _, total, trials, _ = sampled(spark, d)
-    return X.estimate_count(trials, total)
+    p, c, b, tree, counts, _ = space(spark, d)
+    trials = X.sample_until_stop(p, tree, counts, b, "trees")
+    return X.estimate_embeddings(p, c, b, trials, X.total_trees(tree, counts))
 
 
 @query("t6_root_frequency")
 def _(spark, d):
-    _, tree, total, trials, _ = sampled(spark, d)
+    _, tree, total, trials = stopped(spark, d)
     return X.root_frequency(trials, tree.order[0], total)
 
 
 @query("t7_projection_weights")
 def _(spark, d):
-    p, _, total, trials, _ = sampled(spark, d)
+    p, _, total, trials = stopped(spark, d)
     return X.projection_weights(trials, p.core, total)
 
 
 @query("t8_estimate_single_predicate")
 def _(spark, d):
-    _, _, total, trials, attrs = sampled(spark, d)
-    return X.estimate_under_budget(trials, attrs, (1,), total, 200)
+    return under_budget(spark, d, (1,), 200)
 
 
 @query("t9_estimate_multi_predicate")
 def _(spark, d):
-    _, _, total, trials, attrs = sampled(spark, d, name="cyc4")
-    return X.estimate_under_budget(trials, attrs, (0, 2), total, 500)
+    return under_budget(spark, d, (0, 2), 500, "cyc4")
 
 
 @query("t10_estimate_containing")
@@ -113,14 +119,17 @@ def _(spark, d):
 
 @query("t12_budget_curve")
 def _(spark, d):
-    p, _, total, trials, attrs = sampled(spark, d)
-    return X.budget_curve(trials, attrs, p.core, total, {0.1: 50, 0.2: 100, 0.5: 250})
+    p, c, b, tree, counts, attrs = space(spark, d)
+    n = c.where(F.col("q").isin(*p.core)).select("vid").distinct().count()  # an exact run checks each of them at most once
+    budgets = X.curve_budgets((0.1, 0.2, 0.5), {f: f * n for f in (0.1, 0.2)}, summary=n / 2)
+    trials = X.sample_until_spent(p, tree, counts, b, attrs, p.core, max(budgets.values()), "trees")
+    return X.budget_curve(trials, attrs, p.core, X.total_trees(tree, counts), budgets)
 
 
 @query("t13_sampled_vertices")
 def _(spark, d):
-    p, _, total, trials, attrs = sampled(spark, d)
-    return X.estimate_under_budget(trials, attrs, p.core, total, 200).select(F.lit(p.name).alias("pattern"), F.lit("trees").alias("method"), F.col("unique").alias("n_core"))
+    core = M.PATTERNS["tri"].core
+    return under_budget(spark, d, core, 200).select(F.lit("tri").alias("pattern"), F.lit("trees").alias("method"), F.col("unique").alias("n_core"))
 
 
 # ---------------------------------------------------------------- populations

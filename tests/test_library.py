@@ -140,6 +140,51 @@ def test_tree_estimates(small):
     assert abs(X.estimate_by_expansion(pattern, c, b, 100_000, "g").first()[0] - truth) < 0.5 * truth
 
 
+def test_tree_trials_are_drawn_until_the_rule_holds(spark, small):
+    vertices, edges = small
+    pattern = SQUARE
+    c = M.checkpointed(M.initial_candidates(pattern, vertices, edges))
+    b = M.checkpointed(M.candidate_edges(pattern, c, edges))
+    tree = X.choose_tree(pattern, *X.densities(c, b))
+    counts = X.count_trees(pattern, tree, c, b)
+    total = X.total_trees(tree, counts)
+    drawn = [X.sample_until_stop(pattern, tree, counts, b, "r", at_once) for at_once in (500, 4000)]
+    a, z = (sorted(map(tuple, t.collect())) for t in drawn)
+    assert a == z and len(a) % 100 == 0 and len(a) >= 1000 and X.first_stop(drawn[0])[2]
+    assert not X.first_stop(drawn[0].where(F.col("trial") < len(a) - 100))[2]
+    # With no success at all the rule gives up, and the estimate comes from expansion.
+    never = M.checkpointed(drawn[0].withColumn("valid", F.lit(False)))
+    assert X.first_stop(never, give_up=1000) == (1000, 0, True)
+    assert X.estimate_embeddings(pattern, c, b, drawn[0], total).first()["by"] == "trees"
+    grown = X.estimate_embeddings(pattern, c, b, never, total, keep=100_000).first()
+    truth = M.match_graph(pattern, vertices, edges).count()
+    assert grown["by"] == "expansion" and abs(grown["estimate"] - truth) < 0.5 * truth
+    # The oracle inside the loop, against a plain loop over the trials.
+    attrs = M.checkpointed(vertices.select("vid", F.when(F.col("vid") % 3 == 0, 0.2).otherwise(0.9).alias("prob")))
+    for budget in (3, 10**6):
+        trials = X.sample_until_spent(pattern, tree, counts, b, attrs, pattern.core, budget, "r", 500)
+        got = X.estimate_under_budget(trials, attrs, pattern.core, total, budget).first()
+        seen, n, hits, over = set(), 0, 0, False
+        for row in sorted(trials.collect(), key=lambda r: r["trial"]):
+            new, ok = set(), row["valid"]
+            for q in pattern.core if ok else ():
+                new.add(row[f"u{q}"])
+                if row[f"u{q}"] % 3 == 0:
+                    ok = False
+                    break
+            over = len(seen | new) > budget
+            if over:
+                break
+            seen, n, hits = seen | new, n + 1, hits + ok
+            over = n % 100 == 0 and n >= 1000 and hits > 0 and X.binomial_tail(hits, n, 0.8 * hits / n) < 0.025 and (1.25 * hits >= n or 1 - X.binomial_tail(hits + 1, n, 1.25 * hits / n) < 0.025)
+            if over:
+                break
+        assert over and (got["trials"], got["unique"]) == (n, len(seen)) and math.isclose(got["estimate"], hits * total / n)
+    nothing = X.sample_until_stop(pattern, tree, {q: w.where("false") for q, w in counts.items()}, b, "r")
+    assert nothing.count() == 0
+    assert X.curve_budgets((0.1, 0.2), {0.1: 50}, 70) == {0.1: 60, 0.2: 70} and X.curve_budgets((0.5,), {}) == {0.5: 500}
+
+
 def test_binomial_tail():
     for n, p, s in ((20, 0.3, 7), (500, 0.1, 60), (1000, 0.9, 880), (50, 0.5, 0), (50, 0.5, 51)):
         exact = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(max(s, 0), n + 1))
