@@ -359,22 +359,26 @@ def budget_curve_replacement(pop: DataFrame, weight: Column, fracs: list[float],
     targets = {f: max(1, int(f * size)) for f in fracs}
     seq = checkpointed(with_replacement(flat, {0: max(targets.values())}, weight, salt))
     first = seq.groupBy("id").agg(F.min("draw").alias("first"))
-    rank = first.withColumn("r", F.row_number().over(Window.orderBy("first")))  # as many rows as the budget
+    top = first.agg(F.max("first")).first()[0] or 0
+    rank = running(first.select("first", (F.col("first") / F.lit(top + 1.0)).alias("at"), F.lit(1).alias("one")), ["at", "first"], "one", "r")
     ends = rank.join(F.broadcast(pop.sparkSession.createDataFrame([(float(f), t) for f, t in targets.items()], "frac double, r int")), "r").select("frac", F.col("first").alias("last"))
     return seq.join(F.broadcast(ends), F.col("draw") <= F.col("last")).groupBy("frac").agg(F.avg(F.expr(f"({Y}) / p")).alias("estimate"), F.count(F.lit(1)).alias("draws"))
 
 
-def uniform_budget(matches: DataFrame, attrs: DataFrame, core: list[tuple[str, str, int]], budget: int, trials: int, salt: str, key: Column) -> DataFrame:
+def uniform_budget(matches: DataFrame, attrs: DataFrame, core: list[tuple[str, str, int]], budget: int, trials: int, salt: str, key: Column, free: int = 10_000) -> DataFrame:
     """(estimate, draws, cost): uniform draws with replacement from exact matches, core vertices checked by role then id, each
-    vertex paid once at its role's price, stopped before the first draw that cannot be paid.
+    vertex paid once at its role's price, stopped before the first draw that cannot be paid, or after the first batch of ``free``
+    draws that costs nothing.
 
-    core: (column, role, price). Matches are numbered by buckets of a hash, so the draws find theirs by equi-joins."""
+    core: (column, role, price). Matches are numbered by buckets of a hash (more of them the more matches there are, at most
+    65,536), so the draws find theirs by equi-joins."""
     from motifcast.operators.predicate import short_circuit
 
     spark = matches.sparkSession
-    keyed = matches.withColumn("_k", key).withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(256)).cast("int"))
+    buckets = min(65_536, max(256, matches.count() // 50_000))
+    keyed = matches.withColumn("_k", key).withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    up = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # 256 rows
+    up = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # one row per bucket
     bounds = counts.withColumn("_hi", F.sum("_n").over(up)).withColumn("_lo", F.col("_hi") - F.col("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     drawn = spark.range(trials).withColumnRenamed("id", "draw").withColumn("x", F.floor(prn(F.col("draw"), salt) * total))
@@ -387,7 +391,10 @@ def uniform_budget(matches: DataFrame, attrs: DataFrame, core: list[tuple[str, s
     paid = made.groupBy("draw").agg(F.sum(F.when(F.col("charged"), F.col("price")).otherwise(0)).alias("cost"))
     spent = checkpointed(running(each.join(paid, "draw", "left").fillna(0, ["cost"]).withColumn("at", F.col("draw") / float(trials)), ["at", "draw"], "cost", "spent"))
     last = spent.where(F.col("spent") > budget).agg(F.min("draw")).first()[0]
-    kept = spent if last is None else spent.where(F.col("draw") < last)
+    batches = spent.groupBy(F.expr(f"draw div {free}L").alias("batch")).agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n"))
+    idle = batches.where((F.col("cost") == 0) & (F.col("n") == free)).agg(F.min("batch")).first()[0]
+    ends = [x for x in (last, None if idle is None else (idle + 1) * free) if x is not None]
+    kept = spent.where(F.col("draw") < min(ends)) if ends else spent
     return kept.agg((F.coalesce(F.avg(F.col("pass").cast("double")), F.lit(0.0)) * total).alias("estimate"), F.count(F.lit(1)).alias("draws"), F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"))
 
 
@@ -410,3 +417,8 @@ def tune_strata(pop: DataFrame, ks: list[int], frac: float, runs: int, truth: fl
     frames = [preset(pop, "adaptive", frac, f"tune{r}", k).select(F.lit(k).alias("k"), (F.abs(F.col("estimate") - truth) / (truth + 1e-9)).alias("error")) for k in ks for r in range(runs)]
     q = F.percentile("error", F.array(F.lit(0.5), F.lit(0.95)))
     return union_all(frames).groupBy("k").agg(F.avg("error").alias("mean"), q.alias("q")).select("k", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
+
+
+def best_strata(tuned: DataFrame) -> DataFrame:
+    """(k, mean): the number of strata with the least mean error, the smaller one among equals."""
+    return tuned.groupBy().agg(F.min(F.struct("mean", "k")).alias("best")).select(F.col("best.k").alias("k"), F.col("best.mean").alias("mean"))

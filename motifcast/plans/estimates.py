@@ -399,5 +399,6 @@ def _(spark, d):
 @query("e31_tune_strata")
 def _(spark, d):
     pop = path_population(spark, d)
-    return E.tune_strata(pop, [2, 5], 0.1, 2, E.full_evaluation(pop).first()["estimate"])
+    tuned = checkpointed(E.tune_strata(pop, [2, 5], 0.1, 2, E.full_evaluation(pop).first()["estimate"]))
+    return tuned.join(F.broadcast(E.best_strata(tuned).select("k", F.lit(True).alias("best"))), "k", "left").fillna(False, ["best"])
 

@@ -185,6 +185,33 @@ def test_tree_trials_are_drawn_until_the_rule_holds(spark, small):
     assert X.curve_budgets((0.1, 0.2), {0.1: 50}, 70) == {0.1: 60, 0.2: 70} and X.curve_budgets((0.5,), {}) == {0.5: 500}
 
 
+def test_budget_curve_ends_where_the_distinct_count_is_reached(spark):
+    pop = spark.createDataFrame([(i, float(1 + i % 7), 0.5, i % 3 == 0) for i in range(200)], "id long, a double, proxy double, pass boolean")
+    got = {r["frac"]: r["draws"] for r in E.budget_curve_replacement(pop, F.col("a"), [0.1, 0.25], "c").collect()}
+    draws = {r["draw"]: r["id"] for r in E.with_replacement(pop.withColumn("stratum", F.lit(0)), {0: 50}, F.col("a"), "c").collect()}
+    for frac, target in ((0.1, 20), (0.25, 50)):
+        seen: set = set()
+        for draw in sorted(draws):
+            seen.add(draws[draw])
+            if len(seen) == target:
+                break
+        assert got[frac] == len([d for d in draws if d <= draw]) and len(seen) == target
+
+
+def test_uniform_budget_stops_after_a_free_batch(spark):
+    matches = spark.createDataFrame([(i,) for i in range(5)], "u0 long")
+    attrs = spark.createDataFrame([(i, 0.9 if i % 2 else 0.1) for i in range(5)], "vid long, prob double")
+    ask = lambda budget, free: E.uniform_budget(matches, attrs, [("u0", "r", 10)], budget, 1000, "s", F.col("u0"), free).first()
+    every, some = ask(10**6, 10_000), ask(10**6, 100)
+    assert (every["draws"], every["cost"]) == (1000, 50) and some["cost"] == 50 and some["draws"] == 200
+    assert ask(20, 100)["cost"] == 20 and ask(20, 100)["draws"] < 100
+
+
+def test_best_number_of_strata(spark):
+    tuned = spark.createDataFrame([(2, 0.3), (5, 0.1), (7, 0.1)], "k int, mean double")
+    assert tuple(E.best_strata(tuned).first()) == (5, 0.1)
+
+
 def test_binomial_tail():
     for n, p, s in ((20, 0.3, 7), (500, 0.1, 60), (1000, 0.9, 880), (50, 0.5, 0), (50, 0.5, 51)):
         exact = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(max(s, 0), n + 1))
