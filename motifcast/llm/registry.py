@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from motifcast.llm import chat, decontam, fingerprint, importance, language, linededup, neardup, packing, secrets, subwords, toxicity, urls
+from motifcast.llm import chat, collocations, decontam, fingerprint, importance, language, linededup, neardup, packing, secrets, subwords, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_language": language.op9_language,
     "op10_urls": urls.op10_urls,
+    "op11_collocations": collocations.op11_collocations,
     "op12_subwords": subwords.op12_subwords,
     "op13_importance": importance.op13_importance,
 }
-ORACLE_SQL = {"op5_chat": chat.ORACLE, "op6_minhash": neardup.ORACLE, "op7_linededup": linededup.ORACLE, "op10_urls": urls.ORACLE}
+ORACLE_SQL = {"op5_chat": chat.ORACLE, "op6_minhash": neardup.ORACLE, "op7_linededup": linededup.ORACLE, "op10_urls": urls.ORACLE, "op11_collocations": collocations.ORACLE}

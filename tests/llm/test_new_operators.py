@@ -1,4 +1,4 @@
-"""Subwords and importance resampling against the library and brute force, and on odd input."""
+"""Collocations, subwords and importance resampling against the library and brute force, and on odd input."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from collections import Counter
 
 import pytest
 
-from motifcast.llm import importance, subwords
+from motifcast.llm import collocations, importance, subwords
 from tests.llm.test_operators import SCHEMA, none, odd, odd_documents, say  # noqa: F401
 
 TEXTS = [
@@ -25,6 +25,76 @@ def mixed(n: int) -> list[str]:
     return ["".join(r.choices(" ab▁\n.eé☃1tTh“”'", k=r.randrange(70))) for _ in range(n)]
 
 
+# ---------------------------------------------------------------- collocations
+
+
+def brute_collocations(docs: list[tuple], most: int, least: int, percent: int, top: int) -> list[tuple]:
+    f, n = Counter(), Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\n\x0b\x0c\r]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            words = re.findall(r"[^ \t]+", piece)
+            n[lang] += len(words)
+            f.update((lang, *words[i : i + k]) for k in range(1, most + 1) for i in range(len(words) - k + 1))
+    cand = {p: a for p, a in f.items() if len(p) > 2 and a >= least}
+    rows = []
+    for (lang, *words), a in cand.items():
+        cuts = [(1000000 * a * a // (f[lang, *words[:k]] * f[lang, *words[k:]]), k) for k in range(1, len(words))]
+        score, k = min(cuts)
+        inside = [b for (x, *longer), b in cand.items() if x == lang and len(longer) > len(words) and any(longer[i : i + len(words)] == words for i in range(len(longer)))]
+        if not any(100 * b >= percent * a for b in inside):
+            rows.append((lang, " ".join(words), a, f[lang, *words[:k]], f[lang, *words[k:]], n[lang], score))
+    out = []
+    for lang in n:
+        mine = sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[6], -r[2], r[1].encode()))
+        out += [(lang, k, *r[1:]) for k, r in enumerate(mine[:top], 1)]
+    return out
+
+
+def phrases(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    known = ["New York City", "new york", "Côte d'Or", "a a", "a a a a", "x", "\ty\x00z", "of the", "ﬁ ☃", "b. c"]
+    return r.choice([" ", "\t ", ""]) + "".join(r.choice(known) + r.choice([" ", " ", "  ", ", ", "\n", "\r"]) for _ in range(n))
+
+
+PHRASE_COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+@pytest.mark.parametrize(("most", "percent", "top", "bits", "shard"), [(3, 50, 2000, 26, 10**6), (4, 20, 5, 8, 7), (2, 50, 3, 12, 3)])
+def test_collocations_match_brute_force(spark, monkeypatch, most, percent, top, bits, shard):
+    monkeypatch.setattr(collocations, "BITMAP_BITS", bits)  # a small bitmap lets more candidates through
+    monkeypatch.setattr(collocations, "SHARD_ROWS", shard)
+    monkeypatch.setattr(collocations, "TOP_GROUP", 2)
+    docs = [(phrases(i, i % 40), ["en", "de", None, "und", ""][i % 5]) for i in range(120)] + [(None, "en"), ("", None), ("rare words only", "fr"), (phrases(7, 3000), "en")]
+    got = collocations.collocations(spark.createDataFrame(docs, "text string, lang string"), most, 10, percent, top)
+    assert sorted(tuple(r) for r in got.select(PHRASE_COLUMNS).collect()) == sorted(brute_collocations(docs, most, 10, percent, top))
+
+
+def test_collocations_of_odd_input(spark, odd, none):  # noqa: F811
+    want = brute_collocations([(d[1], d[2]) for d in odd_documents()], 3, 10, 50, 2000)
+    assert sorted(tuple(r) for r in collocations.collocations(odd).select(PHRASE_COLUMNS).collect()) == sorted(want)
+    assert collocations.collocations(none).count() == 0
+
+
+def test_trie_counts_every_place():
+    r = random.Random(3)
+    words = [b"a", b"bb", "é".encode(), b"d", b"e"]
+    listed = sorted({(lang, b" ".join(r.choices(words, k=r.randrange(1, 5)))) for lang in ("x", "y") for _ in range(200)} | {("x", w) for w in words})
+    trie = collocations.Trie([x for x, _ in listed], [p for _, p in listed])
+    text = [w for _ in range(300) for w in (*r.choices([*words, b"unknown"], k=r.randrange(9)), collocations.END)]
+    code = {w: k for k, w in enumerate(trie.symbols, 1)}
+    grams = Counter(b" ".join(text[i : i + k]) for k in range(1, 5) for i in range(len(text) - k + 1))
+    for lang in ("x", "y", "other"):
+        got = trie.counts(lang, text, code)[trie.accepting]
+        assert got.tolist() == [grams[p] if x == lang else 0 for x, p in listed]
+
+
+def test_large_counts_stay_exact(spark):
+    a = 9_007_199_254_741
+    counts = spark.createDataFrame([("en", "u v", a), ("en", "u", a + 1), ("en", "v", a + 7)], "lang string, phrase string, f long")
+    assert collocations.scores(counts).first()["score"] == 1000000 * a * a // ((a + 1) * (a + 7))
+
+
 # ---------------------------------------------------------------- subwords
 
 
