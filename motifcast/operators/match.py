@@ -292,9 +292,9 @@ def match(pattern: Pattern, between: DataFrame, sizes: dict[int, int] | None = N
     return out.select(*[f"u{q}" for q in range(len(pattern.labels))])
 
 
-def match_graph(pattern: Pattern, vertices: DataFrame, edges: DataFrame, passing: DataFrame | None = None) -> DataFrame:
-    """Match over all edges between vertices of the right labels. With ``passing`` (vid) the core vertices must be among them:
-    that filters the candidates, before any embedding is made."""
+def graph_between(pattern: Pattern, vertices: DataFrame, edges: DataFrame, passing: DataFrame | None = None) -> DataFrame:
+    """(edge, src, dst) between vertices of the right labels. With ``passing`` (vid) the core vertices must be among them: that
+    filters the candidates, before any embedding is made or counted."""
     wanted = vertices.where(F.col("label").isin(sorted(set(pattern.labels))))
 
     def of(q: int, label: int) -> DataFrame:
@@ -302,7 +302,12 @@ def match_graph(pattern: Pattern, vertices: DataFrame, edges: DataFrame, passing
         return rows.join(passing.select("vid"), "vid", "left_semi").select("q", "vid") if passing is not None and q in pattern.core else rows
 
     candidates = union_all([of(q, x) for q, x in enumerate(pattern.labels)])
-    return match(pattern, candidate_edges(pattern, candidates, edges))
+    return candidate_edges(pattern, candidates, edges)
+
+
+def match_graph(pattern: Pattern, vertices: DataFrame, edges: DataFrame, passing: DataFrame | None = None) -> DataFrame:
+    """Match over all edges between vertices of the right labels (see ``graph_between``)."""
+    return match(pattern, graph_between(pattern, vertices, edges, passing))
 
 
 def match_batch(patterns: list[Pattern], vertices: DataFrame, edges: DataFrame, timeout_s: float | None = None) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motifcast.functions.frames import union_all
+from motifcast.operators.match import Pattern, graph_between
+from motifcast.operators.semiring import marginals
 
 CUT = 0.5
 
@@ -69,14 +71,21 @@ def exact_sum(embeddings: DataFrame, attrs: DataFrame, columns: list[str] | None
     return with_values(embeddings, attrs, columns).agg(F.coalesce(F.sum("g"), F.lit(0)).alias("answer"))
 
 
+def pattern_answer(pattern: Pattern, vertices: DataFrame, edges: DataFrame, attrs: DataFrame, columns: tuple[int, ...] = (), keep: int | None = None, cut: float | None = CUT) -> DataFrame:
+    """(n, s) of a pattern in a graph: COUNT, and SUM of the values over the pattern vertices ``columns``, of the embeddings whose
+    core passes; per vertex bound to ``keep`` if that is given (vid, n, s). No embedding is made (see ``semiring.marginals``).
+    Without a cut there is no predicate."""
+    between = graph_between(pattern, vertices, edges, None if cut is None else passing(attrs, cut))
+    return marginals(pattern, between, attrs.select("vid", "val") if columns else None, columns, keep)
+
+
 def exact_avg(sums: DataFrame, counts: DataFrame) -> DataFrame:
     """(pattern, answer) tables -> their ratio on common patterns; null where the count is 0."""
     return sums.withColumnRenamed("answer", "s").join(counts.withColumnRenamed("answer", "n"), "pattern").select("pattern", F.when(F.col("n") != 0, F.col("s") / F.col("n")).alias("answer"))
 
 
-def single_predicate_truth(embeddings: DataFrame, vertex: str, attrs: DataFrame, cut: float = CUT) -> DataFrame:
-    """Embeddings per vertex, counted where the vertex passes."""
-    per = embeddings.groupBy(F.col(vertex).alias("vid")).agg(F.count(F.lit(1)).alias("n"))
+def single_predicate_truth(per: DataFrame, attrs: DataFrame, cut: float = CUT) -> DataFrame:
+    """Of the embeddings per vertex (vid, n, see ``pattern_answer`` with ``keep``), those whose vertex passes."""
     return per.join(attrs, "vid", "left").agg(F.coalesce(F.sum(F.when(F.col("prob") > cut, F.col("n"))), F.lit(0)).alias("answer"))
 
 

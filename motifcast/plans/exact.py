@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motifcast.functions.frames import checkpointed
+from motifcast.functions.frames import checkpointed, union_all
 from motifcast.operators import graph as G
 from motifcast.operators import match as M
 from motifcast.operators import predicate as P
@@ -265,6 +265,12 @@ def core_sql(name: str) -> str:
     return " AND ".join(f"{c} IN (SELECT vid FROM a WHERE prob > 0.5)" for c in CORE_SQL[name])
 
 
+def answer(spark, d, name, columns=(), keep=None, cut=P.CUT):
+    """COUNT and SUM of a pattern over the trade graph, without its embeddings."""
+    vertices = trade_vertices(spark, d)
+    return P.pattern_answer(M.PATTERNS[name], vertices, G.both_directions(trade_links(spark, d)), attributes(vertices), columns, keep, cut)
+
+
 def passed(spark, d, name):
     """Embeddings whose core vertices pass, with the predicate pushed into the candidates."""
     attrs = attributes(trade_vertices(spark, d))
@@ -292,29 +298,28 @@ def _(spark, d):
 @query("p4_exact_count", f"{T}, {PATH3} SELECT 'path3' AS pattern, count(*) AS n, sum(a.val)::BIGINT AS total, sum(a.val) / count(*) AS mean FROM m JOIN a ON a.vid = u1 WHERE {core_sql('path3')}")
 def _(spark, d):
     """COUNT, SUM and AVG over Customer-Order-Part with a predicate on the order."""
-    rows, attrs = passed(spark, d, "path3")
-    return P.with_values(rows, attrs, ["u1"]).agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("total")).select(F.lit("path3").alias("pattern"), "n", "total", (F.col("total") / F.col("n")).alias("mean"))
+    return answer(spark, d, "path3", (1,)).select(F.lit("path3").alias("pattern"), "n", F.col("s").alias("total"), (F.col("s") / F.col("n")).alias("mean"))
 
 
 @query("p4_exact_count_path4", f"{T}, {PATH4} SELECT count(*) AS answer FROM m WHERE {core_sql('path4')}")
 def _(spark, d):
-    return P.exact_count(passed(spark, d, "path4")[0])
+    return answer(spark, d, "path4").select(F.col("n").alias("answer"))
+
+
+@query("p4_exact_count_star4", f"{T}, {STAR4} SELECT count(*) AS answer FROM m WHERE {core_sql('star4')}")
+def _(spark, d):
+    """Two parts of one order must differ: the pairs of the same part are taken away."""
+    return answer(spark, d, "star4").select(F.col("n").alias("answer"))
 
 
 @query("p5_exact_sum", f"{T}, {PATH3} SELECT sum(x.val + y.val)::BIGINT AS answer FROM m JOIN a x ON x.vid = u1 JOIN a y ON y.vid = u2 WHERE {core_sql('path3')}")
 def _(spark, d):
-    rows, attrs = passed(spark, d, "path3")
-    return P.exact_sum(rows, attrs, ["u1", "u2"])
+    return answer(spark, d, "path3", (1, 2)).select(F.coalesce("s", F.lit(0)).alias("answer"))
 
 
 def answers(spark, d, agg):
-    out = None
-    for name in ("path3", "tri"):
-        rows, attrs = passed(spark, d, name)
-        col = "u1"
-        one = (P.exact_count(rows) if agg == "count" else P.exact_sum(rows, attrs, [col])).select(F.lit(name).alias("pattern"), "answer")
-        out = one if out is None else out.unionByName(one)
-    return out
+    column = "n" if agg == "count" else "s"
+    return union_all([answer(spark, d, name, () if agg == "count" else (1,)).select(F.lit(name).alias("pattern"), F.coalesce(column, F.lit(0)).alias("answer")) for name in ("path3", "tri")])
 
 
 @query("p6_exact_avg", " UNION ALL ".join(f"SELECT '{n}' AS pattern, ({T}, {MATCH_SQL[n]} SELECT sum(a.val)::BIGINT / count(*) FROM m JOIN a ON a.vid = u1 WHERE {core_sql(n)}) AS answer" for n in ("path3", "tri")))
@@ -324,7 +329,7 @@ def _(spark, d):
 
 @query("p7_single_predicate_truth", f"{T}, {PATH3} SELECT count(*) AS answer FROM m WHERE {core_sql('path3')}")
 def _(spark, d):
-    return P.single_predicate_truth(embeddings(spark, d, "path3"), "u1", attributes(trade_vertices(spark, d)))
+    return P.single_predicate_truth(answer(spark, d, "path3", keep=1, cut=None), attributes(trade_vertices(spark, d)))
 
 
 @query("p8_filtered_matches", f"{T}, {STAR4} SELECT * FROM m WHERE {core_sql('star4')}")
