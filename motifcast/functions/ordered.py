@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motifcast.functions.random import prn_bits, prn_sql
+
 
 def running(df: DataFrame, order: list[str], value: str, out: str, by: list[str] | None = None, buckets: int = 1024) -> DataFrame:
     """``out`` = sum of ``value`` up to and including the row, in ``order`` (first column numeric in [0, 1)), within ``by``.
@@ -21,8 +23,48 @@ def running(df: DataFrame, order: list[str], value: str, out: str, by: list[str]
     return cut.withColumn("_s", F.sum(value).over(within)).join(F.broadcast(offsets) if not by else offsets, [*by, "_b"]).withColumn(out, F.col("_s") + F.col("_o")).drop("_b", "_s", "_o")
 
 
-def lookup(draws: DataFrame, intervals: DataFrame, x: str, lo: str, hi: str, width: Column | float, by: list[str] | None = None) -> DataFrame:
-    """Join each draw with the interval [lo, hi) that holds its ``x``: an equi-join on a cell number and a filter."""
-    by = by or []
-    cells = intervals.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
-    return draws.withColumn("_cell", F.floor(F.col(x) / width)).join(cells, [*by, "_cell"]).where((F.col(lo) <= F.col(x)) & (F.col(x) < F.col(hi))).drop("_cell")
+#: Rows of a group that one task orders; larger groups are cut into buckets of this size or the root of their own.
+GROUP_ROWS, CHUNK_CELLS = 1024, 4096
+
+
+def bucket_sql(unit: str, n: str) -> str:
+    """The bucket of a unit in a group of ``n`` as DuckDB SQL."""
+    return f"CASE WHEN {n} <= {GROUP_ROWS} THEN 0 ELSE {prn_sql(unit, 'bucket')} % CAST(ceil({n} / greatest({GROUP_ROWS}.0, sqrt({n}))) AS BIGINT) END"
+
+
+def intervals(rows: DataFrame, by: list[str], unit: str, weight: str = "w", few: bool = False) -> DataFrame:
+    """Adds ``total``, ``width``, ``lo`` and ``hi``: running sums of whole-number weights above 0 within ``by``, by bucket and unit.
+
+    Buckets come from a hash of the unit. ``width`` is about the mean weight of the group. No window spans a group: one spans a
+    bucket, one the sums of a group's buckets. ``few``: the groups are few by construction, so their sums are broadcast."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).cast("long").alias("total"))
+    several = F.col("_n") > GROUP_ROWS
+    bucket = F.when(several, prn_bits(F.col(unit), "bucket") % F.ceil(F.col("_n") / F.greatest(F.lit(float(GROUP_ROWS)), F.sqrt("_n")))).otherwise(F.lit(0)).cast("long")
+    cut = rows.join(F.broadcast(sizes) if few else sizes, by).withColumn("_b", bucket)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.where(several).groupBy(*by, "_b").agg(F.sum(weight).alias("_s")).withColumn("_o", F.sum("_s").over(before)).drop("_s")
+    within = Window.partitionBy(*by, "_b").orderBy(unit).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.withColumn("_w", F.sum(weight).over(within)).join(offsets, [*by, "_b"], "left").withColumn("hi", (F.col("_w") + F.coalesce("_o", F.lit(0))).cast("long"))
+    return out.withColumn("lo", (F.col("hi") - F.col(weight)).cast("long")).withColumn("width", mean_width("total", "_n")).drop("_b", "_o", "_w", "_n")
+
+
+def mean_width(total: str, n: str) -> Column:
+    """Width of a group's cells: the mean weight, at least 1."""
+    return F.greatest(F.lit(1).cast("long"), F.expr(f"{total} div {n}"))
+
+
+def cells(intervals: DataFrame) -> DataFrame:
+    """One row per interval and ``cell`` it lies in. A group has at most three rows per unit, so a draw, which falls into each
+    cell with about the same chance, meets fewer than three on average, however uneven the weights are."""
+    first, last = F.expr("lo div width"), F.expr("(hi - 1) div width")
+    chunk = F.explode(F.sequence(F.expr(f"(lo div width) div {CHUNK_CELLS}"), F.expr(f"((hi - 1) div width) div {CHUNK_CELLS}")))
+    rows = intervals.withColumns({"_first": first, "_last": last}).withColumn("_chunk", chunk)
+    inner = F.explode(F.sequence(F.greatest(F.col("_first"), F.col("_chunk") * CHUNK_CELLS), F.least(F.col("_last"), F.col("_chunk") * CHUNK_CELLS + CHUNK_CELLS - 1)))
+    return rows.withColumn("cell", inner).drop("_first", "_last", "_chunk", "width", "total")
+
+
+def lookup(draws: DataFrame, cells: DataFrame, by: list[str], x: str = "x", width: str = "width") -> DataFrame:
+    """Each draw with the interval of its group that holds its ``x``: an equi-join on the cell and a filter. The draw brings ``x``
+    (below the group's total) and the group's ``width``."""
+    at = draws.withColumn("cell", F.expr(f"{x} div {width}"))
+    return at.join(cells, [*by, "cell"]).where((F.col("lo") <= F.col(x)) & (F.col(x) < F.col("hi"))).drop("cell", "lo", "hi")

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifcast.functions.frames import checkpointed, union_all
-from motifcast.functions.ordered import running
-from motifcast.functions.random import prn
+from motifcast.functions.ordered import cells, intervals, lookup, running
+from motifcast.functions.random import below, prn
 
 # ---------------------------------------------------------------- instances and populations
 
@@ -200,30 +200,44 @@ def systematic(pop: DataFrame, draws: dict[int, int], weight: Column, salt: str)
     return ordered.where((F.col("pi") >= 1) | hit).drop("_u", "_c")
 
 
-def with_replacement(pop: DataFrame, draws: dict[int, int], weight: Column, salt: str, most: int = 200) -> DataFrame:
-    """PPS draws until n_h distinct units (at most ``most`` times n_h draws): rows with p and their ``draw``; for Hansen-Hurwitz.
-
-    Draws are rows; each finds its unit by a range lookup on running sums; the draw at which the distinct count is full ends
-    the stratum."""
+def whole_weights(pop: DataFrame, weight: Column, out: str = "w") -> DataFrame:
+    """Weights as whole numbers for exact running sums: 2**32 for the largest of the stratum, the others in proportion, at least 1."""
     rows = pop.withColumn("_w", F.greatest(weight, F.lit(1e-12)))
-    summed = checkpointed(running(rows.withColumn("_u", prn(F.col("id"), f"{salt}-order")), ["_u", "id"], "_w", "hi", by=["stratum"]).withColumn("lo", F.col("hi") - F.col("_w")))
-    totals = summed.groupBy("stratum").agg(F.sum("_w").alias("total"), F.count(F.lit(1)).alias("units"))
-    plan = totals.join(sizes_frame(pop, draws), "stratum").where("n_h > 0")
-    rounds = F.least(F.lit(most) * F.col("n_h"), 20 * F.col("n_h") + 50)
-    drawn = plan.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), rounds - 1))).withColumn("x", prn(F.concat_ws("-", "stratum", "draw"), salt) * F.col("total")).withColumn("width", F.col("total") / F.col("units")).select("stratum", "draw", "x", "n_h", "total", "width")
-    cells = summed.join(F.broadcast(totals), "stratum").withColumn("width", F.col("total") / F.col("units")).drop("total", "units")
-    got = _lookup_units(drawn, cells)
-    first = got.groupBy("stratum", "id").agg(F.min("draw").alias("first"))
-    order = Window.partitionBy("stratum").orderBy("first")
-    full = first.withColumn("r", F.row_number().over(order)).join(sizes_frame(pop, draws), "stratum").where("r = n_h").select("stratum", F.col("first").alias("last"))
-    return got.join(F.broadcast(full), "stratum", "left").where(F.col("last").isNull() | (F.col("draw") <= F.col("last"))).withColumn("p", F.col("_w") / F.col("total")).drop("last", "lo", "hi", "_w", "_u", "x", "total", "n_h")
+    tops = rows.groupBy("stratum").agg(F.max("_w").alias("_top"))
+    return rows.join(F.broadcast(tops), "stratum").withColumn(out, F.greatest(F.lit(1), F.floor(F.col("_w") / F.col("_top") * float(1 << 32))).cast("long")).drop("_w", "_top")
+
 
+def _numbered(spark, spans: dict[int, tuple[int, int]], chunk: int = 4096) -> DataFrame:
+    """(stratum, draw): the numbers from lo to hi - 1 of each stratum."""
+    rows = spark.createDataFrame([(int(h), int(a), int(b)) for h, (a, b) in spans.items()], "stratum int, a long, b long")
+    rows = rows.withColumn("c", F.explode(F.sequence(F.expr(f"a div {chunk}"), F.expr(f"(b - 1) div {chunk}"))))
+    return rows.select("stratum", F.explode(F.sequence(F.greatest("a", F.col("c") * chunk), F.least(F.col("b") - 1, F.col("c") * chunk + chunk - 1))).alias("draw"))
 
-def _lookup_units(drawn: DataFrame, cells: DataFrame) -> DataFrame:
-    """Each draw with the unit of its stratum in whose interval it falls; cells are one mean weight wide."""
-    cut = cells.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") / F.col("width")), F.floor(F.col("hi") / F.col("width"))))).drop("width")
-    at = drawn.withColumn("_cell", F.floor(F.col("x") / F.col("width"))).drop("width")
-    return at.join(cut, ["stratum", "_cell"]).where((F.col("lo") <= F.col("x")) & (F.col("x") < F.col("hi"))).drop("_cell")
+
+def with_replacement(pop: DataFrame, draws: dict[int, int], weight: Column, salt: str, most: int = 200) -> DataFrame:
+    """PPS draws until n_h distinct units, or ``most`` times n_h draws: rows with p and their ``draw``; for Hansen-Hurwitz.
+
+    Draws are rows; each finds its unit by an equi-join on a cell of the running sums. They come in rounds that double, for the
+    strata that are not full; the draw at which the distinct count is full ends a stratum. A draw hangs on its number alone."""
+    spark = pop.sparkSession
+    placed = checkpointed(intervals(whole_weights(pop, weight), ["stratum"], "id", few=True))
+    units = checkpointed(cells(placed))
+    widths = checkpointed(placed.groupBy("stratum").agg(F.max("total").alias("total"), F.max("width").alias("width")))  # one row per stratum
+    wanted = {r["stratum"]: draws[r["stratum"]] for r in widths.select("stratum").collect() if draws.get(r["stratum"], 0) > 0}
+    spans, got = {h: (0, min(most * n, 2 * n + 20)) for h, n in wanted.items()}, None
+    while spans:
+        x = _numbered(spark, spans).join(F.broadcast(widths), "stratum").withColumn("x", below(F.concat_ws("-", "stratum", "draw"), salt, F.col("total")))
+        new = lookup(x, units, ["stratum"]).withColumn("p", F.col("w") / F.col("total")).drop("x", "width", "total", "w")
+        got = checkpointed(new if got is None else got.unionByName(new))
+        distinct = {r["stratum"]: r["n"] for r in got.groupBy("stratum").agg(F.countDistinct("id").alias("n")).collect()}
+        spans = {h: (b, min(most * wanted[h], 2 * b)) for h, (_, b) in spans.items() if distinct.get(h, 0) < wanted[h] and b < most * wanted[h]}
+    if got is None:
+        return units.limit(0).withColumns({"draw": F.lit(0).cast("long"), "p": F.lit(0.0)}).drop("cell", "lo", "hi", "w")
+    first = got.groupBy("stratum", "id").agg(F.min("draw").alias("first"))
+    top = first.agg(F.max("first")).first()[0] or 0
+    order = running(first.withColumn("at", F.col("first") / F.lit(top + 1.0)).withColumn("one", F.lit(1)), ["at", "first"], "one", "r", by=["stratum"])
+    full = order.join(sizes_frame(pop, wanted), "stratum").where("r = n_h").select("stratum", F.col("first").alias("last"))
+    return got.join(F.broadcast(full), "stratum", "left").where(F.col("last").isNull() | (F.col("draw") <= F.col("last"))).drop("last")
 
 
 # ---------------------------------------------------------------- estimators
@@ -381,7 +395,7 @@ def uniform_budget(matches: DataFrame, attrs: DataFrame, core: list[tuple[str, s
     up = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # one row per bucket
     bounds = counts.withColumn("_hi", F.sum("_n").over(up)).withColumn("_lo", F.col("_hi") - F.col("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    drawn = spark.range(trials).withColumnRenamed("id", "draw").withColumn("x", F.floor(prn(F.col("draw"), salt) * total))
+    drawn = spark.range(trials).withColumnRenamed("id", "draw").withColumn("x", below(F.col("draw"), salt, F.lit(max(1, total)).cast("long")))
     drawn = drawn.join(F.broadcast(bounds), (F.col("_lo") <= F.col("x")) & (F.col("x") < F.col("_hi"))).withColumn("_r", F.col("x") - F.col("_lo") + 1)
     numbered = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_k")))
     got = checkpointed(drawn.join(numbered, ["_b", "_r"]).select("draw", *[c for c, _, _ in core]))

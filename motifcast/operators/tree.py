@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifcast.functions.frames import checkpointed, union_all
-from motifcast.functions.random import prn
+from motifcast.functions.ordered import cells, intervals, lookup, mean_width
+from motifcast.functions.random import below, prn
 from motifcast.operators.match import Pattern
 
 
@@ -27,6 +28,9 @@ class Tree:
     parent: dict[int, int]
     edge: dict[int, int]
 
+    def children(self, q: int) -> list[int]:
+        return [c for c in self.order if self.parent.get(c) == q]
+
 
 def densities(candidates: DataFrame, between: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
     """Candidates per pattern vertex and candidate pairs per pattern edge (a few numbers)."""
@@ -58,63 +62,66 @@ def _down(pattern: Pattern, tree: Tree, between: DataFrame, q: int) -> DataFrame
 
 
 def count_trees(pattern: Pattern, tree: Tree, candidates: DataFrame, between: DataFrame) -> dict[int, DataFrame]:
-    """For each pattern vertex (vid, w): tree embeddings of the subtree below it at that candidate; w > 0 only."""
+    """For each pattern vertex (vid, w, and t<c>, n<c> per child c): the tree embeddings of the subtree below it at that candidate,
+    those below each child and the child's candidates there; w > 0 only. Whole numbers; beyond 64 bits Spark raises an error."""
     counts: dict[int, DataFrame] = {}
     for q in reversed(tree.order):
-        mine = candidates.where(F.col("q") == q).select("vid", F.lit(1.0).alias("w"))
-        for child in [c for c in tree.order if tree.parent.get(c) == q]:
-            below = _down(pattern, tree, between, child).join(counts[child].withColumnRenamed("w", "cw"), "vid").groupBy(F.col("up").alias("vid")).agg(F.sum("cw").alias("cw"))
-            mine = mine.join(below, "vid").select("vid", (F.col("w") * F.col("cw")).alias("w"))
+        mine = candidates.where(F.col("q") == q).select("vid", F.lit(1).cast("long").alias("w"))
+        for child in tree.children(q):
+            below_ = _down(pattern, tree, between, child).join(counts[child].select("vid", F.col("w").alias("cw")), "vid")
+            sums = below_.groupBy(F.col("up").alias("vid")).agg(F.sum("cw").cast("long").alias(f"t{child}"), F.count(F.lit(1)).alias(f"n{child}"))
+            mine = mine.join(sums, "vid").withColumn("w", F.col("w") * F.col(f"t{child}"))
         counts[q] = checkpointed(mine)
     return counts
 
 
 def total_trees(tree: Tree, counts: dict[int, DataFrame]) -> float:
-    return counts[tree.order[0]].agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-
-
-def _cumulative(rows: DataFrame, by: str) -> DataFrame:
-    """(by, vid, lo, hi): running intervals of the weights ``w`` within ``by``, by vid."""
-    upto = Window.partitionBy(by).orderBy("vid").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("hi", F.sum("w").over(upto)).withColumn("lo", F.col("hi") - F.col("w"))
+    return float(counts[tree.order[0]].agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0])
+
+
+class TreeSampler:
+    """Draws tree embeddings uniformly. Candidates lie in cells of their parents' running sums, made once: a step of a trial is one
+    equi-join on (parent, cell), and meets fewer than three rows on average, below a hub like elsewhere.
+
+    With ``roots`` (vid) only trees below these are drawn."""
+
+    def __init__(self, pattern: Pattern, tree: Tree, counts: dict[int, DataFrame], between: DataFrame, roots: DataFrame | None = None, check_edges: bool = True):
+        self.pattern, self.tree, self.between, self.check_edges = pattern, tree, between, check_edges
+        root = tree.order[0]
+        top = counts[root] if roots is None else counts[root].join(roots, "vid", "left_semi")
+        top = checkpointed(intervals(top.withColumn("all", F.lit(0)), ["all"], "vid", few=True))
+        self.total = top.select("all", "total", "width").limit(1)
+        self.cells = {root: checkpointed(cells(top).withColumnRenamed("vid", f"u{root}").drop("w"))}
+        for q in tree.order[1:]:
+            steps = _down(pattern, tree, between, q).join(counts[q], "vid")
+            self.cells[q] = checkpointed(cells(intervals(steps, ["up"], "vid")).withColumnsRenamed({"up": f"u{tree.parent[q]}", "vid": f"u{q}"}).drop("w"))
+
+    def draw(self, n: int, seed: str, first: int = 0) -> DataFrame:
+        """Trials (trial, u0..uk, valid) with numbers from ``first`` on. A trial hangs on its number alone."""
+        pattern, tree, root = self.pattern, self.tree, self.tree.order[0]
+        number = lambda q: F.concat_ws("-", "trial", F.lit(q))
+        out = self.between.sparkSession.range(first, first + n).withColumnRenamed("id", "trial").crossJoin(F.broadcast(self.total))  # one row
+        out = lookup(out.withColumn("x", below(number(root), seed, F.col("total"))), self.cells[root], ["all"]).drop("all", "total", "x", "width")
+        for q in tree.order[1:]:
+            step = out.withColumn("x", below(number(q), seed, F.col(f"t{q}"))).withColumn("width", mean_width(f"t{q}", f"n{q}")).drop(f"t{q}", f"n{q}")
+            out = lookup(step, self.cells[q], [f"u{tree.parent[q]}"]).drop("x", "width")
+        valid: Column = F.lit(True)
+        for a in range(len(pattern.labels)):
+            for b in range(a):
+                if pattern.labels[a] == pattern.labels[b]:
+                    valid = valid & (F.col(f"u{a}") != F.col(f"u{b}"))
+        out = out.withColumn("valid", valid)
+        if self.check_edges:
+            for i, (a, b, _) in enumerate(pattern.edges):
+                if i not in tree.edge.values():
+                    there = self.between.where(F.col("edge") == i).select(F.col("src").alias(f"u{a}"), F.col("dst").alias(f"u{b}"), F.lit(True).alias("there"))
+                    out = out.join(there, [f"u{a}", f"u{b}"], "left").withColumn("valid", F.col("valid") & F.coalesce("there", F.lit(False))).drop("there")
+        return out.select("trial", *[f"u{q}" for q in range(len(pattern.labels))], "valid")
 
 
 def sample_trees(pattern: Pattern, tree: Tree, counts: dict[int, DataFrame], between: DataFrame, n: int, seed: str, first: int = 0, roots: DataFrame | None = None, check_edges: bool = True) -> DataFrame:
-    """Trials (trial, u0..uk, valid): tree embeddings drawn uniformly; with ``roots`` (vid), only below these.
-
-    Roots are cut into buckets by a hash, with running intervals within a bucket and over the buckets, so that no window holds
-    all roots."""
-    spark = between.sparkSession
-    root = tree.order[0]
-    top = counts[root] if roots is None else counts[root].join(roots, "vid", "left_semi")
-    buckets = top.withColumn("b", F.pmod(F.xxhash64("vid"), F.lit(256)).cast("int"))
-    sums = buckets.groupBy("b").agg(F.sum("w").alias("w"))  # at most 256 rows
-    over = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = sums.withColumn("bhi", F.sum("w").over(over)).withColumn("blo", F.col("bhi") - F.col("w")).drop("w")
-    trials = spark.range(first, first + n).withColumnRenamed("id", "trial")
-    total = sums.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("total"))
-    drawn = trials.crossJoin(F.broadcast(total)).withColumn("x", prn(F.concat_ws("-", "trial", F.lit(root)), seed) * F.col("total"))
-    drawn = drawn.join(F.broadcast(bounds), (F.col("blo") <= F.col("x")) & (F.col("x") < F.col("bhi"))).withColumn("x", F.col("x") - F.col("blo"))
-    placed = _cumulative(buckets, "b")
-    out = drawn.join(placed, "b").where((F.col("lo") <= F.col("x")) & (F.col("x") < F.col("hi"))).select("trial", F.col("vid").alias(f"u{root}"))
-    for q in tree.order[1:]:
-        up = f"u{tree.parent[q]}"
-        steps = _cumulative(_down(pattern, tree, between, q).join(counts[q], "vid"), "up")
-        steps = steps.withColumn("of", F.sum("w").over(Window.partitionBy("up"))).select(F.col("up").alias(up), F.col("vid").alias(f"u{q}"), "lo", "hi", "of")
-        x = prn(F.concat_ws("-", "trial", F.lit(q)), seed) * F.col("of")
-        out = out.join(steps, up).where((F.col("lo") <= x) & (x < F.col("hi"))).drop("lo", "hi", "of")
-    valid: Column = F.lit(True)
-    for a in range(len(pattern.labels)):
-        for b in range(a):
-            if pattern.labels[a] == pattern.labels[b]:
-                valid = valid & (F.col(f"u{a}") != F.col(f"u{b}"))
-    out = out.withColumn("valid", valid)
-    if check_edges:
-        for i, (a, b, _) in enumerate(pattern.edges):
-            if i not in tree.edge.values():
-                there = between.where(F.col("edge") == i).select(F.col("src").alias(f"u{a}"), F.col("dst").alias(f"u{b}"), F.lit(True).alias("there"))
-                out = out.join(there, [f"u{a}", f"u{b}"], "left").withColumn("valid", F.col("valid") & F.coalesce("there", F.lit(False))).drop("there")
-    return out.select("trial", *[f"u{q}" for q in range(len(pattern.labels))], "valid")
+    """Trials (trial, u0..uk, valid): tree embeddings drawn uniformly (see ``TreeSampler``)."""
+    return TreeSampler(pattern, tree, counts, between, roots, check_edges).draw(n, seed, first)
 
 
 def binomial_tail(s: int, n: int, p: float) -> float:
@@ -182,7 +189,8 @@ def draw_rounds(draw: Callable[[int, int], DataFrame], settled: Callable[[DataFr
 
 def sample_until_stop(pattern: Pattern, tree: Tree, counts: dict[int, DataFrame], between: DataFrame, seed: str, at_once: int = 4000, **rule: int) -> DataFrame:
     """Trials drawn until the stop rule holds, cut at the trial where it does."""
-    trials = draw_rounds(lambda first, n: sample_trees(pattern, tree, counts, between, n, seed, first), lambda t: first_stop(t, **rule)[2], at_once)
+    sampler = TreeSampler(pattern, tree, counts, between)
+    trials = draw_rounds(lambda first, n: sampler.draw(n, seed, first), lambda t: first_stop(t, **rule)[2], at_once)
     return trials.where(F.col("trial") < first_stop(trials, **rule)[0])
 
 
@@ -249,7 +257,8 @@ def estimate_under_budget(trials: DataFrame, attrs: DataFrame, core: tuple[int,
 
 def sample_until_spent(pattern: Pattern, tree: Tree, counts: dict[int, DataFrame], between: DataFrame, attrs: DataFrame, core: tuple[int, ...], budget: int, seed: str, at_once: int = 4000, **rule: int) -> DataFrame:
     """Trials drawn until ``budget`` new vertices are spent or the stop rule holds."""
-    return draw_rounds(lambda first, n: sample_trees(pattern, tree, counts, between, n, seed, first), lambda t: paid_trials(t, attrs, core, budget, **rule)[1], at_once)
+    sampler = TreeSampler(pattern, tree, counts, between)
+    return draw_rounds(lambda first, n: sampler.draw(n, seed, first), lambda t: paid_trials(t, attrs, core, budget, **rule)[1], at_once)
 
 
 def curve_budgets(fracs: tuple[float, ...], costs: dict[float, float], summary: float | None = None, default: int = 500) -> dict[float, int]:

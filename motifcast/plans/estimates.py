@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from motifcast.functions.frames import checkpointed, union_all
-from motifcast.functions.random import prn_sql
+from motifcast.functions.ordered import bucket_sql
+from motifcast.functions.random import below_sql, prn_sql
 from motifcast.operators import match as M
 from motifcast.operators import sampling as E
 from motifcast.operators import tree as X
-from motifcast.plans.exact import PATH3, STAR4, T, embeddings, trade
+from motifcast.plans.exact import C0, PATH3, STAR4, T, embeddings, trade
 from motifcast.sources.fixtures import attributes, table, trade_vertices
 
 QUERIES: dict = {}
@@ -26,13 +27,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def space(spark, d, name="tri"):
+#: Tree whose sampling is written in SQL too: Order, Part below it, Supplier below the part.
+LINE = X.Tree((0, 1, 2), {1: 0, 2: 1}, {1: 0, 2: 1})
+
+
+def space(spark, d, name="tri", tree=None):
     """pattern, candidates, candidate edges, tree, counts, attributes."""
     vertices, edges = trade(spark, d)
     p = M.PATTERNS[name]
     c = checkpointed(M.initial_candidates(p, vertices, edges))
     b = checkpointed(M.candidate_edges(p, c, edges))
-    tree = X.choose_tree(p, *X.densities(c, b))
+    tree = tree or X.choose_tree(p, *X.densities(c, b))
     return p, c, b, tree, X.count_trees(p, tree, c, b), attributes(vertices)
 
 
@@ -55,18 +60,33 @@ def _(spark, d):
     return rooted.select(F.lit("tree").alias("what"), F.lit(len(tree.edge)).alias("edges"), "rooted")
 
 
-@query("t2_count_trees", f"{T}, {PATH3} SELECT u1 AS vid, count(*)::DOUBLE AS w FROM m GROUP BY u1")
+@query("t2_count_trees", f"{T}, {PATH3} SELECT u1 AS vid, count(*) AS w FROM m GROUP BY u1")
 def _(spark, d):
     vertices, edges = trade(spark, d)
     p = M.PATTERNS["path3"]
     c = checkpointed(M.initial_candidates(p, vertices, edges))
     b = checkpointed(M.candidate_edges(p, c, edges))
-    return X.count_trees(p, X.Tree((1, 0, 2), {0: 1, 2: 1}, {0: 0, 2: 1}), c, b)[1]
+    return X.count_trees(p, X.Tree((1, 0, 2), {0: 1, 2: 1}, {0: 0, 2: 1}), c, b)[1].select("vid", "w")
+
+
+def cells_sql(name: str, rows: str, by: str) -> str:
+    """Table ``name``: rows (by, vid, w, ...) with their running intervals."""
+    over = f"PARTITION BY {by}"
+    return f"{name}n AS (SELECT *, count(*) OVER ({over}) AS n FROM ({rows})), {name} AS (SELECT *, sum(w) OVER ({over} ORDER BY b, vid) AS hi, sum(w) OVER ({over} ORDER BY b, vid) - w AS lo FROM (SELECT *, {bucket_sql('vid', 'n')} AS b FROM {name}n))"
 
 
-@query("t3_sample_trees")
+TRIALS = f"""{T}{C0}, b1 AS MATERIALIZED (SELECT src AS up, dst AS vid FROM b WHERE edge = 0), b2 AS MATERIALIZED (SELECT src AS up, dst AS vid FROM b WHERE edge = 1),
+w1 AS MATERIALIZED (SELECT up AS vid, count(*) AS t2 FROM b2 GROUP BY up), w0 AS MATERIALIZED (SELECT up AS vid, sum(t2)::BIGINT AS t1 FROM b1 JOIN w1 USING (vid) GROUP BY up),
+{cells_sql("i0", "SELECT 0 AS up, vid, t1 AS w, t1 FROM w0", "up")}, {cells_sql("i1", "SELECT up, vid, t2 AS w, t2 FROM b1 JOIN w1 USING (vid)", "up")}, {cells_sql("i2", "SELECT up, vid, 1 AS w FROM b2", "up")},
+x0 AS (SELECT trial, {below_sql("trial || '-0'", "trees", "(SELECT sum(w) FROM i0)")} AS x FROM range({{0}}) t(trial)),
+x1 AS MATERIALIZED (SELECT trial, vid AS u0, {below_sql("trial || '-1'", "trees", "t1")} AS x FROM x0 JOIN i0 ON lo <= x AND x < hi),
+x2 AS MATERIALIZED (SELECT trial, u0, vid AS u1, {below_sql("trial || '-2'", "trees", "t2")} AS x FROM x1 JOIN i1 ON up = u0 AND lo <= x AND x < hi),
+trials AS MATERIALIZED (SELECT trial, u0, u1, vid AS u2, EXISTS (SELECT 1 FROM b WHERE edge = 2 AND src = u0 AND dst = vid) AS valid FROM x2 JOIN i2 ON up = u1 AND lo <= x AND x < hi)"""
+
+
+@query("t3_sample_trees", TRIALS.format(4000) + " SELECT * FROM trials")
 def _(spark, d):
-    p, _, b, tree, counts, _ = space(spark, d)
+    p, _, b, tree, counts, _ = space(spark, d, tree=LINE)
     return X.sample_trees(p, tree, counts, b, 4000, "trees")
 
 
@@ -266,9 +286,18 @@ def _(spark, d):
     return E.systematic(flat, {0: 100}, F.expr(ROOT), "sys").select("id", F.round("pi", 6).alias("pi"))
 
 
-@query("e10_with_replacement")
+def draws_sql(source: str, salt: str, most: int) -> str:
+    """Tables up to ``g``: the first ``most`` PPS draws of each stratum of ``source``, with p."""
+    return f""", i AS (SELECT *, greatest(1, floor(w0 / max(w0) OVER (PARTITION BY stratum) * 4294967296.0))::BIGINT AS w, count(*) OVER (PARTITION BY stratum) AS n FROM (SELECT *, greatest({ROOT}, 1e-12) AS w0 FROM {source})),
+iv AS MATERIALIZED (SELECT stratum, id, a, pass, w, sum(w) OVER (PARTITION BY stratum)::BIGINT AS total, sum(w) OVER (PARTITION BY stratum ORDER BY b, id) AS hi FROM (SELECT *, {bucket_sql("id", "n")} AS b FROM i)),
+x AS MATERIALIZED (SELECT stratum, draw, {below_sql("stratum || '-' || draw", salt, "total")} AS x FROM (SELECT DISTINCT stratum, total FROM iv), range({most}) t(draw)),
+g AS MATERIALIZED (SELECT x.stratum, draw, id, CASE WHEN pass THEN a ELSE 0 END / (w / total) AS z FROM x JOIN iv ON iv.stratum = x.stratum AND hi - w <= x AND x < hi),
+seen AS (SELECT stratum, first, row_number() OVER (PARTITION BY stratum ORDER BY first) AS r FROM (SELECT stratum, id, min(draw) AS first FROM g GROUP BY ALL))"""
+
+
+@query("e10_with_replacement", ST + draws_sql("st", "wr", 6000) + ", per AS (SELECT stratum, avg(z) AS e, count(*) AS draws, count(DISTINCT id) AS n FROM g WHERE draw <= coalesce((SELECT first FROM seen WHERE seen.stratum = g.stratum AND r = 30), draw) GROUP BY stratum) SELECT round(sum(e), 3) AS estimate, sum(draws)::BIGINT AS draws, sum(n)::BIGINT AS n FROM per")
 def _(spark, d):
-    return E.hansen_hurwitz(E.with_replacement(strata(spark, d), dict.fromkeys(range(5), 30), F.expr(ROOT), "wr"))
+    return E.hansen_hurwitz(E.with_replacement(strata(spark, d), dict.fromkeys(range(5), 30), F.expr(ROOT), "wr")).withColumn("estimate", F.round("estimate", 3))
 
 
 @query("e11_two_stage")

@@ -12,8 +12,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from motifcast.functions.ordered import lookup, running
-from motifcast.functions.random import prn, prn_bits, prn_sql
+from motifcast.functions.ordered import cells, intervals, lookup, running
+from motifcast.functions.random import below, below_sql, prn, prn_bits, prn_sql
 from motifcast.operators import graph as G
 from motifcast.operators import match as M
 from motifcast.operators import predicate as P
@@ -59,9 +59,49 @@ def test_running_sum_and_lookup(spark):
         for r in sorted((r for r in got if r["g"] == g), key=lambda r: (r["u"], r["id"])):
             total += r["w"]
             assert math.isclose(total, r["c"])
-    cells = spark.createDataFrame([(0.0, 1.0, "a"), (1.0, 7.5, "b"), (7.5, 8.0, "c")], "lo double, hi double, k string")
-    draws = spark.createDataFrame([(0.0,), (0.99,), (1.0,), (7.4,), (7.5,)], "x double")
-    assert sorted((r["x"], r["k"]) for r in lookup(draws, cells, "x", "lo", "hi", 2.0).collect()) == [(0.0, "a"), (0.99, "a"), (1.0, "b"), (7.4, "b"), (7.5, "c")]
+
+
+def test_draws_find_their_interval(spark):
+    """Groups above and below the size of a bucket, one unit that outweighs all others, totals above 2**40."""
+    rows = [("hub", i, 1 + i % 5) for i in range(3000)] + [("hub", 3000, 1 << 41)] + [("few", i, (1 << 41) + i) for i in range(3)] + [("one", 7, 1)]
+    placed = intervals(spark.createDataFrame(rows, "g string, id long, w long"), ["g"], "id").cache()
+    spans: dict = {}
+    for r in placed.collect():
+        spans.setdefault(r["g"], []).append((r["lo"], r["hi"], r["id"], r["total"]))
+    weight = {(g, i): w for g, i, w in rows}
+    for g, got in spans.items():
+        at = 0
+        for lo, hi, i, total in sorted(got):
+            assert lo == at and hi - lo == weight[g, i]
+            at = hi
+        assert at == total == sum(w for (x, _), w in weight.items() if x == g)
+    draws = spark.range(6000).withColumn("g", F.element_at(F.array(F.lit("hub"), F.lit("few"), F.lit("one")), (F.col("id") % 3 + 1).cast("int"))).withColumnRenamed("id", "draw")
+    draws = draws.join(placed.select("g", "total", "width").distinct(), "g").withColumn("x", below(F.col("draw"), "d", F.col("total")))
+    units = cells(placed)
+    assert units.count() <= 3 * len(rows) + 4
+    got = lookup(draws, units, ["g"]).select("draw", "g", "x", "id").collect()
+    assert len(got) == 6000
+    for r in got:
+        assert any(lo <= r["x"] < hi and i == r["id"] for lo, hi, i, _ in spans[r["g"]])
+    met = draws.withColumn("cell", F.expr("x div width")).join(units, ["g", "cell"]).count()
+    assert met < 3 * 6000
+
+
+def test_numbers_below_large_totals(spark, db):
+    total = 9 * 10**17 + 7
+    rows = {r["id"]: r["x"] for r in spark.range(300).select("id", below(F.col("id"), "big", F.lit(total)).alias("x")).collect()}
+    assert rows == dict(db.sql(f"select i, {below_sql('i', 'big', str(total))} from range(300) t(i)").fetchall())
+    assert all(0 <= x < total for x in rows.values()) and max(rows.values()) > total * 0.95 and len({x % 1024 for x in rows.values()}) > 200
+
+
+def test_draws_with_replacement_reach_their_units(spark):
+    """One heavy unit among many: draws go on until enough distinct ones are there, or 200 times as many draws."""
+    pop = spark.createDataFrame([(i, 5000.0 if i == 0 else 1.0, 1.0, True, 0) for i in range(200)] + [(1000 + i, 1.0, 1.0, True, 1) for i in range(5)], "id long, a double, proxy double, pass boolean, stratum int")
+    got = E.with_replacement(pop, {0: 30, 1: 9}, F.col("a"), "wr").groupBy("stratum").agg(F.countDistinct("id").alias("n"), F.count(F.lit(1)).alias("draws"), F.max("draw").alias("last")).collect()
+    state = {r["stratum"]: r for r in got}
+    assert state[0]["n"] == 30 and state[0]["draws"] == state[0]["last"] + 1 > 650
+    assert (state[1]["n"], state[1]["draws"]) == (5, 1800)  # nine are wanted, five exist
+    assert E.with_replacement(pop.limit(0), {0: 3}, F.col("a"), "wr").count() == 0
 
 
 @pytest.fixture(scope="module")
