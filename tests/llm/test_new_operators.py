@@ -9,6 +9,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from motifcast.llm import collocations, importance, subwords
@@ -80,13 +82,12 @@ def test_trie_counts_every_place():
     r = random.Random(3)
     words = [b"a", b"bb", "é".encode(), b"d", b"e"]
     listed = sorted({(lang, b" ".join(r.choices(words, k=r.randrange(1, 5)))) for lang in ("x", "y") for _ in range(200)} | {("x", w) for w in words})
-    trie = collocations.Trie([x for x, _ in listed], [p for _, p in listed])
+    trie = collocations.Trie(pa.array([x for x, _ in listed]), pa.array([p for _, p in listed]))
     text = [w for _ in range(300) for w in (*r.choices([*words, b"unknown"], k=r.randrange(9)), collocations.END)]
-    code = {w: k for k, w in enumerate(trie.symbols, 1)}
     grams = Counter(b" ".join(text[i : i + k]) for k in range(1, 5) for i in range(len(text) - k + 1))
     for lang in ("x", "y", "other"):
-        got = trie.counts(lang, text, code)[trie.accepting]
-        assert got.tolist() == [grams[p] if x == lang else 0 for x, p in listed]
+        got = np.bincount(np.concatenate([*trie.reached(lang, text, trie.code()), np.zeros(0, int)]), minlength=len(trie.check))
+        assert got[trie.accepting].tolist() == [grams[p] if x == lang else 0 for x, p in listed]
 
 
 def test_large_counts_stay_exact(spark):
