@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motifcast.functions.frames import checkpointed
 from motifcast.functions.random import prn_bits, prn_sql
 
 
@@ -68,3 +71,52 @@ def lookup(draws: DataFrame, cells: DataFrame, by: list[str], x: str = "x", widt
     (below the group's total) and the group's ``width``."""
     at = draws.withColumn("cell", F.expr(f"{x} div {width}"))
     return at.join(cells, [*by, "cell"]).where((F.col("lo") <= F.col(x)) & (F.col(x) < F.col("hi"))).drop("cell", "lo", "hi")
+
+
+#: A table of so few values is ordered by one task per group; a larger one by counts of values between approximate bounds.
+DIRECT_ROWS, ACCURACY = 100_000, 10_000
+
+
+def quantiles(rows: DataFrame, value: Column | str, shares: list[float], by: list[str] | None = None, out: str = "q") -> DataFrame:
+    """(by..., out): the array of exact quantiles of each group, linear between neighbours, as ``percentile`` has them.
+
+    Values are counted. If they are many, each quantile gets bounds from a mergeable sketch, whose rank error is known; one more
+    pass counts what lies below them and, by distinct value, between them. So a task orders about twice the root of the number of
+    rows at most, not a group. Null values do not count; groups of nulls alone have no row; null keys are a group."""
+    by = by or []
+    value = F.col(value) if isinstance(value, str) else value
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    rows = checkpointed(rows.select(group.alias("_g"), value.cast("double").alias("_v")).where(F.col("_v").isNotNull()))
+    n, names = rows.count(), ([f"_g.{c}" for c in by])
+    if n <= DIRECT_ROWS:
+        return rows.groupBy("_g").agg(F.percentile("_v", F.array(*map(F.lit, shares))).alias(out)).select(*names, out)
+    accuracy = max(ACCURACY, math.isqrt(n))
+    wide = 2.0 / accuracy
+    bound = lambda end, far: F.percentile_approx("_v", F.array(*[F.lit(min(1.0, max(0.0, s + end))) for s in shares]), accuracy).alias(far)
+    bounds = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), bound(-wide, "_low"), bound(wide, "_high"))
+    placed = rows.join(bounds, "_g")
+    small = F.col("_n") <= accuracy  # all values may lie between the bounds
+    low = lambda t: F.when(small | F.lit(shares[t] <= wide), F.lit(-math.inf)).otherwise(F.get("_low", F.lit(t)))
+    high = lambda t: F.when(small | F.lit(shares[t] >= 1 - wide), F.lit(math.inf)).otherwise(F.get("_high", F.lit(t)))
+    which = range(len(shares))
+    under = placed.groupBy("_g", "_n").agg(F.array(*[F.sum((F.col("_v") < low(t)).cast("long")) for t in which]).alias("_under"))
+    here = F.filter(F.array(*[F.when((F.col("_v") >= low(t)) & (F.col("_v") <= high(t)), F.lit(t)) for t in which]), lambda t: t.isNotNull())
+    inside = placed.select("_g", "_v", F.explode(here).alias("_t")).groupBy("_g", "_t", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy("_g", "_t").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    counted = inside.withColumn("_upto", F.sum("_c").over(upto)).join(under, "_g").withColumn("_upto", F.col("_upto") + F.get("_under", F.col("_t")))
+    at = F.get(F.array(*map(F.lit, shares)), F.col("_t")) * (F.col("_n") - 1)
+    first = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    got = counted.withColumn("_at", at).groupBy("_g", "_t", "_at").agg(first(F.floor("_at")).alias("a"), first(F.ceil("_at")).alias("b"))
+    q = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("_at") - F.col("_at")) * F.col("a") + (F.col("_at") - F.floor("_at")) * F.col("b"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_t", q.alias("q")))), lambda x: x["q"])
+    return got.groupBy("_g").agg(listed.alias(out)).select(*names, out)
+
+
+def with_quantiles(groups: DataFrame, rows: DataFrame, value: Column | str, shares: list[float], by: list[str] | None = None, out: str = "q") -> DataFrame:
+    """``groups``, one row per group of ``rows`` by ``by``, with the group's quantiles as ``out`` (null where it has no value)."""
+    found = quantiles(rows, value, shares, by, out)
+    if not by:
+        return groups.join(F.broadcast(found), how="left")  # one row
+    found = found.withColumnsRenamed({c: f"_q{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_q{c}")) for c in by]
+    return groups.join(found, same, "left").drop(*[f"_q{c}" for c in by])

@@ -110,17 +110,17 @@ def incidence(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
-    """Each adjacent pair once, from the end of smaller (degree, id): a vertex then has few outgoing edges, hubs too."""
-    pairs = edges.select("src", "dst").distinct()
+    """(x, y, dx, dy): each adjacent pair once, from the end of smaller (degree, id); a vertex then has few outgoing edges, hubs too."""
+    pairs = edges.where("src <> dst").select("src", "dst").distinct()
     degree = degrees(pairs)
-    both = pairs.join(degree.withColumnRenamed("vid", "src").withColumnRenamed("degree", "ds"), "src").join(degree.withColumnRenamed("vid", "dst").withColumnRenamed("degree", "dd"), "dst")
-    return both.where((F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))).select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    both = pairs.join(degree.withColumnsRenamed({"vid": "src", "degree": "dx"}), "src").join(degree.withColumnsRenamed({"vid": "dst", "degree": "dy"}), "dst")
+    return both.where(F.struct("dx", "src") < F.struct("dy", "dst")).select(F.col("src").alias("x"), F.col("dst").alias("y"), "dx", "dy")
 
 
 def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c) with a < b < c: each triangle once, by a join over degree-ordered edges."""
     up = checkpointed(_oriented(edges))
-    wedge = up.join(up.select("x", F.col("y").alias("z")), "x").where("y < z")
+    wedge = up.select("x", "y").join(up.select("x", F.col("y").alias("z")), "x").where("y < z")
     closing = up.select(F.least("x", "y").alias("y"), F.greatest("x", "y").alias("z"))
     three = F.array_sort(F.array("x", "y", "z"))
     return wedge.join(closing, ["y", "z"]).select(three[0].alias("a"), three[1].alias("b"), three[2].alias("c"))
@@ -133,13 +133,31 @@ def edge_triangles(edges: DataFrame) -> DataFrame:
     return triangles(edges).select(F.inline(six))
 
 
+def four_cycles(edges: DataFrame) -> DataFrame:
+    """(u, v, w, x, uw, vx): each four-cycle u-v-w-x once, and whether its diagonals exist. u is the last of the four by (degree,
+    id), and v < x.
+
+    Only wedges u-v-w below their end u are made: an edge brings as many as the degree of its smaller end, so hubs are ends of
+    many wedges but the middle of few, at most the number of edges times the root of twice that number. Cycles are pairs of wedges
+    with equal ends, so the second join makes no row that is not in the result."""
+    up = checkpointed(_oriented(edges))
+    near = up.select(F.col("x").alias("v"), F.col("y").alias("w"), F.col("dy").alias("dw")).unionByName(up.select(F.col("y").alias("v"), F.col("x").alias("w"), F.col("dx").alias("dw")))
+    wedges = up.select(F.col("y").alias("u"), F.col("dy").alias("du"), F.col("x").alias("v")).join(near, "v").where(F.struct("dw", "w") < F.struct("du", "u"))
+    wedges = checkpointed(wedges.select("u", "w", "v"))
+    cycles = wedges.join(wedges.withColumnRenamed("v", "x"), ["u", "w"]).where("v < x")
+    pairs = up.select(F.least("x", "y").alias("_a"), F.greatest("x", "y").alias("_b"), F.lit(True).alias("_there"))
+    for one, other in (("u", "w"), ("v", "x")):
+        known = pairs.withColumnRenamed("_there", f"{one}{other}")
+        cycles = cycles.join(known, (F.least(one, other) == F.col("_a")) & (F.greatest(one, other) == F.col("_b")), "left").drop("_a", "_b")
+    return cycles.select("u", "v", "w", "x", F.coalesce("uw", F.lit(False)).alias("uw"), F.coalesce("vx", F.lit(False)).alias("vx"))
+
+
 def edge_four_cycles(edges: DataFrame) -> DataFrame:
     """(u, v, w, x, uw, vx): for each directed pair u-v every v-w, w-x, x-u with four vertices, and whether the diagonals exist."""
-    pairs = edges.select("src", "dst").distinct()
-    name = lambda a, b: pairs.select(F.col("src").alias(a), F.col("dst").alias(b))
-    cycles = name("u", "v").join(name("v", "w"), "v").where("u <> w").join(name("w", "x"), "w").where("v <> x").join(name("u", "x"), ["u", "x"])
-    cycles = cycles.join(name("u", "w").withColumn("uw", F.lit(True)), ["u", "w"], "left").join(name("v", "x").withColumn("vx", F.lit(True)), ["v", "x"], "left")
-    return cycles.select("u", "v", "w", "x", F.coalesce("uw", F.lit(False)).alias("uw"), F.coalesce("vx", F.lit(False)).alias("vx"))
+    turns = [("u", "v", "w", "x"), ("v", "w", "x", "u"), ("w", "x", "u", "v"), ("x", "u", "v", "w")]
+    turns += [(a, d, c, b) for a, b, c, d in turns]
+    eight = F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(t, "uvwx", strict=True)], F.col("uw" if t[0] in "uw" else "vx").alias("uw"), F.col("vx" if t[0] in "uw" else "uw").alias("vx")) for t in turns])
+    return four_cycles(edges).select(F.inline(eight))
 
 
 def infer_views(user_comment: DataFrame, post_comment: DataFrame) -> DataFrame:

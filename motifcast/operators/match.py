@@ -179,49 +179,95 @@ def edge_bipartite_safe(pattern: Pattern, between: DataFrame) -> DataFrame:
     return union_all(kept)
 
 
-def triangle_safe(pattern: Pattern, between: DataFrame) -> DataFrame:
-    """Candidate edges that have a candidate triangle for each pattern triangle on their pattern edge."""
+def _sides(pattern: Pattern, between: DataFrame):
+    """Function (x, y) -> the data edges of the pattern edge x-y as columns v<x>, v<y>; None where the pattern has no such edge."""
     at = {frozenset((a, b)): (i, a) for i, (a, b, _) in enumerate(pattern.edges)}
 
-    def side(x: int, y: int, cx: str, cy: str) -> DataFrame:
+    def side(x: int, y: int, of: DataFrame = between) -> DataFrame | None:
+        if frozenset((x, y)) not in at:
+            return None
         i, a = at[frozenset((x, y))]
-        return between.where(F.col("edge") == i).select(F.col("src" if a == x else "dst").alias(cx), F.col("dst" if a == x else "src").alias(cy))
+        return of.where(F.col("edge") == i).select(F.col("src" if a == x else "dst").alias(f"v{x}"), F.col("dst" if a == x else "src").alias(f"v{y}"))
 
-    kept = {i: between.where(F.col("edge") == i) for i in range(len(pattern.edges))}
-    for x, y, z in pattern.triangles():
-        full = side(x, y, "x", "y").join(side(y, z, "y", "z"), "y").join(side(x, z, "x", "z"), ["x", "z"])
-        for p, q in (("x", "y"), ("y", "z"), ("x", "z")):
-            i, a = at[frozenset(({"x": x, "y": y, "z": z}[p], {"x": x, "y": y, "z": z}[q]))]
-            first, second = (p, q) if a == {"x": x, "y": y, "z": z}[p] else (q, p)
-            kept[i] = kept[i].join(full.select(F.col(first).alias("src"), F.col(second).alias("dst")), ["src", "dst"], "left_semi")
-    return union_all([kept[i].select("edge", "src", "dst") for i in sorted(kept)])
+    return side
 
 
-def four_cycle_safe(pattern: Pattern, between: DataFrame) -> DataFrame:
-    """Candidate edges that have a candidate four-cycle for each pattern four-cycle on their edge (diagonals of the pattern too)."""
-    at = {frozenset((a, b)): (i, a) for i, (a, b, _) in enumerate(pattern.edges)}
-    n = range(len(pattern.labels))
-    cycles = [(a, b, c, d) for a in n for b in n for c in n for d in n if len({a, b, c, d}) == 4 and a == min(a, b, c, d) and b < d and all(frozenset(x) in at for x in ((a, b), (b, c), (c, d), (a, d)))]
+def triangle_safe(pattern: Pattern, between: DataFrame, tested: DataFrame | None = None) -> DataFrame:
+    """Of the ``tested`` candidate edges (else all) those that have a candidate triangle for each pattern triangle on their pattern
+    edge. Each is extended from its own end, so few tested edges mean little work."""
+    side, tested, kept = _sides(pattern, between), between if tested is None else tested, []
+    for i, (a, b, _) in enumerate(pattern.edges):
+        mine = side(a, b, tested)
+        for triangle in pattern.triangles():
+            if {a, b} <= set(triangle):
+                (c,) = set(triangle) - {a, b}
+                full = mine.join(side(a, c), f"v{a}").join(side(b, c), [f"v{b}", f"v{c}"])
+                mine = mine.join(full.select(f"v{a}", f"v{b}").distinct(), [f"v{a}", f"v{b}"], "left_semi")
+        kept.append(mine.select(F.lit(i).alias("edge"), F.col(f"v{a}").alias("src"), F.col(f"v{b}").alias("dst")))
+    return union_all(kept)
+
+
+def _wedges(pattern: Pattern, between: DataFrame) -> dict[tuple[int, int, int], int]:
+    """(end, middle, end) -> number of pairs of candidate edges that meet in the middle, for all wedges of the pattern (a few numbers)."""
+    parts = [between.where(F.col("edge") == i).groupBy(F.lit(q).alias("q"), F.col(x).alias("vid"), "edge").agg(F.count(F.lit(1)).alias("n")) for i, (a, b, _) in enumerate(pattern.edges) for q, x in ((a, "src"), (b, "dst"))]
+    n = checkpointed(union_all(parts))
+    both = n.join(n.select("q", "vid", F.col("edge").alias("other"), F.col("n").alias("m")), ["q", "vid"]).where("edge < other")
+    out = {}
+    for r in both.groupBy("q", "edge", "other").agg(F.sum(F.col("n").cast("double") * F.col("m")).alias("pairs")).collect():
+        ends = [b if a == r["q"] else a for a, b, _ in (pattern.edges[r["edge"]], pattern.edges[r["other"]])]
+        out[ends[0], r["q"], ends[1]] = out[ends[1], r["q"], ends[0]] = r["pairs"]
+    return out
 
-    def side(x: int, y: int) -> DataFrame:
-        i, a = at[frozenset((x, y))]
-        return between.where(F.col("edge") == i).select(F.col("src" if a == x else "dst").alias(f"v{x}"), F.col("dst" if a == x else "src").alias(f"v{y}"))
 
-    kept = {i: between.where(F.col("edge") == i) for i in range(len(pattern.edges))}
+def four_cycle_safe(pattern: Pattern, between: DataFrame, tested: DataFrame | None = None) -> DataFrame:
+    """Of the ``tested`` candidate edges (else all) those that have a candidate four-cycle for each pattern four-cycle on their edge
+    (diagonals of the pattern too).
+
+    A cycle a-b-c-d is two wedges over one diagonal. Of the wedges over a-c only the pairs are kept, each with the least and the
+    largest middle, which is enough to tell whether there is one besides b; so no cycle is made, and the diagonal with fewer
+    wedges is taken. Where the pattern joins b and d too, the cycles themselves are looked at."""
+    side, tested = _sides(pattern, between), between if tested is None else tested
+    n = range(len(pattern.labels))
+    joined = {frozenset((a, b)) for a, b, _ in pattern.edges}
+    cycles = [(a, b, c, d) for a in n for b in n for c in n for d in n if len({a, b, c, d}) == 4 and a == min(a, b, c, d) and b < d and all(frozenset(x) in joined for x in ((a, b), (b, c), (c, d), (a, d)))]
+    if not cycles:
+        return tested
+    cost = _wedges(pattern, between)
+    mine = {i: side(a, b, tested) for i, (a, b, _) in enumerate(pattern.edges)}
+    number = {frozenset((a, b)): i for i, (a, b, _) in enumerate(pattern.edges)}
+    same = lambda x, y: pattern.labels[x] == pattern.labels[y]
+
+    def differ(df: DataFrame, x: int, y: int) -> DataFrame:
+        return df.where(F.col(f"v{x}") != F.col(f"v{y}")) if same(x, y) else df
+
     for a, b, c, d in cycles:
-        full = side(a, b).join(side(b, c), f"v{b}").join(side(a, d), f"v{a}").join(side(c, d), [f"v{c}", f"v{d}"])
-        if pattern.labels[a] == pattern.labels[c]:
-            full = full.where(F.col(f"v{a}") != F.col(f"v{c}"))
-        if pattern.labels[b] == pattern.labels[d]:
-            full = full.where(F.col(f"v{b}") != F.col(f"v{d}"))
-        for x, y in ((a, c), (b, d)):
-            if frozenset((x, y)) in at:
-                full = full.join(side(x, y), [f"v{x}", f"v{y}"], "left_semi")
-        for x, y in ((a, b), (b, c), (c, d), (a, d)):
-            i, first = at[frozenset((x, y))]
-            p, q = (x, y) if first == x else (y, x)
-            kept[i] = kept[i].join(full.select(F.col(f"v{p}").alias("src"), F.col(f"v{q}").alias("dst")), ["src", "dst"], "left_semi")
-    return union_all([kept[i].select("edge", "src", "dst") for i in sorted(kept)])
+        over_ac = cost.get((a, b, c), 0.0) + cost.get((a, d, c), 0.0)
+        if frozenset((b, d)) not in joined and (frozenset((a, c)) in joined or over_ac <= cost.get((b, a, d), 0.0) + cost.get((b, c, d), 0.0)):
+            ends, middles = (a, c), (b, d)
+        else:
+            ends, middles = (b, d), (a, c)
+        x, z = ends
+        chord = side(x, z)
+        if side(*middles) is not None:  # both diagonals: no pairs of wedges, the cycles
+            full = differ(side(x, middles[0]).join(side(middles[0], z), f"v{middles[0]}").join(side(x, middles[1]), f"v{x}").join(side(middles[1], z), [f"v{middles[1]}", f"v{z}"]), x, z)
+            full = checkpointed(differ(full, *middles).join(chord, [f"v{x}", f"v{z}"], "left_semi").join(side(*middles), [f"v{m}" for m in middles], "left_semi"))
+            for p, q in ((a, b), (b, c), (c, d), (a, d)):
+                i = number[frozenset((p, q))]
+                mine[i] = mine[i].join(full.select(f"v{p}", f"v{q}").distinct(), [f"v{p}", f"v{q}"], "left_semi")
+            continue
+        for m, other in (middles, middles[::-1]):
+            # All pairs over the other middle, then each tested edge at m with its second edge.
+            pairs = differ(side(x, other).join(side(other, z), f"v{other}"), x, z)
+            if chord is not None:
+                pairs = pairs.join(chord, [f"v{x}", f"v{z}"], "left_semi")
+            pairs = checkpointed(pairs.groupBy(f"v{x}", f"v{z}").agg(F.min(f"v{other}").alias("_least"), F.max(f"v{other}").alias("_most")))
+            for p, q in ((x, z), (z, x)):
+                i = number[frozenset((p, m))]
+                found = mine[i].join(side(m, q), f"v{m}").join(pairs, [f"v{x}", f"v{z}"])
+                if same(m, other):
+                    found = found.where((F.col("_least") != F.col(f"v{m}")) | (F.col("_most") != F.col(f"v{m}")))
+                mine[i] = mine[i].join(found.select(f"v{p}", f"v{m}").distinct(), [f"v{p}", f"v{m}"], "left_semi")
+    return union_all([mine[i].select(F.lit(i).alias("edge"), F.col(f"v{a}").alias("src"), F.col(f"v{b}").alias("dst")) for i, (a, b, _) in enumerate(pattern.edges)])
 
 
 def ends_of(pattern: Pattern, between: DataFrame) -> Candidates:
@@ -236,31 +282,58 @@ def ends_of(pattern: Pattern, between: DataFrame) -> Candidates:
     return union_all(kept)
 
 
-def refine(pattern: Pattern, candidates: Candidates, edges: DataFrame, rounds: int = 5, bipartite: bool = False) -> tuple[Candidates, DataFrame]:
-    """Candidates and candidate edges after repeated safety tests, until nothing changes or ``rounds`` are done."""
-    between, size = checkpointed(candidate_edges(pattern, candidates, edges)), -1
-    for _ in range(rounds):
-        kept = neighbour_safe(pattern, candidates.join(ends_of(pattern, between), ["q", "vid"], "left_semi"), between)
-        kept = checkpointed(kept)
+def refine(pattern: Pattern, candidates: Candidates, edges: DataFrame, visits: int | None = None, bipartite: bool = True) -> tuple[Candidates, DataFrame]:
+    """Candidates and candidate edges that pass all safety tests, or as far as ``visits`` tests of a candidate go (five for each
+    candidate edge if not given; what is removed by then is right to remove).
+
+    Driven by changes: the first round tests all candidates and edges, each later one only candidates at the ends of edges that
+    went (and their neighbours, if the pattern has four-cycles) and the edges there, until nothing goes."""
+    between = checkpointed(candidate_edges(pattern, candidates, edges))
+    candidates = changed = checkpointed(candidates)
+    left, near = (5 * between.count() if visits is None else visits), [(i, q, x) for i, (a, b, _) in enumerate(pattern.edges) for q, x in ((a, "src"), (b, "dst"))]
+    n = range(len(pattern.labels))
+    far = any(len({a, b, c, d}) == 4 and all(any({p, q} == {x, y} for x, y, _ in pattern.edges) for p, q in ((a, b), (b, c), (c, d), (d, a))) for a in n for b in n for c in n for d in n)
+
+    def at(rows: DataFrame, where: DataFrame) -> DataFrame:
+        """The rows of ``rows`` with an end among the (q, vid) of ``where``."""
+        ends = where.withColumn("_hit", F.lit(1))
+        out = rows
+        for k, x in enumerate(("src", "dst")):
+            of = union_all([ends.where(F.col("q") == pattern.edges[i][k]).select(F.lit(i).alias("edge"), F.col("vid").alias(x), F.lit(1).alias(f"_{x}")) for i in range(len(pattern.edges))])
+            out = out.join(of, ["edge", x], "left")
+        return out.where("_src = 1 or _dst = 1").select("edge", "src", "dst")
+
+    def ends_at(rows: DataFrame) -> DataFrame:
+        return union_all([rows.where(F.col("edge") == i).select(F.lit(q).alias("q"), F.col(x).alias("vid")) for i, q, x in near]).distinct()
+
+    while left > 0 and (tests := changed.count()):
+        left -= tests
+        around = checkpointed(at(between, changed))
+        safe = changed.join(ends_of(pattern, around), ["q", "vid"], "left_semi")
+        safe = neighbour_safe(pattern, safe, around)
         if bipartite:
-            kept = bipartite_safe(pattern, kept, between)
-            between = checkpointed(edge_bipartite_safe(pattern, between))
-        candidates = checkpointed(kept) if bipartite else kept
-        between = triangle_safe(pattern, between) if pattern.triangles() else between
-        between = four_cycle_safe(pattern, between)
-        between = checkpointed(candidate_edges_within(pattern, candidates, between))
-        now = between.count()
-        if now == size:
-            break
-        size = now
+            safe = bipartite_safe(pattern, safe, around)
+        lost = checkpointed(changed.join(safe, ["q", "vid"], "left_anti"))
+        candidates = checkpointed(candidates.join(lost, ["q", "vid"], "left_anti"))
+        gone = at(around, lost)
+        open_ = checkpointed(around.join(gone, ["edge", "src", "dst"], "left_anti"))
+        rest = checkpointed(between.join(gone, ["edge", "src", "dst"], "left_anti"))
+        kept = open_
+        if bipartite:  # needs all edges at both ends of those it tests
+            kept = edge_bipartite_safe(pattern, at(rest, ends_at(kept))).join(kept, ["edge", "src", "dst"], "left_semi")
+            kept = checkpointed(kept)
+        if pattern.triangles():
+            kept = checkpointed(triangle_safe(pattern, rest, kept))
+        kept = checkpointed(four_cycle_safe(pattern, rest, kept))
+        gone = checkpointed(around.join(kept, ["edge", "src", "dst"], "left_anti"))
+        before, between = between, checkpointed(between.join(gone, ["edge", "src", "dst"], "left_anti"))
+        changed = ends_at(gone)
+        if far:
+            changed = changed.unionByName(ends_at(at(before, changed))).distinct()
+        changed = checkpointed(changed.join(candidates, ["q", "vid"], "left_semi"))
     return candidates, between
 
 
-def candidate_edges_within(pattern: Pattern, candidates: Candidates, between: DataFrame) -> DataFrame:
-    of = lambda q, name: candidates.where(F.col("q") == q).select(F.col("vid").alias(name))
-    return union_all([between.where(F.col("edge") == i).join(of(a, "src"), "src", "left_semi").join(of(b, "dst"), "dst", "left_semi") for i, (a, b, _) in enumerate(pattern.edges)])
-
-
 def count_candidates(pattern: Pattern, candidates: Candidates, between: DataFrame) -> DataFrame:
     """(kind, id, n): rows per pattern vertex and per pattern edge."""
     return candidates.groupBy("q").count().select(F.lit("vertex").alias("kind"), F.col("q").alias("id"), F.col("count").alias("n")).unionByName(between.groupBy("edge").count().select(F.lit("edge").alias("kind"), F.col("edge").alias("id"), F.col("count").alias("n")))

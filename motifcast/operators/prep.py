@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motifcast.functions.ordered import quantiles
 from motifcast.functions.random import prn_bits
 
 
@@ -192,7 +193,7 @@ def training_split(df: DataFrame, key: str, share: float, salt: str, positive: C
         return df.withColumn("train", prn_bits(F.col(key), salt) < F.lit(int(share * (1 << 32))))
     df = df.withColumn("_c", cls).withColumn("_u", prn_bits(F.col(key), salt))
     # The class's exact quantile of the random numbers is the cut; no window ranks the rows.
-    cut = df.groupBy("_c").agg(F.percentile("_u", F.lit(share)).alias("_q"))
+    cut = quantiles(df, "_u", [share], ["_c"]).select("_c", F.col("q")[0].alias("_q"))
     return df.join(F.broadcast(cut), "_c").withColumn("train", F.col("_u") <= F.col("_q")).drop("_c", "_u", "_q")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motifcast.functions.ordered import quantiles, with_quantiles
+
 EPS = 1e-9
 
 
@@ -32,8 +34,8 @@ def spread(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
 
 def method_quantiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean, median, p90, p95 (linear) and max."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    return df.groupBy(*by).agg(F.avg(value).alias("mean"), q.alias("q"), F.max(value).alias("max")).select(*by, "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p95"), "max")
+    means = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return with_quantiles(means, df, value, [0.5, 0.9, 0.95], by).select(*by, "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p95"), "max")
 
 
 def cdf_points(df: DataFrame, value: str, by: str, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
@@ -42,7 +44,7 @@ def cdf_points(df: DataFrame, value: str, by: str, lo: float = 0.0, hi: float =
     up = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     points = counts.withColumn("share", F.sum("n").over(up) / F.sum("n").over(Window.partitionBy(by))).drop("n")
     if (lo, hi) != (0.0, 1.0):
-        cut = df.groupBy(by).agg(F.percentile(value, F.array(F.lit(lo), F.lit(hi))).alias("_q"))
+        cut = quantiles(df, value, [lo, hi], [by], "_q")
         points = points.join(F.broadcast(cut), by).where((F.col(value) >= F.col("_q")[0]) & (F.col(value) <= F.col("_q")[1])).drop("_q")
     return points
 
@@ -64,11 +66,13 @@ def common_queries(df: DataFrame) -> DataFrame:
 def ablation(df: DataFrame, order: list[str]) -> DataFrame:
     """(dataset, method, mean_pct, median_pct, place) of the listed methods, in that order."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("method").cast("string"))
-    return df.withColumn("place", place).where("place > 0").groupBy("dataset", "method", "place").agg((100 * F.avg("rel")).alias("mean_pct"), (100 * F.percentile("rel", F.lit(0.5))).alias("median_pct"))
+    by, rows = ["dataset", "method", "place"], df.withColumn("place", place).where("place > 0")
+    means = rows.groupBy(*by).agg((100 * F.avg("rel")).alias("mean_pct"))
+    return with_quantiles(means, rows, "rel", [0.5], by).select(*by, "mean_pct", (100 * F.col("q")[0]).alias("median_pct"))
 
 
 def iqr_bounds(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75), F.lit(0.9), F.lit(0.95))).alias("q"))
+    q = quantiles(df, value, [0.25, 0.75, 0.9, 0.95], by)
     iqr = F.col("q")[1] - F.col("q")[0]
     return q.select(*by, iqr.alias("iqr"), (F.col("q")[0] - 1.5 * iqr).alias("lo"), (F.col("q")[1] + 1.5 * iqr).alias("hi"), F.col("q")[2].alias("q90"), F.col("q")[3].alias("q95"))
 
@@ -121,7 +125,8 @@ def worst(df: DataFrame, k: int, ties: list[str]) -> DataFrame:
 def median_signed(df: DataFrame, methods: list) -> DataFrame:
     """Median signed error by query type (the name's part before ``_``), one column per method."""
     kind = F.split("query", "_")[0].alias("kind")
-    return df.groupBy(kind).pivot("method", methods).agg(F.percentile("signed", F.lit(0.5)))
+    medians = quantiles(df.withColumn("kind", kind), "signed", [0.5], ["kind", "method"])
+    return medians.groupBy("kind").pivot("method", methods).agg(F.first(F.col("q")[0]))
 
 
 def speed_up(calls: DataFrame, baseline: str, oracle: tuple[float, float], proxy: tuple[float, float]) -> DataFrame:
@@ -142,7 +147,8 @@ def time_breakdown(calls: DataFrame, oracle_ms: float = 78.0, proxy_ms: float =
 
 def sparsity(answers: DataFrame, by: list[str] | None = None) -> DataFrame:
     zero = F.sum((F.col("answer") == 0).cast("int"))
-    return answers.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.avg("answer").alias("mean"), F.percentile("answer", F.lit(0.5)).alias("median"), F.min("answer").alias("min"), F.max("answer").alias("max"), zero.alias("zeros"), (zero / F.count(F.lit(1))).alias("zero_share"))
+    counts = answers.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.avg("answer").alias("mean"), F.min("answer").alias("min"), F.max("answer").alias("max"), zero.alias("zeros"), (zero / F.count(F.lit(1))).alias("zero_share"))
+    return with_quantiles(counts, answers, "answer", [0.5], by).select(*(by or []), "n", "mean", F.col("q")[0].alias("median"), "min", "max", "zeros", "zero_share")
 
 
 def accuracy(df: DataFrame, by: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifcast.functions.frames import checkpointed, union_all
-from motifcast.functions.ordered import cells, intervals, lookup, running
+from motifcast.functions.ordered import cells, intervals, lookup, quantiles, running, with_quantiles
 from motifcast.functions.random import below, prn
 
 # ---------------------------------------------------------------- instances and populations
@@ -70,10 +70,10 @@ def summarize_estimates(est: DataFrame, least_count: int, most_sum: float) -> Da
 
 
 def _cut(pop: DataFrame, value: Column, k: int) -> DataFrame:
-    shares = F.array(*[F.lit(i / k) for i in range(1, k)])
     if k < 2:
         return pop.withColumn("stratum", F.lit(0))
-    cuts = pop.select(value.alias("v")).agg(F.array_distinct(F.percentile("v", shares)).alias("cuts"), F.max("v").alias("top"), F.min("v").alias("low"))
+    ends = pop.select(value.alias("v")).agg(F.max("v").alias("top"), F.min("v").alias("low"))
+    cuts = with_quantiles(ends, pop, value, [i / k for i in range(1, k)], out="cuts").withColumn("cuts", F.array_distinct("cuts"))
     cuts = cuts.select(F.filter("cuts", lambda c: (c < F.col("top")) & (c >= F.col("low"))).alias("cuts"))
     return pop.crossJoin(F.broadcast(cuts)).withColumn("stratum", F.size(F.filter("cuts", lambda c: c < value))).drop("cuts")
 
@@ -348,7 +348,7 @@ def confidence(sample: DataFrame, alpha: float = 0.05, kind: str = "normal", win
     ``winsorise`` the top 1e-6 of z is pulled in (strata of more than 20) and the lower bound is at least 0."""
     z = sample.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("stratum"))).withColumn("z", F.col("_n") * F.expr(f"({Y}) / pi"))
     if winsorise:
-        tops = z.groupBy("stratum").agg(F.percentile("z", F.lit(1 - 1e-6)).alias("_top"))
+        tops = quantiles(z, "z", [1 - 1e-6], ["stratum"]).select("stratum", F.col("q")[0].alias("_top"))
         z = z.join(F.broadcast(tops), "stratum").withColumn("z", F.when(F.col("_n") > 20, F.least("z", "_top")).otherwise(F.col("z")))
     per = z.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("mean"), F.coalesce(F.var_samp("z"), F.lit(0.0)).alias("var"), (F.max("z") - F.min("z")).alias("range")).where("n >= 2")
     if kind == "normal":

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifcast.functions.frames import checkpointed
+from motifcast.functions.ordered import quantiles
 from motifcast.functions.random import prn
 
 
@@ -18,7 +19,7 @@ def min_max(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def positive_rate(df: DataFrame, column: str, rate: float, out: str, clip: float = 1e-6) -> DataFrame:
     """p to a power such that the given share of rows is above 0.5."""
-    q = df.agg(F.greatest(F.least(F.percentile(column, F.lit(1 - rate)), F.lit(1 - clip)), F.lit(clip)).alias("_q"))
+    q = quantiles(df, column, [1 - rate]).select(F.greatest(F.least(F.col("q")[0], F.lit(1 - clip)), F.lit(clip)).alias("_q"))
     return df.crossJoin(F.broadcast(q)).withColumn(out, F.pow(F.col(column), F.log(F.lit(0.5)) / F.log("_q"))).drop("_q")
 
 

@@ -107,15 +107,13 @@ def _(spark, d):
     return G.edge_triangles(G.both_directions(trade_links(spark, d).where("elabel in (1, 2, 3)")))
 
 
-NATION_PRIORITY = "np AS (SELECT DISTINCT c_nationkey * 8 + 4 AS src, ascii(o_orderpriority) * 8 + 6 AS dst FROM customer JOIN orders ON o_custkey = c_custkey UNION SELECT n_nationkey * 8 + 4, n_regionkey * 8 + 5 FROM nation), f AS (SELECT * FROM np UNION SELECT dst, src FROM np)"
+BOUGHT = ", f AS MATERIALIZED (SELECT src, dst FROM e WHERE elabel IN (0, 1))"
 
 
-@query("g10_edge_four_cycles", f"WITH {NATION_PRIORITY} SELECT a.src AS u, a.dst AS v, b.dst AS w, c.dst AS x, EXISTS (SELECT 1 FROM f g WHERE g.src = a.src AND g.dst = b.dst) AS uw, EXISTS (SELECT 1 FROM f g WHERE g.src = a.dst AND g.dst = c.dst) AS vx FROM f a JOIN f b ON b.src = a.dst AND b.dst <> a.src JOIN f c ON c.src = b.dst AND c.dst <> a.dst JOIN f x ON x.src = c.dst AND x.dst = a.src")
+@query("g10_edge_four_cycles", T + BOUGHT + ", p AS MATERIALIZED (SELECT a.src AS u, a.dst AS v, b.dst AS w FROM f a JOIN f b ON b.src = a.dst AND b.dst <> a.src) SELECT p.u, p.v, p.w, q.v AS x, EXISTS (SELECT 1 FROM f g WHERE g.src = p.u AND g.dst = p.w) AS uw, EXISTS (SELECT 1 FROM f g WHERE g.src = p.v AND g.dst = q.v) AS vx FROM p JOIN p q ON q.u = p.u AND q.w = p.w AND q.v <> p.v")
 def _(spark, d):
-    bought = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    up = bought.select((F.col("c_nationkey").cast("long") * 8 + 4).alias("src"), (F.ascii("o_orderpriority").cast("long") * 8 + 6).alias("dst")).distinct()
-    up = up.unionByName(table(spark, d, "nation").select((F.col("n_nationkey").cast("long") * 8 + 4).alias("src"), (F.col("n_regionkey").cast("long") * 8 + 5).alias("dst")))
-    return G.edge_four_cycles(up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    """Customers, their orders and the orders' parts."""
+    return G.edge_four_cycles(G.both_directions(trade_links(spark, d).where("elabel in (0, 1)")))
 
 
 @query("g11_infer_views", f"WITH {SOCIAL_SQL} SELECT DISTINCT creator AS user, post FROM comments WHERE creator >= 0 AND post >= 0")
