@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from motifcast.functions.frames import checkpointed, union_all
@@ -102,7 +104,7 @@ def _(spark, d):
     return G.incidence(trade_vertices(spark, d), G.both_directions(trade_links(spark, d)))
 
 
-@query("g9_edge_triangles", T + ", o AS (SELECT src, dst FROM e WHERE elabel IN (1, 2, 3)) SELECT a.src, a.dst, b.dst AS third FROM o a JOIN o b ON b.src = a.dst JOIN o c ON c.src = b.dst AND c.dst = a.src")
+@query("g9_edge_triangles")
 def _(spark, d):
     return G.edge_triangles(G.both_directions(trade_links(spark, d).where("elabel in (1, 2, 3)")))
 
@@ -130,14 +132,21 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- matching
 
-PATH3 = "m AS (SELECT a.src AS u0, a.dst AS u1, b.dst AS u2 FROM e a JOIN e b ON b.src = a.dst WHERE a.elabel = 0 AND a.src % 8 = 0 AND b.elabel = 1)"
-TRI = "m AS (SELECT a.src AS u0, a.dst AS u1, b.dst AS u2 FROM e a JOIN e b ON b.src = a.dst AND b.elabel = 3 AND b.dst % 8 = 3 JOIN e c ON c.src = a.src AND c.dst = b.dst AND c.elabel = 2 WHERE a.elabel = 1 AND a.src % 8 = 1)"
-CYC4 = "m AS (SELECT a.src AS u0, a.dst AS u1, b.dst AS u2, c.dst AS u3 FROM e a JOIN e b ON b.src = a.dst AND b.elabel = 1 AND b.dst <> a.src JOIN e c ON c.src = b.dst AND c.elabel = 2 JOIN e x ON x.src = c.dst AND x.dst = a.src AND x.elabel = 2 WHERE a.elabel = 1 AND a.src % 8 = 1)"
-STAR4 = "m AS (SELECT a.src AS u0, a.dst AS u1, b.dst AS u2, c.dst AS u3 FROM e a JOIN e b ON b.src = a.src AND b.elabel = 1 JOIN e c ON c.src = a.src AND c.elabel = 1 AND c.dst <> b.dst WHERE a.elabel = 0 AND a.src % 8 = 1)"
-PATH4 = "m AS (SELECT a.src AS u0, a.dst AS u1, b.dst AS u2, c.dst AS u3 FROM e a JOIN e b ON b.src = a.dst AND b.elabel = 1 JOIN e c ON c.src = b.dst AND c.elabel = 3 WHERE a.elabel = 0 AND a.src % 8 = 0)"
+#: Links by kind (customer c, order o, part p, supplier s), and the embeddings as joins of these: each join has equal keys.
+LINKS = """co AS MATERIALIZED (SELECT DISTINCT o_custkey * 8 AS c, o_orderkey * 8 + 1 AS o FROM orders), op AS MATERIALIZED (SELECT DISTINCT l_orderkey * 8 + 1 AS o, l_partkey * 8 + 2 AS p FROM lineitem),
+os AS MATERIALIZED (SELECT DISTINCT l_orderkey * 8 + 1 AS o, l_suppkey * 8 + 3 AS s FROM lineitem), ps AS MATERIALIZED (SELECT DISTINCT l_partkey * 8 + 2 AS p, l_suppkey * 8 + 3 AS s FROM lineitem)"""
+PATH3 = LINKS + ", m AS MATERIALIZED (SELECT c AS u0, o AS u1, p AS u2 FROM co JOIN op USING (o))"
+TRI = LINKS + ", m AS MATERIALIZED (SELECT op.o AS u0, op.p AS u1, os.s AS u2 FROM op JOIN os ON os.o = op.o JOIN ps ON ps.p = op.p AND ps.s = os.s)"
+CYC4 = LINKS + ", m AS MATERIALIZED (SELECT x.o AS u0, x.p AS u1, y.o AS u2, a.s AS u3 FROM op x JOIN op y ON y.p = x.p AND y.o <> x.o JOIN os a ON a.o = x.o JOIN os b ON b.o = y.o AND b.s = a.s)"
+STAR4 = LINKS + ", m AS MATERIALIZED (SELECT co.o AS u0, co.c AS u1, x.p AS u2, y.p AS u3 FROM co JOIN op x ON x.o = co.o JOIN op y ON y.o = co.o AND y.p <> x.p)"
+PATH4 = LINKS + ", m AS MATERIALIZED (SELECT c AS u0, co.o AS u1, op.p AS u2, ps.s AS u3 FROM co JOIN op ON op.o = co.o JOIN ps ON ps.p = op.p)"
 MATCH_SQL = {"path3": PATH3, "tri": TRI, "cyc4": CYC4, "star4": STAR4, "path4": PATH4}
 
 
+#: Every triangle over these labels has an order, a part and a supplier.
+ORACLE_SQL["g9_edge_triangles"] = f"WITH {TRI} " + " UNION ALL ".join(f"SELECT u{a} AS src, u{b} AS dst, u{c} AS third FROM m" for a, b, c in itertools.permutations(range(3)))
+
+
 def embeddings(spark, d, name):
     vertices, edges = trade(spark, d)
     return M.match_graph(M.PATTERNS[name], vertices, edges)
@@ -148,7 +157,7 @@ for _name in ("path3", "tri", "cyc4", "star4"):
     def _match(spark, d, name=_name):
         return embeddings(spark, d, name)
 
-    query(f"m11_match_{_name}", f"{T}, {MATCH_SQL[_name]} SELECT * FROM m")(_match)
+    query(f"m11_match_{_name}", f"WITH {MATCH_SQL[_name]} SELECT * FROM m")(_match)
 
 
 @query("m1_process_pattern")
