@@ -21,26 +21,51 @@ from motifcast.functions.random import below, prn
 
 
 def instances_long(instances: DataFrame, pattern: str, total: float) -> DataFrame:
-    """Long instance table: pattern, instance_id, core_index (from 1), vid, est_w (4 decimals), global_est. ``instance_id`` is a hash
+    """Long instance table: pattern, instance_id, core_index (from 1), vid, est_w (4 decimals), global_est. ``instance_id`` is the md5
     of the sorted binding."""
-    return instances.select(F.lit(pattern).alias("pattern"), F.xxhash64("instance").alias("instance_id"), F.posexplode("instance").alias("core_index", "vid"), F.round("est_w", 4).alias("est_w"), F.lit(float(total)).alias("global_est")).withColumn("core_index", F.col("core_index") + 1)
+    named = instances.withColumn("instance_id", F.md5(F.array_join(F.col("instance").cast("array<string>"), ",")))
+    rows = named.select(F.lit(pattern).alias("pattern"), "instance_id", F.posexplode("instance").alias("core_index", "vid"), F.round("est_w", 4).alias("est_w"), F.lit(float(total)).alias("global_est"))
+    return rows.withColumn("core_index", F.col("core_index") + 1)
 
 
 def aggregate_instances(long: DataFrame, attrs: DataFrame) -> DataFrame:
-    """One row per instance: weight and, in core order, the lists of ids, probabilities and proxies."""
-    rows = long.join(attrs.select("vid", "prob", "proxy"), "vid", "left")
-    listed = F.array_sort(F.collect_list(F.struct("core_index", "vid", "prob", "proxy")))
+    """One row per instance: pattern, instance_id, est_w and the maps ``ids``, ``probs`` and ``proxies`` from each role to the list of
+    its vertices' values in core order. attrs: (vid, role, prob, proxy); a vertex without a row has the role null, which is left out
+    of the maps, and is kept as a check that fails."""
+    rows = long.join(attrs.select("vid", "role", "prob", "proxy"), "vid", "left")
+    listed = F.array_sort(F.collect_list(F.struct("core_index", "vid", "role", "prob", "proxy")))
     out = rows.groupBy("pattern", "instance_id").agg(F.max("est_w").alias("est_w"), listed.alias("c"))
-    pick = lambda k: F.transform("c", lambda x: x[k])
-    return out.select("pattern", "instance_id", "est_w", pick("vid").alias("vids"), pick("prob").alias("probs"), pick("proxy").alias("proxies"))
+    roles = F.array_sort(F.array_distinct(F.filter(F.transform("c", lambda x: x["role"]), lambda r: r.isNotNull())))
+    of = lambda field: F.map_from_arrays(roles, F.transform(roles, lambda r: F.transform(F.filter("c", lambda x: x["role"] == r), lambda x: x[field])))
+    lost = F.size(F.filter("c", lambda x: x["role"].isNull()))
+    return out.select("pattern", "instance_id", "est_w", of("vid").alias("ids"), of("prob").alias("probs"), of("proxy").alias("proxies"), lost.alias("lost"))
 
 
 def population(instances: DataFrame) -> DataFrame:
-    """(id, a, proxy, pass): weights that cannot be read are 0 and rows without weight go; proxy is the product of the known proxies
-    (1 if there is none); pass needs every probability above 0.5 (null fails)."""
-    proxy = F.aggregate(F.filter("proxies", lambda x: x.isNotNull()), F.lit(1.0), lambda t, x: t * x)
-    ok = F.forall("probs", lambda x: F.coalesce(x > 0.5, F.lit(False)))
-    return instances.select(F.col("instance_id").alias("id"), F.coalesce(F.col("est_w").try_cast("double"), F.lit(0.0)).alias("a"), proxy.alias("proxy"), ok.alias("pass"), F.size("vids").alias("slots")).where("a > 0")
+    """(id, a, proxy, pass, checks, slots): weights that cannot be read are 0 and rows without weight go; proxy is the product of the
+    known proxies (1 if there is none); pass needs every probability above 0.5 (null fails). ``checks`` lists (pos, role, vid, pass)
+    in the order they are made, by role and then core order; ``slots`` is the number of checks of each role."""
+    each = lambda m: F.flatten(F.map_values(m))
+    proxy = F.aggregate(F.filter(each("proxies"), lambda x: x.isNotNull()), F.lit(1.0), lambda t, x: t * x)
+    passes = lambda p: F.coalesce(p > 0.5, F.lit(False))
+    ok = F.forall(each("probs"), passes) & (F.col("lost") == 0)
+    one = F.flatten(F.transform(F.map_entries("ids"), lambda e: F.transform(F.arrays_zip(e["value"].alias("vid"), F.element_at("probs", e["key"]).alias("prob")), lambda x: F.struct(e["key"].alias("role"), x["vid"].alias("vid"), passes(x["prob"]).alias("pass")))))
+    checks = F.transform(one, lambda x, i: F.struct(i.alias("pos"), x["role"].alias("role"), x["vid"].alias("vid"), x["pass"].alias("pass")))
+    slots = F.transform_values("ids", lambda _, v: F.size(v))
+    return instances.select(F.col("instance_id").alias("id"), F.coalesce(F.col("est_w").try_cast("double"), F.lit(0.0)).alias("a"), proxy.alias("proxy"), ok.alias("pass"), checks.alias("checks"), slots.alias("slots")).where("a > 0")
+
+
+def role_calls(sample: DataFrame) -> DataFrame:
+    """(calls): map from each role to the oracle calls that evaluating the sample takes. Checks of a row stop at its first failure,
+    and a vertex is paid once. Rows without ``checks`` are one check of their own id, with the role ``core``."""
+    from motifcast.operators.predicate import calls_per_role, short_circuit
+
+    if "checks" in sample.columns:
+        checks = sample.select(F.col("id").alias("draw"), F.explode("checks").alias("c")).select("draw", "c.*")
+    else:
+        checks = sample.select(F.col("id").alias("draw"), F.lit(0).alias("pos"), F.lit("core").alias("role"), F.col("id").alias("vid"), F.coalesce("pass", F.lit(False)).alias("pass"))
+    made = short_circuit(sample.select(F.col("id").alias("draw")), checks.distinct())[1]
+    return calls_per_role(made).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "calls")))).alias("calls"))  # one row per role
 
 
 def population_single(rows: DataFrame, key: str, est: str, proxy: str, prob: str) -> DataFrame:
@@ -271,8 +296,8 @@ def second_allocation(stats: DataFrame, n: int) -> dict[int, int]:
     return largest_remainder({r["stratum"]: math.sqrt(max(0.0, r["rate"] * r["sd"])) for r in stats.collect()}, n, 1)
 
 
-def two_stage(pop: DataFrame, n: int, pilot_share: float, salt: str) -> DataFrame:
-    """(estimate, n): pilot rows as observed, and a second stage on the rest by PPS systematic sampling, added up over strata."""
+def two_stage_sample(pop: DataFrame, n: int, pilot_share: float, salt: str) -> DataFrame:
+    """Pilot rows as observed (pi = 1), and a second stage on the rest by PPS systematic sampling."""
     pilot_n = max(1, int(n * pilot_share))
     counts = {r["stratum"]: r["count"] for r in pop.groupBy("stratum").count().collect()}
     pilot = checkpointed(uniform(pop, largest_remainder({h: float(c) for h, c in counts.items()}, pilot_n, 1, counts), f"{salt}-pilot").drop("pi"))
@@ -280,25 +305,41 @@ def two_stage(pop: DataFrame, n: int, pilot_share: float, salt: str) -> DataFram
     left = {r["stratum"]: r["count"] for r in rest.groupBy("stratum").count().collect()}
     more = second_allocation(pilot_statistics(pilot), max(1, n - pilot_n))
     second = systematic(rest, {h: min(k, left.get(h, 0)) for h, k in more.items()}, F.sqrt(F.col("proxy") * F.col("a")), f"{salt}-second")
-    both = union_all([pilot.select("a", "pass", F.lit(1.0).alias("pi")), second.select("a", "pass", "pi")])
-    return horvitz_thompson(both).select("estimate", "n")
+    return pilot.withColumn("pi", F.lit(1.0)).select(*pop.columns, "pi").unionByName(second.select(*pop.columns, "pi"))
+
+
+def two_stage(pop: DataFrame, n: int, pilot_share: float, salt: str) -> DataFrame:
+    """(estimate, n): pilot and second stage added up over strata."""
+    return horvitz_thompson(two_stage_sample(pop, n, pilot_share, salt)).select("estimate", "n")
 
 
-def stratified_run(pop: DataFrame, frac: float, mode: str = "contribution", sampling: str = "systematic", rule: str = "sqrt_wp", k: int = 5, salt: str = "run", size: int | None = None) -> DataFrame:
-    """One run at a budget fraction: strata lowered to keep ten rows each, one stratum for tiny budgets; everything is evaluated
-    below 100 rows."""
+def stratified_run(pop: DataFrame, frac: float, mode: str = "contribution", sampling: str = "systematic", rule: str = "sqrt_wp", k: int = 5, salt: str = "run", size: int | None = None, pilot: float | None = None, truth: float | None = None, calls: bool = False) -> DataFrame:
+    """One run at a budget fraction: (estimate, n, pi_min, pi_max, pi_mean), with a ``truth`` also its relative ``error``, with
+    ``calls`` also the oracle calls per role. Strata are lowered to keep ten rows each, one stratum for tiny budgets; everything is
+    evaluated below 100 rows. With a ``pilot`` share the sample is of two stages, and ``rule`` and ``sampling`` are the pilot's."""
     size = pop.count() if size is None else size
     n = max(1, int(frac * size))
     if size < 100 or n >= size:
-        return full_evaluation(pop).withColumns({"pi_min": F.lit(1.0), "pi_max": F.lit(1.0), "pi_mean": F.lit(1.0)})
-    k = 1 if frac < 0.005 or n < 10 else max(1, min(k, size // 10))
-    cut = {"proxy": by_proxy, "contribution": by_contribution, "clusters": by_clusters}[mode](pop, k)
-    cut = checkpointed(cut)
-    draws = allocate(cut, n, rule)
-    root = F.sqrt(F.col("proxy") * F.col("a"))
-    if sampling == "replacement":
-        return hansen_hurwitz(with_replacement(cut, draws, root, salt)).select("estimate", "n", *[F.lit(None).cast("double").alias(c) for c in ("pi_min", "pi_max", "pi_mean")])
-    return horvitz_thompson(uniform(cut, draws, salt) if sampling == "uniform" else systematic(cut, draws, root, salt))
+        sample = pop
+        out = full_evaluation(pop).withColumns({"pi_min": F.lit(1.0), "pi_max": F.lit(1.0), "pi_mean": F.lit(1.0)})
+    else:
+        k = 1 if frac < 0.005 or n < 10 else max(1, min(k, size // 10))
+        cut = checkpointed({"proxy": by_proxy, "contribution": by_contribution, "clusters": by_clusters}[mode](pop, k))
+        root = F.sqrt(F.col("proxy") * F.col("a"))
+        if pilot:
+            sample = checkpointed(two_stage_sample(cut, n, pilot, salt))
+            out = horvitz_thompson(sample)
+        else:
+            draws = allocate(cut, n, rule)
+            if sampling == "replacement":
+                sample = checkpointed(with_replacement(cut, draws, root, salt))
+                out = hansen_hurwitz(sample).select("estimate", "n", *[F.lit(None).cast("double").alias(c) for c in ("pi_min", "pi_max", "pi_mean")])
+            else:
+                sample = checkpointed(uniform(cut, draws, salt) if sampling == "uniform" else systematic(cut, draws, root, salt))
+                out = horvitz_thompson(sample)
+    if truth is not None:
+        out = out.withColumn("error", F.abs(F.col("estimate") - truth) / (abs(truth) + 1e-9))
+    return out.crossJoin(F.broadcast(role_calls(sample))) if calls else out  # one row each
 
 
 #: Named presets: (strata, sampling, allocation).

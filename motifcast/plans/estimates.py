@@ -10,7 +10,7 @@ from motifcast.functions.random import below_sql, prn_sql
 from motifcast.operators import match as M
 from motifcast.operators import sampling as E
 from motifcast.operators import tree as X
-from motifcast.plans.exact import C0, PATH3, STAR4, T, embeddings, trade
+from motifcast.plans.exact import C0, PATH3, STAR4, TRI, T, embeddings, trade
 from motifcast.sources.fixtures import attributes, table, trade_vertices
 
 QUERIES: dict = {}
@@ -171,24 +171,33 @@ def star_instances(spark, d):
     return m.groupBy(F.array_sort(F.array("u2", "u3")).alias("instance")).agg(F.count(F.lit(1)).cast("double").alias("est_w"))
 
 
-@query("s8_instances_long", STAR_INST + " SELECT 'star4' AS pattern, core_index, vid, round(w, 4) AS est_w, count(*) AS n FROM (SELECT 1 AS core_index, x AS vid, w FROM inst UNION ALL SELECT 2, y, w FROM inst) GROUP BY ALL")
+@query("s8_instances_long", STAR_INST + ", t AS (SELECT count(*)::DOUBLE AS total FROM m) SELECT 'star4' AS pattern, md5(x || ',' || y) AS instance_id, core_index, CASE core_index WHEN 1 THEN x ELSE y END AS vid, round(w, 4) AS est_w, total AS global_est FROM inst, t, (VALUES (1), (2)) AS c(core_index)")
 def _(spark, d):
-    long = E.instances_long(star_instances(spark, d), "star4", 1.0)
-    return long.groupBy("pattern", "core_index", "vid", "est_w").agg(F.count(F.lit(1)).alias("n"))
+    instances = checkpointed(star_instances(spark, d))
+    return E.instances_long(instances, "star4", instances.agg(F.sum("est_w")).first()[0] or 0.0)
 
 
-def star_wide(spark, d):
-    return E.aggregate_instances(E.instances_long(star_instances(spark, d), "star4", 1.0), attributes(trade_vertices(spark, d)))
+def wide(spark, d):
+    """Instances of two roles: order and part of every triangle, weighted by its suppliers."""
+    m = embeddings(spark, d, "tri").groupBy(F.array_sort(F.array("u0", "u1")).alias("instance")).agg(F.count(F.lit(1)).cast("double").alias("est_w"))
+    return E.aggregate_instances(E.instances_long(m, "tri", 1.0), attributes(trade_vertices(spark, d)))
 
 
-@query("a1_aggregate_instances", STAR_INST + " SELECT x AS first, y AS second, w AS est_w FROM inst")
+WIDE = f"{T}, {TRI}, inst AS (SELECT u0, u1, count(*)::DOUBLE AS w FROM m GROUP BY ALL), r AS (SELECT md5(least(u0, u1) || ',' || greatest(u0, u1)) AS id, u0, u1, w, o.prob AS op, p.prob AS pp, o.proxy AS ox, p.proxy AS px FROM inst JOIN a o ON o.vid = u0 JOIN a p ON p.vid = u1)"
+
+
+@query("a1_aggregate_instances", WIDE + " SELECT id AS instance_id, w AS est_w, u0 AS order_id, u1 AS part_id, round(op, 9) AS order_prob, round(pp, 9) AS part_prob, round(ox, 9) AS order_proxy, round(px, 9) AS part_proxy, 2 AS roles FROM r")
 def _(spark, d):
-    return star_wide(spark, d).select(F.col("vids")[0].alias("first"), F.col("vids")[1].alias("second"), "est_w")
+    of = lambda column, role: F.element_at(F.element_at(column, role), 1)
+    ids = [of("ids", r).alias(f"{r}_id") for r in ("order", "part")]
+    numbers = [F.round(of(c, r), 9).alias(f"{r}_{n}") for r in ("order", "part") for c, n in (("probs", "prob"), ("proxies", "proxy"))]
+    return wide(spark, d).select("instance_id", "est_w", *ids, *numbers, F.size("ids").alias("roles"))
 
 
-@query("a2_population", STAR_INST + " SELECT p.prob > 0.5 AND q.prob > 0.5 AS pass, count(*) AS n, sum(w) AS a, round(sum(p.proxy * q.proxy), 4) AS proxy FROM inst JOIN a p ON p.vid = x JOIN a q ON q.vid = y GROUP BY 1")
+@query("a2_population", WIDE + " SELECT id, w AS a, round(ox * px, 9) AS proxy, op > 0.5 AND pp > 0.5 AS pass, 1 AS order_slots, 1 AS part_slots, 'order:' || u0 || ':' || (op > 0.5) || ',part:' || u1 || ':' || (pp > 0.5) AS checks FROM r")
 def _(spark, d):
-    return E.population(star_wide(spark, d)).groupBy("pass").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.round(F.sum("proxy"), 4).alias("proxy"))
+    said = F.array_join(F.transform("checks", lambda c: F.concat_ws(":", c["role"], c["vid"].cast("string"), c["pass"].cast("string"))), ",")
+    return E.population(wide(spark, d)).select("id", "a", F.round("proxy", 9).alias("proxy"), "pass", *[F.element_at("slots", r).alias(f"{r}_slots") for r in ("order", "part")], said.alias("checks"))
 
 
 @query("a3_population_single", f"{T}, {PATH3} SELECT u1 AS id, count(*)::DOUBLE AS a, count(*) AS n, round(any_value(proxy), 9) AS proxy, any_value(prob > 0.5) AS pass FROM m JOIN a ON a.vid = u1 GROUP BY u1")
@@ -310,9 +319,21 @@ def _(spark, d):
     return E.full_evaluation(path_population(spark, d))
 
 
-@query("e13_stratified_run")
+#: Strata by contribution, an allocation by sums of roots, and uniform draws.
+CALLS = WIDE + """, pop AS (SELECT id, u0, u1, w AS a, ox * px AS proxy, op > 0.5 AS o1, op > 0.5 AND pp > 0.5 AS pass FROM r),
+c AS (SELECT list_distinct([quantile_cont(proxy * a, 0.2), quantile_cont(proxy * a, 0.4), quantile_cont(proxy * a, 0.6), quantile_cont(proxy * a, 0.8)]) AS cuts FROM pop), st AS (SELECT pop.*, len(list_filter(cuts, lambda x: x < proxy * a))::INT AS stratum FROM pop, c),
+n AS (SELECT floor(0.05 * count(*))::BIGINT AS n FROM pop), s AS (SELECT stratum, sum(sqrt(a * proxy)) AS s FROM st GROUP BY stratum)""" + SHARED.format("(SELECT n FROM n)", "1") + ", k AS (SELECT stratum, " + UNITS + """),
+drawn AS (SELECT st.*, n_h / size AS pi FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY """ + prn_sql("id", "calls") + """, id) AS place, count(*) OVER (PARTITION BY stratum) AS size FROM st) st JOIN k USING (stratum) WHERE place <= n_h),
+truth AS (SELECT sum(CASE WHEN pass THEN a ELSE 0 END) AS t FROM pop), est AS (SELECT sum(CASE WHEN pass THEN a ELSE 0 END / pi) AS e, count(*) AS n FROM drawn)"""
+
+
+@query("e13_stratified_run", CALLS + " SELECT round(e, 3) AS estimate, n, round(abs(e - t) / (abs(t) + 1e-9), 6) AS error, (SELECT count(DISTINCT u0) FROM drawn) AS order_calls, (SELECT count(DISTINCT u1) FROM drawn WHERE o1) AS part_calls FROM est, truth")
 def _(spark, d):
-    return E.stratified_run(path_population(spark, d), 0.1)
+    """Contribution strata and uniform draws, with the error and the oracle calls per role; an order is checked before its part."""
+    pop = checkpointed(E.population(wide(spark, d)))
+    truth = E.full_evaluation(pop).first()["estimate"]
+    run = E.stratified_run(pop, 0.05, sampling="uniform", salt="calls", truth=truth, calls=True)
+    return run.select(F.round("estimate", 3).alias("estimate"), "n", F.round("error", 6).alias("error"), *[F.element_at("calls", r).alias(f"{r}_calls") for r in ("order", "part")])
 
 
 @query("e14_presets")
@@ -350,7 +371,7 @@ for _name, _w, _sql in (("e18_weighted_root", "sqrt(proxy * a)", "sqrt(proxy * a
 
 @query("e21_all_instances", STAR_INST + " SELECT sum(CASE WHEN p.prob > 0.5 AND q.prob > 0.5 THEN w ELSE 0 END) AS estimate, count(*) AS n FROM inst JOIN a p ON p.vid = x JOIN a q ON q.vid = y")
 def _(spark, d):
-    return E.full_evaluation(E.population(star_wide(spark, d)))
+    return E.full_evaluation(E.population(E.aggregate_instances(E.instances_long(star_instances(spark, d), "star4", 1.0), attributes(trade_vertices(spark, d)))))
 
 
 def _sample(spark, d):

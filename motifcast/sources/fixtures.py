@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from motifcast.functions.random import prn, prn_sql
 
 CUSTOMER, ORDER, PART, SUPPLIER = range(4)
+ROLES = ("customer", "order", "part", "supplier")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +36,10 @@ def trade_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attributes(vertices: DataFrame) -> DataFrame:
-    """(vid, prob, proxy, val): the oracle's probability, a cheap proxy of it, and the sum column."""
+    """(vid, role, prob, proxy, val): the label's name, the oracle's probability, a cheap proxy of it, and the sum column."""
     prob = prn(F.col("vid"), "oracle")
-    return vertices.select("vid", prob.alias("prob"), (0.7 * prob + 0.3 * prn(F.col("vid"), "proxy")).alias("proxy"), "val")
+    role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("label") + 1)
+    return vertices.select("vid", role.alias("role"), prob.alias("prob"), (0.7 * prob + 0.3 * prn(F.col("vid"), "proxy")).alias("proxy"), "val")
 
 
 TRADE_SQL = f"""ue AS (
