@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 SCALE = float(1 << 32)
 
 
-def prn_bits(key: Column, salt: str) -> Column:
+def prn_bits(key: Column, salt: str | Column) -> Column:
     """32 random bits of (key, salt) as a long: the first eight hex digits of an md5."""
-    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{salt}"))), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(":"), salt if isinstance(salt, Column) else F.lit(salt))), 1, 8), 16, 10).cast("long")
 
 
-def prn(key: Column, salt: str) -> Column:
+def prn(key: Column, salt: str | Column) -> Column:
     """A number in [0, 1)."""
     return prn_bits(key, salt) / F.lit(SCALE)
 

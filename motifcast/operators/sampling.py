@@ -8,6 +8,7 @@ Only numbers per stratum reach the driver.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -158,10 +159,14 @@ RULES = {
 }
 
 
+def rule_sum(rule: str) -> Column:
+    """What a rule allocates in proportion to, as an aggregate over a stratum."""
+    return F.sum("a") * F.sqrt(F.avg("proxy")) if rule == "w_root_mean_p" else F.sum(F.expr(RULES[rule]))
+
+
 def allocate(pop: DataFrame, n: int, rule: str = "sqrt_wp", least: int = 1) -> dict[int, int]:
     """Draws per stratum by one of ``RULES`` or ``w_root_mean_p``, capped at the strata's sizes."""
-    of = F.sum("a") * F.sqrt(F.avg("proxy")) if rule == "w_root_mean_p" else F.sum(F.expr(RULES[rule]))
-    rows = pop.groupBy("stratum").agg(of.alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    rows = pop.groupBy("stratum").agg(rule_sum(rule).alias("s"), F.count(F.lit(1)).alias("n")).collect()
     return largest_remainder({r["stratum"]: r["s"] for r in rows}, n, least, {r["stratum"]: r["n"] for r in rows})
 
 
@@ -182,7 +187,7 @@ def smallest(pop: DataFrame, draws: dict[int, int], key: Column) -> DataFrame:
     return cut.withColumn("_r", F.row_number().over(Window.partitionBy("stratum").orderBy("_k", "id"))).where("_r <= n_h").drop("_k", "_r", "_q", "_n")
 
 
-def uniform(pop: DataFrame, draws: dict[int, int], salt: str) -> DataFrame:
+def uniform(pop: DataFrame, draws: dict[int, int], salt: str | Column) -> DataFrame:
     """Uniform without replacement in each stratum."""
     n = pop.groupBy("stratum").agg(F.count(F.lit(1)).alias("_size"))
     return smallest(pop, draws, prn(F.col("id"), salt)).join(F.broadcast(n), "stratum").withColumn("pi", F.col("n_h") / F.col("_size")).drop("_size", "n_h")
@@ -215,12 +220,12 @@ def inclusion(pop: DataFrame, draws: dict[int, int], weight: Column) -> DataFram
     return rows.join(frame, "stratum").withColumn("pi", F.least(F.lit(1.0), pi)).drop("_w", "bar", "rest", "left_n")
 
 
-def systematic(pop: DataFrame, draws: dict[int, int], weight: Column, salt: str) -> DataFrame:
+def systematic(pop: DataFrame, draws: dict[int, int], weight: Column, salt: str | Column, start: Column | None = None) -> DataFrame:
     """PPS systematic without replacement: units in random order, taken where the running sum of pi passes a whole number plus
-    a random start."""
+    a random start (hashed from the stratum, or a number of the stratum if given)."""
     rows = inclusion(pop, draws, weight)
     ordered = running(rows.withColumn("_u", prn(F.col("id"), salt)), ["_u", "id"], "pi", "_c", by=["stratum"])
-    start = prn(F.col("stratum"), f"{salt}-start")
+    start = prn(F.col("stratum"), f"{salt}-start") if start is None else start
     hit = F.floor(F.round(F.col("_c"), 9) - start) > F.floor(F.round(F.col("_c") - F.col("pi"), 9) - start)
     return ordered.where((F.col("pi") >= 1) | hit).drop("_u", "_c")
 
@@ -359,10 +364,87 @@ def preset(pop: DataFrame, name: str, frac: float, salt: str = "run", k: int = 5
     return stratified_run(pop, frac, mode, sampling, rule, k, f"{salt}-{name}")
 
 
-def grid(pop: DataFrame, names: list[str], fracs: list[float], runs: int, truth: float) -> DataFrame:
-    """(method, frac, run, estimate, n, error) of every preset, fraction and run."""
-    frames = [preset(pop, m, f, f"run{r}").select(F.lit(m).alias("method"), F.lit(f).alias("frac"), F.lit(r).alias("run"), "estimate", "n") for m in names for f in fracs for r in range(runs)]
-    return union_all(frames).withColumn("error", F.abs(F.col("estimate") - truth) / (truth + 1e-9))
+@dataclass(frozen=True)
+class Cell:
+    """One run of a grid: strata (``None``: one stratum), sampling (``systematic`` or ``uniform``), allocation rule, budget fraction,
+    number of strata, salt; ``proxy`` and ``weight`` are SQL over the population's columns. ``adjusted`` runs take fewer strata for
+    small budgets, as ``stratified_run`` does."""
+
+    mode: str | None
+    sampling: str
+    rule: str
+    frac: float
+    k: int = 5
+    salt: str = "run"
+    proxy: str = "proxy"
+    weight: str = "sqrt(proxy * a)"
+
+    def strata(self, size: int) -> tuple:
+        n = max(1, int(self.frac * size))
+        k = 1 if self.mode is None or self.frac < 0.005 or n < 10 else max(1, min(self.k, size // 10))
+        return self.mode, k, self.proxy
+
+
+#: A grid's strata are numbered by cell and stratum.
+STRATA = 1_000
+
+
+def run_cells(pop: DataFrame, cells: list[Cell]) -> DataFrame:
+    """(cell, estimate, n, pi_min, pi_max, pi_mean) of each cell, by its place in the list.
+
+    A cell's strata are strata of their own in one sample over the population and the cells: jobs grow with the kinds of strata, not
+    with the cells. Each cell gives what ``stratified_run`` gives with its parameters."""
+    pop = checkpointed(pop)
+    size, draws, frames, whole = pop.count(), {}, {"systematic": [], "uniform": []}, []
+    for kind in dict.fromkeys(c.strata(size) for c in cells):
+        mode, k, proxy = kind
+        rows = pop.withColumn("proxy", F.expr(proxy))
+        cut = rows.withColumn("stratum", F.lit(0)) if mode is None else {"proxy": by_proxy, "contribution": by_contribution, "clusters": by_clusters}[mode](rows, k)
+        cut = checkpointed(cut)
+        rules = sorted({c.rule for c in cells if c.strata(size) == kind})
+        sums = cut.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[rule_sum(r).alias(r) for r in rules]).collect()
+        for sampling, frame in frames.items():
+            mine = [(i, c) for i, c in enumerate(cells) if c.strata(size) == kind and c.sampling == sampling]
+            full = [i for i, c in mine if size < 100 or int(c.frac * size) >= size]
+            mine = [(i, c) for i, c in mine if i not in full]
+            whole += full
+            if not mine:
+                continue
+            for i, c in mine:
+                n = largest_remainder({r["stratum"]: r[c.rule] for r in sums}, max(1, int(c.frac * size)), 1, {r["stratum"]: r["n"] for r in sums})
+                draws |= {i * STRATA + h: x for h, x in n.items()}
+            names = F.explode(F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(c.salt).alias("salt"), F.expr(c.weight).alias("weight")) for i, c in mine]))
+            frame.append(cut.withColumn("_c", names).select("id", "a", "proxy", "pass", F.col("stratum").alias("_h"), "_c.*").withColumn("stratum", (F.col("cell") * STRATA + F.col("_h")).cast("int")))
+    samples = []
+    if frames["systematic"]:
+        start = prn(F.col("_h"), F.concat("salt", F.lit("-start")))
+        samples.append(systematic(union_all(frames["systematic"]), draws, F.col("weight"), F.col("salt"), start))
+    if frames["uniform"]:
+        samples.append(uniform(union_all(frames["uniform"]), draws, F.col("salt")))
+    if whole:
+        samples.append(pop.withColumn("cell", F.explode(F.array(*map(F.lit, whole)))).withColumn("pi", F.lit(1.0)))
+    drawn = union_all([s.select("cell", "a", "pass", F.col("pi").cast("double")) for s in samples])
+    return drawn.groupBy("cell").agg(F.coalesce(F.sum(F.expr(f"({Y}) / pi")), F.lit(0.0)).alias("estimate"), F.count(F.lit(1)).alias("n"), F.min("pi").alias("pi_min"), F.max("pi").alias("pi_max"), F.avg("pi").alias("pi_mean"))
+
+
+def preset_cell(name: str, frac: float, salt: str = "run", k: int = 5, proxy: str = "proxy") -> Cell:
+    """The cell of ``preset`` with these parameters."""
+    mode, sampling, rule = PRESETS[name]
+    return Cell(mode, sampling, rule, frac, k, f"{salt}-{name}", proxy)
+
+
+def named_cells(pop: DataFrame, cells: dict[tuple, Cell], names: str) -> DataFrame:
+    """The results of cells with the columns ``names`` (a schema) of their keys."""
+    keys = pop.sparkSession.createDataFrame([(i, *key) for i, key in enumerate(cells)], f"cell int, {names}")
+    return run_cells(pop, list(cells.values())).join(F.broadcast(keys), "cell").drop("cell")  # one row per cell
+
+
+def grid(pop: DataFrame, names: list[str], fracs: list[float], runs: int, truth: float, proxies: dict[str, str] | None = None) -> DataFrame:
+    """(proxy, method, frac, run, estimate, n, error) of every preset, fraction and run, and of every named proxy (SQL)."""
+    proxies = proxies or {"given": "proxy"}
+    cells = {(p, m, f, r): preset_cell(m, f, f"run{r}", proxy=sql) for p, sql in proxies.items() for m in names for f in fracs for r in range(runs)}
+    out = named_cells(pop, cells, "proxy string, method string, frac double, run int")
+    return out.select("proxy", "method", "frac", "run", "estimate", "n").withColumn("error", F.abs(F.col("estimate") - truth) / (truth + 1e-9))
 
 
 def bandit(pop: DataFrame, n: int, salt: str, warm: int = 5, batch: int = 50, c: float = 1.0) -> DataFrame:
@@ -402,10 +484,9 @@ def confidence(sample: DataFrame, alpha: float = 0.05, kind: str = "normal", win
     return out.select("estimate", (F.greatest(lo, F.lit(0.0)) if winsorise else lo).alias("lo"), (F.col("estimate") + F.col("half")).alias("hi"))
 
 
-def budget_curve_systematic(pop: DataFrame, weight: Column, fracs: list[float], salt: str) -> DataFrame:
-    """(frac, estimate, n): one unstratified PPS systematic sample per fraction."""
-    flat, size = checkpointed(pop.withColumn("stratum", F.lit(0))), pop.count()
-    return union_all([horvitz_thompson(systematic(flat, {0: max(1, int(f * size))}, weight, salt)).select(F.lit(f).alias("frac"), "estimate", "n") for f in fracs])
+def budget_curve_systematic(pop: DataFrame, weight: str, fracs: list[float], salt: str) -> DataFrame:
+    """(frac, estimate, n): one unstratified PPS systematic sample per fraction; ``weight`` is SQL."""
+    return named_cells(pop, {(f,): Cell(None, "systematic", "uniform", f, salt=salt, weight=weight) for f in fracs}, "frac double").select("frac", "estimate", "n")
 
 
 def budget_curve_replacement(pop: DataFrame, weight: Column, fracs: list[float], salt: str) -> DataFrame:
@@ -469,9 +550,11 @@ def average_results(sums: DataFrame, counts: DataFrame) -> DataFrame:
 
 def tune_strata(pop: DataFrame, ks: list[int], frac: float, runs: int, truth: float) -> DataFrame:
     """(k, mean, median, p95): errors of the adaptive preset by number of strata."""
-    frames = [preset(pop, "adaptive", frac, f"tune{r}", k).select(F.lit(k).alias("k"), (F.abs(F.col("estimate") - truth) / (truth + 1e-9)).alias("error")) for k in ks for r in range(runs)]
-    q = F.percentile("error", F.array(F.lit(0.5), F.lit(0.95)))
-    return union_all(frames).groupBy("k").agg(F.avg("error").alias("mean"), q.alias("q")).select("k", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
+    cells = {(k, r): preset_cell("adaptive", frac, f"tune{r}", k) for k in ks for r in range(runs)}
+    errors = named_cells(pop, cells, "k int, run int").select("k", (F.abs(F.col("estimate") - truth) / (truth + 1e-9)).alias("error"))
+    errors = checkpointed(errors)
+    means = with_quantiles(errors.groupBy("k").agg(F.avg("error").alias("mean")), errors, "error", [0.5, 0.95], ["k"])
+    return means.select("k", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
 
 
 def best_strata(tuned: DataFrame) -> DataFrame:

@@ -338,8 +338,8 @@ def _(spark, d):
 
 @query("e14_presets")
 def _(spark, d):
-    pop = path_population(spark, d)
-    return union_all([E.preset(pop, n, 0.1).select(F.lit(n).alias("preset"), "estimate", "n") for n in E.PRESETS])
+    cells = {(name,): E.preset_cell(name, 0.1) for name in E.PRESETS}
+    return E.named_cells(path_population(spark, d), cells, "preset string").select("preset", "estimate", "n")
 
 
 @query("e15_adaptive")
@@ -396,9 +396,9 @@ def _(spark, d):
     return E.confidence(_sample(spark, d), winsorise=True).select(*[F.round(c, 3).alias(c) for c in ("estimate", "lo", "hi")])
 
 
-@query("e24_budget_curve_systematic")
+@query("e24_budget_curve_systematic", POP + f", w AS (SELECT *, greatest({ROOT}, 1e-12) AS w, {prn_sql('id', 'curve')} AS u FROM pop), p AS (SELECT frac, w.*, floor(frac * count(*) OVER (PARTITION BY frac)) * w / sum(w) OVER (PARTITION BY frac) AS pi FROM w, (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE)) AS f(frac)), c AS (SELECT *, sum(pi) OVER (PARTITION BY frac ORDER BY u, id) AS c, {prn_sql('0', 'curve-start')} / 4294967296.0 AS s FROM p) SELECT frac, round(sum(CASE WHEN pass THEN a ELSE 0 END / pi), 3) AS estimate, count(*) AS n FROM c WHERE floor(round(c, 9) - s) > floor(round(c - pi, 9) - s) GROUP BY frac")
 def _(spark, d):
-    return E.budget_curve_systematic(path_population(spark, d), F.expr(ROOT), [0.02, 0.05, 0.1], "curve")
+    return E.budget_curve_systematic(path_population(spark, d), ROOT, [0.02, 0.05, 0.1], "curve").withColumn("estimate", F.round("estimate", 3))
 
 
 @query("e25_budget_curve_replacement")
@@ -431,19 +431,36 @@ def _(spark, d):
     return out.withColumns({"t_hat": F.round("t_hat", 9), "t_true": F.round("t_true", 9), "error": F.round("error", 6)})
 
 
-@query("e29_grid")
+#: Uniform draws in contribution strata: a grid of fractions and runs in SQL.
+GRID = POP + CUTS.format("(proxy * a)").replace("FROM pop, c)", "FROM pop, c), truth AS (SELECT sum(CASE WHEN pass THEN a ELSE 0 END) AS t FROM pop)") + """, g AS (SELECT frac, run, 'run' || run || '-contribution_uniform' AS salt FROM (VALUES (0.05::DOUBLE), (0.1::DOUBLE)) AS f(frac), (VALUES (0), (1), (2)) AS r(run)),
+s AS (SELECT stratum, frac, sum(a * proxy) AS s, floor(frac * sum(count(*)) OVER (PARTITION BY frac))::BIGINT AS n FROM st, (SELECT DISTINCT frac FROM g) GROUP BY stratum, frac),
+f AS (SELECT *, floor(w) AS b, row_number() OVER (PARTITION BY frac ORDER BY floor(w) - w, stratum) AS r, n - sum(floor(w)) OVER (PARTITION BY frac) AS rest FROM (SELECT *, n * (s / sum(s) OVER (PARTITION BY frac)) AS w FROM s)),
+k AS (SELECT stratum, frac, greatest(1, b + (r <= rest)::INT)::BIGINT AS n_h FROM f),
+o AS (SELECT frac, run, st.*, row_number() OVER (PARTITION BY frac, run, stratum ORDER BY ('0x' || substr(md5(id || ':' || salt), 1, 8))::BIGINT, id) AS place, count(*) OVER (PARTITION BY frac, run, stratum) AS size FROM st, g)
+SELECT 'given' AS proxy, 'contribution_uniform' AS method, frac, run, round(sum(CASE WHEN pass THEN a ELSE 0 END / (n_h / size)), 3) AS estimate, count(*) AS n, round(abs(sum(CASE WHEN pass THEN a ELSE 0 END / (n_h / size)) - any_value(t)) / (any_value(t) + 1e-9), 6) AS error FROM o JOIN k USING (frac, stratum), truth WHERE place <= n_h GROUP BY frac, run"""
+
+
+def rounded(grid):
+    return grid.withColumns({"estimate": F.round("estimate", 3), "error": F.round("error", 6)})
+
+
+@query("e29_grid", GRID)
 def _(spark, d):
     pop = path_population(spark, d)
-    truth = E.full_evaluation(pop).first()["estimate"]
-    return E.grid(pop, ["proxy_importance", "contribution_uniform"], [0.05, 0.1], 2, truth)
+    return rounded(E.grid(pop, ["contribution_uniform"], [0.05, 0.1], 3, E.full_evaluation(pop).first()["estimate"]))
+
+
+@query("e29_grid_methods")
+def _(spark, d):
+    pop = path_population(spark, d)
+    return E.grid(pop, ["proxy_importance", "contribution_uniform"], [0.05, 0.1], 2, E.full_evaluation(pop).first()["estimate"])
 
 
 @query("e30_proxy_quality_grid")
 def _(spark, d):
     pop = path_population(spark, d)
     truth = E.full_evaluation(pop).first()["estimate"]
-    worse = pop.withColumn("proxy", 0.5 * F.col("proxy") + 0.25)
-    return union_all([E.grid(x, ["adaptive"], [0.1], 2, truth).withColumn("proxy", F.lit(k)) for k, x in (("good", pop), ("flat", worse))])
+    return E.grid(pop, ["adaptive"], [0.1], 2, truth, {"good": "proxy", "flat": "0.5 * proxy + 0.25"})
 
 
 @query("e31_tune_strata")

@@ -361,3 +361,38 @@ from motifcast.plans import registry
 assert __spark_entry__.queries().keys() == registry.QUERIES.keys() and __spark_entry__.oracle_sql() == registry.ORACLE_SQL
 """
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True)
+
+
+def test_a_grid_gives_what_single_runs_give(spark):
+    """Every cell of a grid equals the run with its parameters; one job chain for all of them."""
+    pop = spark.range(900).select(F.col("id"), (F.col("id") % 13 + 1).cast("double").alias("a"), (0.1 + 0.8 * prn(F.col("id"), "p")).alias("proxy"), (prn(F.col("id"), "o") < 0.4).alias("pass"))
+    pop = M.checkpointed(pop)
+    truth = E.full_evaluation(pop).first()["estimate"]
+    names = ["contribution_importance", "proxy_uniform"]
+    got = {(r["method"], r["frac"], r["run"]): (r["estimate"], r["n"]) for r in E.grid(pop, names, [0.05, 0.3], 2, truth).collect()}
+    assert len(got) == 8
+    for (m, f, r), (estimate, n) in got.items():
+        one = E.preset(pop, m, f, f"run{r}").first()
+        assert n == one["n"] and math.isclose(estimate, one["estimate"], rel_tol=1e-9)
+    worse = E.grid(pop, names[:1], [0.3], 1, truth, {"good": "proxy", "flat": "0.5 * proxy + 0.25"}).collect()
+    assert {r["proxy"] for r in worse} == {"good", "flat"} and len({r["estimate"] for r in worse}) == 2
+    few = E.grid(pop.limit(50), names, [0.1], 1, truth).collect()
+    assert {r["n"] for r in few} == {50}
+    tuned = E.tune_strata(pop, [1, 4], 0.2, 2, truth).collect()
+    assert {r["k"] for r in tuned} == {1, 4} and all(r["median"] <= r["p95"] for r in tuned)
+
+
+def test_roles_calls_and_pilot(spark):
+    """Checks of a row stop at its first failure, a vertex is paid once; a vertex that is not known fails."""
+    attrs = spark.createDataFrame([(1, "order", 0.9, 0.5), (2, "order", 0.1, 0.5), (7, "part", 0.8, None), (8, "part", 0.2, 0.25)], "vid long, role string, prob double, proxy double")
+    long = spark.createDataFrame([("p", "x", 1, 1, 2.0), ("p", "x", 2, 7, 2.0), ("p", "y", 1, 2, 3.0), ("p", "y", 2, 7, 3.0), ("p", "z", 1, 1, 4.0), ("p", "z", 2, 8, 4.0), ("p", "w", 1, 99, 1.0), ("p", "v", 1, 1, 0.0)], "pattern string, instance_id string, core_index int, vid long, est_w double")
+    wide = E.aggregate_instances(long, attrs)
+    x = {r["instance_id"]: r for r in wide.collect()}
+    assert x["x"]["ids"] == {"order": [1], "part": [7]} and x["x"]["probs"] == {"order": [0.9], "part": [0.8]} and x["w"]["lost"] == 1
+    pop = {r["id"]: r for r in E.population(wide).collect()}
+    assert {i: (r["a"], r["proxy"], r["pass"]) for i, r in pop.items()} == {"x": (2.0, 0.5, True), "y": (3.0, 0.5, False), "z": (4.0, 0.125, False), "w": (1.0, 1.0, False)}
+    assert pop["z"]["slots"] == {"order": 1, "part": 1} and [(c["role"], c["vid"], c["pass"]) for c in pop["z"]["checks"]] == [("order", 1, True), ("part", 8, False)]
+    assert E.role_calls(E.population(wide)).first()["calls"] == {"order": 2, "part": 2}  # y stops at its order
+    many = spark.range(2000).select("id", F.lit(2.0).alias("a"), (0.2 + 0.6 * prn(F.col("id"), "p")).alias("proxy"), (prn(F.col("id"), "o") < 0.5).alias("pass"))
+    run = E.stratified_run(many, 0.2, pilot=0.25, truth=2000.0, calls=True).first()
+    assert 380 <= run["n"] <= 420 and run["calls"] == {"core": run["n"]} and run["error"] < 0.2
