@@ -120,3 +120,25 @@ def with_quantiles(groups: DataFrame, rows: DataFrame, value: Column | str, shar
     found = found.withColumnsRenamed({c: f"_q{c}" for c in by})
     same = [F.col(c).eqNullSafe(F.col(f"_q{c}")) for c in by]
     return groups.join(found, same, "left").drop(*[f"_q{c}" for c in by])
+
+
+def running_by_range(rows: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``out`` = whole-number sum of ``value`` up to and including the row, in ``order`` within ``by``, for columns of any kind.
+
+    Rows are dealt by range, so a task orders one range, whatever the groups' sizes; the sums of a group's ranges are added apart
+    (one row per group and range). ``order`` should tell rows of a group apart."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id())
+    dealt = checkpointed(dealt)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*by, "_part").agg(F.sum(value).alias("_s")).withColumn("_o", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    offsets = offsets.withColumnsRenamed({c: f"_{c}" for c in [*by, "_part"]})
+    within = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "_part"]]
+    summed = dealt.withColumn("_w", F.sum(value).over(within)).join(offsets, same)
+    return summed.withColumn(out, (F.col("_w") + F.col("_o")).cast("long")).drop("_w", "_o", "_part", *[f"_{c}" for c in [*by, "_part"]])
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """``out`` = place from 1 within ``by`` in ``order``, without gaps and without a window over a group."""
+    return running_by_range(rows.withColumn("_one", F.lit(1)), by, order, "_one", out).drop("_one")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifcast.functions.ordered import quantiles
+from motifcast.functions.ordered import quantiles, running_by_range
 from motifcast.functions.random import prn_bits
 
 
@@ -215,3 +215,37 @@ def train_proxy(df: DataFrame, features: str, prob: str, kind: str = "linear"):
         return LinearSVC(maxIter=20, regParam=1e-3).fit(rows)
     width = len(df.select(features).first()[0])
     return MultilayerPerceptronClassifier(layers=[width, 8, 2], maxIter=30, seed=7).fit(rows)
+
+
+def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
+    """(auc): the chance that a positive row scores above a negative one, ties counting half; null without both. Rows are counted by
+    score, so ties are one row, and the negatives below each score are a running sum by ranges."""
+    counts = df.groupBy(F.col(score).cast("double").alias("_x")).agg(F.sum(positive.cast("long")).alias("_p"), F.sum((~positive).cast("long")).alias("_n"))
+    below = running_by_range(counts, [], ["_x"], "_n", "_upto")
+    half = F.col("_p").cast("double") * (F.col("_upto") - F.col("_n") / 2)
+    return below.agg(F.try_divide(F.sum(half), F.sum("_p").cast("double") * F.sum("_n")).alias("auc"))
+
+
+def proxy_quality(scored: DataFrame, score: str, prob: str, cut: float) -> DataFrame:
+    """(n, mse, auc, accuracy) of a proxy's scores against the oracle's probability; a row is called positive above ``cut``."""
+    truth = F.col(prob) > 0.5
+    sums = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col(score) - F.col(prob), 2)).alias("mse"), F.avg(((F.col(score) > cut) == truth).cast("double")).alias("accuracy"))
+    return sums.crossJoin(F.broadcast(auc(scored, score, truth)))  # one row each
+
+
+def compare_proxies(train: DataFrame, test: DataFrame, features: str, prob: str, kinds: tuple[str, ...] = ("linear", "svm", "mlp")) -> DataFrame:
+    """(model, n, mse, auc, accuracy) on ``test`` of proxies trained on ``train``. A linear model's score is its prediction, an SVM's its
+    margin (no mse), an MLP's the probability of the positive class."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from motifcast.functions.frames import checkpointed, union_all
+
+    rows, out = test.withColumn("_f", array_to_vector(F.col(features))).select("_f", F.col(prob).alias("_prob")), []
+    for kind in kinds:
+        model = train_proxy(train, features, prob, kind)
+        scored = model.transform(rows.withColumnRenamed("_f", "features"))
+        value = F.col("prediction") if kind == "linear" else vector_to_array(F.col("rawPrediction" if kind == "svm" else "probability"))[1]
+        scored = checkpointed(scored.select(value.alias("_score"), "_prob"))
+        quality = proxy_quality(scored, "_score", "_prob", 0.0 if kind == "svm" else 0.5)
+        out.append(quality.select(F.lit(kind).alias("model"), "n", (F.lit(None).cast("double") if kind == "svm" else F.col("mse")).alias("mse"), "auc", "accuracy"))
+    return union_all(out)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifcast.functions.frames import checkpointed
-from motifcast.functions.ordered import quantiles
-from motifcast.functions.random import prn
+from motifcast.functions.ordered import numbered, quantiles
+from motifcast.functions.random import bits60, prn
 
 
 def min_max(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -53,8 +53,8 @@ def noisy_proxy(df: DataFrame, key: str, prob: str, lo: float, hi: float, out: s
 
 
 def draw(df: DataFrame, key: str, shape: str, out: str, salt: str = "draw") -> DataFrame:
-    """A predicate column in [0, 1]: uniform, normal, skew (skew-normal from two normals), beta (2, 5 as order statistic), two_peak,
-    or mixture (exactly 30 % of the numbers' range below 0.5)."""
+    """A predicate column in [0, 1]: uniform, normal, skew (skew-normal from two normals), beta (2, 5 as order statistic), two_peak
+    (see ``mixture`` for exact shares)."""
     k = F.col(key)
     u, z = prn(k, salt), normal(k, salt)
     clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
@@ -64,11 +64,19 @@ def draw(df: DataFrame, key: str, shape: str, out: str, salt: str = "draw") -> D
         "skew": clip(0.3 + 0.2 * (0.95 * F.abs(z) + 0.31 * normal(k, f"{salt}-b"))),
         "beta": F.sort_array(F.array(*[prn(k, f"{salt}-{i}") for i in range(6)]))[1],  # the second of six uniforms is beta(2, 5)
         "two_peak": clip(F.when(prn(k, f"{salt}-side") < 0.5, 0.25).otherwise(0.75) + 0.08 * z),
-        "mixture": F.when(u < 0.3, u / 0.6).otherwise(0.5 + (u - 0.3) / 1.4),
     }
     return df.withColumn(out, shapes[shape])
 
 
+def mixture(df: DataFrame, key: str, low: float, out: str, salt: str = "draw") -> DataFrame:
+    """A predicate column of two parts with exact shares: round(``low`` N) rows uniform in [0, 0.5), the others in (0.5, 1]. The rows
+    with the least random numbers, ties by key, are the low ones."""
+    ranked = numbered(df.withColumn("_u", bits60(F.col(key), salt)), [], ["_u", key], "_r")
+    quota = round(low * df.count())
+    v = prn(F.col(key), f"{salt}-value")
+    return ranked.withColumn(out, F.when(F.col("_r") <= quota, v / 2).otherwise(1 - v / 2)).drop("_u", "_r")
+
+
 def distances(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """(ks, wasserstein) of two samples of a column.
 

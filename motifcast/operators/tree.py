@@ -7,6 +7,8 @@ their random numbers are portable (md5), so samples repeat under any partitionin
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -54,6 +56,23 @@ def choose_tree(pattern: Pattern, sizes: dict[int, int], pairs: dict[int, int],
     return Tree(tuple(order), parent, edge)
 
 
+def random_walk_tree(pattern: Pattern, seed: str, root: int = 0) -> Tree:
+    """A spanning tree drawn uniformly: a random walk over the pattern's vertices (at most ten) from ``root``; the edge by which it
+    first enters a vertex joins the tree. Its steps are hashed from the seed."""
+    order, parent, edge, at = [root], {}, {}, root
+    for step in itertools.count():
+        if len(order) == len(pattern.labels):
+            return Tree(tuple(order), parent, edge)
+        mine = [i for i, (a, b, _) in enumerate(pattern.edges) if at in (a, b)]
+        i = mine[int(hashlib.md5(f"{step}:{seed}".encode()).hexdigest()[:8], 16) % len(mine)]
+        a, b, _ = pattern.edges[i]
+        new = b if at == a else a
+        if new not in order:
+            order.append(new)
+            parent[new], edge[new] = at, i
+        at = new
+
+
 def _down(pattern: Pattern, tree: Tree, between: DataFrame, q: int) -> DataFrame:
     """(up, vid): candidate edges from q's parent to q."""
     i = tree.edge[q]
@@ -223,12 +242,10 @@ def projection_weights(trials: DataFrame, core: tuple[int, ...], total: float, g
     return trials.where("valid").groupBy(instance).agg((F.sum(F.lit(1) if g is None else g) * F.lit(total) / n).alias("est_w"))
 
 
-def paid_trials(trials: DataFrame, attrs: DataFrame, core: tuple[int, ...], budget: int, **rule: int) -> tuple[DataFrame, bool]:
-    """Trials that count (draw, valid, pass, cost, checks), with the oracle inside the loop, and whether the run is over.
+def trial_accounts(trials: DataFrame, attrs: DataFrame, core: tuple[int, ...]) -> DataFrame:
+    """(draw, valid, pass, cost, checks, spent): what each trial's oracle calls cost, and the running sum.
 
-    Trials are taken in order. A valid trial checks its core vertices in order until one fails; a vertex is paid when first
-    checked. The run is over before the first trial that ``budget`` new vertices cannot pay in full (that trial does not count), or
-    where the stop rule holds for trials that are valid and pass."""
+    A valid trial checks its core vertices in order until one fails; a vertex is paid when first checked."""
     from motifcast.functions.ordered import running
     from motifcast.operators.predicate import short_circuit
 
@@ -238,11 +255,26 @@ def paid_trials(trials: DataFrame, attrs: DataFrame, core: tuple[int, ...], budg
     cost = made.groupBy("draw").agg(F.sum(F.col("charged").cast("long")).alias("cost"), F.count(F.lit(1)).alias("checks"))
     each = drawn.join(cost, "draw", "left").fillna(0, ["cost", "checks"])
     top = each.agg(F.max("draw")).first()[0] or 0
-    each = checkpointed(running(each.withColumn("at", F.col("draw") / F.lit(top + 1.0)), ["at", "draw"], "cost", "spent"))
-    last = each.where(F.col("spent") > budget).agg(F.min("draw")).first()[0]
-    kept = each if last is None else each.where(F.col("draw") < last)
-    n, _, stopped = first_stop(kept.select(F.col("draw").alias("trial"), (F.col("valid") & F.coalesce("pass", F.lit(False))).alias("valid")), **rule)
-    return kept.where(F.col("draw") < n) if stopped else kept, stopped or last is not None
+    return checkpointed(running(each.withColumn("at", F.col("draw") / F.lit(top + 1.0)), ["at", "draw"], "cost", "spent"))
+
+
+def _over(each: DataFrame, budgets: list[int], **rule: int) -> tuple[dict[int, int | None], int | None]:
+    """First draw that each budget cannot pay, and the number of draws at which the stop rule holds for trials that are valid and
+    pass (None: neither happened)."""
+    firsts = each.agg(*[F.min(F.when(F.col("spent") > b, F.col("draw"))).alias(f"b{i}") for i, b in enumerate(budgets)]).first()
+    n, _, stopped = first_stop(each.select(F.col("draw").alias("trial"), (F.col("valid") & F.coalesce("pass", F.lit(False))).alias("valid")), **rule)
+    return {b: firsts[f"b{i}"] for i, b in enumerate(budgets)}, n if stopped else None
+
+
+def paid_trials(trials: DataFrame, attrs: DataFrame, core: tuple[int, ...], budget: int, **rule: int) -> tuple[DataFrame, bool]:
+    """Trials that count (draw, valid, pass, cost, checks), with the oracle inside the loop, and whether the run is over.
+
+    The run is over before the first trial that ``budget`` new vertices cannot pay in full (that trial does not count), or where the
+    stop rule holds for trials that are valid and pass, whichever comes first."""
+    each = trial_accounts(trials, attrs, core)
+    last, stop = _over(each, [budget], **rule)
+    ends = [x for x in (last[budget], stop) if x is not None]
+    return each.where(F.col("draw") < min(ends)) if ends else each, bool(ends)
 
 
 def estimate_under_budget(trials: DataFrame, attrs: DataFrame, core: tuple[int, ...], total: float, budget: int, g: Column | None = None, **rule: int) -> DataFrame:
@@ -315,6 +347,17 @@ def estimate_containing(pattern: Pattern, tree: Tree, counts: dict[int, DataFram
     return out.select("vid", F.when(F.col("w").isNull(), 0.0).when(F.col("hits").isNull(), -1.0).otherwise(F.col("w") * F.col("s") / F.col("hits")).alias("estimate"))
 
 
-def budget_curve(trials: DataFrame, attrs: DataFrame, core: tuple[int, ...], total: float, budgets: dict[float, int]) -> DataFrame:
-    """(frac, estimate, trials, unique, calls, hits) for each budget, cut from one sample."""
-    return union_all([estimate_under_budget(trials, attrs, core, total, b).select(F.lit(f).alias("frac"), "*") for f, b in budgets.items()])
+def budget_curve(trials: DataFrame, attrs: DataFrame, core: tuple[int, ...], total: float, budgets: dict[float, int], **rule: int) -> DataFrame:
+    """(frac, estimate, trials, unique, calls, hits) for each budget, cut from one sample: the accounts of the trials are kept once, and
+    each trial counts for the budgets whose end is after it."""
+    each = trial_accounts(trials, attrs, core)
+    lasts, stop = _over(each, sorted(set(budgets.values())), **rule)
+    never = 1 << 62
+    ends = [(float(f), min(never if x is None else x for x in (lasts[b], stop))) for f, b in budgets.items()]
+    counted = F.explode(F.filter(F.array(*[F.struct(F.lit(f).alias("frac"), F.lit(end).alias("end")) for f, end in ends]), lambda x: F.col("draw") < x["end"]))
+    kept = each.withColumn("b", counted).withColumn("frac", F.col("b.frac"))
+    hit = F.when(F.col("valid") & F.col("pass"), 1).otherwise(0)
+    sums = kept.groupBy("frac").agg(F.count(F.lit(1)).alias("trials"), F.sum(hit).alias("s"), F.sum("cost").alias("unique"), F.sum("checks").alias("calls"))
+    wanted = trials.sparkSession.createDataFrame([(f,) for f, _ in ends], "frac double")
+    out = wanted.join(sums, "frac", "left").fillna(0)
+    return out.select("frac", F.coalesce(F.try_divide(F.col("s") * F.lit(total), F.col("trials")), F.lit(0.0)).alias("estimate"), "trials", "unique", "calls", (F.col("calls") - F.col("unique")).alias("hits"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifcast.functions.frames import checkpointed
+from motifcast.functions.ordered import numbered
 from motifcast.functions.random import prn
 
 
@@ -156,6 +157,11 @@ def core_config(vertices: DataFrame, chosen: DataFrame) -> DataFrame:
     return vertices.join(want, ["pattern", "label"]).groupBy("pattern", "label").agg(F.array_sort(F.collect_list("q")).alias("qs"))
 
 
+def answers_of(answers: DataFrame, kept: DataFrame) -> DataFrame:
+    """The answers (pattern, ...) of the kept patterns."""
+    return answers.join(kept.select("pattern").distinct(), "pattern", "left_semi")
+
+
 def with_label(vertices: DataFrame, label: int) -> DataFrame:
     return vertices.groupBy("pattern").agg(F.collect_set("label").alias("ls")).where(F.array_contains("ls", label)).select("pattern")
 
@@ -163,8 +169,8 @@ def with_label(vertices: DataFrame, label: int) -> DataFrame:
 def merge_workloads(old: DataFrame, new: DataFrame, prefix: Column) -> DataFrame:
     """(name, hash): the old set and the new patterns it lacks, numbered on from the highest number per prefix.
 
-    Names are ``<prefix>_<number>``."""
+    Names are ``<prefix>_<number>``. Numbers follow the hashes; they come from ranges, so one prefix may hold all patterns."""
     fresh = new.join(old.select("hash"), "hash", "left_anti").withColumn("prefix", prefix).groupBy("hash").agg(F.min("prefix").alias("prefix"))
     top = old.select(F.regexp_extract("name", r"^(.*)_\d+$", 1).alias("prefix"), F.regexp_extract("name", r"_(\d+)$", 1).cast("long").alias("i")).groupBy("prefix").agg(F.max("i").alias("top"))
-    numbered = fresh.withColumn("r", F.row_number().over(Window.partitionBy("prefix").orderBy("hash"))).join(F.broadcast(top), "prefix", "left")
-    return old.select("name", "hash").unionByName(numbered.select(F.concat_ws("_", "prefix", (F.coalesce("top", F.lit(-1)) + F.col("r")).cast("string")).alias("name"), "hash"))
+    placed = numbered(fresh, ["prefix"], ["hash"], "r").join(top, "prefix", "left")
+    return old.select("name", "hash").unionByName(placed.select(F.concat_ws("_", "prefix", (F.coalesce("top", F.lit(-1)) + F.col("r")).cast("string")).alias("name"), "hash"))

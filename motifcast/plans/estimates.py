@@ -53,11 +53,26 @@ def under_budget(spark, d, core, budget, name="tri"):
     return X.estimate_under_budget(trials, attrs, core, X.total_trees(tree, counts), budget)
 
 
-@query("t1_choose_tree", "SELECT 'tree' AS what, 2 AS edges, count(*) > 0 AS rooted FROM lineitem")
+TREE_SQL = T + C0 + """, n AS (SELECT q, count(*) AS n FROM cand GROUP BY q), ends(edge, x, y) AS (VALUES (0, 0, 1), (1, 1, 2), (2, 0, 2)),
+w AS (SELECT edge, x, y, (SELECT count(*) FROM b WHERE b.edge = e.edge) / (a.n * c.n)::DOUBLE AS w FROM ends e JOIN n a ON a.q = e.x JOIN n c ON c.q = e.y),
+root AS (SELECT q FROM n ORDER BY n, q LIMIT 1), one AS (SELECT edge FROM w, root WHERE q IN (x, y) ORDER BY w, edge LIMIT 1), two AS (SELECT edge FROM w WHERE edge <> (SELECT edge FROM one) ORDER BY w, edge LIMIT 1)"""
+
+
+@query("t1_choose_tree", TREE_SQL + " SELECT (SELECT q FROM root) AS root, edge, round(w, 12) AS density FROM w WHERE edge IN (SELECT edge FROM one UNION ALL SELECT edge FROM two)")
+def _(spark, d):
+    """Root, and the edges of the least density that span the triangle."""
+    p, c, b, tree, _, _ = space(spark, d)
+    sizes, pairs = X.densities(c, b)
+    rows = [(tree.order[0], i, pairs[i] / (sizes[p.edges[i][0]] * sizes[p.edges[i][1]])) for i in tree.edge.values()]
+    return spark.createDataFrame(rows, "root int, edge int, density double").withColumn("density", F.round("density", 12))
+
+
+@query("t1_random_walk_tree")
 def _(spark, d):
-    _, c, b, tree, _, _ = space(spark, d)
-    rooted = c.where(F.col("q") == tree.order[0]).agg((F.count(F.lit(1)) > 0).alias("rooted"))
-    return rooted.select(F.lit("tree").alias("what"), F.lit(len(tree.edge)).alias("edges"), "rooted")
+    """Trials below a spanning tree that a random walk over the pattern draws."""
+    tree = X.random_walk_tree(M.PATTERNS["cyc4"], "walk")
+    p, _, b, _, counts, _ = space(spark, d, "cyc4", tree)
+    return X.sample_trees(p, tree, counts, b, 2000, "walk")
 
 
 @query("t2_count_trees", f"{T}, {PATH3} SELECT u1 AS vid, count(*) AS w FROM m GROUP BY u1")

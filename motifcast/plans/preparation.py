@@ -223,14 +223,15 @@ def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", (F.round(F.aggregate(F.slice(f, F.lit(1), 2 * F.size(v)), F.lit(0.0), lambda t, x: t + x), 2) + F.lit(0.0)).alias("plain"))
 
 
-@query("d28_train_proxy")
+@query("d28_auc", "WITH x AS (SELECT round(embedding[1]::DOUBLE, 2) AS s, label % 2 = 0 AS pos FROM embeddings), c AS (SELECT s, sum(pos::INT) AS p, sum((NOT pos)::INT) AS n FROM x GROUP BY s) SELECT round(sum(p * (b - n / 2.0)) / (sum(p) * sum(n)), 9) AS auc FROM (SELECT *, sum(n) OVER (ORDER BY s) AS b FROM c)")
 def _(spark, d):
-    from pyspark.ml.functions import array_to_vector
+    rows = table(spark, d, "embeddings").select(F.round(F.element_at("embedding", 1).cast("double"), 2).alias("s"), "label")
+    return D.auc(rows, "s", F.col("label") % 2 == 0).select(F.round("auc", 9).alias("auc"))
 
-    from motifcast.functions.random import prn
 
+@query("d28_train_proxy")
+def _(spark, d):
+    """All of the vectors; the oracle's probability depends on the label."""
     rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.when(F.col("label") % 2 == 0, 0.8).otherwise(0.2).alias("prob"))
-    rows = rows.withColumn("train", prn(F.col("vec_id"), "train") < 0.8)
-    model = D.train_proxy(rows.where("train"), "v", "prob")
-    out = model.transform(rows.where("not train").select("vec_id", "prob", array_to_vector("v").alias("features")))
-    return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.pow(F.col("prediction") - F.col("prob"), 2)), 4).alias("mse"))
+    rows = D.training_split(rows, "vec_id", 0.8, "train")
+    return D.compare_proxies(rows.where("train"), rows.where("not train"), "v", "prob").withColumns({c: F.round(c, 4) for c in ("mse", "auc", "accuracy")})

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from motifcast.functions.frames import checkpointed, shared_folder
+from motifcast.functions.ordered import numbered
 from motifcast.functions.random import prn, prn_sql
 from motifcast.operators import graph as G
 from motifcast.operators import synth as W
@@ -55,10 +56,15 @@ def _(spark, d):
 @query("w4_draw")
 def _(spark, d):
     rows = table(spark, d, "events").select("event_id")
-    shapes = ("uniform", "normal", "skew", "beta", "two_peak", "mixture")
+    shapes = ("uniform", "normal", "skew", "beta", "two_peak")
     for s in shapes:
         rows = W.draw(rows, "event_id", s, s, "w4")
-    return rows.agg(*[F.round(F.avg(s), 4).alias(s) for s in shapes], F.round(F.avg((F.col("mixture") < 0.5).cast("double")), 4).alias("mixture_low"))
+    return rows.agg(*[F.round(F.avg(s), 4).alias(s) for s in shapes])
+
+
+@query("w4_mixture", f"WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ('0x' || substr(md5(event_id || ':mix'), 1, 15))::BIGINT, event_id) AS r, {prn_sql('event_id', 'mix-value')} / 4294967296.0 AS v FROM events) SELECT event_id, CASE WHEN r <= (SELECT round(0.3 * count(*)) FROM r) THEN v / 2 ELSE 1 - v / 2 END AS p FROM r")
+def _(spark, d):
+    return W.mixture(table(spark, d, "events").select("event_id"), "event_id", 0.3, "p", "mix")
 
 
 @query("w5_distances", """WITH b AS (SELECT round(l_quantity) AS v FROM lineitem WHERE l_linenumber = 1), c AS (SELECT round(l_quantity * (1 - l_discount)) AS v FROM lineitem WHERE l_linenumber = 2),
@@ -194,17 +200,21 @@ def _(spark, d):
     return Y.core_config(vertices, chosen).select("pattern", "label", F.array_join(F.transform("qs", lambda x: x.cast("string")), ",").alias("qs"))
 
 
-@query("y14_with_label", LONG + " SELECT DISTINCT pattern FROM pv WHERE label = 3")
+@query("y14_with_label", LONG + " SELECT pattern, count(*) AS answer FROM pv WHERE pattern IN (SELECT pattern FROM pv WHERE label = 3) GROUP BY pattern")
 def _(spark, d):
-    return Y.with_label(drawn(spark, d)[2], 3)
+    """Patterns with a supplier, and their answers (here their numbers of vertices)."""
+    vertices = checkpointed(drawn(spark, d)[2])
+    return Y.answers_of(vertices.groupBy("pattern").agg(F.count(F.lit(1)).alias("answer")), Y.with_label(vertices, 3))
 
 
-@query("y15_merge_workloads", "WITH o AS (SELECT 'p_' || c_custkey AS name, md5((c_custkey % 50)::VARCHAR) AS hash FROM customer WHERE c_custkey < 50), w AS (SELECT DISTINCT md5((c_custkey % 70)::VARCHAR) AS hash FROM customer), f AS (SELECT hash FROM w WHERE hash NOT IN (SELECT hash FROM o)) SELECT name, hash FROM o UNION ALL SELECT 'p_' || ((SELECT count(*) FROM o) - 1 + row_number() OVER (ORDER BY hash)), hash FROM f")
+@query("y15_merge_workloads", CANON + ", hs AS (SELECT DISTINCT hash, CASE WHEN hash[-1] < '8' THEN 'a' ELSE 'b' END AS prefix FROM cn), o AS (SELECT hash, prefix, 2 * row_number() OVER (PARTITION BY prefix ORDER BY hash) AS i FROM hs WHERE hash < '8'), f AS (SELECT hash, prefix, row_number() OVER (PARTITION BY prefix ORDER BY hash) AS r FROM hs WHERE hash >= '8') SELECT prefix || '_' || i AS name, hash FROM o UNION ALL SELECT f.prefix || '_' || (coalesce(t, -1) + r), hash FROM f LEFT JOIN (SELECT prefix, max(i) AS t FROM o GROUP BY prefix) m ON m.prefix = f.prefix")
 def _(spark, d):
-    c = table(spark, d, "customer")
-    old = c.where("c_custkey < 50").select(F.concat(F.lit("p_"), F.col("c_custkey").cast("string")).alias("name"), F.md5((F.col("c_custkey") % 50).cast("string")).alias("hash"))
-    new = c.select(F.md5((F.col("c_custkey") % 70).cast("string")).alias("hash")).distinct()
-    return Y.merge_workloads(old, new, F.lit("p"))
+    """About half of the drawn patterns are an old set with gaps in its numbers; all of them come as new ones."""
+    _, induced, vertices = drawn(spark, d)
+    new = checkpointed(Y.drop_duplicate_patterns(Y.canonical(vertices, induced)).select("hash"))
+    prefix = F.when(F.substring("hash", -1, 1) < "8", "a").otherwise("b")
+    old = numbered(new.where("hash < '8'").withColumn("prefix", prefix), ["prefix"], ["hash"])
+    return Y.merge_workloads(old.select(F.concat_ws("_", "prefix", (2 * F.col("rank")).cast("string")).alias("name"), "hash"), new, prefix)
 
 
 # ---------------------------------------------------------------- sources and sinks

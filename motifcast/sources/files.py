@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,3 +111,39 @@ def load_runs(spark: SparkSession, path: str, rename: dict[str, str] | None = No
     df = df.withColumn("run", F.regexp_extract(file, r"(\d+)\D*$", 1).cast("int"))
     name = F.regexp_replace(file, r"_?\d+\D*$", "")
     return df.withColumn("query", F.coalesce("query", name) if "query" in df.columns else name)
+
+
+def save_matches(todo: dict[str, DataFrame], path: str) -> DataFrame:
+    """Save each pattern's matches with their columns, and return the summary (pattern, folder, n) of all that are saved.
+
+    Patterns that the summary lists are skipped, so a run that was cut short goes on where it stopped. A pattern's rows go to a
+    folder of their own, and count once its line in the summary is written; what a lost run left behind is never read. ``path`` must
+    be in storage that all executors share."""
+    spark = next(iter(todo.values())).sparkSession
+    done = {r["pattern"] for r in saved_matches(spark, path).collect()}
+    for name, rows in todo.items():
+        if name not in done:
+            folder = f"{path}/data/{name}-{uuid.uuid4()}"
+            rows.write.parquet(folder)
+            line = spark.read.parquet(folder).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("pattern"), F.lit(folder).alias("folder"), "n")
+            line.coalesce(1).write.mode("append").parquet(f"{path}/summary")
+    return saved_matches(spark, path)
+
+
+def saved_matches(spark: SparkSession, path: str) -> DataFrame:
+    """The summary of saved matches: (pattern, folder, n), the first line of each pattern."""
+    try:
+        lines = spark.read.schema("pattern string, folder string, n long").parquet(f"{path}/summary")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "pattern string, folder string, n long")
+    return lines.groupBy("pattern").agg(F.min(F.struct("folder", "n")).alias("s")).select("pattern", "s.folder", "s.n")
+
+
+def read_matches(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """A pattern's saved matches."""
+    found = saved_matches(spark, path).where(F.col("pattern") == pattern).first()
+    if found is None:
+        raise KeyError(pattern)
+    return spark.read.parquet(found["folder"])

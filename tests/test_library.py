@@ -13,11 +13,13 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from motifcast.functions import ordered
 from motifcast.functions.ordered import cells, intervals, lookup, running
 from motifcast.functions.random import below, below_sql, prn, prn_bits, prn_sql
 from motifcast.operators import graph as G
 from motifcast.operators import match as M
 from motifcast.operators import predicate as P
+from motifcast.operators import prep, synth
 from motifcast.operators import sampling as E
 from motifcast.operators import tree as X
 from motifcast.plans import registry
@@ -396,3 +398,89 @@ def test_roles_calls_and_pilot(spark):
     many = spark.range(2000).select("id", F.lit(2.0).alias("a"), (0.2 + 0.6 * prn(F.col("id"), "p")).alias("proxy"), (prn(F.col("id"), "o") < 0.5).alias("pass"))
     run = E.stratified_run(many, 0.2, pilot=0.25, truth=2000.0, calls=True).first()
     assert 380 <= run["n"] <= 420 and run["calls"] == {"core": run["n"]} and run["error"] < 0.2
+
+
+def test_walks_reach_all_spanning_trees(spark, small):
+    """A cycle of four has four spanning trees; each gives an estimate of the same count."""
+    vertices, edges = small
+    trees = [X.random_walk_tree(SQUARE, f"s{i}") for i in range(60)]
+    kinds = {frozenset(t.edge.values()): t for t in trees}
+    assert len(kinds) == 4 and min(Counter(frozenset(t.edge.values()) for t in trees).values()) >= 5
+    assert X.random_walk_tree(SQUARE, "s0") == trees[0]
+    c = M.checkpointed(M.initial_candidates(SQUARE, vertices, edges))
+    b = M.checkpointed(M.candidate_edges(SQUARE, c, edges))
+    truth = M.match(SQUARE, b).count()
+    for t in list(kinds.values())[:2]:
+        assert all(t.parent[q] in t.order[: t.order.index(q)] for q in t.order[1:])
+        counts = X.count_trees(SQUARE, t, c, b)
+        total = X.total_trees(t, counts)
+        got = X.estimate_count(X.sample_trees(SQUARE, t, counts, b, 4000, "walk"), total).first()
+        assert abs(got["estimate"] - truth) < 5 * total * math.sqrt(max(1, got["successes"])) / 4000
+
+
+def test_numbers_without_gaps(spark):
+    rows = [(g, r, i) for i, (g, r) in enumerate([(None, 5), (None, 5), ("a", 1)] + [("hub", i * 37 % 101) for i in range(300)])]
+    df = spark.createDataFrame(rows, "g string, k int, id int").repartition(5)
+    got: dict = {}
+    for r in ordered.numbered(df, ["g"], ["k", "id"]).collect():
+        got.setdefault(r["g"], []).append((r["rank"], r["k"], r["id"]))
+    for g, found in got.items():
+        assert [x[1:] for x in sorted(found)] == sorted((k, i) for x, k, i in rows if x == g) and [x[0] for x in sorted(found)] == list(range(1, len(found) + 1))
+    assert len(got) == 3 and ordered.numbered(df.limit(0), ["g"], ["k"]).count() == 0
+
+
+def test_mixture_has_exact_shares(spark):
+    got = synth.mixture(spark.range(997), "id", 0.3, "p").agg(F.sum((F.col("p") < 0.5).cast("int")), F.min("p"), F.max("p"), F.sum((F.col("p") == 0.5).cast("int"))).first()
+    assert got[0] == round(0.3 * 997) and 0 <= got[1] < 0.01 and 0.99 < got[2] <= 1 and got[3] == 0
+
+
+def test_auc_and_proxies(spark):
+    r = random.Random(6)
+    rows = [(float(r.randrange(12)), r.random() < 0.4) for _ in range(200)]
+    wins = [(x > y) + (x == y) / 2 for x, p in rows if p for y, q in rows if not q]
+    assert math.isclose(prep.auc(spark.createDataFrame(rows, "s double, t boolean"), "s", F.col("t")).first()["auc"], sum(wins) / len(wins))
+    assert prep.auc(spark.createDataFrame([(1.0, True)], "s double, t boolean"), "s", F.col("t")).first()["auc"] is None
+    points = [([r.gauss(0, 1) + (k % 2), r.gauss(0, 1)], 0.8 if k % 2 else 0.2) for k in range(400)]
+    df = spark.createDataFrame(points, "v array<double>, prob double")
+    got = {x["model"]: x for x in prep.compare_proxies(df.limit(300), df, "v", "prob").collect()}
+    assert set(got) == {"linear", "svm", "mlp"} and all(x["auc"] > 0.7 and x["accuracy"] > 0.6 and x["n"] == 400 for x in got.values()) and got["svm"]["mse"] is None
+
+
+def test_saved_matches_resume(spark, tmp_path):
+    """A run that stops half way and starts again gives the same table as one run; what it left behind is not read."""
+    path = str(tmp_path / "matches")
+    one, two = spark.range(5).withColumnRenamed("id", "u0"), spark.range(3).selectExpr("id AS u0", "id + 1 AS u1")
+
+    def broken(df):
+        def fail(batches):
+            yield from batches
+            raise RuntimeError("lost")
+
+        return df.mapInPandas(fail, df.schema)
+
+    with pytest.raises(Exception, match="lost"):
+        S.save_matches({"one": one, "two": broken(two)}, path)
+    assert [r["pattern"] for r in S.saved_matches(spark, path).collect()] == ["one"]
+    before = S.read_matches(spark, path, "one").inputFiles()
+    summary = {r["pattern"]: r["n"] for r in S.save_matches({"one": one, "two": two, "none": one.limit(0)}, path).collect()}
+    assert summary == {"one": 5, "two": 3, "none": 0}
+    assert S.read_matches(spark, path, "one").inputFiles() == before
+    assert sorted(map(tuple, S.read_matches(spark, path, "two").collect())) == [(0, 1), (1, 2), (2, 3)]
+    with pytest.raises(KeyError):
+        S.read_matches(spark, path, "three")
+
+
+def test_a_budget_curve_is_its_single_budgets(spark, small):
+    """Each budget of a curve gives what a run with that budget alone gives, stop rule included."""
+    vertices, edges = small
+    c = M.checkpointed(M.initial_candidates(SQUARE, vertices, edges))
+    b = M.checkpointed(M.candidate_edges(SQUARE, c, edges))
+    tree = X.choose_tree(SQUARE, *X.densities(c, b))
+    counts = X.count_trees(SQUARE, tree, c, b)
+    total = X.total_trees(tree, counts)
+    trials = M.checkpointed(X.sample_trees(SQUARE, tree, counts, b, 3000, "curve"))
+    attrs = vertices.select("vid", prn(F.col("vid"), "o").alias("prob"))
+    budgets = {0.1: 3, 0.2: 12, 0.5: 12, 0.9: 10_000, 0.0: 0}
+    for rule in ({}, {"give_up": 200, "least": 10_000}):
+        got = {r["frac"]: tuple(r)[1:] for r in X.budget_curve(trials, attrs, (0, 2), total, budgets, **rule).collect()}
+        assert got == {f: tuple(X.estimate_under_budget(trials, attrs, (0, 2), total, n, **rule).first()) for f, n in budgets.items()}
