@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifcast.functions.ordered import quantiles, running_by_range
+from motifcast.functions.ordered import numbered, quantiles, running_by_range
 from motifcast.functions.random import prn_bits
 
 
@@ -46,10 +46,28 @@ def keep_language(df: DataFrame, text: str, lang: str | None = None, wanted: str
     return df.where((letters(F.col(text)) > 1) & ok)
 
 
-def split_by_kind(df: DataFrame, kind: str, number: str) -> dict[str, DataFrame]:
-    """One frame per value of ``kind``, with ``number`` cast (bad is 0), largest first."""
-    cast = df.withColumn(number, F.coalesce(F.col(number).try_cast("long"), F.lit(0)))
-    return {r[0]: cast.where(F.col(kind) == r[0]).orderBy(F.desc(number)) for r in df.select(kind).distinct().collect()}
+def ordered_by_kind(df: DataFrame, kind: str, number: str, ties: list[str]) -> DataFrame:
+    """``number`` cast (bad is 0) and ``place``: from 1 within each kind, largest number first, then by ``ties``."""
+    cast = df.withColumn(number, F.coalesce(F.col(number).try_cast("long"), F.lit(0))).withColumn("_down", -F.col(number))
+    return numbered(cast, [kind], ["_down", *ties], "place").drop("_down")
+
+
+def split_by_kind(df: DataFrame, kind: str, number: str, ties: list[str], path: str) -> None:
+    """One folder ``<kind>=<value>`` per kind, its rows in order of ``place`` over its files: one pass, whatever the number of kinds."""
+    placed = ordered_by_kind(df, kind, number, ties)
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed.repartitionByRange(parts, kind, "place").sortWithinPartitions(kind, "place").write.mode("overwrite").partitionBy(kind).parquet(path)
+
+
+def probable_rows(df: DataFrame, prob: str, above: float, label: str, value) -> DataFrame:
+    """Rows with a probability above the cut (strictly) and the given label."""
+    return df.where((F.col(prob) > above) & (F.col(label) == value))
+
+
+def sorted_top(df: DataFrame, keys: list[str], ties: list[str], k: int | None = None) -> DataFrame:
+    """Rows by several falling keys, then by ``ties``; the first k of them, if k is given."""
+    rows = df.orderBy(*[F.desc(c) for c in keys], *ties)
+    return rows if k is None else rows.limit(k)
 
 
 def at_least(df: DataFrame, any_of: dict[str, int]) -> DataFrame:
@@ -65,9 +83,9 @@ def with_key_in(df: DataFrame, key: str, other: DataFrame, other_key: str, compl
     return df.join(other.select(F.col(other_key).alias(key)).distinct(), key, "left_anti" if complement else "left_semi")
 
 
-def pick_files(df: DataFrame, n: int, m: int, order: list[str], salt: str) -> DataFrame:
-    """The first m rows, by ``order``, of each of n files picked at random (by a hash of the file's name)."""
-    rows = df.withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+def pick_files(df: DataFrame, n: int, m: int, order: list[str], salt: str, folder: bool = False) -> DataFrame:
+    """The first m rows, by ``order``, of each of n files picked at random (by a hash of the file's name, or of its folder's)."""
+    rows = df.withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -2 if folder else -1))
     picked = rows.select("_file").distinct().orderBy(prn_bits(F.col("_file"), salt), "_file").limit(n)
     kept = rows.join(F.broadcast(picked), "_file")
     return kept.withColumn("_r", F.row_number().over(Window.partitionBy("_file").orderBy(*order))).where(F.col("_r") <= m).drop("_file", "_r")
@@ -139,9 +157,9 @@ def column_tools(df: DataFrame, rename: dict | None = None, drop: list | None =
     return df.select(*keep) if keep else df
 
 
-def order_by_labels(df: DataFrame, label: str, order: list[str], then: str) -> DataFrame:
+def order_by_labels(df: DataFrame, label: str, order: list[str], then: str, ties: list[str] | None = None) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, order)), F.col(label))
-    return df.orderBy(F.when(place > 0, place).otherwise(len(order) + 1), F.desc(then))
+    return df.orderBy(F.when(place > 0, place).otherwise(len(order) + 1), F.desc(then), *(ties or []))
 
 
 def overwrite(df: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:

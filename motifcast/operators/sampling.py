@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifcast.functions.frames import checkpointed, union_all
-from motifcast.functions.ordered import cells, intervals, lookup, quantiles, running, with_quantiles
+from motifcast.functions.ordered import cells, intervals, lookup, numbered, quantiles, running, with_quantiles
 from motifcast.functions.random import below, prn
 
 # ---------------------------------------------------------------- instances and populations
@@ -79,6 +79,12 @@ def attach_estimates(posts: DataFrame, est: DataFrame, name: str = "estimate") -
     return posts.join(est, "id", "left").withColumn(name, F.coalesce("est", F.lit(0.0))).drop("est").where(F.col(name) > 0)
 
 
+def estimate_summary(df: DataFrame, name: str = "estimate") -> DataFrame:
+    """(n, min, mean, p25, median, p75, max) of the attached estimates."""
+    sums = df.agg(F.count(name).alias("n"), F.min(name).alias("min"), F.avg(name).alias("mean"), F.max(name).alias("max"))
+    return with_quantiles(sums, df, name, [0.25, 0.5, 0.75]).select("n", "min", "mean", *[F.col("q")[i].alias(c) for i, c in enumerate(("p25", "median", "p75"))], "max")
+
+
 def estimates_wide(posts: DataFrame, est: DataFrame, names: list[str]) -> DataFrame:
     """One column ``estimate__<i>__<name>`` per query; repeats are summed, missing is 0."""
     wide = est.groupBy("id").pivot("query", names).agg(F.sum("est"))
@@ -87,9 +93,17 @@ def estimates_wide(posts: DataFrame, est: DataFrame, names: list[str]) -> DataFr
 
 
 def summarize_estimates(est: DataFrame, least_count: int, most_sum: float) -> DataFrame:
-    """Per query the non-zero count and sum, and whether it is kept (enough count, sum not above)."""
+    """(place, query, nonzero, total, kept): per query the non-zero count and the sum, largest sum first, and whether it is kept
+    (enough count, sum not above)."""
     out = est.groupBy("query").agg(F.sum((F.col("est") != 0).cast("long")).alias("nonzero"), F.sum("est").alias("total"))
-    return out.withColumn("kept", (F.col("nonzero") >= least_count) & (F.col("total") <= most_sum))
+    out = out.withColumn("kept", (F.col("nonzero") >= least_count) & (F.col("total") <= most_sum)).withColumn("_down", -F.col("total"))
+    return numbered(out, [], ["_down", "query"], "place").select("place", "query", "nonzero", "total", "kept")
+
+
+def split_queries(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The kept and the hard queries of a summary, each numbered anew in its order."""
+    parts = [numbered(summary.where("kept" if k else "not kept").drop("place"), [], ["total", "query"], "place") for k in (True, False)]
+    return parts[0], parts[1]
 
 
 # ---------------------------------------------------------------- strata and allocations

@@ -10,7 +10,8 @@ from motifcast.functions.random import below_sql, prn_sql
 from motifcast.operators import match as M
 from motifcast.operators import sampling as E
 from motifcast.operators import tree as X
-from motifcast.plans.exact import C0, PATH3, STAR4, TRI, T, embeddings, trade
+from motifcast.plans.exact import C0, PATH3, STAR4, TRI, T, answer, embeddings, trade
+from motifcast.sources.files import summarize_results, with_results
 from motifcast.sources.fixtures import attributes, table, trade_vertices
 
 QUERIES: dict = {}
@@ -41,16 +42,16 @@ def space(spark, d, name="tri", tree=None):
     return p, c, b, tree, X.count_trees(p, tree, c, b), attributes(vertices)
 
 
-def stopped(spark, d, name="tri"):
+def stopped(spark, d):
     """pattern, tree, total, trials up to where the stop rule holds."""
-    p, _, b, tree, counts, _ = space(spark, d, name)
+    p, _, b, tree, counts, _ = space(spark, d, tree=LINE)
     return p, tree, X.total_trees(tree, counts), X.sample_until_stop(p, tree, counts, b, "trees")
 
 
-def under_budget(spark, d, core, budget, name="tri"):
-    p, _, b, tree, counts, attrs = space(spark, d, name)
+def under_budget(spark, d, core, budget, name="tri", tree=LINE):
+    p, _, b, tree, counts, attrs = space(spark, d, name, tree)
     trials = X.sample_until_spent(p, tree, counts, b, attrs, core, budget, "trees")
-    return X.estimate_under_budget(trials, attrs, core, X.total_trees(tree, counts), budget)
+    return X.estimate_under_budget(trials, attrs, core, X.total_trees(tree, counts), budget).withColumn("estimate", F.round("estimate", 3))
 
 
 TREE_SQL = T + C0 + """, n AS (SELECT q, count(*) AS n FROM cand GROUP BY q), ends(edge, x, y) AS (VALUES (0, 0, 1), (1, 1, 2), (2, 0, 2)),
@@ -90,59 +91,85 @@ def cells_sql(name: str, rows: str, by: str) -> str:
     return f"{name}n AS (SELECT *, count(*) OVER ({over}) AS n FROM ({rows})), {name} AS (SELECT *, sum(w) OVER ({over} ORDER BY b, vid) AS hi, sum(w) OVER ({over} ORDER BY b, vid) - w AS lo FROM (SELECT *, {bucket_sql('vid', 'n')} AS b FROM {name}n))"
 
 
-TRIALS = f"""{T}{C0}, b1 AS MATERIALIZED (SELECT src AS up, dst AS vid FROM b WHERE edge = 0), b2 AS MATERIALIZED (SELECT src AS up, dst AS vid FROM b WHERE edge = 1),
+def trials_sql(n: int, seed: str = "trees") -> str:
+    """Tables up to ``trials`` (trial, u0, u1, u2, valid): n draws below the tree LINE."""
+    return f"""{T}{C0}, b1 AS MATERIALIZED (SELECT src AS up, dst AS vid FROM b WHERE edge = 0), b2 AS MATERIALIZED (SELECT src AS up, dst AS vid FROM b WHERE edge = 1),
 w1 AS MATERIALIZED (SELECT up AS vid, count(*) AS t2 FROM b2 GROUP BY up), w0 AS MATERIALIZED (SELECT up AS vid, sum(t2)::BIGINT AS t1 FROM b1 JOIN w1 USING (vid) GROUP BY up),
 {cells_sql("i0", "SELECT 0 AS up, vid, t1 AS w, t1 FROM w0", "up")}, {cells_sql("i1", "SELECT up, vid, t2 AS w, t2 FROM b1 JOIN w1 USING (vid)", "up")}, {cells_sql("i2", "SELECT up, vid, 1 AS w FROM b2", "up")},
-x0 AS (SELECT trial, {below_sql("trial || '-0'", "trees", "(SELECT sum(w) FROM i0)")} AS x FROM range({{0}}) t(trial)),
-x1 AS MATERIALIZED (SELECT trial, vid AS u0, {below_sql("trial || '-1'", "trees", "t1")} AS x FROM x0 JOIN i0 ON lo <= x AND x < hi),
-x2 AS MATERIALIZED (SELECT trial, u0, vid AS u1, {below_sql("trial || '-2'", "trees", "t2")} AS x FROM x1 JOIN i1 ON up = u0 AND lo <= x AND x < hi),
-trials AS MATERIALIZED (SELECT trial, u0, u1, vid AS u2, EXISTS (SELECT 1 FROM b WHERE edge = 2 AND src = u0 AND dst = vid) AS valid FROM x2 JOIN i2 ON up = u1 AND lo <= x AND x < hi)"""
+x0 AS (SELECT trial, {below_sql("trial || '-0'", seed, "(SELECT sum(w) FROM i0)")} AS x FROM range({n}) t(trial)),
+x1 AS MATERIALIZED (SELECT trial, vid AS u0, {below_sql("trial || '-1'", seed, "t1")} AS x FROM x0 JOIN i0 ON lo <= x AND x < hi),
+x2 AS MATERIALIZED (SELECT trial, u0, vid AS u1, {below_sql("trial || '-2'", seed, "t2")} AS x FROM x1 JOIN i1 ON up = u0 AND lo <= x AND x < hi),
+trials AS MATERIALIZED (SELECT trial, u0, u1, vid AS u2, EXISTS (SELECT 1 FROM b WHERE edge = 2 AND src = u0 AND dst = vid) AS valid FROM x2 JOIN i2 ON up = u1 AND lo <= x AND x < hi),
+total AS (SELECT sum(w)::DOUBLE AS total FROM i0)"""
+
+
+def stop_sql(hit: str, of: str = "trials", at: str = "trial") -> str:
+    """Table ``stop`` (n, s): the first hundred of trials, from 1,000 on, at which the exact binomial bounds of the rate of ``hit`` are
+    close enough (among the trials that the SQL draws)."""
+    pmf = lambda p: f"exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({p}) + (n - x) * ln(1 - {p}))"
+    above = f"list_sum(list_transform(range(s, n + 1), lambda x: {pmf('(0.8 * s / n)')}))"
+    under = f"list_sum(list_transform(range(0, s + 1), lambda x: {pmf('(1.25 * s / n)')}))"
+    return f""", cum AS (SELECT (step + 1) * 100 AS n, (sum(s) OVER (ORDER BY step))::BIGINT AS s FROM (SELECT {at} // 100 AS step, sum(({hit})::INT) AS s FROM {of} GROUP BY 1)),
+stop AS (SELECT n, s FROM cum WHERE n >= 1000 AND s > 0 AND {above} < 0.025 AND CASE WHEN 1.25 * s >= n THEN TRUE ELSE {under} < 0.025 END ORDER BY n LIMIT 1)"""
+
+
+STOPPED = trials_sql(4000) + stop_sql("valid")
+#: Accounts of the trials with the part as core, and their end for the budgets of a table ``bud`` (frac, budget).
+PAID = trials_sql(4000) + """, acc AS MATERIALIZED (SELECT trial, valid, valid AND prob > 0.5 AS hit, spent FROM (
+  SELECT trial, valid, u1, sum((valid AND trial = first)::INT) OVER (ORDER BY trial) AS spent FROM (SELECT *, min(CASE WHEN valid THEN trial END) OVER (PARTITION BY u1) AS first FROM trials)) JOIN a ON a.vid = u1)""" + stop_sql("hit", "acc") + """,
+ends AS (SELECT frac, least(coalesce((SELECT min(trial) FROM acc WHERE spent > budget), 4000), coalesce((SELECT n FROM stop), 4000)) AS e FROM bud),
+paid AS (SELECT frac, round(sum(hit::INT) * any_value(total) / count(*), 3) AS estimate, count(*) AS trials, max(spent)::BIGINT AS "unique", sum(valid::INT)::BIGINT AS calls, (sum(valid::INT) - max(spent))::BIGINT AS hits FROM acc, ends, total WHERE trial < e GROUP BY frac)"""
+
+
+def budgets_sql(rows: str) -> str:
+    head, rest = PAID.split(",\nends AS", 1)
+    return f"{head}, bud(frac, budget) AS ({rows}),\nends AS{rest}"
 
 
-@query("t3_sample_trees", TRIALS.format(4000) + " SELECT * FROM trials")
+@query("t3_sample_trees", trials_sql(4000) + " SELECT * FROM trials")
 def _(spark, d):
     p, _, b, tree, counts, _ = space(spark, d, tree=LINE)
     return X.sample_trees(p, tree, counts, b, 4000, "trees")
 
 
-@query("t4_stop_rule")
+@query("t4_stop_rule", STOPPED + " SELECT n AS trials, s AS successes FROM stop")
 def _(spark, d):
     *_, trials = stopped(spark, d)
-    return trials.agg(F.count(F.lit(1)).alias("trials"), F.sum(F.col("valid").cast("int")).alias("successes"))
+    return trials.agg(F.count(F.lit(1)).alias("trials"), F.sum(F.col("valid").cast("long")).alias("successes"))
 
 
-@query("t5_estimate_count")
+@query("t5_estimate_count", STOPPED + " SELECT round(s * total / n, 3) AS estimate, n AS trials, s AS successes, 'trees' AS by FROM stop, total")
 def _(spark, d):
-    p, c, b, tree, counts, _ = space(spark, d)
+    p, c, b, tree, counts, _ = space(spark, d, tree=LINE)
     trials = X.sample_until_stop(p, tree, counts, b, "trees")
-    return X.estimate_embeddings(p, c, b, trials, X.total_trees(tree, counts))
+    return X.estimate_embeddings(p, c, b, trials, X.total_trees(tree, counts)).withColumn("estimate", F.round("estimate", 3))
 
 
-@query("t6_root_frequency")
+@query("t6_root_frequency", STOPPED + " SELECT u0 AS vid, round(count(*) * any_value(total) / any_value(n), 6) AS estimate FROM trials, stop, total WHERE valid AND trial < n GROUP BY u0")
 def _(spark, d):
     _, tree, total, trials = stopped(spark, d)
-    return X.root_frequency(trials, tree.order[0], total)
+    return X.root_frequency(trials, tree.order[0], total).withColumn("estimate", F.round("estimate", 6))
 
 
-@query("t7_projection_weights")
+@query("t7_projection_weights", STOPPED + " SELECT u1 AS vid, round(count(*) * any_value(total) / any_value(n), 6) AS est_w FROM trials, stop, total WHERE valid AND trial < n GROUP BY u1")
 def _(spark, d):
     p, _, total, trials = stopped(spark, d)
-    return X.projection_weights(trials, p.core, total)
+    return X.projection_weights(trials, p.core, total).select(F.col("instance")[0].alias("vid"), F.round("est_w", 6).alias("est_w"))
 
 
-@query("t8_estimate_single_predicate")
+@query("t8_estimate_single_predicate", budgets_sql("SELECT 0, 200") + ' SELECT estimate, trials, "unique", calls, hits FROM paid')
 def _(spark, d):
     return under_budget(spark, d, (1,), 200)
 
 
 @query("t9_estimate_multi_predicate")
 def _(spark, d):
-    return under_budget(spark, d, (0, 2), 500, "cyc4")
+    return under_budget(spark, d, (0, 2), 500, "cyc4", None)
 
 
-@query("t10_estimate_containing")
+@query("t10_estimate_containing", trials_sql(5000, "through") + " SELECT c.vid, CASE WHEN w.vid IS NULL THEN 0 WHEN h.u0 IS NULL THEN -1 ELSE t1 END::DOUBLE AS estimate FROM cand c LEFT JOIN w0 w ON w.vid = c.vid LEFT JOIN (SELECT DISTINCT u0 FROM trials) h ON h.u0 = c.vid WHERE q = 0")
 def _(spark, d):
-    p, c, b, tree, counts, _ = space(spark, d)
+    p, c, b, tree, counts, _ = space(spark, d, tree=LINE)
     return X.estimate_containing(p, tree, counts, b, c.where(F.col("q") == tree.order[0]).select("vid"), 5000, "through")
 
 
@@ -152,16 +179,17 @@ def _(spark, d):
     return X.estimate_by_expansion(p, c, b, 5000, "grow")
 
 
-@query("t12_budget_curve")
+@query("t12_budget_curve", budgets_sql("SELECT f, CASE WHEN f < 0.5 THEN ceil(1.2 * (f * n)) ELSE ceil(n / 2) END FROM (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.5::DOUBLE)) AS t(f), (SELECT 0.25 * count(DISTINCT vid) AS n FROM cand WHERE q = 1)") + " SELECT * FROM paid")
 def _(spark, d):
-    p, c, b, tree, counts, attrs = space(spark, d)
-    n = c.where(F.col("q").isin(*p.core)).select("vid").distinct().count()  # an exact run checks each of them at most once
+    """The reference's costs are those of a quarter of the core's candidates."""
+    p, c, b, tree, counts, attrs = space(spark, d, tree=LINE)
+    n = 0.25 * c.where(F.col("q").isin(*p.core)).select("vid").distinct().count()
     budgets = X.curve_budgets((0.1, 0.2, 0.5), {f: f * n for f in (0.1, 0.2)}, summary=n / 2)
     trials = X.sample_until_spent(p, tree, counts, b, attrs, p.core, max(budgets.values()), "trees")
-    return X.budget_curve(trials, attrs, p.core, X.total_trees(tree, counts), budgets)
+    return X.budget_curve(trials, attrs, p.core, X.total_trees(tree, counts), budgets).withColumn("estimate", F.round("estimate", 3))
 
 
-@query("t13_sampled_vertices")
+@query("t13_sampled_vertices", budgets_sql("SELECT 0, 200") + " SELECT 'tri' AS pattern, 'trees' AS method, \"unique\" AS n_core FROM paid")
 def _(spark, d):
     core = M.PATTERNS["tri"].core
     return under_budget(spark, d, core, 200).select(F.lit("tri").alias("pattern"), F.lit("trees").alias("method"), F.col("unique").alias("n_core"))
@@ -226,6 +254,13 @@ def _(spark, d):
     return E.attach_estimates(table(spark, d, "documents").select(F.col("doc_id").alias("id")), table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("est")))
 
 
+@query("a4_estimate_summary", "SELECT count(value) AS n, min(value) AS min, round(avg(value), 6) AS mean, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS p75, max(value) AS max FROM events WHERE value > 0")
+def _(spark, d):
+    events = table(spark, d, "events")
+    rows = E.attach_estimates(events.select(F.col("event_id").alias("id")), events.select(F.col("event_id").alias("id"), F.col("value").cast("double").alias("est")))
+    return E.estimate_summary(rows).withColumn("mean", F.round("mean", 6))
+
+
 @query("a5_estimates_wide", "SELECT user_id AS id, coalesce(round(sum(value) FILTER (WHERE event_type = 'click'), 2), 0)::DOUBLE AS estimate__0__click, coalesce(round(sum(value) FILTER (WHERE event_type = 'error'), 2), 0)::DOUBLE AS estimate__1__error FROM events GROUP BY user_id")
 def _(spark, d):
     events = table(spark, d, "events")
@@ -233,9 +268,25 @@ def _(spark, d):
     return wide.withColumns({c: F.round(c, 2) for c in wide.columns[1:]})
 
 
-@query("a6_summarize_estimates", "SELECT event_type AS query, sum((value <> 0)::INT)::BIGINT AS nonzero, round(sum(value), 2) AS total, sum((value <> 0)::INT) >= 100 AND sum(value) <= 20000 AS kept FROM events GROUP BY event_type")
+A6 = "WITH s AS (SELECT (user_id % 97)::VARCHAR AS query, sum((value <> 0)::INT)::BIGINT AS nonzero, sum(round(value * 100)::BIGINT) AS cents FROM events WHERE user_id IS NOT NULL GROUP BY 1), k AS (SELECT *, nonzero >= 100 AND cents <= (SELECT median(cents) FROM s) AS kept FROM s)"
+
+
+def cents_by_query(spark, d):
+    """Whole numbers, so that sums and their order are exact."""
+    rows = table(spark, d, "events").where("user_id IS NOT NULL")
+    est = rows.select((F.col("user_id") % 97).cast("string").alias("query"), F.round(F.col("value") * 100).cast("long").alias("est"))
+    sums = est.groupBy("query").agg(F.sum("est").alias("t"))
+    return E.summarize_estimates(est, 100, sums.agg(F.median("t")).first()[0])  # 97 sums
+
+
+@query("a6_summarize_estimates", A6 + " SELECT row_number() OVER (ORDER BY cents DESC, query) AS place, query, nonzero, cents::BIGINT AS total, kept FROM k")
+def _(spark, d):
+    return cents_by_query(spark, d)
+
+
+@query("a6_split_queries", A6 + " SELECT kept, row_number() OVER (PARTITION BY kept ORDER BY cents, query) AS place, query FROM k")
 def _(spark, d):
-    return E.summarize_estimates(table(spark, d, "events").select(F.col("event_type").alias("query"), F.col("value").alias("est")), 100, 20000.0).withColumn("total", F.round("total", 2))
+    return union_all([x.select("kept", "place", "query") for x in E.split_queries(checkpointed(cents_by_query(spark, d)))])
 
 
 # ---------------------------------------------------------------- sampling
@@ -263,6 +314,7 @@ def strata(spark, d):
 
 
 ST = POP + CUTS.format("proxy")
+ROOT = "sqrt(proxy * a)"
 
 
 #: Largest remainder of {0} units over s(stratum, s), at least 1 each (no stratum is smaller than its share here).
@@ -284,6 +336,13 @@ def _(spark, d):
     return E.pilot_statistics(E.uniform(strata(spark, d), dict.fromkeys(range(5), 20), "pilot")).withColumns({"rate": F.round("rate", 6), "sd": F.round("sd", 6)})
 
 
+@query("e5_weighted_pilot", ST + f", k AS (SELECT *, -ln(greatest({prn_sql('id', 'pilot')} / 4294967296.0, 1.1641532182693481e-10)) / greatest(sqrt(proxy * a), 1e-12) AS k FROM st), r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY k, id) AS r FROM k) SELECT stratum, count(*) AS n, sum(a) AS weight, round(sum(CASE WHEN pass THEN a ELSE 0 END) / sum(a), 6) AS rate, round(coalesce(stddev_samp(CASE WHEN pass THEN a ELSE 0 END), 0), 6) AS sd FROM r WHERE r <= 20 GROUP BY stratum")
+def _(spark, d):
+    """The pilot drawn by the root of the expected contribution."""
+    pilot = E.exponential_keys(strata(spark, d), dict.fromkeys(range(5), 20), F.expr(ROOT), "pilot")
+    return E.pilot_statistics(pilot).withColumns({"rate": F.round("rate", 6), "sd": F.round("sd", 6)})
+
+
 @query("e6_second_allocation", ST + PILOT + SHARED.format(100, "1") + " SELECT stratum, " + UNITS)
 def _(spark, d):
     pop = strata(spark, d)
@@ -301,9 +360,6 @@ def _(spark, d):
     return E.uniform(strata(spark, d), dict.fromkeys(range(5), 30), "uni").select("id", "stratum", F.round("pi", 9).alias("pi"))
 
 
-ROOT = "sqrt(proxy * a)"
-
-
 @query("e9_systematic", POP + f", w AS (SELECT *, greatest(sqrt(proxy * a), 1e-12) AS w, {prn_sql('id', 'sys')} AS u FROM pop), p AS (SELECT *, 100 * w / sum(w) OVER () AS pi FROM w), c AS (SELECT *, sum(pi) OVER (ORDER BY u, id) AS c, {prn_sql('0', 'sys-start')} / 4294967296.0 AS s FROM p) SELECT id, round(pi, 6) AS pi FROM c WHERE floor(round(c, 9) - s) > floor(round(c - pi, 9) - s)")
 def _(spark, d):
     flat = path_population(spark, d).withColumn("stratum", F.lit(0))
@@ -389,6 +445,17 @@ def _(spark, d):
     return E.full_evaluation(E.population(E.aggregate_instances(E.instances_long(star_instances(spark, d), "star4", 1.0), attributes(trade_vertices(spark, d)))))
 
 
+@query("e21_summary", STAR_INST + f", s AS (SELECT 'star4' AS pattern, sum(CASE WHEN p.prob > 0.5 AND q.prob > 0.5 THEN w ELSE 0 END) AS e, count(*) AS n FROM inst JOIN a p ON p.vid = x JOIN a q ON q.vid = y), c AS (SELECT count(DISTINCT vid) AS cost FROM (SELECT x AS vid FROM inst UNION ALL SELECT y FROM inst JOIN a ON a.vid = x WHERE prob > 0.5)) SELECT 'all' AS method, 1::BIGINT AS queries, 0.0::DOUBLE AS mean_error, cost::DOUBLE AS mean_cost FROM s, c")
+def _(spark, d):
+    """Mean error and cost of the oracle on all instances: weights are exact here, so no error is left."""
+    instances = E.aggregate_instances(E.instances_long(star_instances(spark, d), "star4", 1.0), attributes(trade_vertices(spark, d)))
+    pop = checkpointed(E.population(instances))
+    calls = E.role_calls(pop).select(F.aggregate(F.map_values("calls"), F.lit(0).cast("long"), lambda t, x: t + x).alias("oracle_cost"))
+    truth = answer(spark, d, "star4").select(F.lit("star4").alias("query"), F.col("n").cast("double").alias("t_true"))
+    results = E.full_evaluation(pop).select(F.lit("all").alias("method"), F.lit("star4").alias("query"), F.col("estimate").alias("t_hat")).crossJoin(F.broadcast(calls))  # one row each
+    return summarize_results(with_results(results, truth), ["method"])
+
+
 def _sample(spark, d):
     return E.uniform(strata(spark, d), dict.fromkeys(range(5), 30), "uni")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
+from motifcast.functions.frames import shared_folder
 from motifcast.functions.random import prn_sql
 from motifcast.operators import prep as D
 from motifcast.sources.fixtures import SOCIAL_SQL, social_tables, table
@@ -50,11 +53,13 @@ def _(spark, d):
     return D.keep_language(table(spark, d, "documents"), "text").select("doc_id")
 
 
-@query("d5_split_by_kind", "SELECT event_id, event_type AS kind, coalesce(try_cast(CASE WHEN event_id % 7 = 0 THEN 'none' ELSE (event_id % 13)::VARCHAR END AS BIGINT), 0) AS comments FROM events")
+@query("d5_split_by_kind", "SELECT event_id, kind, comments, row_number() OVER (PARTITION BY kind ORDER BY comments DESC, event_id) AS place FROM (SELECT event_id, event_type AS kind, coalesce(try_cast(CASE WHEN event_id % 7 = 0 THEN 'none' ELSE (event_id % 13)::VARCHAR END AS BIGINT), 0) AS comments FROM events)")
 def _(spark, d):
+    """Written by kind and read back; the places tell whether the order is kept."""
     rows = table(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), F.when(F.col("event_id") % 7 == 0, "none").otherwise((F.col("event_id") % 13).cast("string")).alias("comments"))
-    parts = list(D.split_by_kind(rows, "kind", "comments").values())
-    return D.append_tables(parts, 0)
+    path = f"{shared_folder(spark)}/kinds-{uuid.uuid4()}"
+    D.split_by_kind(rows, "kind", "comments", ["event_id"], path)
+    return spark.read.parquet(path).select("event_id", F.col("kind").cast("string").alias("kind"), "comments", "place")
 
 
 @query("d6_at_least", f"{S}, n AS (SELECT u.id, (SELECT count(*) FROM posts WHERE creator = u.id) AS posts, (SELECT count(*) FROM comments WHERE creator = u.id) AS comments FROM users u) SELECT * FROM n WHERE comments >= 70 OR posts >= 8")
@@ -69,7 +74,7 @@ def _(spark, d):
 
 @query("d7_sorted_top", f"{S}, n AS (SELECT u.id, (SELECT count(*) FROM posts WHERE creator = u.id) AS posts, (SELECT count(*) FROM comments WHERE creator = u.id) AS comments FROM users u) SELECT * FROM n ORDER BY comments DESC, posts DESC, id LIMIT 20")
 def _(spark, d):
-    return D.activity(*social_tables(spark, d)).orderBy(F.desc("comments"), F.desc("posts"), "id").limit(20)
+    return D.sorted_top(D.activity(*social_tables(spark, d)), ["comments", "posts"], ["id"], 20)
 
 
 @query("d8_key_in", f"{S} SELECT id, 'in' AS side FROM comments WHERE creator IN (SELECT id FROM users) UNION ALL SELECT id, 'out' FROM comments WHERE creator NOT IN (SELECT id FROM users)")
@@ -78,9 +83,12 @@ def _(spark, d):
     return D.with_key_in(comments, "creator", users, "id").select("id", F.lit("in").alias("side")).unionByName(D.with_key_in(comments, "creator", users, "id", complement=True).select("id", F.lit("out").alias("side")))
 
 
-@query("d9_pick_files", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50")
+@query("d9_pick_files", f"WITH p AS (SELECT lang FROM (SELECT DISTINCT lang FROM documents) ORDER BY {prn_sql("'lang=' || lang", 'files')}, lang LIMIT 2) SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents WHERE lang IN (SELECT lang FROM p)) WHERE r <= 50")
 def _(spark, d):
-    return D.pick_files(table(spark, d, "documents").select("doc_id", "lang"), 1, 50, ["doc_id"], "files")
+    """The documents are written in folders by language; two of these are picked, and the first rows of each."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4()}"
+    table(spark, d, "documents").select("doc_id", "lang").write.partitionBy("lang").parquet(path)
+    return D.pick_files(spark.read.parquet(path), 2, 50, ["doc_id"], "files", folder=True).withColumn("lang", F.col("lang").cast("string"))
 
 
 @query("d10_child_counts", f"{S} SELECT p.id, count(c.id) AS sub_comment FROM posts p LEFT JOIN comments c ON c.post = p.id GROUP BY p.id")
@@ -143,8 +151,7 @@ def _(spark, d):
 @query("d17_order_by_labels", "SELECT event_id, event_type, value FROM events ORDER BY CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 ELSE 3 END, value DESC, event_id LIMIT 10")
 def _(spark, d):
     rows = table(spark, d, "events").select("event_id", "event_type", "value")
-    place = F.array_position(F.array(F.lit("error"), F.lit("click")), F.col("event_type"))
-    return rows.orderBy(F.when(place > 0, place).otherwise(3), F.desc("value"), "event_id").limit(10)
+    return D.order_by_labels(rows, "event_type", ["error", "click"], "value", ["event_id"]).limit(10)
 
 
 @query("d18_overwrite", "SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -189,10 +196,10 @@ def _(spark, d):
     return D.count_at_least(table(spark, d, "lineitem"), "l_quantity", [1, 10, 25, 50])
 
 
-@query("d24_recover_parents", f"{S} SELECT 'found' AS state, id FROM comments WHERE id IN (SELECT parent FROM comments) AND kind <> 'click' UNION ALL SELECT DISTINCT 'missing', parent FROM comments WHERE parent IN (SELECT id FROM comments WHERE kind = 'click') AND FALSE")
+@query("d24_recover_parents", f"{S} SELECT 'found' AS state, id FROM comments WHERE id IN (SELECT parent FROM comments) AND kind <> 'click' AND id % 5 <> 0 UNION ALL SELECT DISTINCT 'missing', parent FROM comments WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM comments WHERE kind = 'click') AND parent NOT IN (SELECT id FROM comments WHERE id % 5 <> 0)")
 def _(spark, d):
     _, _, comments = social_tables(spark, d)
-    found, missing = D.recover_parents(comments, "parent", comments.where("kind = 'click'").select("id"), comments)
+    found, missing = D.recover_parents(comments, "parent", comments.where("kind = 'click'").select("id"), comments.where("id % 5 <> 0"))
     return found.select(F.lit("found").alias("state"), "id").unionByName(missing.select(F.lit("missing").alias("state"), "id"))
 
 
@@ -203,7 +210,7 @@ def _(spark, d):
 
 @query("d26_probable_rows", "SELECT event_id FROM events WHERE value > 10 AND event_type = 'click'")
 def _(spark, d):
-    return table(spark, d, "events").where((F.col("value") > 10) & (F.col("event_type") == "click")).select("event_id")
+    return D.probable_rows(table(spark, d, "events"), "value", 10, "event_type", "click").select("event_id")
 
 
 @query("d27_training_split", f"SELECT doc_id, {prn_sql('doc_id', 'split')} < floor(0.8 * 4294967296)::BIGINT AS train FROM labels")

@@ -261,19 +261,25 @@ def _(spark, d):
 def _(spark, d):
     q = (F.col("p_partkey") % 5).cast("int")
     config = F.create_map(F.col("p_partkey").cast("string"), F.create_map(F.col("p_size").cast("string"), F.array(q, q + 1)))
-    return S.parse_core_config(table(spark, d, "part").select(F.to_json(config).alias("json"))).withColumn("q", F.col("q").cast("long"))
+    path = folder(spark)
+    table(spark, d, "part").select(F.to_json(config).alias("value")).write.text(path)
+    return S.read_core_config(spark, path).withColumn("q", F.col("q").cast("long"))
 
 
 @query("s6_core_labels", "SELECT p_partkey::VARCHAR || '.graph' AS pattern, p_size AS label FROM part WHERE p_partkey % 10 <> 0 UNION ALL SELECT p_partkey::VARCHAR || '.graph', 99 FROM part WHERE p_partkey % 10 <> 0")
 def _(spark, d):
     line = F.concat(F.when(F.col("p_partkey") % 10 == 0, "# ").otherwise(""), F.col("p_partkey").cast("string"), F.lit(".graph "), F.col("p_size").cast("string"), F.lit(" 99"))
-    return S.parse_core_labels(table(spark, d, "part").select(line.alias("value")))
+    path = folder(spark)
+    table(spark, d, "part").select(line.alias("value")).write.text(path)
+    return S.read_core_labels(spark, path)
 
 
 @query("s7_answers", "SELECT 'q' || p_partkey AS pattern, p_size + 0.5 AS elapsed_ms, p_partkey AS cardinality FROM part")
 def _(spark, d):
     line = F.concat(F.lit("q"), F.col("p_partkey").cast("string"), F.lit(" "), F.col("p_size").cast("string"), F.lit(".5ms "), F.col("p_partkey").cast("string"))
-    return S.parse_answers(table(spark, d, "part").select(line.alias("value")))
+    path = folder(spark)
+    table(spark, d, "part").select(line.alias("value")).write.text(path)
+    return S.read_answers(spark, path)
 
 
 ORACLE_SQL["s7_answers"] = "SELECT 'q' || p_partkey AS pattern, (p_size + 0.5)::DOUBLE AS elapsed_ms, p_partkey AS cardinality FROM part"
@@ -295,6 +301,13 @@ def _(spark, d):
     return spark.read.parquet(path).select("query", "l_linenumber", "l_orderkey", F.round("error", 9).alias("error"))
 
 
+@query("s10_summary", "SELECT l_linenumber AS method, count(DISTINCT l_partkey) AS queries, round(avg(abs(l_quantity - p_size) / p_size), 6) AS mean_error, round(avg(l_orderkey), 4) AS mean_cost FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_linenumber")
+def _(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("query"), F.col("l_linenumber").alias("method"), F.col("l_orderkey").alias("oracle_cost"), F.col("l_quantity").alias("t_hat"))
+    known = table(spark, d, "part").select(F.col("p_partkey").alias("query"), F.col("p_size").cast("double").alias("t_true"))
+    return S.summarize_results(S.with_results(rows, known), ["method"]).withColumns({"mean_error": F.round("mean_error", 6), "mean_cost": F.round("mean_cost", 4)})
+
+
 @query("s11_still_to_do", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(spark, d):
     return S.still_to_do(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"])

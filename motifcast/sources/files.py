@@ -82,6 +82,26 @@ def parse_answers(lines: DataFrame) -> DataFrame:
     return lines.where(at(1) != "").select(at(1).alias("pattern"), at(2).cast("double").alias("elapsed_ms"), at(3).cast("long").alias("cardinality"))
 
 
+def read_core_config(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Files of one JSON object per line, or of one object each if ``whole`` -> (pattern, label, q)."""
+    return parse_core_config(spark.read.text(path, wholetext=whole).withColumnRenamed("value", "json"))
+
+
+def read_core_labels(spark: SparkSession, path: str) -> DataFrame:
+    """A file of lines ``pattern label [label]`` -> (pattern, label)."""
+    return parse_core_labels(spark.read.text(path))
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """A file of lines ``name 12.3ms 456`` -> (pattern, elapsed_ms, cardinality)."""
+    return parse_answers(spark.read.text(path))
+
+
+def summarize_results(results: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., queries, mean_error, mean_cost) of results with their error and oracle cost."""
+    return results.groupBy(*by).agg(F.countDistinct("query").alias("queries"), F.avg("error").alias("mean_error"), F.avg("oracle_cost").alias("mean_cost"))
+
+
 def split_by_pattern(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("pattern").parquet(path)
 
