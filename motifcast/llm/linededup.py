@@ -13,7 +13,7 @@ last start, with enough words. A window of n lines has the key (n, name at its s
 
 Texts that are copies of a whole earlier text take no part: all their lines go if they have enough words, none otherwise.
 
-Defined cases: null and empty texts have no line to delete and stay; blank lines count as lines of no words; rows with the
+Defined cases: a null doc_id counts as the smallest one, and rows with it are told apart by their texts; null and empty texts have no line to delete and stay; blank lines count as lines of no words; rows with the
 same doc_id and text are one place; texts without repeats are unchanged; a text of which all lines go becomes empty; an empty
 table gives an empty result; extra columns pass through.
 """
@@ -27,6 +27,8 @@ from motifcast.llm.common import bounded_broadcast, checkpointed, documents
 
 LEAST_WORDS = 50
 PLACE = ["doc_id", "tie", "line"]
+#: Stands for a null doc_id in keys.
+NO_ID = -(1 << 63)
 
 
 def word_count(line: Column) -> Column:
@@ -94,8 +96,8 @@ def _not_first(windows: DataFrame) -> DataFrame:
 
 
 def deleted_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, tie (hash of the text), lines: numbers from 0 of the lines to delete; null for the whole text."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    """doc_id (``NO_ID`` for null), tie (hash of the text), lines: numbers from 0 of the lines to delete; null for the whole text."""
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     hashed = texts.select("doc_id", "tie", F.xxhash64(F.lit(1), "text").alias("tie2"), F.size(F.array_remove(F.split(F.col("text"), "[ \n]", -1), "")).alias("words")).distinct()
     hashed = checkpointed(hashed)
     copied = checkpointed(hashed.groupBy("tie", "tie2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last"))
@@ -113,8 +115,8 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the later copies of repeated runs deleted from ``text``, and n_lines, n_deleted (they replace columns of these names)."""
     gone = checkpointed(deleted_lines(docs, least_words).select("doc_id", "tie", F.struct("lines").alias("gone")))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumns({"id": F.col("row.doc_id").cast("long"), "hash": F.xxhash64("text")})
-    joined = rows.join(bounded_broadcast(gone, gone.count()), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("tie")), "left")
+    rows = rows.withColumns({"id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)), "hash": F.xxhash64("text")})
+    joined = rows.join(bounded_broadcast(gone, gone.count()), (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("tie")), "left")
     lines, mask = F.split("text", "\n", -1), F.col("gone.lines")
     n_lines = F.size(lines)
     stay = F.array_except(F.sequence(F.lit(0), n_lines - 1), mask)

@@ -555,6 +555,17 @@ def test_line_dedup_of_odd_input(odd, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_with_null_ids(spark):
+    """Rows without an id are places like others, before all ids; copies of a whole text among them are one place."""
+    block = "\n".join(say(90 + i, 12) for i in range(6))
+    texts = [(None, f"one\n{block}"), (None, f"two\n{block}\nend"), (7, f"seven\n{block}"), (8, block), (None, say(99, 60)), (None, say(99, 60)), (9, say(99, 60))]
+    got = linededup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    n = {(r["doc_id"], r["n_lines"], r["n_deleted"]) for r in got}
+    assert (7, 7, 6) in n and (8, 6, 6) in n and (9, 1, 1) in n and len(got) == 7
+    nulls = sorted((r["n_lines"], r["n_deleted"]) for r in got if r["doc_id"] is None)
+    assert nulls[:2] == [(1, 0), (1, 0)] and sorted(d for _, d in nulls[2:]) == [0, 6]
+
+
 def test_line_dedup_with_clashing_columns(spark):
     names = ["_id", "_tie", "_gone", "_text", "tie", "hash", "id", "row", "gone", "lines", "line", "words", "n_lines", "n_deleted"]
     text = "\n".join(say(k, 9) for k in range(8))
