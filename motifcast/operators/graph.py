@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifcast.functions.frames import checkpointed
+from motifcast.functions.ordered import numbered
 
 
 def both_directions(links: DataFrame) -> DataFrame:
@@ -21,20 +22,15 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def assign_ids(nodes: DataFrame, order: list[str], groups: int = 1024) -> DataFrame:
+def assign_ids(nodes: DataFrame, order: list[str]) -> DataFrame:
     """Dense ``internal_id`` for distinct (type, orig_id): types in the given order, then by orig_id (numeric).
 
-    Ids are cut into ranges of neighbouring orig_ids; ranks run within a range and the ranges' counts are summed apart, so no
-    window spans all rows.
+    Places come from ranges of the sorted nodes, so ids may be of any size and spread, and no window spans all rows.
     """
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("type")).cast("int")
     nodes = nodes.select("type", F.col("orig_id").cast("long").alias("orig_id")).distinct().withColumn("_t", rank)
-    top = nodes.agg(F.max("orig_id")).first()[0] or 0
-    cut = nodes.withColumn("_g", F.expr(f"orig_id div {max(1, top // groups + 1)}L"))
-    before = Window.orderBy("_t", "_g").rowsBetween(Window.unboundedPreceding, -1)  # types x groups rows
-    offsets = cut.groupBy("_t", "_g").agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy("_t", "_g").orderBy("orig_id")
-    return cut.withColumn("_r", F.row_number().over(within)).join(F.broadcast(offsets), ["_t", "_g"]).select((F.col("_o") + F.col("_r") - 1).alias("internal_id"), "orig_id", "type", (F.col("_t") - 1).alias("label"))
+    placed = numbered(nodes, [], ["_t", "orig_id"], "_r")
+    return placed.select((F.col("_r") - 1).alias("internal_id"), "orig_id", "type", (F.col("_t") - 1).alias("label"))
 
 
 def derive_edges(ids: DataFrame, users: DataFrame, posts: DataFrame, comments: DataFrame, author: bool = True) -> DataFrame:
