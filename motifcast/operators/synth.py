@@ -36,7 +36,7 @@ def f1(df: DataFrame, proxy: str, truth: str) -> DataFrame:
     return df.agg(F.coalesce(F.try_divide(2 * tp, found + real), F.lit(0.0)).alias("f1"), F.avg(t.cast("double")).alias("rate"))
 
 
-def noisy_proxy(df: DataFrame, key: str, prob: str, lo: float, hi: float, out: str, salt: str = "noise", rounds: int = 60) -> DataFrame:
+def noisy_proxy(df: DataFrame, key: str, prob: str, lo: float, hi: float, out: str, salt: str = "noise", rounds: int = 200) -> DataFrame:
     """A proxy with noise on the logit scale whose F1 is within [lo, hi]: the deviation grows by 1.1 or shrinks by 0.9; the best is
     kept. Each round is one aggregate over the rows."""
     p = F.least(F.greatest(F.col(prob), F.lit(1e-6)), F.lit(1 - 1e-6))
