@@ -133,6 +133,8 @@ class Vocabulary:
 
     def merged(self, runs: list[str]) -> list[list[int]]:
         """The ids of short runs, whose agendas advance together: each step merges the best pair of every run."""
+        if not runs:
+            return []
         flat = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         of = np.repeat(np.arange(len(runs)), np.fromiter(map(len, runs), np.int64, len(runs)))
         symbol = self.single[flat].astype(np.int64)

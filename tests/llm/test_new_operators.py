@@ -122,6 +122,12 @@ def test_runs_leave_and_come_back(monkeypatch):
         assert len(vocab.known) + len(vocab.known.older) < 2000
 
 
+def test_batches_without_new_runs():
+    vocab = subwords.Vocabulary(subwords.piece_model())
+    for texts in ([], ["", ""], ["some words"], ["some words", "words some"], ["x" * 60], ["x" * 60 + " " + "y" * 70]):
+        assert [i.tolist() for i in vocab.encode(texts)[0]] == vocab.library.encode(texts)
+
+
 def test_the_library_has_the_last_word():
     vocab = subwords.Vocabulary(subwords.piece_model())
     vocab.merged = lambda runs: [[5] * len(r) for r in runs]
