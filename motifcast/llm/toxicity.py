@@ -1,15 +1,17 @@
 """Toxicity by nearest labelled examples: exact cosine over all terms of the examples, weighted by TF-IDF and label.
 
-* Examples: labelled documents outside the held-out rows, at most ``max_examples`` of them (a documented bound; a smaller
-  share is taken by a hash of doc_id), equal texts once.
+* Examples: labelled documents outside the held-out rows, equal texts once; at most ``max_examples`` of them with at most
+  ``max_chars`` signs together, none longer than a hundredth of that (documented bounds; the first by a hash are taken).
 * Terms: all words of the examples and their prefixes of ``PREFIXES`` letters; none is left out. A term is kept as a 64-bit hash.
-  Document frequencies are counted over *all* documents. A term's weight is TF-IDF times ``1 + z``, where z (0 at least) is the
-  two-proportion statistic of its share in toxic and other examples: every term counts, those that tell the labels apart more.
+  Document frequencies are counted over *all* documents. A term's weight is TF-IDF times ``(1 + z) ** LABEL_POWER``, where z (0
+  at least) is the two-proportion statistic of its share in toxic and other examples: every term counts, those that tell the
+  labels apart more. Power 0 is plain TF-IDF; ``cross_validated`` compares powers on the examples alone, fold by fold.
 * Index: a block-max inverted index. Terms that many examples have are columns of a dense matrix, all others have postings by
   block of examples; blocks whose bound cannot reach the k-th cosine are not read. The neighbours are exact; ties with the k-th
   are all kept. Alike examples are put in one block, which tightens the bounds.
-* Score: votes weighted by inverse distance, mapped to a probability by an isotonic fit on the examples' own
-  leave-one-out votes (computed by the executors). The neighbours' ids are the evidence.
+* Score: votes weighted by inverse distance, mapped to a probability by an isotonic fit on cross-fitted votes of the examples:
+  those of a fold are scored by an index whose weights and neighbours come from the other folds, so no example's own label is in
+  its vote. The nearest neighbours' ids are the evidence.
 
 Defined cases: null and empty texts, and texts without any term of an example, get the rate of toxic examples among examples
 without terms; a document that repeats is scored each time; no labels give 0 for all; extra columns are ignored.
@@ -20,7 +22,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 
 from motifcast.llm.common import checkpointed, crc32_mod, documents
 
-MAX_EXAMPLES, NEIGHBOURS = 20_000, 15
+MAX_EXAMPLES, MAX_CHARS, NEIGHBOURS = 20_000, 120_000_000, 15
+#: Folds of the cross-fitted votes; the power of the label weight that ``cross_validated`` found best.
+FOLDS, LABEL_POWER = 4, 1
 PREFIXES = (4, 5)
 #: Terms of at least this share of the examples are dense columns, the most frequent ``DENSE_TERMS`` of them; documents scored at once.
 DENSE_SHARE, DENSE_TERMS, TOGETHER = 0.03, 768, 128
@@ -120,11 +125,11 @@ class Vocabulary:
 
 def _vectors_of(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, key, toxic, text) -> (doc_id, key, toxic, terms, counts)."""
+        """(doc_id, key, toxic, text, fold) -> (doc_id, key, toxic, fold, terms, counts)."""
         for batch in batches:
             got = shared.value.vectors(batch.column(3).to_pylist())
             terms, counts = ([v[k].astype(np.int32) for v in got] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "key", "toxic", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "key", "toxic", "fold", "terms", "counts"])
 
     return run
 
@@ -183,7 +188,7 @@ class BlockMaxIndex:
         at = np.repeat(first - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
         return np.bincount(self.rows.take(at), self.weights.take(at) * np.repeat(weights, many), self.n)
 
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the examples with positive cosine at least the k-th largest (ties included), and their cosines."""
         q = np.zeros((len(queries), len(self.matrix)), dtype=np.float32)
         for i, (terms, weights) in enumerate(queries):
@@ -206,8 +211,6 @@ class BlockMaxIndex:
                 cells = self.cells[middle]
                 score += self._read(cells[:, chosen].ravel(), cells[:, chosen + 1].ravel(), np.repeat(weights, len(chosen)))
                 read[chosen] = True
-                if leave_out:
-                    score[leave_out[i]] = 0
                 seen = score[read[of_block]]
                 kth = max(0.0, np.partition(seen, len(seen) - k)[len(seen) - k]) if len(seen) > k else 0.0
             at = np.flatnonzero(read[of_block] & (score > 0) & (score >= kth - 1e-6))
@@ -286,13 +289,13 @@ class Model:
         norms = np.sqrt(np.bincount(np.repeat(np.arange(len(self.ids)), np.diff(bounds)), w * w, len(self.ids))).astype(np.float32)
         self.index = BlockMaxIndex(bounds, terms, w / np.repeat(norms, np.diff(bounds)), len(weight))
 
-    def neighbours(self, texts: list[str | None], leave_out: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def neighbours(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k in range(0, len(texts), TOGETHER):
             queries = []
             for terms, counts in self.vocabulary.vectors(texts[k : k + TOGETHER]):
                 w = (1 + np.log(counts)) * self.weight[terms]
                 queries.append((terms, w / np.sqrt((w * w).sum()) if len(w) else w))
-            yield from self.index.nearest(queries, self.k, leave_out[k : k + TOGETHER] if leave_out else None)
+            yield from self.index.nearest(queries, self.k)
 
     def calibrate(self, votes: np.ndarray, truth: np.ndarray) -> None:
         if len(votes):
@@ -307,31 +310,75 @@ class Model:
                 yield float(np.interp(_vote(cosines, self.toxic[near]), self.knots, self.means)), self.ids[best].tolist()
 
 
-def ordered_examples(weight: np.ndarray, bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bounds, terms, counts) with alike examples side by side, and the order that was taken."""
-    size = np.diff(bounds)
-    rows = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    w = weight.astype(np.float32)[terms]
-    w *= 1 + np.log(counts, dtype=np.float32)
-    order = alike_together(dense_part(rows, terms, w, len(size), len(weight), ORDERING_TERMS)[1])
-    del rows, w
-    moved = [np.concatenate([x[:0], *(x[bounds[i] : bounds[i + 1]] for i in order.tolist())]) for x in (terms, counts)]
-    return np.concatenate([[0], np.cumsum(size[order])]).astype(np.int64), *moved, order
-
-
-def _votes_of(shared, keys: np.ndarray):
+@dataclass
+class Examples:
+    """The examples as terms and counts by row (CSR), alike ones side by side, with what their weights are made of."""
+
+    hashes: np.ndarray
+    idf: np.ndarray
+    bounds: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+    toxic: np.ndarray
+    ids: np.ndarray
+    folds: np.ndarray
+
+    def put_in_order(self) -> None:
+        """Alike examples side by side (by their most frequent terms)."""
+        rows = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.bounds))
+        w = self.idf.astype(np.float32)[self.terms] * (1 + np.log(self.counts, dtype=np.float32))
+        order = alike_together(dense_part(rows, self.terms, w, len(self.ids), len(self.idf), ORDERING_TERMS)[1])
+        del rows, w
+        self.bounds, self.terms, self.counts = self._rows(order)
+        self.toxic, self.ids, self.folds = self.toxic[order], self.ids[order], self.folds[order]
+
+    def _rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        terms, counts = (np.concatenate([x[:0], *(x[self.bounds[i] : self.bounds[i + 1]] for i in rows.tolist())]) for x in (self.terms, self.counts))
+        return np.concatenate([[0], np.cumsum(np.diff(self.bounds)[rows])]).astype(np.int64), terms, counts
+
+    def model(self, power: float, without_fold: int | None = None) -> Model:
+        """The model of all examples, or of those outside one fold."""
+        bounds, terms, counts, toxic, ids = self.bounds, self.terms, self.counts, self.toxic, self.ids
+        if without_fold is not None:
+            rows = np.flatnonzero(self.folds != without_fold)
+            (bounds, terms, counts), toxic, ids = self._rows(rows), toxic[rows], ids[rows]
+        n_toxic = int((toxic == 1).sum())
+        label = label_weight(terms, np.repeat((toxic == 1).astype(np.int8), np.diff(bounds)), len(self.idf), n_toxic, len(toxic) - n_toxic)
+        return Model(self.hashes, self.idf * label**power, bounds, terms, counts, toxic, ids)
+
+
+def _votes_of(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, toxic, text) of examples -> (vote, toxic): the vote of the other examples, where there is one."""
+        """(toxic, text) of examples -> (vote, toxic): the vote of the model's examples, where there is one."""
         model = shared.value
-        place = {d: i for i, d in enumerate(keys.tolist())}
         for batch in batches:
-            near = model.neighbours(batch.column(2).to_pylist(), [place[d] for d in batch.column(0).to_pylist()])
-            got = [(_vote(c, model.toxic[n]), x) for (n, c), x in zip(near, batch.column(1).to_pylist(), strict=True) if len(n)]
+            near = model.neighbours(batch.column(1).to_pylist())
+            got = [(_vote(c, model.toxic[n]), x) for (n, c), x in zip(near, batch.column(0).to_pylist(), strict=True) if len(n)]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in got], pa.float64()), pa.array([x for _, x in got], pa.int32())], ["vote", "toxic"])
 
     return run
 
 
+def cross_fitted(examples: DataFrame, read: Examples, power: float) -> tuple[np.ndarray, np.ndarray]:
+    """Votes and labels of the examples, each fold's by the model of the others."""
+    votes, truth = [np.zeros(0)], [np.zeros(0)]
+    for fold in np.unique(read.folds).tolist():
+        shared = examples.sparkSession.sparkContext.broadcast(read.model(power, fold))
+        got = checkpointed(examples.where(F.col("fold") == fold).select("toxic", "text").mapInArrow(_votes_of(shared), "vote double, toxic int")).toArrow()
+        shared.unpersist()
+        votes.append(got.column("vote").to_numpy())
+        truth.append(got.column("toxic").to_numpy().astype(np.float64))
+    return np.concatenate(votes), np.concatenate(truth)
+
+
+def average_precision(votes: np.ndarray, truth: np.ndarray) -> float:
+    """Mean, over the positives, of the precision among all rows that score at least as high; 0 without positives."""
+    order = np.argsort(-votes, kind="stable")
+    last = np.searchsorted(-votes[order], -votes[order], side="right")
+    found = np.cumsum(truth[order])[last - 1] if len(order) else truth
+    return float((found / last * truth[order]).sum() / truth.sum()) if truth.sum() else 0.0
+
+
 def _scores_of(shared, knots: np.ndarray, means: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value, {}
@@ -359,46 +406,70 @@ def label_weight(terms: np.ndarray, toxic: np.ndarray, n_terms: int, n_toxic: in
     return 1 + np.maximum((a / n_toxic - b / n_clean) / np.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean)), 0)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out: int = 2, max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """doc_id, held_out, score, evidence (doc_ids of the nearest examples), for every row of ``docs``."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", crc32_mod(F.col("doc_id"), held_out_mod) == held_out)
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc32_mod(F.col("doc_id"), held_out_mod) != held_out))
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def _usable(docs: DataFrame, labels: DataFrame, held_out_mod: int, held_out: int, max_examples: int, max_chars: int) -> DataFrame:
+    """doc_id, toxic, text, key, fold of the examples. Equal texts are one example for each label, all in one fold."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    usable = usable.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc32_mod(F.col("doc_id"), held_out_mod) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, max_examples / max(1, usable.count()))
     sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))  # at most about max_examples rows
-    # A text that repeats with one label is one example.
-    examples = docs.join(F.broadcast(sample), "doc_id").groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    examples = checkpointed(examples.select("doc_id", F.xxhash64("text", "toxic").alias("key"), "toxic", "text"))
-
-    context = spark.sparkContext
-    hashes = examples.select("text").mapInArrow(_term_hashes, "term long").distinct().toArrow().column("term").to_numpy()
-    vocabulary, df = Vocabulary(np.sort(hashes)), np.zeros(len(hashes))
-    shared = context.broadcast(vocabulary)
-    read = examples.mapInArrow(_vectors_of(shared), "doc_id long, key long, toxic int, terms array<int>, counts array<int>").toArrow().combine_chunks()
+    found = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= max_chars // 100).join(F.broadcast(sample), "doc_id")
+    found = found.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")).withColumn("key", F.xxhash64("text", "toxic"))
+    found = checkpointed(found.withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(FOLDS)).cast("int")))
+    # Two rows of one doc_id are two examples, so both bounds are held once more: the first keys, as far as both allow.
+    first = found.select("key", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("chars")).orderBy("key").limit(max_examples + 1).toArrow()
+    keys, chars = first.column("key").to_numpy(), first.column("chars").to_numpy()
+    within = int(np.searchsorted(np.cumsum(chars), max_chars, side="right"))
+    return found if min(within, max_examples) >= len(keys) else found.where(F.col("key") < int(keys[min(within, max_examples)]))
+
+
+def _read(docs: DataFrame, examples: DataFrame) -> Examples:
+    """The examples' terms and counts; document frequencies are counted over all documents."""
+    context = docs.sparkSession.sparkContext
+    hashes = np.sort(examples.select("text").mapInArrow(_term_hashes, "term long").distinct().toArrow().column("term").to_numpy())
+    shared = context.broadcast(Vocabulary(hashes))
+    read = examples.select("doc_id", "key", "toxic", "text", "fold").mapInArrow(_vectors_of(shared), "doc_id long, key long, toxic int, fold int, terms array<int>, counts array<int>").toArrow().combine_chunks()
     read = read.sort_by([("doc_id", "ascending"), ("key", "ascending")])
-    ids, keys, toxic = (read.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("doc_id", "key", "toxic"))
+    toxic, ids, folds = (read.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("toxic", "doc_id", "fold"))
     lists = read.column("terms").combine_chunks()
     bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     terms, counts = lists.flatten().to_numpy(zero_copy_only=False), read.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     del read, lists
-    n_toxic, n_clean = int((toxic == 1).sum()), int((toxic != 1).sum())
-    label = label_weight(terms, np.repeat((toxic == 1).astype(np.int8), np.diff(bounds)), len(hashes), n_toxic, n_clean)
-
+    df = np.zeros(len(hashes))
     found = docs.select("text").mapInArrow(_frequencies_of(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df[found.column("term").to_numpy()] = found.column("n").to_numpy()
     shared.unpersist()
-    idf = np.log((1 + docs.count()) / (1 + df)) + 1
-    bounds, terms, counts, order = ordered_examples(idf * label, bounds, terms, counts)
-    ids, keys, toxic = ids[order], keys[order], toxic[order]
-    model = Model(vocabulary.hashes, idf * label, bounds, terms, counts, toxic, ids)
+    out = Examples(hashes, np.log((1 + docs.count()) / (1 + df)) + 1, bounds, terms, counts, toxic, ids, folds)
     del terms, counts
-    shared = context.broadcast(model)
-    votes = checkpointed(examples.select("key", "toxic", "text").mapInArrow(_votes_of(shared, keys), "vote double, toxic int")).toArrow()
-    model.calibrate(votes.column("vote").to_numpy(), votes.column("toxic").to_numpy().astype(np.float64))
-    return checkpointed(docs.select("doc_id", "held_out", "text").mapInArrow(_scores_of(shared, model.knots, model.means), "doc_id long, held_out boolean, score double, evidence array<long>"))
+    out.put_in_order()
+    return out
+
+
+def _typed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def cross_validated(docs: DataFrame, labels: DataFrame, powers: Sequence[float] = (0, 0.5, 1, 2), held_out_mod: int = 4, held_out: int = 2, max_examples: int = MAX_EXAMPLES, max_chars: int = MAX_CHARS) -> list[tuple[float, float]]:
+    """(power of the label weight, average precision of the cross-fitted votes), on the examples alone: held-out rows have no part."""
+    docs = _typed(docs)
+    examples = _usable(docs, labels, held_out_mod, held_out, max_examples, max_chars)
+    read = _read(docs, examples)
+    return [(power, average_precision(*cross_fitted(examples, read, power))) for power in powers]
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out: int = 2, max_examples: int = MAX_EXAMPLES, max_chars: int = MAX_CHARS, power: float = LABEL_POWER) -> DataFrame:
+    """doc_id, held_out, score, evidence (doc_ids of the nearest examples), for every row of ``docs``."""
+    docs = _typed(docs)
+    examples = _usable(docs, labels, held_out_mod, held_out, max_examples, max_chars)
+    read = _read(docs, examples)
+    votes, truth = cross_fitted(examples, read, power)
+    model = read.model(power)
+    del read
+    model.calibrate(votes, truth)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select("doc_id", (crc32_mod(F.col("doc_id"), held_out_mod) == held_out).alias("held_out"), "text")
+    return checkpointed(docs.mapInArrow(_scores_of(shared, model.knots, model.means), "doc_id long, held_out boolean, score double, evidence array<long>"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.array_join("evidence", ",").alias("evidence"))

@@ -194,8 +194,7 @@ def test_block_max_is_exact(monkeypatch, block, rare, dense):
         full[i, t] = w
     full = full @ full.T
     index = toxicity.BlockMaxIndex(np.cumsum([0, *(len(t) for t, _ in vectors)]), np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors]), 400, block, rare)
-    np.fill_diagonal(full, 0)
-    for row, (ids, cosines) in zip(full, index.nearest(vectors, 15, list(range(500))), strict=True):
+    for row, (ids, cosines) in zip(full, index.nearest(vectors, 15), strict=True):
         kth = np.sort(row)[-15]
         assert set(np.flatnonzero((row > 0) & (row >= kth + 1e-5))) <= set(ids) <= set(np.flatnonzero(row >= kth - 1e-5)) and np.allclose(np.minimum(row[ids], 1), cosines, atol=1e-5)
 
@@ -210,49 +209,95 @@ def test_term_hashes_do_not_depend_on_the_batch():
     assert len(np.unique(hashes[there])) == len({t for w in words if w for t in toxicity.word_terms(w)})
 
 
-def brute_scores(docs, labels):
-    """The score of every document in plain Python: TF-IDF times 1 + z over words and prefixes, full sort, votes, isotonic fit."""
+def brute_scores(docs, labels, folds):
+    """The score of every document in plain Python: TF-IDF times 1 + z over words and prefixes, full sort, votes, and an isotonic
+    fit on votes for each fold from weights and neighbours of the other folds."""
+    import numpy as np
+
     terms = {i: Counter(t for w in re.findall(r"\w+", (x or "").lower()) for t in toxicity.word_terms(w)) for i, x in docs}
     df = Counter(t for c in terms.values() for t in c)
-    examples = [(i, labels[i]) for i, _ in docs if i in labels and zlib.crc32(str(i).encode()) % 4 != 2]
-    n1, n0 = sum(y for _, y in examples), sum(1 - y for _, y in examples)
-    a, b = (Counter(t for i, y in examples if y == x for t in terms[i]) for x in (1, 0))
+    all_examples = [(i, labels[i]) for i, _ in docs if i in labels and zlib.crc32(str(i).encode()) % 4 != 2]
+    known = {t for i, _ in all_examples for t in terms[i]}
 
-    def weight(t):
-        p = (a[t] + b[t] + 1) / (n1 + n0 + 2)
-        return (math.log((1 + len(docs)) / (1 + df[t])) + 1) * (1 + max((a[t] / n1 - b[t] / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), 0))
+    def votes(examples, asked):
+        n1, n0 = sum(y for _, y in examples), sum(1 - y for _, y in examples)
+        a, b = (Counter(t for i, y in examples if y == x for t in terms[i]) for x in (1, 0))
 
-    def vector(i):
-        v = {t: (1 + math.log(n)) * weight(t) for t, n in terms[i].items() if a[t] or b[t]}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()}
+        def weight(t):
+            p = (a[t] + b[t] + 1) / (n1 + n0 + 2)
+            return (math.log((1 + len(docs)) / (1 + df[t])) + 1) * (1 + max((a[t] / n1 - b[t] / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), 0))
 
-    vectors = {i: vector(i) for i, _ in docs}
+        def vector(i):
+            v = {t: (1 + math.log(n)) * weight(t) for t, n in terms[i].items() if t in known}
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            return {t: x / norm for t, x in v.items()}
 
-    def vote(i, out=None):
-        near = sorted(((sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), y) for j, y in examples if j != out), reverse=True)
-        near = [(c, y) for c, y in near if c > 1e-9 and c >= near[toxicity.NEIGHBOURS - 1][0] - 1e-6]
-        w = [1 / (1.05 - min(c, 1)) for c, _ in near]
-        return sum(x * y for x, (_, y) in zip(w, near, strict=True)) / sum(w) if near else None
+        vectors = {i: vector(i) for i in {*asked, *(i for i, _ in examples)}}
 
-    import numpy as np
+        def vote(i):
+            near = sorted(((sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), y) for j, y in examples), reverse=True)
+            near = [(c, y) for c, y in near if c > 1e-9 and c >= near[min(toxicity.NEIGHBOURS, len(near)) - 1][0] - 1e-6]
+            w = [1 / (1.05 - min(c, 1)) for c, _ in near]
+            return sum(x * y for x, (_, y) in zip(w, near, strict=True)) / sum(w) if near else None
 
-    fit = [(v, y) for i, y in examples if (v := vote(i, i)) is not None]
+        return {i: vote(i) for i in asked}
+
+    fit = []
+    for fold in set(folds.values()):
+        got = votes([(i, y) for i, y in all_examples if folds[i] != fold], [i for i, _ in all_examples if folds[i] == fold])
+        fit += [(v, labels[i]) for i, v in got.items() if v is not None]
     knots, means = toxicity.isotonic(np.array([v for v, _ in fit]), np.array([float(y) for _, y in fit]))
-    none = [y for i, y in examples if not vectors[i]]
+    none = [y for i, y in all_examples if not terms[i]]
     without = (sum(none) + 0.01) / (len(none) + 1)
-    return {i: without if (v := vote(i)) is None else float(np.interp(v, knots, means)) for i, _ in docs}
+    return {i: without if v is None else float(np.interp(v, knots, means)) for i, v in votes(all_examples, [i for i, _ in docs]).items()}
 
 
 def test_toxicity_matches_brute_force(spark):
     rng = random.Random(12)
     docs = [(i, " ".join([*rng.choices(WORDS[:60], k=rng.randint(3, 20)), *(rng.choices(["vile", "scum", "filthy"], k=2) if i % 5 == 0 else [])])) for i in range(150)] + [(500, None), (501, "zzzz")]
     labels = {i: int(i % 5 == 0) for i in range(100)}
-    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
-    want = brute_scores(docs, labels)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    folds = {r["doc_id"]: r["fold"] for r in toxicity._usable(frame, table, 4, 2, toxicity.MAX_EXAMPLES, toxicity.MAX_CHARS).collect()}
+    assert set(folds) == {i for i in labels if zlib.crc32(str(i).encode()) % 4 != 2} and len(set(folds.values())) == toxicity.FOLDS
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(frame, table).collect()}
+    want = brute_scores(docs, labels, folds)
     assert all(abs(got[i] - want[i]) < 1e-3 for i in want)
 
 
+def test_toxicity_learns_nothing_from_held_out_labels(spark):
+    docs = [(i, say(i, 12) + (" vile scum" if i % 5 == 0 else "")) for i in range(120)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    held = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert held
+    runs = []
+    for flip in (0, 1):
+        labels = spark.createDataFrame([(i, int(i % 5 == 0) ^ (flip if i in held else 0)) for i, _ in docs], "doc_id long, toxic int")
+        runs.append((toxicity.cross_validated(frame, labels, powers=(0, 1)), sorted(map(tuple, toxicity.toxicity_scores(frame, labels).collect()))))
+    assert runs[0] == runs[1]
+
+
+def test_average_precision():
+    import numpy as np
+
+    votes, truth = np.array([0.9, 0.8, 0.8, 0.1]), np.array([1.0, 0.0, 1.0, 0.0])
+    assert toxicity.average_precision(votes, truth) == pytest.approx((1 + 2 / 3) / 2)
+    assert toxicity.average_precision(votes, np.zeros(4)) == 0.0 == toxicity.average_precision(votes[:0], truth[:0])
+
+
+def test_toxicity_bounds_examples(spark):
+    # One labelled doc_id with many texts, and one very long text: both bounds hold, and equal texts are in one fold.
+    rows = [(1, say(i, 5)) for i in range(150)] + [(i, "same words") for i in range(100, 110)] + [(3, "long " * 3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 1), *((i, i % 2) for i in range(100, 110))], "doc_id long, toxic int")
+    found = toxicity._usable(frame, labels, 4, 2, 20, 1_000_000).collect()
+    assert len(found) == 20 and all(len(r["text"]) <= 10_000 for r in found)
+    found = toxicity._usable(frame, labels, 4, 2, 1000, 1_000).collect()  # none of more than 10 signs
+    assert {r["text"] for r in found} == {"same words"} and len(found) == 2 and len({r["fold"] for r in found}) == 1
+    found = toxicity._usable(frame, labels, 4, 2, 1000, 3_000).collect()
+    assert 2_900 < sum(len(r["text"]) for r in found) <= 3_000
+
+
 def test_toxicity_finds_held_out(spark):
     rng = random.Random(8)
     rows, labels = [], []
