@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from motifcast.functions.frames import shared_folder
 BROADCAST_ROWS = 1_000_000
 #: Rows of an Arrow batch that a Python worker gets.
 ARROW_ROWS = 1_000
+#: Files of the checkpoints made within the innermost ``settled`` or ``released``.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -25,10 +30,45 @@ def checkpointed(df: DataFrame) -> DataFrame:
     try:
         for key, value in wanted.items():
             spark.conf.set(key, value)
-        return df.checkpoint(eager=True)
+        out = df.checkpoint(eager=True)
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+    if _MADE.get() is not None:
+        file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            _MADE.get().append(file.get())
+    return out
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that ``make`` returns, checkpointed; then the checkpoints made on the way to it are deleted."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        frame = make()
+    finally:
+        _MADE.reset(token)
+    out = checkpointed(frame)
+    delete(spark, *made)
+    return out
+
+
+def released(spark: SparkSession, write: Callable[[], None]) -> None:
+    """Runs ``write``, which leaves its result elsewhere; then all checkpoints made within are deleted."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        write()
+    finally:
+        _MADE.reset(token)
+    delete(spark, *made)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
