@@ -8,7 +8,11 @@ its vector. The vector has two parts:
 * 65,536 lanes of 16 bits, almost all zero and kept sparse: each sentence of the paragraph adds one to the lane that its hash
   names. Two fingerprints' likeness is the overlap of these counts (sum of minima / sum of maxima).
 
-As a string: the dense lanes in hex, ``-``, then for each lane that is not zero the lane and its count in hex, by lane.
+As a string: the dense lanes in hex, ``-``, then for each lane that is not zero the lane and its count in hex, by lane. Such
+strings are added (``inserted``) and subtracted (``deleted``) lane by lane, so a document's fingerprint follows the insertion and
+deletion of paragraphs without a look at the others. A lane that wraps round to zero is left out like one never used.
+
+Likeness counts sentences: a text without any sentence end is one sentence, and any change to it makes it unlike.
 
 Defined cases: a null text is empty; the empty text has one empty paragraph; equal texts (and texts with the same paragraphs
 in another order) have equal fingerprints; repeated rows follow one another, and the last of them is followed by the next document; two texts without sentences are alike if equal;
@@ -60,9 +64,45 @@ def counted_lanes(lanes: Column) -> Column:
 
 def fingerprint(dense: Column, counted: Column) -> Column:
     wide = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
+    counted = F.filter(counted, lambda x: x.bitwiseAND(F.lit(COUNT_MASK)) > 0)
     return F.concat(F.array_join(F.transform(dense, lambda x: wide(x, DENSE_BITS // 4)), ""), F.lit("-"), F.array_join(F.transform(counted, lambda x: wide(x, 8)), ""))
 
 
+def _lanes_of(fingerprints: Column) -> tuple[Column, Column]:
+    """(dense lanes, counted lanes) of a fingerprint's string."""
+    number = lambda x: F.conv(x, 16, 10).cast("long")
+    width = DENSE_BITS // 4
+    dense = F.array(*[number(F.substring(fingerprints, 1 + k * width, width)) for k in range(DENSE)])
+    return dense, F.transform(F.regexp_extract_all(F.substring_index(fingerprints, "-", -1), F.lit("[0-9a-f]{8}"), F.lit(0)), number)
+
+
+def _combined(x: Column, y: Column, sign: int) -> Column:
+    (dense_x, counted_x), (dense_y, counted_y) = _lanes_of(x), _lanes_of(y)
+    dense = F.zip_with(dense_x, dense_y, lambda a, b: (a + sign * b).bitwiseAND(F.lit((1 << DENSE_BITS) - 1)))
+    lane, count = lambda v: F.shiftright(v, 16), lambda v: v.bitwiseAND(F.lit(COUNT_MASK))
+    counted_y = F.transform(counted_y, lambda v: lane(v) * 65536 + (sign * count(v)).bitwiseAND(F.lit(COUNT_MASK)))
+
+    def last_of_lane(z: Column, v: Column, i: Column) -> Column:
+        """The lane with the sum of its (at most two) counts, at the last of them; -1 elsewhere."""
+        before, after = F.get(z, i - 1), F.get(z, i + 1)
+        total = count(v) + F.when(lane(before) == lane(v), count(before)).otherwise(0)
+        return F.when(lane(after) == lane(v), -1).otherwise(lane(v) * 65536 + total.bitwiseAND(F.lit(COUNT_MASK)))
+
+    both = F.array_sort(F.concat(counted_x, counted_y))
+    summed = F.flatten(F.transform(F.array(both), lambda z: F.transform(z, lambda v, i: last_of_lane(z, v, i))))  # z: sorted once
+    return fingerprint(dense, F.filter(summed, lambda v: v >= 0))
+
+
+def inserted(fingerprints: Column, paragraphs: Column) -> Column:
+    """The fingerprint of a text to which the paragraphs of another fingerprint were added, wherever they went; null with a null."""
+    return _combined(fingerprints, paragraphs, 1)
+
+
+def deleted(fingerprints: Column, paragraphs: Column) -> Column:
+    """The fingerprint of a text from which the paragraphs of another fingerprint were taken; the inverse of ``inserted``."""
+    return _combined(fingerprints, paragraphs, -1)
+
+
 def _occurrences(lanes: Column, counted: Column) -> Column:
     """A set that stands for the multiset: the lane's first occurrence as itself, repeats with their number."""
     repeated = F.filter(counted, lambda c: c.bitwiseAND(F.lit(COUNT_MASK)) > 1)

@@ -171,10 +171,57 @@ def test_likeness_matches_brute_force(spark):
         assert abs(got[i] - want) < 1e-9
 
 
+def test_fingerprints_follow_insertion_and_deletion(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(31)
+    paragraphs = ["", "a b. c", "d e", "d e", "x. x. x. x", "\u00fc \u2603.", say(3, 40), *(say(k, 5) + ". " + say(k % 3, 4) for k in range(12))]
+    rows = [("", "a"), ("a", ""), ("d e", "d e"), ("s. " * 40_000 + "s", "s. " * 25_535)]
+    rows += [("\n".join(rng.choices(paragraphs, k=rng.randint(1, 30))), "\n".join(rng.choices(paragraphs, k=rng.randint(1, 9)))) for _ in range(60)]
+    # The other text's paragraphs go in among the first one's, in any order.
+    mixed = []
+    for x, y in rows:
+        both = [*x.split("\n"), *y.split("\n")]
+        rng.shuffle(both)
+        mixed.append((x, y, "\n".join(both)))
+    df = spark.createDataFrame(mixed, "x string, y string, both string")
+    for c in df.columns:
+        df = fingerprint.with_fingerprint(df, c, f"{c}_")
+    got = df.select("x_fingerprint", "both_fingerprint", fingerprint.inserted(F.col("x_fingerprint"), F.col("y_fingerprint")).alias("more"), fingerprint.deleted(F.col("both_fingerprint"), F.col("y_fingerprint")).alias("less"), fingerprint.inserted(F.col("x_fingerprint"), F.lit(None).cast("string")).alias("none")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["more"] == r["both_fingerprint"] and r["less"] == r["x_fingerprint"] and r["none"] is None
+
+
 def test_fingerprints_of_odd_input(odd, none):
     assert fingerprint.document_fingerprints(odd).count() == len(odd_documents()) and fingerprint.document_fingerprints(none).count() == 0
 
 
+def test_settled_deletes_what_led_to_it(spark):
+    import os
+
+    from motifcast.llm.common import checkpointed, released, settled, shared_folder
+
+    def files():
+        root = shared_folder(spark).removeprefix("file:")
+        return {d for d in os.listdir(root) if d.startswith("rdd-")}
+
+    before, kept = files(), []
+
+    def make():
+        return checkpointed(checkpointed(spark.range(100).where("id % 3 = 0")).where("id % 2 = 0"))
+
+    kept.append(settled(spark, make))
+    assert len(files() - before) == 1 and sorted(r[0] for r in kept[0].collect()) == list(range(0, 100, 6))
+    released(spark, lambda: kept.append(settled(spark, make).collect()))
+    assert len(files() - before) == 1 and len(kept[1]) == 17 and kept[0].count() == 17
+
+
+def test_packing_of_an_empty_table(spark, none):
+    got = packing.pack(none, packing.word_tokenizer())
+    assert got.count() == 0 and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(got.columns)
+
+
 # ---------------------------------------------------------------- toxicity
 
 
@@ -776,3 +823,15 @@ def test_urls_rules_and_aliases(spark):
     assert (got[1]["host"], got[1]["path"], got[7]["host"], got[7]["path"], got[5]["host"]) == ("www.example.org", "/es/x", "org", "", "")
     assert got[9]["component"] == got[10]["component"] is not None
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_urls_of_odd_input(spark):
+    """Repeated rows, very long HTML, clashing columns, and an allowed alias between two blocked ones."""
+    link = lambda to: f'<html><head><link rel="canonical" href="{to}"></head></html>'
+    blocked, between, far = "http://example.org/es/a", "http://example.org/x", "http://mirror.net/a"
+    pages = [
+        (1, blocked, link(between)), (2, between, link(far)), (3, far, None), (3, far, None), (4, "http://mirror.net/b", "<p>" + "long text " * 200_000), (5, "http://other.net/", link("http://example.org/es/z")), (None, None, ""),
+    ]
+    df = spark.createDataFrame([(*p, "v", "n", "h", "c") for p in pages], "page_id long, url string, html string, verdict string, node string, host string, component string")
+    got = urls.judge_urls(df).select("page_id", "rule", "verdict").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, "example.org/es/", "block"), (2, "org/", "allow"), (3, None, "block"), (3, None, "block"), (4, None, "allow"), (5, None, "block"), (None, None, "allow")], key=repr)
