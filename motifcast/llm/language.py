@@ -6,7 +6,8 @@
   escape probability (method C: distinct / (total + distinct)) times its probability in the context one byte shorter, among the
   symbols that the context has not seen (exclusion), down to equal shares of all 256 bytes. So a context's probabilities add up
   to one. The tree is of variable order: a longest context is kept if it was seen ``LEAST_CONTEXT`` times, the most frequent ones
-  first, until the tables take ``MODEL_BYTES`` (a documented bound, whatever the number of languages and bytes in use).
+  first, until the cost tables take ``MODEL_BYTES`` (a documented bound: the more languages and byte values are in use, the fewer
+  contexts are kept). The table of histories comes on top: 32 bits for each ``order`` of the byte values in use, 68 MB at most.
 * Scoring: the tree is frozen into tables, node = deepest kept context of the last bytes, cost[node, symbol, language] in bits,
   so a text's exact code lengths are sums of table rows, computed for the whole text in blocks.
 * Score: the winner's share of 2^-(bits per byte times ``SHARPNESS``), between 0 and 1.
