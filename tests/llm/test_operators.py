@@ -436,6 +436,24 @@ def test_decontamination_with_regular_substitutions(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(d, d // 10) for d, _ in docs}
 
 
+def test_best_window_is_that_of_the_whole_item(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(44)
+    rows = []
+    for n in [*rng.choices(range(5, 30), k=60), *rng.choices(range(30, 400), k=60)]:
+        item, shift = rng.choices(range(6), k=n), rng.randint(-n, 40)
+        doc = [rng.choice([item[i - shift], 9]) if 0 <= i - shift < n else 8 for i in range(rng.randint(1, 200))]
+        rows.append((doc, item, shift, rng.randrange(n - decontam.SHORTEST_MASK + 1)))
+    df = spark.createDataFrame(rows, "doc array<long>, item array<long>, shift int, at int")
+    got = [r[0] for r in df.coalesce(1).select(decontam.best_window(*map(F.col, df.columns))).collect()]
+    for (doc, item, shift, at), found in zip(rows, got, strict=True):
+        size = min(len(item), decontam.WINDOW)
+        agree = [0 <= shift + i < len(doc) and doc[shift + i] == w for i, w in enumerate(item)]
+        last = min(at, len(item) - size)
+        assert found == max(sum(agree[s : s + size]) for s in range(max(0, last - decontam.WINDOW + decontam.SHORTEST_MASK), last + 1))
+
+
 def test_decontamination_of_odd_input(spark, odd, none):
     items = spark.createDataFrame([(1, say(2, 60)), (2, None)], "item_id long, text string")
     assert {r["doc_id"] for r in decontam.overlaps(odd, items).collect()} == {6, 7}
