@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from motifcast.functions.frames import checkpointed
 from motifcast.functions.ordered import numbered
-from motifcast.functions.random import prn
+from motifcast.functions.random import prn, prn_bits
 
 
 def _near(edges: DataFrame) -> DataFrame:
@@ -20,12 +20,16 @@ def _near(edges: DataFrame) -> DataFrame:
 
 def sample_paths(edges: DataFrame, starts: DataFrame, size: int, salt: str) -> DataFrame:
     """Non-repeating random walks from (pattern, vid): (pattern, vids); walks that get stuck go."""
-    near = _near(edges)
-    walk = starts.select("pattern", F.array("vid").alias("vids"))
+    two63, two64 = (F.lit(str(1 << n)).cast("decimal(20,0)") for n in (63, 64))
+    pairs = edges.select("src", "dst")  # a repeated pair changes no least
+    walk = starts.select("pattern", F.array("vid").alias("vids")).distinct()
     for step in range(1, size):
-        options = walk.withColumn("src", F.element_at("vids", -1)).join(near, "src").where(~F.array_contains("vids", F.col("dst")))
-        key = F.struct(prn(F.concat_ws("-", "pattern", "dst"), f"{salt}-{step}"), "dst")
-        walk = checkpointed(options.groupBy("pattern").agg(F.min_by("vids", key).alias("vids"), F.min_by("dst", key).alias("dst")).select("pattern", F.array_append("vids", F.col("dst")).alias("vids")))
+        options = walk.withColumn("src", F.element_at("vids", -1)).hint("shuffle_hash").join(pairs, "src").where(~F.array_contains("vids", F.col("dst")))
+        # The least (number, vertex) as one whole number below 2**96: a decimal is kept in place, so options are not sorted.
+        key = prn_bits(F.concat_ws("-", "pattern", "dst"), f"{salt}-{step}").cast("decimal(10,0)") * two64 + (F.col("dst").cast("decimal(19,0)") + two63)
+        least = options.groupBy("pattern").agg(F.min(key.cast("decimal(38,0)")).alias("_k"))
+        dst = (F.col("_k") % two64 - two63).cast("long")
+        walk = checkpointed(walk.join(least, "pattern").select("pattern", F.array_append("vids", dst).alias("vids")))
     return walk
 
 
@@ -67,10 +71,9 @@ def sample_cycles(edges: DataFrame, starts: DataFrame, size: int, salt: str) ->
 
 def induced_edges(patterns: DataFrame, edges: DataFrame) -> DataFrame:
     """(pattern, u, v, elabel) with renumbered ids, u < v: all edges between a pattern's vertices, each once."""
-    long = patterns.select("pattern", F.posexplode("vids").alias("i", "vid"))
-    a = long.select("pattern", F.col("i").alias("u"), F.col("vid").alias("src"))
-    b = long.select("pattern", F.col("i").alias("v"), F.col("vid").alias("dst"))
-    return a.join(edges, "src").join(b, ["pattern", "dst"]).where("u < v").select("pattern", "u", "v", "elabel").distinct()
+    first = patterns.select("pattern", "vids", F.posexplode("vids").alias("u", "src"))
+    pairs = first.select("pattern", "u", "src", F.posexplode("vids").alias("v", "dst")).where("u < v")  # a few for each pattern, so no hub's edges are made
+    return pairs.hint("shuffle_hash").join(edges, ["src", "dst"]).select("pattern", "u", "v", "elabel").distinct()
 
 
 def pattern_vertices(patterns: DataFrame, labels: DataFrame, induced: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def _(spark, d):
 
 
 def base(spark, d):
-    return checkpointed(G.both_directions(trade_links(spark, d))), trade_vertices(spark, d)
+    return G.both_directions(checkpointed(trade_links(spark, d))), trade_vertices(spark, d)
 
 
 def starts(spark, d):
