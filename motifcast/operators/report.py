@@ -103,7 +103,9 @@ def repeat_failures(df: DataFrame, more_than: int) -> DataFrame:
     """(method, query, failing, error, place): queries with more failing runs (outside 1.5 IQR above) than given, worst first."""
     failing = df.join(F.broadcast(iqr_bounds(df, "rel", ["method"])), "method").where(F.col("rel") > F.col("hi"))
     per = failing.groupBy("method", "query").agg(F.countDistinct("run").alias("failing"), F.avg(F.abs("rel")).alias("error")).where(F.col("failing") > more_than)
-    return per.withColumn("place", F.row_number().over(Window.partitionBy("method").orderBy(F.desc("error"), "query")))
+    # Sums of one set of errors differ in their last bits with the order they are made in; 14 digits make them one, and the query decides.
+    size = F.format_string("%.13e", F.col("error")).cast("double")
+    return per.withColumn("place", F.row_number().over(Window.partitionBy("method").orderBy(F.desc(size), "query")))
 
 
 def joint_failures(df: DataFrame, limit: float, rate: float = 0.5) -> DataFrame:
