@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motifcast.functions.frames import checkpointed
+from motifcast.functions.frames import among, checkpointed
 from motifcast.functions.ordered import numbered
 from motifcast.functions.random import prn, prn_bits
 
@@ -24,7 +24,8 @@ def sample_paths(edges: DataFrame, starts: DataFrame, size: int, salt: str) -> D
     pairs = edges.select("src", "dst")  # a repeated pair changes no least
     walk = starts.select("pattern", F.array("vid").alias("vids")).distinct()
     for step in range(1, size):
-        options = walk.withColumn("src", F.element_at("vids", -1)).hint("shuffle_hash").join(pairs, "src").where(~F.array_contains("vids", F.col("dst")))
+        ends = walk.withColumn("src", F.element_at("vids", -1))
+        options = ends.hint("shuffle_hash").join(among(pairs, ["src"], ends.select("src")), "src").where(~F.array_contains("vids", F.col("dst")))
         # The least (number, vertex) as one whole number below 2**96: a decimal is kept in place, so options are not sorted.
         key = prn_bits(F.concat_ws("-", "pattern", "dst"), f"{salt}-{step}").cast("decimal(10,0)") * two64 + (F.col("dst").cast("decimal(19,0)") + two63)
         least = options.groupBy("pattern").agg(F.min(key.cast("decimal(38,0)")).alias("_k"))
@@ -65,10 +66,16 @@ def sample_cycles(edges: DataFrame, starts: DataFrame, size: int, salt: str) ->
     paths = sample_paths(edges, starts, size, salt)
     closed = paths.withColumn("src", F.element_at("vids", -1)).withColumn("dst", F.element_at("vids", 1)).join(near, ["src", "dst"], "left_semi").select("pattern", "vids")
     rest = sample_trees(edges, starts.join(closed, "pattern", "left_anti"), size, salt)
-    dense = induced_edges(rest, edges).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size)
+    rest = checkpointed(rest)
+    dense = induced_edges(rest, edges_between(rest, edges)).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size)
     return closed.unionByName(rest.join(dense, "pattern", "left_semi").select("pattern", "vids"))
 
 
+def edges_between(patterns: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges with both ends in some pattern, and a few others: all that ``induced_edges`` has to shuffle."""
+    return among(edges, ["src", "dst"], patterns.select(F.explode("vids").alias("vid")))
+
+
 def induced_edges(patterns: DataFrame, edges: DataFrame) -> DataFrame:
     """(pattern, u, v, elabel) with renumbered ids, u < v: all edges between a pattern's vertices, each once."""
     first = patterns.select("pattern", "vids", F.posexplode("vids").alias("u", "src"))

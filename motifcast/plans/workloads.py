@@ -85,7 +85,8 @@ def _(spark, d):
 
 
 def base(spark, d):
-    return G.both_directions(checkpointed(trade_links(spark, d))), trade_vertices(spark, d)
+    """Edges, which may repeat, and vertices: a repeated edge changes no draw, and none is to be shuffled only to find that out."""
+    return G.both_directions(trade_links(spark, d, repeated=True)), trade_vertices(spark, d)
 
 
 def starts(spark, d):
@@ -97,7 +98,7 @@ def drawn(spark, d):
     """Patterns of four vertices: a walk from each customer, with its induced edges and its vertices."""
     edges, vertices = base(spark, d)
     patterns = checkpointed(Y.sample_paths(edges, starts(spark, d), 4, "y"))
-    induced = checkpointed(Y.induced_edges(patterns, edges))
+    induced = checkpointed(Y.induced_edges(patterns, Y.edges_between(patterns, edges)))
     return patterns, induced, checkpointed(Y.pattern_vertices(patterns, vertices, induced))
 
 

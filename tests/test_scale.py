@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from motifcast.functions.frames import checkpointed, shared_folder
+from motifcast.functions.frames import among, checkpointed, shared_folder
 from motifcast.functions.random import prn
 from motifcast.operators import match as M
 from motifcast.operators import report as R
@@ -155,3 +155,40 @@ def test_draws_of_one_number_are_one_draw(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
     want = con.execute(registry.ORACLE_SQL["p10_short_circuit"]).fetchall()
     assert [tuple(r) for r in registry.QUERIES["p10_short_circuit"](spark, str(tmp_path)).collect()] == want
+
+
+def shuffled(spark, run):
+    """Records that the stages of ``run()`` shuffle, and its result."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        seq = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {seq.apply(i).stageId(): seq.apply(i).shuffleWriteRecords() for i in range(seq.size())}
+
+    before = max(stages(), default=-1)
+    out = run()
+    return sum(n for stage, n in stages().items() if stage > before), out
+
+
+def test_few_walks_shuffle_few_edges(spark):
+    n = 50_000
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), F.lit(1).alias("elabel"))
+    edges = checkpointed(ring.unionByName(ring.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "elabel")))
+    starts = spark.range(20).select(F.col("id").alias("pattern"), (F.col("id") * 1000).alias("vid"))
+
+    def run():
+        walks = Y.sample_paths(edges, starts, 4, "s")
+        return walks.collect(), Y.induced_edges(walks, Y.edges_between(walks, edges)).count()
+
+    sent, (walks, induced) = shuffled(spark, run)
+    assert len(walks) == 20 and all(len({(b - a) % n for a, b in itertools.pairwise(r["vids"])}) == 1 for r in walks) and induced == 60
+    assert sent < n / 2
+
+
+def test_among_loses_no_key(spark):
+    rows, keys = spark.range(-100, 100_000).withColumnRenamed("id", "a"), spark.range(-50, 100_000, 7).withColumnRenamed("id", "k")
+    kept = checkpointed(among(rows, ["a"], keys))
+    assert kept.join(keys, F.col("a") == F.col("k")).count() == keys.count()
+    assert kept.count() < 1.5 * keys.count()
+    assert among(rows, ["a"], keys.where("false")).isEmpty()
