@@ -14,8 +14,9 @@ from motifcast.functions.ordered import numbered
 from motifcast.functions.random import prn, prn_bits
 
 
-def _near(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").distinct()
+def _near(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """Distinct pairs from the ``ends`` (one column), and a few others: no more are shuffled, once, by their source."""
+    return among(edges.select("src", "dst"), ["src"], ends).repartition("src").distinct()
 
 
 def sample_paths(edges: DataFrame, starts: DataFrame, size: int, salt: str) -> DataFrame:
@@ -36,11 +37,11 @@ def sample_paths(edges: DataFrame, starts: DataFrame, size: int, salt: str) -> D
 
 def sample_stars(edges: DataFrame, starts: DataFrame, size: int, salt: str) -> DataFrame:
     """A centre and size-1 of its neighbours, filled from two hops away if there are too few."""
-    near = _near(edges)
-    one = starts.withColumnRenamed("vid", "src").join(near, "src").select("pattern", F.col("src").alias("centre"), "dst", F.lit(1).alias("hop"))
-    two = one.select("pattern", "centre", F.col("dst").alias("src")).join(near, "src").where("dst <> centre").select("pattern", "centre", "dst", F.lit(2).alias("hop"))
+    one = checkpointed(starts.withColumnRenamed("vid", "src").join(_near(edges, starts.select("vid")), "src").select("pattern", F.col("src").alias("centre"), "dst", F.lit(1).alias("hop")))
     few = one.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < size - 1).select("pattern")
-    every = one.unionByName(two.join(few, "pattern", "left_semi")).groupBy("pattern", "centre", "dst").agg(F.min("hop").alias("hop"))
+    short = checkpointed(one.join(few, "pattern", "left_semi").select("pattern", "centre", F.col("dst").alias("src")))
+    two = short.join(_near(edges, short.select("src")), "src").where("dst <> centre").select("pattern", "centre", "dst", F.lit(2).alias("hop"))
+    every = one.unionByName(two).groupBy("pattern", "centre", "dst").agg(F.min("hop").alias("hop"))
     order = Window.partitionBy("pattern").orderBy("hop", prn(F.concat_ws("-", "pattern", "dst"), salt), "dst")
     kept = every.withColumn("r", F.row_number().over(order)).where(F.col("r") < size)
     return kept.groupBy("pattern", "centre").agg(F.array_sort(F.collect_list("dst")).alias("leaves")).select("pattern", F.concat(F.array("centre"), "leaves").alias("vids"))
@@ -48,13 +49,13 @@ def sample_stars(edges: DataFrame, starts: DataFrame, size: int, salt: str) -> D
 
 def sample_trees(edges: DataFrame, starts: DataFrame, size: int, salt: str) -> DataFrame:
     """Connected sets: each frontier vertex takes 1 to 3 random new neighbours per level until the size is reached."""
-    near = _near(edges)
     sets = starts.select("pattern", F.array("vid").alias("vids"), F.array("vid").alias("front"))
     for level in range(size):
-        grown = sets.where(F.size("vids") < size).select("pattern", "vids", F.explode("front").alias("src")).join(near, "src").where(~F.array_contains("vids", F.col("dst")))
+        front = sets.where(F.size("vids") < size).select("pattern", "vids", F.explode("front").alias("src"))
+        grown = front.hint("shuffle_hash").join(_near(edges, front.select("src")), "src").where(~F.array_contains("vids", F.col("dst"))).select("pattern", "src", "dst")
         order = Window.partitionBy("pattern", "src").orderBy(prn(F.concat_ws("-", "pattern", "src", "dst"), f"{salt}-{level}"), "dst")
         take = 1 + F.floor(3 * prn(F.concat_ws("-", "pattern", "src"), f"{salt}-k{level}"))
-        picked = grown.withColumn("r", F.row_number().over(order)).where(F.col("r") <= take)
+        picked = grown.withColumn("r", F.row_number().over(order)).where((F.col("r") <= 3) & (F.col("r") <= take))
         new = picked.groupBy("pattern").agg(F.array_sort(F.collect_set("dst")).alias("new"))
         sets = checkpointed(sets.join(new, "pattern", "left").withColumn("new", F.slice(F.coalesce("new", F.array().cast("array<bigint>")), F.lit(1), F.greatest(size - F.size("vids"), F.lit(0)))).select("pattern", F.concat("vids", "new").alias("vids"), F.col("new").alias("front")))
     return sets.where(F.size("vids") == size).select("pattern", "vids")
@@ -62,9 +63,9 @@ def sample_trees(edges: DataFrame, starts: DataFrame, size: int, salt: str) -> D
 
 def sample_cycles(edges: DataFrame, starts: DataFrame, size: int, salt: str) -> DataFrame:
     """Walks whose ends are adjacent; for the others connected sets with at least as many edges as vertices."""
-    near = _near(edges)
-    paths = sample_paths(edges, starts, size, salt)
-    closed = paths.withColumn("src", F.element_at("vids", -1)).withColumn("dst", F.element_at("vids", 1)).join(near, ["src", "dst"], "left_semi").select("pattern", "vids")
+    paths = sample_paths(edges, starts, size, salt).withColumn("src", F.element_at("vids", -1)).withColumn("dst", F.element_at("vids", 1))
+    closing = among(among(edges.select("src", "dst"), ["src"], paths.select("src")), ["dst"], paths.select("dst"))
+    closed = paths.join(closing, ["src", "dst"], "left_semi").select("pattern", "vids")
     rest = sample_trees(edges, starts.join(closed, "pattern", "left_anti"), size, salt)
     rest = checkpointed(rest)
     dense = induced_edges(rest, edges_between(rest, edges)).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size)

@@ -192,3 +192,14 @@ def test_among_loses_no_key(spark):
     assert kept.join(keys, F.col("a") == F.col("k")).count() == keys.count()
     assert kept.count() < 1.5 * keys.count()
     assert among(rows, ["a"], keys.where("false")).isEmpty()
+
+
+def test_few_trees_stars_and_cycles_shuffle_few_edges(spark):
+    n = 50_000
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), F.lit(1).alias("elabel"))
+    edges = checkpointed(ring.unionByName(ring.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "elabel")))
+    starts = spark.range(20).select(F.col("id").alias("pattern"), (F.col("id") * 1000).alias("vid"))
+    for sample, size, found in ((Y.sample_trees, 4, 20), (Y.sample_stars, 4, 20), (Y.sample_cycles, 4, 0)):
+        sent, rows = shuffled(spark, lambda sample=sample, size=size: sample(edges, starts, size, "s").collect())
+        assert len(rows) == found and all(len(set(r["vids"])) == size for r in rows)
+        assert sent < n / 2
