@@ -203,3 +203,17 @@ def test_few_trees_stars_and_cycles_shuffle_few_edges(spark):
         sent, rows = shuffled(spark, lambda sample=sample, size=size: sample(edges, starts, size, "s").collect())
         assert len(rows) == found and all(len(set(r["vids"])) == size for r in rows)
         assert sent < n / 2
+
+
+def test_equal_kinds_of_pattern_edges_are_made_once(spark, monkeypatch):
+    """Repeated edges, of which two pattern edges have each kind; the wedges of both halves are one shuffle."""
+    links = [(100 + o, p, 1) for o in range(12) for p in (o % 4, (o + 1) % 4)] + [(100 + o, 50 + o % 3, 2) for o in range(12)]
+    edges = spark.createDataFrame(2 * [*links, *[(b, a, k) for a, b, k in links]], "src long, dst long, elabel int")
+    vertices = spark.createDataFrame([(v, 1 if v >= 100 else 3 if v >= 50 else 2) for v in {x for a, b, _ in links for x in (a, b)}], "vid long, label int")
+    cyc4, kept = M.PATTERNS["cyc4"], []
+    monkeypatch.setattr(M, "checkpointed", lambda df: kept.append(checkpointed(df)) or kept[-1])
+    out = M.match_graph(cyc4, vertices, edges)
+    rows = [(0, a, b) for a, b, k in links if k == 1] + [(1, b, a) for a, b, k in links if k == 1] + [(e, a, b) for e in (2, 3) for a, b, k in links if k == 2]
+    assert sum(df.count() for df in kept if df.columns == ["src", "dst"]) == len(links)
+    assert not any("edge" in df.columns and "src" in df.columns for df in kept)
+    assert sorted(map(tuple, out.collect())) == sorted(brute(cyc4, rows))
