@@ -72,3 +72,14 @@ def test_empty_and_large(spark):
 
 def test_quotients_of_a_star():
     assert sorted(sign for sign, _ in S.quotients(SHAPES["star"])) == [-1, -1, -1, 1, 2]
+
+
+def test_a_cycle_is_opened_by_its_cheapest_vertex(spark):
+    """Orders have two parts and a supplier each; a part is in many orders, and the table without orders is the smallest."""
+    orders = range(1000, 1060)
+    rows = [(0, o, p) for o in orders for p in (o % 3, (o + 1) % 3)] + [(1, p, 100 + s) for p in range(3) for s in range(2)] + [(2, o, 100 + o % 2) for o in orders]
+    out = S.marginals(M.PATTERNS["tri"], spark.createDataFrame(rows, "edge int, src long, dst long"))
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    deepest = max((line for line in text.splitlines() if "Join Inner" in line), key=lambda line: line.index("Join"))
+    assert "u0#" in deepest.split("Join Inner, ")[1]
+    assert out.first()["n"] == 120
