@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from motifcast.functions.frames import among, checkpointed, shared_folder
 from motifcast.functions.random import prn
+from motifcast.operators import graph as G
 from motifcast.operators import match as M
 from motifcast.operators import report as R
 from motifcast.operators import sampling as E
@@ -217,3 +218,12 @@ def test_equal_kinds_of_pattern_edges_are_made_once(spark, monkeypatch):
     assert sum(df.count() for df in kept if df.columns == ["src", "dst"]) == len(links)
     assert not any("edge" in df.columns and "src" in df.columns for df in kept)
     assert sorted(map(tuple, out.collect())) == sorted(brute(cyc4, rows))
+
+
+def test_triangles_make_no_wedges_that_nothing_closes(spark):
+    """2,000 posts below three hubs that have no edge to each other, and one triangle."""
+    links = [(100 + i, h, 0) for i in range(2000) for h in range(3)] + [(5000, 5001, 0), (5001, 5002, 0), (5000, 5002, 0)]
+    edges = checkpointed(spark.createDataFrame([*links, *[(b, a, k) for a, b, k in links]], "src long, dst long, elabel int"))
+    out = G.edge_triangles(edges)
+    assert "Join LeftSemi" in plan(out)
+    assert {r["third"] for r in out.collect()} == {5000, 5001, 5002} and out.count() == 6
