@@ -227,3 +227,14 @@ def test_triangles_make_no_wedges_that_nothing_closes(spark):
     out = G.edge_triangles(edges)
     assert "Join LeftSemi" in plan(out)
     assert {r["third"] for r in out.collect()} == {5000, 5001, 5002} and out.count() == 6
+
+
+def test_only_pairs_that_close_a_four_cycle_are_kept(spark, monkeypatch):
+    """Orders with a part and a supplier of their own, and two that share both."""
+    orders = [(o, 1000 + o, 2000 + o) for o in range(300)] + [(300, 1299, 2299)]
+    rows = [r for o, p, s in orders for r in ((0, o, p), (1, p, o), (2, o, s), (3, o, s))]
+    cyc4, kept = M.PATTERNS["cyc4"], []
+    monkeypatch.setattr(M, "checkpointed", lambda df: kept.append(checkpointed(df)) or kept[-1])
+    safe = M.four_cycle_safe(cyc4, spark.createDataFrame(rows, "edge int, src long, dst long"))
+    assert sorted(map(tuple, safe.collect())) == sorted((e, a, b) for e, a, b in rows if {a, b} & {299, 300})
+    assert sum(df.count() for df in kept if any(c.startswith("_least") for c in df.columns)) == 1
