@@ -15,6 +15,7 @@ from motifcast.operators import graph as G
 from motifcast.operators import match as M
 from motifcast.operators import report as R
 from motifcast.operators import sampling as E
+from motifcast.operators import tree as X
 from motifcast.operators import workload as Y
 from motifcast.plans import registry
 
@@ -238,3 +239,22 @@ def test_only_pairs_that_close_a_four_cycle_are_kept(spark, monkeypatch):
     safe = M.four_cycle_safe(cyc4, spark.createDataFrame(rows, "edge int, src long, dst long"))
     assert sorted(map(tuple, safe.collect())) == sorted((e, a, b) for e, a, b in rows if {a, b} & {299, 300})
     assert sum(df.count() for df in kept if any(c.startswith("_least") for c in df.columns)) == 1
+
+
+def test_tree_samples_make_cells_for_drawn_parents_only(spark, monkeypatch):
+    pattern, tree = M.PATTERNS["path3"], X.Tree((0, 1, 2), {1: 0, 2: 1}, {1: 0, 2: 1})
+    tops, mids = range(1000), range(1000, 11_000)
+    between = spark.createDataFrame([(0, m % 1000, m) for m in mids] + [(1, m, 20_000 + m % 7) for m in mids], "edge int, src long, dst long")
+    candidates = spark.createDataFrame([(0, v) for v in tops] + [(1, v) for v in mids] + [(2, 20_000 + v) for v in range(7)], "q int, vid long")
+    counts = X.count_trees(pattern, tree, candidates, between)
+    kept = []
+
+    def keep(df):
+        out = checkpointed(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(X, "checkpointed", keep)
+    trials = X.sample_trees(pattern, tree, counts, between, 20, "few").collect()
+    assert len(trials) == 20 and all(t["u1"] % 1000 == t["u0"] and t["u2"] == 20_000 + t["u1"] % 7 for t in trials)
+    assert sum(kept) - 1000 < 1000  # the roots' sums, and rows below the 20 draws (before: cells of all 20,000 candidate edges)
