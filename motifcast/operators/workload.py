@@ -78,10 +78,13 @@ def edges_between(patterns: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def induced_edges(patterns: DataFrame, edges: DataFrame) -> DataFrame:
-    """(pattern, u, v, elabel) with renumbered ids, u < v: all edges between a pattern's vertices, each once."""
-    first = patterns.select("pattern", "vids", F.posexplode("vids").alias("u", "src"))
-    pairs = first.select("pattern", "u", "src", F.posexplode("vids").alias("v", "dst")).where("u < v")  # a few for each pattern, so no hub's edges are made
-    return pairs.hint("shuffle_hash").join(edges, ["src", "dst"]).select("pattern", "u", "v", "elabel").distinct()
+    """(pattern, u, v, elabel) with renumbered ids, u < v: all edges between a pattern's vertices, each once.
+
+    ``edges`` has both directions; one of them is joined, by its smaller end."""
+    first = patterns.select("pattern", "vids", F.posexplode("vids").alias("u", "x"))
+    pairs = first.select("pattern", "u", "x", F.posexplode("vids").alias("v", "y")).where("u < v")  # a few for each pattern, so no hub's edges are made
+    pairs = pairs.select("pattern", "u", "v", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+    return pairs.hint("shuffle_hash").join(edges.where("src <= dst"), ["src", "dst"]).select("pattern", "u", "v", "elabel").distinct()
 
 
 def pattern_vertices(patterns: DataFrame, labels: DataFrame, induced: DataFrame) -> DataFrame:

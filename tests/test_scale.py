@@ -241,6 +241,16 @@ def test_only_pairs_that_close_a_four_cycle_are_kept(spark, monkeypatch):
     assert sum(df.count() for df in kept if any(c.startswith("_least") for c in df.columns)) == 1
 
 
+def test_induced_edges_join_one_direction(spark):
+    edges = hub(spark)
+    patterns = spark.createDataFrame([(1, [3, 0, 2, 1]), (2, [50, 1])], "pattern long, vids array<long>")
+    out = Y.induced_edges(patterns, edges)
+    assert any("src" in x and "<=" in x and "dst" in x for x in plan(out).splitlines())
+    there = {(r["src"], r["dst"]): r["elabel"] for r in edges.collect()}
+    want = {(p, u, v, there[a, b]) for p, vids in ((1, [3, 0, 2, 1]), (2, [50, 1])) for u, a in enumerate(vids) for v, b in enumerate(vids) if u < v and (a, b) in there}
+    assert {tuple(r) for r in out.collect()} == want
+
+
 def test_tree_samples_make_cells_for_drawn_parents_only(spark, monkeypatch):
     pattern, tree = M.PATTERNS["path3"], X.Tree((0, 1, 2), {1: 0, 2: 1}, {1: 0, 2: 1})
     tops, mids = range(1000), range(1000, 11_000)
