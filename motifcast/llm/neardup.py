@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifcast.llm.common import bounded_broadcast, checkpointed, documents
+from motifcast.llm.common import bounded_broadcast, checkpointed, documents, settled
 from motifcast.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 32, 4
@@ -198,12 +198,14 @@ def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.repeat(rep, len(values)), pa.repeat(component, len(values)), values], ["rep", "component", "shingle"])
 
 
-def _with_shared(rows: DataFrame) -> DataFrame:
-    """Adds ``shared``: how many of the row's shingles a row of another component has.
+def _with_shared(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """(rep, component, n) with ``shared``: how many of the text's shingles a text of another component has.
 
     A shingle of one component alone is found by its least and largest component; rows are not paired, and a shingle that very
-    many rows have is one row on the other side of the join, which adaptive execution splits."""
-    said = rows.select("rep", "component", "shingles").mapInArrow(_unpacked, "rep long, component long, shingle long")
+    many rows have is one row on the other side of the join, which adaptive execution splits. Shingle sets are read where they
+    are kept, so only single shingles and narrow rows are shuffled."""
+    placed = _of(kept, "rep", "shingles").join(bounded_broadcast(rows.select("rep", "component"), rows.count()), "rep")
+    said = placed.select("rep", "component", "shingles_rep").mapInArrow(_unpacked, "rep long, component long, shingle long")
     alone = said.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo = hi").select("shingle")
     own = said.join(alone, "shingle", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     return rows.join(own, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
@@ -277,17 +279,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         nonlocal groups, links
         if not found.isEmpty():
             links = links.unionByName(found)
-            groups = checkpointed(ids.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
+            groups = settled(docs.sparkSession, lambda: ids.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
 
     grouped(_links(members.select("a", F.col("rep").alias("b")).distinct(), kept))
     left = checkpointed(_open(members.drop("a").join(groups, "rep"), F.xxhash64("rep")))
     grouped(_links(left.where("component <> a.component").select("a.rep", F.col("rep").alias("b")).toDF("a", "b").distinct(), kept))
 
     open_ = _open(left.where("rep <> a.rep").select("bucket", "rep").join(groups, "rep"), F.col("rep")).select("rep", "component").distinct()
-    rest = checkpointed(kept.join(open_, "rep"))
+    rest = checkpointed(kept.select("rep", "n").join(open_, "rep").select("rep", "component", "n"))
     for _ in range(PEELS):
-        rest = checkpointed(_with_shared(rest.drop("shared")).where(_possible(F.col("shared"), F.col("n") + F.col("shared"))))
-    grouped(_links(_likely(rest), kept, screened=True))
+        rest = checkpointed(_with_shared(rest.select("rep", "component", "n"), kept).where(_possible(F.col("shared"), F.col("n") + F.col("shared"))))
+    likely = kept.select("rep", "sketch", "bands").join(bounded_broadcast(rest, rest.count()), "rep")
+    grouped(_links(_likely(likely), kept, screened=True))
 
     found = checkpointed(classes.select("set_hash", "rep").join(groups, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id")))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(found, "set_hash", "left")

@@ -550,6 +550,15 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == brute_groups(docs)
 
 
+def test_near_duplicates_keep_shingle_sets_once(spark, monkeypatch):
+    kept, keep = [], neardup.checkpointed
+    monkeypatch.setattr(neardup, "checkpointed", lambda df: kept.append(df.columns) or keep(df))
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(f"x{i}{k}" if (k * 7 + i) % 60 < i else w for k, w in enumerate(base)) for i in range(20)]
+    assert neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 20
+    assert sum("shingles" in columns for columns in kept) == 1
+
+
 def test_near_duplicates_of_odd_input(odd, none):
     got = neardup.near_duplicates(odd).collect()
     want = brute_groups([(d[0], d[1]) for d in odd_documents()])
