@@ -268,3 +268,7 @@ def test_tree_samples_make_cells_for_drawn_parents_only(spark, monkeypatch):
     trials = X.sample_trees(pattern, tree, counts, between, 20, "few").collect()
     assert len(trials) == 20 and all(t["u1"] % 1000 == t["u0"] and t["u2"] == 20_000 + t["u1"] % 7 for t in trials)
     assert sum(kept) - 1000 < 1000  # the roots' sums, and rows below the 20 draws (before: cells of all 20,000 candidate edges)
+    sampler, made = X.TreeSampler(pattern, tree, counts, between), []
+    first = sampler.draw(20, "few").collect()
+    monkeypatch.setattr(X, "intervals", lambda *a, **k: made.append(1))  # a second round of the same parents makes no cells
+    assert sorted(sampler.draw(20, "few").collect()) == sorted(first) == sorted(trials) and not made
