@@ -127,6 +127,17 @@ def test_quantiles_are_exact(spark, monkeypatch, direct):
     assert ordered.quantiles(df.limit(0), "v", shares, ["g"]).count() == 0
 
 
+def test_quantiles_take_their_bounds_once(spark, monkeypatch):
+    """Sketches merged in another order give other bounds, here by up to eight places of forty; both passes must see the same ones."""
+    from motifcast.functions import ordered
+
+    sketch = F.percentile_approx
+    moved = F.udf(lambda found: [x + random.uniform(-8, 8) for x in found], "array<double>").asNondeterministic()
+    monkeypatch.setattr(ordered.F, "percentile_approx", lambda *of: moved(sketch(*of)))
+    rows = spark.range(200_001).select((F.col("id") % 2).alias("g"), F.expr("(id div 2) * 1.0D").alias("v"))
+    assert {r["g"]: r["q"][0] for r in ordered.quantiles(rows, "v", [0.8], ["g"]).collect()} == {0: 80_000.0, 1: 0.8 * 99_999}
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     """A random labelled graph with hubs."""
