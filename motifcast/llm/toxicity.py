@@ -38,6 +38,8 @@ FOLDS, LABEL_POWER = 4, 1
 PREFIXES = (4, 5)
 #: Terms of at least this share of the examples are dense columns, the most frequent ``DENSE_TERMS`` of them; documents scored at once.
 DENSE_SHARE, DENSE_TERMS, TOGETHER = 0.03, 768, 128
+#: Texts whose words a worker holds at once.
+IN_WORDS = 512
 #: Examples of a block of the index, clusters (by the most frequent terms) by which they are ordered, and most postings of a rare term.
 BLOCK, CLUSTERS, ORDERING_TERMS = 256, 48, 256
 RARE = 16
@@ -112,23 +114,22 @@ class Vocabulary:
         self.known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
         self.table = np.concatenate([self.table, rows])
 
-    def vectors(self, texts: Iterable[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Term numbers (rising) and counts of each text."""
-        said = [_WORD.findall((t or "").lower()) for t in texts]
-        self._learn(set().union(*said))
-        out = []
-        for words in said:
-            terms = self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].ravel()
-            out.append(np.unique(terms[terms >= 0], return_counts=True))
-        return out
+    def vectors(self, texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Term numbers (rising) and counts of each text; the words of ``IN_WORDS`` texts are held at once, however many are given."""
+        for k in range(0, len(texts), IN_WORDS):
+            said = [_WORD.findall((t or "").lower()) for t in texts[k : k + IN_WORDS]]
+            self._learn(set().union(*said))
+            for words in said:
+                terms = self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].ravel()
+                yield np.unique(terms[terms >= 0], return_counts=True)
 
 
 def _vectors_of(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, key, toxic, text, fold) -> (doc_id, key, toxic, fold, terms, counts)."""
         for batch in batches:
-            got = shared.value.vectors(batch.column(3).to_pylist())
-            terms, counts = ([v[k].astype(np.int32) for v in got] for k in (0, 1))
+            got = [(t.astype(np.int32), n.astype(np.int32)) for t, n in shared.value.vectors(batch.column(3).to_pylist())]
+            terms, counts = ([v[k] for v in got] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "key", "toxic", "fold", "terms", "counts"])
 
     return run
