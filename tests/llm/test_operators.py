@@ -871,9 +871,9 @@ def test_toxicity_holds_the_words_of_few_texts_at_once(monkeypatch):
     from motifcast.llm import toxicity as T
 
     texts = [" ".join(f"w{i}x{j}" for j in range(5)) for i in range(2_000)] + [None, ""]
-    vocabulary, held = T.Vocabulary(np.unique(T.term_hashes(["w7x1", "w1999x4"])[0])), []
-    learn = T.Vocabulary._learn
-    monkeypatch.setattr(T.Vocabulary, "_learn", lambda self, words: (held.append(len(words)), learn(self, words)))
+    vocabulary, held = toxicity.Vocabulary(np.unique(toxicity.term_hashes(["w7x1", "w1999x4"])[0])), []
+    learn = toxicity.Vocabulary._learn
+    monkeypatch.setattr(toxicity.Vocabulary, "_learn", lambda self, words: (held.append(len(words)), learn(self, words)))
     got = [terms.tolist() for terms, _ in vocabulary.vectors(texts)]
     assert len(got) == len(texts) and got[7] and got[1999] and not got[2000] and not got[2001]
     assert max(held) < 5 * 1_000
