@@ -868,8 +868,6 @@ def test_toxicity_holds_the_words_of_few_texts_at_once(monkeypatch):
     """op3_toxicity, pipeline: a batch of many texts is not in a worker as words all at once."""
     import numpy as np
 
-    from motifcast.llm import toxicity as T
-
     texts = [" ".join(f"w{i}x{j}" for j in range(5)) for i in range(2_000)] + [None, ""]
     vocabulary, held = toxicity.Vocabulary(np.unique(toxicity.term_hashes(["w7x1", "w1999x4"])[0])), []
     learn = toxicity.Vocabulary._learn
