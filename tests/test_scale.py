@@ -18,6 +18,7 @@ from motifcast.operators import sampling as E
 from motifcast.operators import tree as X
 from motifcast.operators import workload as Y
 from motifcast.plans import registry
+from motifcast.plans.reports import rounded_scaled
 
 
 def plan(df) -> str:
@@ -140,6 +141,13 @@ def test_equal_errors_are_placed_by_their_query(spark):
     assert [r["query"] for r in out.orderBy("place").collect()] == ["a", "b"]
 
 
+def test_errors_are_rounded_like_the_sql(spark):
+    """The first is below a half by its digits and a half by its multiple, the second a half by its digits and below by its multiple."""
+    values = [0.07164717649999999, 0.0663537635, 0.0, 0.25, 0.1234567895, 3.0000000005]
+    got = [r["error"] for r in rounded_scaled(spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, error double"), "error", 9).orderBy("i").collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 9)", [x]).fetchone()[0] for x in values]
+
+
 def test_draws_of_one_number_are_one_draw(spark, tmp_path):
     """Orders whose draws (x, y) and (x + 1, y - 10007) have the same number."""
     con = duckdb.connect()
