@@ -13,6 +13,7 @@ from motifcast.functions.frames import among, checkpointed, shared_folder
 from motifcast.functions.random import prn
 from motifcast.operators import graph as G
 from motifcast.operators import match as M
+from motifcast.operators import predicate as P
 from motifcast.operators import report as R
 from motifcast.operators import sampling as E
 from motifcast.operators import tree as X
@@ -280,3 +281,40 @@ def test_tree_samples_make_cells_for_drawn_parents_only(spark, monkeypatch):
     first = sampler.draw(20, "few").collect()
     monkeypatch.setattr(X, "intervals", lambda *a, **k: made.append(1))  # a second round of the same parents makes no cells
     assert sorted(sampler.draw(20, "few").collect()) == sorted(first) == sorted(trials) and not made
+
+
+def trade_tables(folder, orders: int, parts: int) -> str:
+    """Orders of ``parts`` parts each, out of 40."""
+    con = duckdb.connect()
+    tables = {
+        "customer": "SELECT unnest(range(5))::BIGINT AS c_custkey",
+        "orders": f"SELECT o::BIGINT AS o_orderkey, (o % 5)::BIGINT AS o_custkey, 1.0::DOUBLE AS o_totalprice FROM range({orders}) t(o)",
+        "part": "SELECT unnest(range(40))::BIGINT AS p_partkey, 1.0::DOUBLE AS p_retailprice",
+        "supplier": "SELECT unnest(range(7))::BIGINT AS s_suppkey",
+        "lineitem": f"SELECT o::BIGINT AS l_orderkey, ((o * 3 + k * (1 + o % 3)) % 40)::BIGINT AS l_partkey, ((o + k * k) % 7)::BIGINT AS l_suppkey FROM range({orders}) t(o), range({parts}) s(k)",
+    }
+    for name, sql in tables.items():
+        con.execute(f"COPY ({sql}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def test_checks_of_embeddings_are_shuffled_once(spark, tmp_path):
+    folder = trade_tables(tmp_path, 400, 8)
+    records, rows = shuffled(spark, lambda: registry.QUERIES["p10_short_circuit"](spark, folder).collect())
+    con = duckdb.connect()
+    for name in ("customer", "orders", "part", "supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    assert [tuple(r) for r in rows] == con.execute(registry.ORACLE_SQL["p10_short_circuit"]).fetchall()
+    embeddings = con.execute(f"{registry.ORACLE_SQL['m11_match_star4'].replace('SELECT * FROM m', 'SELECT count(*) FROM m')}").fetchone()[0]
+    assert records < 3 * embeddings
+
+
+def test_totals_of_checks_are_those_of_short_circuit(spark):
+    """Draws of several rows, vertices at both places, a vertex 0, and a draw that passes at one place only."""
+    rows = [(k // 3, (5 * k) % 11, (k * k) % 7, k % 4 != 0, k % 5 != 0) for k in range(120)]
+    wide = spark.createDataFrame(rows, "draw long, a long, b long, p boolean, q boolean")
+    long = spark.createDataFrame([(d, pos, "part", v, ok) for d, a, b, p, q in rows for pos, v, ok in ((0, a, p), (1, b, q))], "draw long, pos int, role string, vid long, pass boolean")
+    drawn, made = P.short_circuit(wide.select("draw").distinct(), long)
+    got = P.short_circuit_totals(wide, [("part", F.col("a"), F.col("p")), ("part", F.col("b"), F.col("q"))]).collect()
+    assert [tuple(r) for r in got] == [("part", made.where("charged").select("vid").distinct().count(), made.count(), drawn.where("pass").count())]
+    assert [tuple(r) for r in P.short_circuit_totals(wide.limit(0), [("part", F.col("a"), F.col("p"))]).collect()] == [("part", 0, 0, 0)]
