@@ -318,3 +318,15 @@ def test_totals_of_checks_are_those_of_short_circuit(spark):
     got = P.short_circuit_totals(wide, [("part", F.col("a"), F.col("p")), ("part", F.col("b"), F.col("q"))]).collect()
     assert [tuple(r) for r in got] == [("part", made.where("charged").select("vid").distinct().count(), made.count(), drawn.where("pass").count())]
     assert [tuple(r) for r in P.short_circuit_totals(wide.limit(0), [("part", F.col("a"), F.col("p"))]).collect()] == [("part", 0, 0, 0)]
+
+
+def test_refinement_shuffles_few_rows_an_edge(spark, tmp_path):
+    folder = trade_tables(tmp_path, 400, 8)
+    for name, column in (("m9_refine", "vid"), ("m10_candidate_space", "src")):
+        records, rows = shuffled(spark, lambda name=name: registry.QUERIES[name](spark, folder).collect())
+        con = duckdb.connect()
+        for table in ("customer", "orders", "part", "supplier", "lineitem"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+        assert sorted(tuple(r) for r in rows) == sorted(con.execute(registry.ORACLE_SQL[name]).fetchall())
+        wedges = 400 * 8 * 7  # of an order's parts and suppliers
+        assert records < 1.5 * wedges, (name, records)
