@@ -415,6 +415,16 @@ def test_decontamination_tolerates_substitutions(spark, limit):
     assert found == want and {d for d, _ in want} == {10, 11, 12, 13, 14, 20, 21, 22, 23, 24}
 
 
+def test_equal_items_are_looked_for_once(spark):
+    """Forty names of two items, one name for both: the seeds of two are broadcast, and all names are reported."""
+    said = [say(1, 20), say(2, 20)]
+    items = [(k, said[k % 2]) for k in range(40)] + [(0, said[1]), (None, said[0])]
+    docs = [(1, f"{say(3, 30)} {said[0]}"), (2, f"{said[1]} {say(4, 30)}"), (3, say(5, 30))]
+    got = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 500)
+    assert sorted((r["doc_id"], r["item_id"], r["matched"]) for r in got.collect()) == sorted({(1 + k % 2, k, 16) for k in range(40)} | {(2, 0, 16)})
+    assert "Generate" in got._jdf.queryExecution().toString()  # of the documents' seeds, at the broadcast
+
+
 def test_masks_hit_every_placement():
     for n in range(decontam.LEAST_TOKENS, decontam.WINDOW + 1):
         ((_, _, masks),) = decontam.families([n])
