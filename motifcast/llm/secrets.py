@@ -21,6 +21,8 @@ token can be added if its own p-value is at most ``FDR``; extra columns are igno
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,20 +49,27 @@ def _sum(x: Column, of=lambda v: v, kind: str = "long") -> Column:
     return F.aggregate(x, F.lit(0).cast(kind), lambda t, v: t + of(v).cast(kind))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once. Else it is computed wherever ``use`` has it, within a lambda for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def running_sum(x: Column) -> Column:
-    """Sums of the first i+1 values; by blocks of about the square root of the length, so long arrays stay cheap."""
+    """Sums of the first i+1 values of a bound array; by blocks of about the square root of the length, so long arrays stay cheap."""
     n, block = F.size(x), F.greatest(F.ceil(F.sqrt(F.size(x))), F.lit(1)).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: _sum(F.slice(x, b * block + 1, block)))
     at = lambda i: F.floor(i / block).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: _sum(F.slice(blocks, F.lit(1), at(i))) + _sum(F.slice(x, at(i) * block + 1, i - at(i) * block + 1)))
+    return bound(blocks, lambda blocks: F.transform(F.sequence(F.lit(0), n - 1), lambda i: _sum(F.slice(blocks, F.lit(1), at(i))) + _sum(F.slice(x, at(i) * block + 1, i - at(i) * block + 1))))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches: array of (start, end, match), in code points, end exclusive; null if none."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda p, h: (F.char_length(p) + F.char_length(h)).cast("long"))
-    spans = F.zip_with(running_sum(lengths), hits, lambda e, h: F.struct((e - F.char_length(h)).alias("start"), e.alias("end"), h.alias("match")))
-    return F.when(text.rlike(pattern), spans)
+
+    def spans(hits: Column) -> Column:
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda p, h: (F.char_length(p) + F.char_length(h)).cast("long"))
+        return F.zip_with(bound(lengths, running_sum), hits, lambda e, h: F.struct((e - F.char_length(h)).alias("start"), e.alias("end"), h.alias("match")))
+
+    return F.when(text.rlike(pattern), bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans))
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -86,16 +95,22 @@ def place(sign: Column, size: Column) -> Column:
     return F.when(size == 64, by64).when(size == 32, by32).otherwise(by36).cast("double")
 
 
+def _signs(token: Column) -> Column:
+    """(size, signs, n) of a token without padding: the size of its alphabet, its signs, and their number."""
+    signs = lambda bare: F.filter(F.split(bare, "", -1), lambda x: x != "")
+    return bound(F.regexp_replace(token, "=+$", ""), lambda bare: F.struct(alphabet_size(bare).alias("size"), signs(bare).alias("signs"), F.char_length(bare).cast("double").alias("n")))
+
+
 def battery(token: Column) -> Column:
     """The statistic of the three tests; about chi-squared(3) for signs drawn at random."""
-    bare = F.regexp_replace(token, "=+$", "")
-    size, signs = alphabet_size(bare), F.filter(F.split(bare, "", -1), lambda x: x != "")
-    n = F.char_length(bare).cast("double")
+    return bound(_signs(token), lambda t: bound(F.transform(t["signs"], lambda s: place(s, t["size"])), lambda codes: bound(_sum(codes, kind="double") / t["n"], lambda mean: _statistic(t["size"], t["signs"], t["n"], codes, mean))))
+
+
+def _statistic(size: Column, signs: Column, n: Column, codes: Column, mean: Column) -> Column:
     squares = _sum(F.transform(F.array_distinct(signs), lambda s: F.pow(F.size(F.filter(signs, lambda x: x == s)), F.lit(2))), kind="double")
     df = (size - 1).cast("double")
     uniform = F.greatest((squares * size / n - n - df) / F.sqrt(2 * df * (n - 1) / n), F.lit(0.0))
 
-    codes = F.transform(signs, lambda s: place(s, size))
     after = F.slice(codes, F.lit(2), F.size(codes))
     ahead = F.slice(codes, F.lit(1), F.size(codes) - 1)
     high = _sum(codes, lambda c: F.when(c >= size / 2, 1.0).otherwise(0.0), "double")
@@ -105,22 +120,23 @@ def battery(token: Column) -> Column:
     spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
     ran = F.when((high > 0) & (low > 0), (runs - expected) / spread).otherwise(F.sqrt(n))
 
-    mean = _sum(codes, kind="double") / n
     variance = _sum(codes, lambda c: (c - mean) * (c - mean), "double")
     serial = F.when(variance > 0, _sum(F.zip_with(ahead, after, lambda a, b: (a - mean) * (b - mean)), kind="double") / variance * F.sqrt(n)).otherwise(F.sqrt(n))
-    return uniform * uniform + ran * ran + serial * serial
+    return bound(F.struct(uniform.alias("u"), ran.alias("r"), serial.alias("s")), lambda v: v["u"] * v["u"] + v["r"] * v["r"] + v["s"] * v["s"])
 
 
 def natural_p(token: Column) -> Column:
     """Upper bound of the chance that a natural token of this length repeats its signs as little as this one."""
-    bare = F.regexp_replace(token, "=+$", "")
-    n, signs = F.char_length(bare).cast("double"), F.filter(F.split(bare, "", -1), lambda x: x != "")
-    same = _sum(F.transform(F.array_distinct(signs), lambda s: F.size(F.filter(signs, lambda x: x == s))), lambda c: c * (c - 1) / 2, "double")
-    pairs = n * (n - 1) / 2
-    spread = pairs * REPEATS * (1 - REPEATS) + n * (n - 1) * (n - 2) * (TRIPLES - REPEATS**2)
-    z = (pairs * REPEATS - same) / F.sqrt(spread)
-    tail = F.when(z > 0, F.exp(-z * z / 2) * F.least(F.lit(0.5), 0.3989423 / F.greatest(z, F.lit(1e-6)))).otherwise(1.0)
-    return F.when(alphabet_size(bare) == 16, F.pow(F.lit(HEX_SHARE), n)).otherwise(tail)
+
+    def p(t: Column) -> Column:
+        n, signs = t["n"], t["signs"]
+        same = _sum(F.transform(F.array_distinct(signs), lambda s: F.size(F.filter(signs, lambda x: x == s))), lambda c: c * (c - 1) / 2, "double")
+        pairs = n * (n - 1) / 2
+        spread = pairs * REPEATS * (1 - REPEATS) + n * (n - 1) * (n - 2) * (TRIPLES - REPEATS**2)
+        tail = lambda z: F.when(z > 0, F.exp(-z * z / 2) * F.least(F.lit(0.5), 0.3989423 / F.greatest(z, F.lit(1e-6)))).otherwise(1.0)
+        return F.when(t["size"] == 16, F.pow(F.lit(HEX_SHARE), n)).otherwise(bound((pairs * REPEATS - same) / F.sqrt(spread), tail))
+
+    return bound(_signs(token), p)
 
 
 def length_class(n: Column) -> Column:

@@ -776,6 +776,20 @@ def test_battery_needs_no_natural_words(spark):
     assert got == {**{i: [(4, 4 + len(k), 3)] for i, k in enumerate(keys)}, 9: []}
 
 
+def test_long_tokens_take_time_in_proportion(spark):
+    """A sign of a long token, or one of many tokens, must not cost as much as all of them."""
+    import time
+
+    rng = random.Random(8)
+    token = lambda n: "".join(rng.choices(secrets._ORDER, k=n))
+    docs = spark.createDataFrame([(1, token(700)), (2, " ".join(token(30) for _ in range(60)))], "doc_id long, text string")
+    assert secrets.scan_secrets(docs.where("doc_id = 0")).count() == 0
+    began = time.time()
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs).collect()}
+    assert time.time() - began < 20
+    assert [tuple(x) for x in found[1]] == [(0, 3, 700)] and len(found[2]) > 50
+
+
 def test_secrets_of_odd_input(odd, none):
     assert secrets.scan_secrets(odd).count() == len(odd_documents()) and secrets.scan_secrets(none).count() == 0
 
